@@ -1,0 +1,41 @@
+"""One SQL text in two dialects: Spark's, that the operators run, and DuckDB's, that checks them."""
+
+from __future__ import annotations
+
+import re
+
+
+def render(sql: str, dialect: str, **parts: str) -> str:
+    """`sql` with @name@ replaced by parts, and the functions that differ between the dialects:
+
+    RX(s, p) does s contain p; RALL(s, p, r) replace every p; JOINED(order, value, sep[, condition]) join in order.
+    """
+    for k, v in parts.items():
+        sql = sql.replace(f"@{k}@", v)
+    spark = dialect == "spark"
+    rules = {
+        "RX": lambda s, p: f"rlike({s}, {p})" if spark else f"regexp_matches({s}, {p})",
+        "RALL": lambda s, p, r: f"regexp_replace({s}, {p}, {r})" if spark else f"regexp_replace({s}, {p}, {r}, 'g')",
+        "JOINED": lambda o, v, sep, cond="true": (
+            f"array_join(transform(array_sort(collect_list(case when {cond} then struct({o} as o, {v} as v) end)), x -> x.v), {sep})"
+            if spark
+            else f"coalesce(string_agg({v}, {sep} order by {o}) filter (where {cond}), '')"
+        ),
+    }
+    for name, f in rules.items():
+        while m := re.search(rf"\b{name}\(", sql):
+            depth, start, args, at = 1, m.end(), [], m.end()
+            quoted = False
+            while depth:
+                c = sql[at]
+                if c == "'":
+                    quoted = not quoted
+                elif not quoted:
+                    if c == "," and depth == 1:
+                        args.append(sql[start:at].strip())
+                        start = at + 1
+                    depth += (c == "(") - (c == ")")
+                at += 1
+            args.append(sql[start : at - 1].strip())
+            sql = sql[: m.start()] + f(*args) + sql[at:]
+    return sql

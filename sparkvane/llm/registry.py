@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from sparkvane.llm import mixing, sharding
+from sparkvane.llm import chat, mixing, secrets, sharding, url_filters
 
 
 def queries() -> dict:
     return {
+        "op2_chat_formatting": chat.op2_chat_formatting,
         "op4_mixing": mixing.op4_mixing,
+        "op5_secret_scans": secrets.op5_secret_scans,
+        "op7_url_filters": url_filters.op7_url_filters,
         "op9_sharding": sharding.op9_sharding,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mixing": mixing.OP4_SQL}
+    return {"op2_chat_formatting": chat.OP2_SQL, "op4_mixing": mixing.OP4_SQL, "op7_url_filters": url_filters.OP7_SQL}
