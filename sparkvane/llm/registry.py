@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from sparkvane.llm import chat, mixing, secrets, sharding, url_filters
+from sparkvane.llm import chat, fingerprints, mixing, secrets, sharding, toxicity, url_filters
 
 
 def queries() -> dict:
     return {
+        "op1_toxicity": toxicity.op1_toxicity,
         "op2_chat_formatting": chat.op2_chat_formatting,
         "op4_mixing": mixing.op4_mixing,
         "op5_secret_scans": secrets.op5_secret_scans,
+        "op6_fingerprints": fingerprints.op6_fingerprints,
         "op7_url_filters": url_filters.op7_url_filters,
         "op9_sharding": sharding.op9_sharding,
     }
