@@ -32,6 +32,7 @@ from sparkvane.llm.words import U, WordHashes, distinct, hashed_words, mixed, sh
 BITS, TERM, RADIUS = 128, 3, 3
 #: Bytes of text in a piece of the ordered corpus.
 PIECE = 16 << 20
+_BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.float64)
 
 
 def simhash(texts: list[str | None], memory: WordHashes) -> np.ndarray:
@@ -42,15 +43,11 @@ def simhash(texts: list[str | None], memory: WordHashes) -> np.ndarray:
         terms, of, n = distinct(*shingles(words, at, TERM))
         if not len(terms):
             continue
-        weight = np.minimum(np.round(4 * (1 + np.log2(n))), 120).astype(np.int32)
-        votes = np.zeros((b - a, BITS), np.int32)
-        total = np.bincount(of, weight, b - a).astype(np.int32)
-        for s in range(0, len(terms), 16384):
-            t, o, w = terms[s : s + 16384], of[s : s + 16384], weight[s : s + 16384]
-            both = np.stack([mixed(t), mixed(t ^ U(0x5851F42D4C957F2D))], 1)
-            bits = np.unpackbits(both.view(np.uint8), axis=1).astype(np.int16) * w[:, None].astype(np.int16)
-            first = np.flatnonzero(np.concatenate(([True], o[1:] != o[:-1])))
-            votes[o[first]] += np.add.reduceat(bits, first, axis=0, dtype=np.int32)
+        weight = np.round(4 * (1 + np.log2(n)))
+        total = np.bincount(of, weight, b - a)
+        hashes = np.stack([mixed(terms), mixed(terms ^ U(0x5851F42D4C957F2D))], 1).view(np.uint8)
+        # the weight of every value of every byte, then of every bit
+        votes = np.concatenate([np.bincount(of * 256 + hashes[:, i], weight, (b - a) * 256).reshape(-1, 256) @ _BYTE_BITS for i in range(BITS // 8)], axis=1)
         out[a:b] = np.packbits(2 * votes > total[:, None], axis=1).view(U)
     return out
 

@@ -61,15 +61,24 @@ def shingles(words: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np.
     return np.concatenate(out), np.concatenate(docs)
 
 
+#: Texts that are looked at together at most, so that a text's number fits in OF_BITS bits.
+OF_BITS = 12
+MOST_TEXTS = 1 << OF_BITS
+
+
 def distinct(values: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (of, value), sorted, and how often each comes: values, of, counts."""
+    """Distinct (of, value), sorted, and how often each comes: values, of, counts.
+
+    of is below MOST_TEXTS. Values are cut to their upper 64 - OF_BITS bits, the same for all texts,
+    so that one sort of plain numbers will do.
+    """
     if not len(values):
         return values, of, np.zeros(0, np.int64)
-    order = np.lexsort((values, of))
-    v, o = values[order], of[order]
-    new = np.concatenate(([True], (v[1:] != v[:-1]) | (o[1:] != o[:-1])))
-    first = np.flatnonzero(new)
-    return v[new], o[new], np.diff(np.append(first, len(v)))
+    both = np.sort((of.astype(U) << U(64 - OF_BITS)) | (values >> U(OF_BITS)))
+    first = np.flatnonzero(np.concatenate(([True], both[1:] != both[:-1])))
+    n = np.diff(np.append(first, len(both)))
+    both = both[first]
+    return both & U((1 << (64 - OF_BITS)) - 1), (both >> U(64 - OF_BITS)).astype(np.int64), n
 
 
 def slices(texts: list[str | None], most: int = 1 << 21):
@@ -77,7 +86,7 @@ def slices(texts: list[str | None], most: int = 1 << 21):
     start = size = 0
     for i, t in enumerate(texts):
         n = len(t or "") + 1
-        if i > start and size + n > most:
+        if i > start and (size + n > most or i - start >= MOST_TEXTS):
             yield start, i
             start, size = i, 0
         size += n
