@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkvane.llm.common import read, written
-from sparkvane.llm.words import U, WordHashes, distinct, hashed_words, mixed, shingles, slices
+from sparkvane.llm.words import U, distinct, hashed_words, mixed, shingles, slices
 
 BITS, TERM, RADIUS = 128, 3, 3
 #: Bytes of text in a piece of the ordered corpus.
@@ -35,11 +35,11 @@ PIECE = 16 << 20
 _BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.float64)
 
 
-def simhash(texts: list[str | None], memory: WordHashes) -> np.ndarray:
+def simhash(texts: list[str | None]) -> np.ndarray:
     """A fingerprint of 16 bytes for each text: an array of (len(texts), 2) 64-bit numbers."""
     out = np.zeros((len(texts), 2), U)
     for a, b in slices(texts):
-        words, at = hashed_words(texts[a:b], memory)
+        words, at = hashed_words(texts[a:b])
         terms, of, n = distinct(*shingles(words, at, TERM))
         if not len(terms):
             continue
@@ -96,18 +96,17 @@ def fingerprinted(pairs: DataFrame) -> DataFrame:
     schema = "doc_id long, n_chars long, edited_sha256 string, hi long, lo long, edited_hi long, edited_lo long, next_hi long, next_lo long"
 
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memory = WordHashes()
         for x in frames:
             texts = [t or "" for t in x["text"]]
             following = [t or "" for t in x["next_text"]]
             new = [edited(t, f) for t, f in zip(texts, following, strict=True)]
             # a row's next text mostly is the next row's text
             later = [i + 1 if i + 1 < len(texts) and texts[i + 1] == f else -1 for i, f in enumerate(following)]
-            own, alt = simhash(texts, memory), simhash(new, memory)
+            own, alt = simhash(texts), simhash(new)
             rest = [i for i, j in enumerate(later) if j < 0]
             after = own[np.array(later, np.int64)] if len(texts) else own
             if rest:
-                after[rest] = simhash([following[i] for i in rest], memory)
+                after[rest] = simhash([following[i] for i in rest])
             cols = {"doc_id": x["doc_id"], "n_chars": [len(t) for t in texts], "edited_sha256": [hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in new]}
             for name, f in (("", own), ("edited_", alt), ("next_", after)):
                 cols[f"{name}hi"], cols[f"{name}lo"] = f[:, 0].view(np.int64), f[:, 1].view(np.int64)

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from sparkvane.llm.common import read, written
 from sparkvane.llm.components import components
-from sparkvane.llm.words import U, WordHashes, distinct, hashed_words, mixed, shingles, slices
+from sparkvane.llm.words import U, distinct, hashed_words, mixed, shingles, slices
 
 NO_ID = (1 << 63) - 1
 #: Shingles in a coarse component, or a block of one, that are checked in one task.
@@ -155,8 +155,8 @@ def _rows(kind: int, key, a, b, c, n) -> pd.DataFrame:
     return pd.DataFrame({"kind": np.full(m, kind, np.int32), "key": full(key), "a": full(a), "b": full(b), "c": full(c), "n": full(n)})
 
 
-def _sets(texts: list, memory: WordHashes, words: int):
-    w, at = hashed_words(texts, memory)
+def _sets(texts: list, words: int):
+    w, at = hashed_words(texts)
     tokens, of, _ = distinct(*shingles(w, at, words))
     return tokens, of, np.bincount(of, minlength=len(texts)).astype(np.int64)
 
@@ -165,7 +165,6 @@ def _index(rule: Rule):
     """For every row its set (kind 1: a doc, b and c digest, n size), keys (kind 0) and edges found on the way (kind 2)."""
 
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memory = WordHashes()
         table = bands(rule, 1 << 20)
         keys, ids, held = [], [], 0
 
@@ -177,7 +176,7 @@ def _index(rule: Rule):
         for x in frames:
             texts, docs = x["text"].tolist(), x["doc_id"].to_numpy(np.int64)
             for s, e in slices(texts):
-                tokens, of, n = _sets(texts[s:e], memory, rule.words)
+                tokens, of, n = _sets(texts[s:e], rule.words)
                 doc = docs[s:e]
                 d1, d2 = np.zeros(len(n), U), np.zeros(len(n), U)
                 np.add.at(d1, of, mixed(tokens))
@@ -257,7 +256,6 @@ def spanning_links(sets: list[np.ndarray], rule: Rule) -> list[tuple[int, int]]:
 
 def _check(rule: Rule):
     def group(x: pd.DataFrame) -> pd.DataFrame:
-        memory = WordHashes()
         a, b = [], []
         x = x.sort_values(["coarse", "doc_id"])
         docs, coarse, texts = x["doc_id"].to_numpy(np.int64), x["coarse"].to_numpy(), x["text"].tolist()
@@ -265,7 +263,7 @@ def _check(rule: Rule):
         for s, e in zip(ends[:-1], ends[1:], strict=True):
             sets = []
             for p, q in slices(texts[s:e]):
-                tokens, _, n = _sets(texts[s + p : s + q], memory, rule.words)
+                tokens, _, n = _sets(texts[s + p : s + q], rule.words)
                 sets += np.split(tokens, np.cumsum(n)[:-1])
             if e - s > 1:
                 for i, j in spanning_links(sets, rule):

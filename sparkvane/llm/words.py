@@ -3,20 +3,17 @@
 from __future__ import annotations
 
 import numpy as np
-import xxhash
 
 U = np.uint64
 _MULTIPLIERS = (U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F), U(0x165667B19E3779F9), U(0x27D4EB2F165667C5))
 
 
-class WordHashes(dict):
-    """64-bit hash of a word's bytes, remembered; forgotten all at once when there are many."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 300_000:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
+_SPACE = np.zeros(256, bool)
+_SPACE[[32, *range(9, 14)]] = True
+#: Everything in ASCII but letters and digits.
+_MARK = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
+_BASE = 0x9E3779B97F4A7C15 | 1
+_CHUNK = 1 << 18
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -26,18 +23,61 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(32))
 
 
-def hashed_words(texts: list[str | None], memory: WordHashes, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+def _byte_values(lower: bool) -> np.ndarray:
+    v = mixed(np.arange(1, 257, dtype=U) * U(0xA24BAED4963EE407))
+    if lower:
+        v[65:91] = v[97:123]
+    return v
+
+
+_VALUES = {lower: _byte_values(lower) for lower in (True, False)}
+_POWERS = [np.ones(1, U), np.ones(1, U)]
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse modulo 2**64, n of each at least."""
+    if len(_POWERS[0]) < n:
+        for i, x in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+            p = np.full(n, x, U)
+            p[0] = 1
+            _POWERS[i] = np.cumprod(p)
+    return _POWERS[0], _POWERS[1]
+
+
+def hashed_words(texts: list[str | None], lower: bool = True, marks: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of all texts, and where each text's begin (one more at the end).
 
-    Words are runs of anything but space and the controls 9 to 13; A to Z are lower-cased.
+    Words are runs of anything but space and the controls 9 to 13, or, with marks, but all of ASCII
+    that is no letter or digit. With lower, A to Z are like a to z. A word's hash is a
+    polynomial of its bytes modulo 2**64, mixed; from one running sum over all bytes.
     """
-    parts, at = [], np.zeros(len(texts) + 1, np.int64)
-    for i, t in enumerate(texts):
-        b = (t or "").encode("utf-8", "surrogatepass")
-        w = (b.lower() if lower else b).split()
-        parts.append(np.fromiter(map(memory.__getitem__, w), U, len(w)))
-        at[i + 1] = at[i] + len(w)
-    return (np.concatenate(parts) if parts else np.zeros(0, U)), at
+    space, values = _MARK if marks else _SPACE, _VALUES[lower]
+    raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+    begin = np.zeros(len(raw) + 1, np.int64)
+    np.cumsum([len(r) + 1 for r in raw], out=begin[1:]) if raw else None
+    data = np.frombuffer(b" ".join([*raw, b""]), np.uint8)
+    hashes, starts, at = [], [], 0
+    while at < len(data):
+        end = min(len(data), at + _CHUNK)
+        if end < len(data):  # cut after a space
+            back = np.flatnonzero(space[data[at:end]][::-1][:4096])
+            while not len(back) and end < len(data):
+                end = min(len(data), end + _CHUNK)
+                back = np.flatnonzero(space[data[at:end]][::-1])
+            end -= int(back[0]) if len(back) else 0
+        b = data[at:end]
+        gap = np.concatenate(([True], space[b], [True]))
+        edge = np.flatnonzero(gap[1:] != gap[:-1])
+        s, e = edge[0::2], edge[1::2]
+        power, inverse = _powers(max(len(b) + 1, _CHUNK + 1))
+        total = np.zeros(len(b) + 1, U)
+        np.cumsum(values[b] * power[: len(b)], out=total[1:])
+        hashes.append(mixed((total[e] - total[s]) * inverse[s] + (e - s).astype(U)))
+        starts.append(s + at)
+        at = end
+    if not hashes:
+        return np.zeros(0, U), np.zeros(len(raw) + 1, np.int64)
+    return np.concatenate(hashes), np.searchsorted(np.concatenate(starts), begin)
 
 
 def shingles(words: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
