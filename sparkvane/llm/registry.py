@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sparkvane.llm import chat, fingerprints, jaccard_join, mixing, secrets, sharding, toxicity, url_filters
+from sparkvane.llm import chat, decontamination, fingerprints, jaccard_join, mixing, secrets, sharding, toxicity, url_filters
 
 
 def queries() -> dict:
@@ -15,6 +15,7 @@ def queries() -> dict:
         "op7_url_filters": url_filters.op7_url_filters,
         "op8_jaccard_join": jaccard_join.op8_jaccard_join,
         "op9_sharding": sharding.op9_sharding,
+        "op10_decontamination": decontamination.op10_decontamination,
     }
 
 
