@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from sparkvane.llm import chat, decontamination, fingerprints, jaccard_join, mixing, secrets, sharding, toxicity, url_filters
+from sparkvane.llm import chat, decontamination, fingerprints, jaccard_join, mixing, repeats, secrets, sharding, toxicity, url_filters
 
 
 def queries() -> dict:
     return {
         "op1_toxicity": toxicity.op1_toxicity,
         "op2_chat_formatting": chat.op2_chat_formatting,
+        "op3_suffix_dedup": repeats.op3_suffix_dedup,
         "op4_mixing": mixing.op4_mixing,
         "op5_secret_scans": secrets.op5_secret_scans,
         "op6_fingerprints": fingerprints.op6_fingerprints,
