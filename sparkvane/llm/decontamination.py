@@ -208,20 +208,23 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
     return out if out is not None else docs.sparkSession.createDataFrame([], "doc_id long, item_id long, score double, end_word long, seeds long")
 
 
+def _best(block: Items):
+    def best(frames: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for x in frames:
+            one = leaks(x.tolist(), block)
+            out = np.zeros(len(x))
+            np.maximum.at(out, one["row"].to_numpy(np.int64), one["score"].to_numpy())
+            yield pd.Series(out)
+
+    best.__annotations__ = {"frames": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    return F.pandas_udf(best, "double")
+
+
 def worst_leak(text: Column, found: list[Items]) -> Column:
     """The greatest score of a text with any item of the blocks, 0 without a seed. Only the score comes back from Python."""
     score = F.lit(0.0)
     for block in found:
-
-        def best(frames: Iterator[pd.Series], block: Items = block) -> Iterator[pd.Series]:
-            for x in frames:
-                one = leaks(x.tolist(), block)
-                out = np.zeros(len(x))
-                np.maximum.at(out, one["row"].to_numpy(np.int64), one["score"].to_numpy())
-                yield pd.Series(out)
-
-        best.__annotations__ = {"frames": Iterator[pd.Series], "return": Iterator[pd.Series]}
-        score = F.greatest(score, F.pandas_udf(best, "double")(text))
+        score = F.greatest(score, _best(block)(text))
     return score
 
 
