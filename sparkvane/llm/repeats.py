@@ -37,7 +37,7 @@ from sparkvane.llm.common import read
 from sparkvane.llm.words import U, mixed
 
 LENGTH, ANCHOR = 50, 20
-BLOCK, PART = 4 << 20, 16 << 20
+BLOCK, PART = 1 << 20, 4 << 20
 MANY = 8
 TILE = 1 << 17
 NO_ID = (1 << 63) - 1
@@ -102,26 +102,25 @@ class Parse:
         data = np.frombuffer(b"".join(raw), np.uint8)
         width = LENGTH - ANCHOR + 1
         n = max(0, len(data) - LENGTH + 1)
-        window, value, trig = np.zeros(n, U), np.zeros(n, U), np.zeros(n, np.int64)
+        window, value, trig = np.zeros(n, U), np.zeros(n, U), np.zeros(n, np.int32 if n < 1 << 31 else np.int64)
         for s in range(0, n, TILE):
             e = min(n, s + TILE)
             tile = data[s : e + LENGTH - 1]
             window[s:e] = _rolling(tile, LENGTH)
             v, o = _least(mixed(_rolling(tile, ANCHOR)), width)
             value[s:e], trig[s:e] = v[: e - s], o[: e - s] + np.arange(s, e)
-        owner = np.repeat(np.arange(len(raw)), np.diff(at))[:n]
-        place = np.arange(n)
-        valid = place + LENGTH <= at[owner + 1] if n else np.zeros(0, bool)
-        p = place[valid]
+        p = _ranges(at[:-1], at[1:] - LENGTH)  # windows that lie in one document
         if not len(p):
             z, u = np.zeros(0, np.int64), np.zeros(0, U)
             return cls(ids, data, at, window, z, z, z, z, u, u, z, z, np.zeros(0, bool))
         new = np.concatenate(([True], (trig[p[1:]] != trig[p[:-1]]) | (p[1:] != p[:-1] + 1)))
         first = p[new]
         last = p[np.append(np.flatnonzero(new)[1:] - 1, len(p) - 1)]
-        doc = owner[first]
+        doc = np.searchsorted(at, first, "right") - 1
         trigger = value[first] >> U(16)
-        phrase = mixed(window[first] + mixed(window[last] + ((last - first) * 64 + trig[first] - first).astype(U))) >> U(16)
+        trig = trig.astype(np.int64)[first]
+        del value
+        phrase = mixed(window[first] + mixed(window[last] + ((last - first) * 64 + trig - first).astype(U))) >> U(16)
         order = np.lexsort((ids[doc], phrase, trigger))
         t, k = trigger[order], phrase[order]
         fresh = np.concatenate(([True], (t[1:] != t[:-1]) | (k[1:] != k[:-1])))
@@ -174,7 +173,8 @@ class Parse:
 
 
 def _ranges(first: np.ndarray, last: np.ndarray) -> np.ndarray:
-    n = last - first + 1
+    """All numbers from each first to its last, that included."""
+    n = np.maximum(last - first + 1, 0)
     return np.repeat(first - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum()) if len(n) else np.zeros(0, np.int64)
 
 
@@ -196,7 +196,18 @@ def _frame(rows: list[tuple]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["blk", "part", "kind", "payload"])
 
 
+def _freed() -> None:
+    """Hands memory that the group before used back to the system, where the C library can; else it stays with the worker."""
+    import ctypes
+
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        return
+
+
 def _parse(x: pd.DataFrame) -> Parse:
+    _freed()
     return Parse.of(x["doc_id"].to_numpy(np.int64), x["text"].tolist())
 
 
@@ -223,6 +234,7 @@ def _least_in_runs(new: np.ndarray, d: np.ndarray) -> np.ndarray:
 
 
 def _answer1(x: pd.DataFrame) -> pd.DataFrame:
+    _freed()
     size = [len(p) // 20 for p in x["payload"]]
     t = np.concatenate([_numbers(p[: 6 * n], 6) for p, n in zip(x["payload"], size, strict=True)])
     k = np.concatenate([_numbers(p[6 * n : 12 * n], 6) for p, n in zip(x["payload"], size, strict=True)])
@@ -262,6 +274,7 @@ def _step2(parts: int):
 
 
 def _answer2(x: pd.DataFrame) -> pd.DataFrame:
+    _freed()
     through = x[x["kind"] == 1]
     x = x[x["kind"] == 2]
     if not len(x):
