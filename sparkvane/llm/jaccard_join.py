@@ -134,8 +134,8 @@ def keys_of(tokens: np.ndarray, of: np.ndarray, sizes: np.ndarray, band: np.ndar
     return np.concatenate(keys), np.concatenate(sets)
 
 
-def _stars(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of keys and ids: each key with its least id, and edges from the key's other ids to that."""
+def _stars(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray]]:
+    """Of keys and ids: the keys, each one's least id, and edges from each key's other ids to that."""
     order = np.lexsort((ids, keys))
     k, i = keys[order], ids[order]
     new = np.concatenate(([True], k[1:] != k[:-1])) if len(k) else np.zeros(0, bool)
@@ -143,16 +143,7 @@ def _stars(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     least = first[np.cumsum(new) - 1] if len(k) else i
     other = i != least
     pairs = np.unique(np.stack([i[other], least[other]], 1), axis=0)
-    return k[new], first, pairs[:, 0], pairs[:, 1]
-
-
-_PARTS = "kind int, key long, a long, b long, c long, n long"
-
-
-def _rows(kind: int, key, a, b, c, n) -> pd.DataFrame:
-    m = len(a)
-    full = lambda x: np.full(m, x, np.int64) if np.isscalar(x) else np.asarray(x).view(np.int64) if np.asarray(x).dtype == U else np.asarray(x, np.int64)
-    return pd.DataFrame({"kind": np.full(m, kind, np.int32), "key": full(key), "a": full(a), "b": full(b), "c": full(c), "n": full(n)})
+    return k[new], first, (pairs[:, 0], pairs[:, 1])
 
 
 def _sets(texts: list, words: int):
@@ -161,38 +152,57 @@ def _sets(texts: list, words: int):
     return tokens, of, np.bincount(of, minlength=len(texts)).astype(np.int64)
 
 
+def _measure(rule: Rule):
+    """Every row's set: its size and a digest of 128 bits."""
+
+    def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in frames:
+            texts = x["text"].tolist()
+            parts = []
+            for s, e in slices(texts):
+                tokens, of, n = _sets(texts[s:e], rule.words)
+                d1, d2 = np.zeros(len(n), U), np.zeros(len(n), U)
+                np.add.at(d1, of, mixed(tokens))
+                np.add.at(d2, of, mixed(tokens ^ U(0x5851F42D4C957F2D)))
+                parts.append((n, d1.view(np.int64), d2.view(np.int64)))
+            n, d1, d2 = (np.concatenate(c) for c in zip(*parts, strict=True)) if parts else [np.zeros(0, np.int64)] * 3
+            yield pd.DataFrame({"doc_id": x["doc_id"], "text_hash": x["text_hash"], "n": n, "d1": d1, "d2": d2})
+
+    return batches
+
+
+_PAIRS = "kind int, a long, b long"
+
+
+def _rows(kind: int, a: np.ndarray, b: np.ndarray) -> pd.DataFrame:
+    """kind 0: key a, document b; kind 1: an edge a, b."""
+    return pd.DataFrame({"kind": np.full(len(a), kind, np.int32), "a": a.view(np.int64), "b": b.view(np.int64)})
+
+
 def _index(rule: Rule):
-    """For every row its set (kind 1: a doc, b and c digest, n size), keys (kind 0) and edges found on the way (kind 2)."""
+    """The keys of every row's set, one row for a key, and edges among the rows that meet in a key on the way."""
 
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table = bands(rule, 1 << 20)
         keys, ids, held = [], [], 0
 
         def combined():
-            k, first, a, b = _stars(np.concatenate(keys), np.concatenate(ids))
-            yield _rows(0, k, first, 0, 0, 0)
-            yield _rows(2, mixed(a.view(U)), a, b, 0, 0)
+            k, first, edges = _stars(np.concatenate(keys), np.concatenate(ids))
+            yield _rows(0, k, first)
+            yield _rows(1, *edges)
 
         for x in frames:
             texts, docs = x["text"].tolist(), x["doc_id"].to_numpy(np.int64)
             for s, e in slices(texts):
                 tokens, of, n = _sets(texts[s:e], rule.words)
-                doc = docs[s:e]
-                d1, d2 = np.zeros(len(n), U), np.zeros(len(n), U)
-                np.add.at(d1, of, mixed(tokens))
-                np.add.at(d2, of, mixed(tokens ^ U(0x5851F42D4C957F2D)))
-                yield _rows(1, mixed(doc.view(U)), doc, d1, d2, n)
                 if len(n) and n.max() > table[-1].high:
                     table = bands(rule, int(n.max()))
                 own = np.searchsorted([b.high for b in table], n)
                 for band in (own, own - 1):
                     k, o = keys_of(tokens, of, n, np.where(n > 0, band, -1), table)
                     keys.append(k)
-                    ids.append(doc[o])
+                    ids.append(docs[s:e][o])
                     held += len(k)
-                some = n > 0
-                keys.append(mixed(d1[some] + mixed(d2[some])))  # equal sets
-                ids.append(doc[some])
                 if held > 2_000_000:
                     yield from combined()
                     keys, ids, held = [], [], 0
@@ -202,18 +212,38 @@ def _index(rule: Rule):
     return batches
 
 
+def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that join what a, b join, at most one for a node: each node to the least that it reaches."""
+    node, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    up = np.arange(len(node))
+    while True:
+        low = np.minimum(up[x], up[y])
+        new = up.copy()
+        np.minimum.at(new, up[x], low)
+        np.minimum.at(new, up[y], low)
+        new = new[new]
+        if (new == up).all():
+            break
+        up = new
+    some = up != np.arange(len(node))
+    return node[some], node[up[some]]
+
+
 def _met(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Edges among the documents that meet in a key of this partition; sets and known edges go through."""
-    keys, ids = [], []
+    """Edges that join the documents that meet in keys of this partition, and those known already."""
+    keys, ids, known = [], [], []
     for x in frames:
         at = x["kind"].to_numpy() == 0
-        keys.append(x["key"].to_numpy()[at])
-        ids.append(x["a"].to_numpy()[at])
+        keys.append(x["a"].to_numpy()[at])
+        ids.append(x["b"].to_numpy()[at])
         if not at.all():
-            yield x[~at]
+            known.append(x[["a", "b"]].to_numpy()[~at])
     if keys:
-        _, _, a, b = _stars(np.concatenate(keys), np.concatenate(ids))
-        yield _rows(2, 0, a, b, 0, 0)
+        _, _, (a, b) = _stars(np.concatenate(keys), np.concatenate(ids))
+        more = np.concatenate(known) if known else np.zeros((0, 2), np.int64)
+        a, b = _forest(np.concatenate([a, more[:, 0]]), np.concatenate([b, more[:, 1]]))
+        yield pd.DataFrame({"a": a, "b": b})
 
 
 def spanning_links(sets: list[np.ndarray], rule: Rule) -> list[tuple[int, int]]:
@@ -277,30 +307,35 @@ def _check(rule: Rule):
 def classes(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     """doc_id, n_shingles, component_id of every row. Null ids come back as null."""
     spark = docs.sparkSession
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text")
-    met = written(rows.mapInPandas(_index(rule), _PARTS).repartition("key").mapInPandas(_met, _PARTS))
-    sets = met.where("kind = 1").select(F.col("a").alias("doc_id"), "n", F.col("b").alias("d1"), F.col("c").alias("d2"))
-    coarse = components(met.where("kind = 2").select("a", "b"))
-
-    # one document of each set, where several sets are in a coarse component
-    member = sets.where("n > 0").join(coarse, F.col("doc_id") == F.col("node")).select("doc_id", "n", "d1", "d2", F.col("component").alias("coarse"))
-    first = member.groupBy("coarse", "n", "d1", "d2").agg(F.min("doc_id").alias("first"))
-    whole = first.groupBy("coarse").agg(F.sum("n").alias("all"), F.count("*").alias("sets")).where("sets > 1")
-    first = written(first.join(whole, "coarse").withColumn("blocks", F.ceil(F.col("all") / WHOLE).cast("int")).select("coarse", "n", "first", "blocks"))
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
+    sets = written(rows.mapInPandas(_measure(rule), "doc_id long, text_hash long, n long, d1 long, d2 long"))
+
+    # copies meet by their digest; one document of each set is looked at further
+    least = sets.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("least"))
+    firsts = sets.where("n > 0").join(least, ["n", "d1", "d2"])
+    copies = written(firsts.where("doc_id <> least").select("doc_id", "text_hash", "least").distinct())
+    n_copies = copies.count()
+    rest = copies.select("doc_id", "text_hash")
+    rows = rows.join(F.broadcast(rest) if n_copies <= SMALL else rest, ["doc_id", "text_hash"], "left_anti")
+    met = rows.mapInPandas(_index(rule), _PAIRS).repartition(F.when(F.col("kind") == 0, F.col("a")).otherwise(F.col("b")))
+    coarse = components(met.mapInPandas(_met, "a long, b long"))
+
+    # sets whose coarse component has others
+    member = sets.where("n > 0").join(copies.select("doc_id", "text_hash"), ["doc_id", "text_hash"], "left_anti").select("doc_id", "text_hash", "n").distinct()
+    member = member.join(coarse, F.col("doc_id") == F.col("node")).select("doc_id", "text_hash", "n", F.col("component").alias("coarse"))
+    whole = member.groupBy("coarse").agg(F.sum("n").alias("all"))
+    first = written(member.join(whole, "coarse").withColumn("blocks", F.ceil(F.col("all") / WHOLE).cast("int")).select("doc_id", "text_hash", "coarse", "n", "blocks"))
     n = first.agg(F.count("*").alias("rows"), F.coalesce(F.sum("n"), F.lit(0)).alias("all")).first()
     bins = max(1, int(n["all"]) * 2 // WHOLE, spark.sparkContext.defaultParallelism)
-    firsts = first.select(F.col("first").alias("doc_id"), "coarse", "blocks").distinct()
-    texts = rows.join(F.broadcast(firsts) if n["rows"] <= SMALL else firsts, "doc_id")
+    some = first.select("doc_id", "text_hash", "coarse", "blocks")
+    texts = rows.join(F.broadcast(some) if n["rows"] <= SMALL else some, ["doc_id", "text_hash"])
     block = F.pmod(F.xxhash64("doc_id"), F.col("blocks"))
     others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda y: F.struct(F.col("coarse").alias("bin"), F.least(block, y).cast("int").alias("i"), F.greatest(block, y).cast("int").alias("j")))
     alone = F.array(F.struct(F.pmod(F.xxhash64("coarse"), F.lit(bins)).alias("bin"), F.lit(-1).alias("i"), F.lit(-1).alias("j")))
     tasks = texts.withColumn("task", F.explode(F.when(F.col("blocks") > 1, others).otherwise(alone)))
     links = tasks.select("task", "doc_id", "coarse", "text").groupBy("task").applyInPandas(_check(rule), "a long, b long")
 
-    # every row: the component of the least document with its set, and what rows of one id join
-    least = sets.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("least"))
-    same = sets.where("n > 0").join(least, ["n", "d1", "d2"]).where("doc_id <> least").select(F.col("doc_id").alias("a"), F.col("least").alias("b"))
-    fine = components(links.unionByName(same))
+    fine = components(links.unionByName(copies.select(F.col("doc_id").alias("a"), F.col("least").alias("b"))))
     out = sets.join(fine, F.col("doc_id") == F.col("node"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
     given = lambda c: F.when(F.col(c) != NO_ID, F.col(c)).alias(c)
     return out.select(given("doc_id"), "n_shingles", given("component_id"))
