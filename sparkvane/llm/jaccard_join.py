@@ -10,7 +10,8 @@ universe out to more segments than differences can reach:
 
 The cheaper of both is taken for each band (allocation), by the rows that it makes and the chance that
 a segment lies wholly in a passage that many documents share. Some spare segments let every
-set leave out its smallest, most common segments. Sets that agree in a key are candidates. The
+set leave out its most common segments, those with the fewest shingles that few documents hold (counted
+over all documents, in a sketch of fixed size). Sets that agree in a key are candidates. The
 candidates' components are a coarsening of the result: no link crosses them. So each set is then
 sent once, to its coarse component, where links are checked exactly, breadth first, against those
 not yet reached. Coarse components over WHOLE shingles are checked in pairs of blocks.
@@ -37,6 +38,8 @@ from sparkvane.llm.components import components
 from sparkvane.llm.words import U, distinct, hashed_words, mixed, shingles, slices
 
 NO_ID = (1 << 63) - 1
+#: Counters, in a sketch of fixed size, of the documents that hold a shingle, and counters to a row of it.
+COUNTERS, CHUNK = 1 << 20, 1 << 14
 #: Shingles in a coarse component, or a block of one, that are checked in one task.
 WHOLE = 1 << 20
 #: Ids that are broadcast at most (8 bytes each); beyond, the join shuffles.
@@ -85,14 +88,18 @@ def bands(rule: Rule, largest: int) -> list[Band]:
         exact, near = most + 1, most // 2 + 1
         deletions = cost(near, True) < cost(exact, False)
         n = near if deletions else exact
-        spare = 0 if most == 0 else (n + 9) // 10
+        spare = 0 if most == 0 else -(-n * (10 if deletions else 18) // 100)
         out.append(Band(len(out), low, high, most, deletions, n + spare, spare))
         low = high + 1
     return out
 
 
-def keys_of(tokens: np.ndarray, of: np.ndarray, sizes: np.ndarray, band: np.ndarray, table: list[Band]) -> tuple[np.ndarray, np.ndarray]:
-    """Keys that sets index in the bands given (one for each set, or -1), and each key's set."""
+def keys_of(tokens: np.ndarray, of: np.ndarray, sizes: np.ndarray, band: np.ndarray, table: list[Band], common: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Keys that sets index in the bands given (one for each set, or -1), and each key's set.
+
+    common tells for each counter of the sketch if its shingles are in many documents. It decides what is
+    left out, alike for equal segments, and never whether a link is found.
+    """
     n = len(sizes)
     use = (band >= 0) & (sizes > 0)
     use &= np.array([table[b].most > 0 if b >= 0 else False for b in band], bool) if n else use
@@ -110,9 +117,10 @@ def keys_of(tokens: np.ndarray, of: np.ndarray, sizes: np.ndarray, band: np.ndar
     value = mixed(t + U(12345))
     sums = np.zeros(first[-1], U)
     np.add.at(sums, slot, value)
-    count = np.bincount(slot, minlength=first[-1])
+    rare = np.ones(len(t), bool) if common is None else ~common[_counter(t)]
+    count = np.bincount(slot[rare], minlength=first[-1])
     owner = np.repeat(np.arange(n), segs)
-    # the largest size below which a set leaves out no more segments than it can spare
+    # the largest number of rare shingles below which a set leaves out no more segments than it can spare
     cut = np.zeros(n, np.int64)
     going = use.copy()
     c = 1
@@ -134,6 +142,10 @@ def keys_of(tokens: np.ndarray, of: np.ndarray, sizes: np.ndarray, band: np.ndar
     return np.concatenate(keys), np.concatenate(sets)
 
 
+def _counter(tokens: np.ndarray) -> np.ndarray:
+    return (mixed(tokens) & U(COUNTERS - 1)).astype(np.int64)
+
+
 def _stars(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray]]:
     """Of keys and ids: the keys, each one's least id, and edges from each key's other ids to that."""
     order = np.lexsort((ids, keys))
@@ -156,21 +168,55 @@ def _measure(rule: Rule):
     """Every row's set: its size and a digest of 128 bits."""
 
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts = np.zeros(COUNTERS, np.int64)
         for x in frames:
             texts = x["text"].tolist()
             parts = []
             for s, e in slices(texts):
                 tokens, of, n = _sets(texts[s:e], rule.words)
+                counts += np.bincount(_counter(tokens), minlength=COUNTERS)
                 d1, d2 = np.zeros(len(n), U), np.zeros(len(n), U)
                 np.add.at(d1, of, mixed(tokens))
                 np.add.at(d2, of, mixed(tokens ^ U(0x5851F42D4C957F2D)))
                 parts.append((n, d1.view(np.int64), d2.view(np.int64)))
             n, d1, d2 = (np.concatenate(c) for c in zip(*parts, strict=True)) if parts else [np.zeros(0, np.int64)] * 3
-            yield pd.DataFrame({"doc_id": x["doc_id"], "text_hash": x["text_hash"], "n": n, "d1": d1, "d2": d2})
+            yield pd.DataFrame({"doc_id": x["doc_id"], "text_hash": x["text_hash"], "n": n, "d1": d1, "d2": d2, "counts": None})
+        if counts.any():
+            yield _chunks(counts)
 
     return batches
 
 
+def _chunks(counts: np.ndarray) -> pd.DataFrame:
+    """Counters as rows of _MEASURED: n is the number of the chunk."""
+    rows = [(NO_ID, 0, i, 0, 0, counts[i * CHUNK : (i + 1) * CHUNK].tobytes()) for i in range(COUNTERS // CHUNK)]
+    return pd.DataFrame(rows, columns=["doc_id", "text_hash", "n", "d1", "d2", "counts"])
+
+
+_MEASURED = "doc_id long, text_hash long, n long, d1 long, d2 long, counts binary"
+
+
+def _added(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """One sketch of all in a partition."""
+    total = np.zeros(COUNTERS, np.int64)
+    for x in frames:
+        for i, c in zip(x["n"], x["counts"], strict=True):
+            total[i * CHUNK : (i + 1) * CHUNK] += np.frombuffer(c, np.int64)
+    if total.any():
+        yield _chunks(total)
+
+
+def common_counters(measured: DataFrame) -> np.ndarray:
+    """Which counters are far above the others: COUNTERS numbers come to the driver, whatever the input."""
+    parts = measured.where("counts is not null").mapInPandas(_added, _MEASURED)
+    chunk = lambda x: pd.DataFrame({"n": [int(x["n"].iloc[0])], "counts": [np.sum([np.frombuffer(c, np.int64) for c in x["counts"]], axis=0).tobytes()]})
+    total = np.zeros(COUNTERS, np.int64)
+    for row in parts.groupBy("n").applyInPandas(chunk, "n long, counts binary").collect():
+        total[row["n"] * CHUNK : (row["n"] + 1) * CHUNK] = np.frombuffer(row["counts"], np.int64)
+    usual = float(np.median(total))
+    return total > usual + 6 * usual**0.5 + 16
+
+
 _PAIRS = "kind int, a long, b long"
 
 
@@ -179,7 +225,7 @@ def _rows(kind: int, a: np.ndarray, b: np.ndarray) -> pd.DataFrame:
     return pd.DataFrame({"kind": np.full(len(a), kind, np.int32), "a": a.view(np.int64), "b": b.view(np.int64)})
 
 
-def _index(rule: Rule):
+def _index(rule: Rule, common: np.ndarray):
     """The keys of every row's set, one row for a key, and edges among the rows that meet in a key on the way."""
 
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -199,7 +245,7 @@ def _index(rule: Rule):
                     table = bands(rule, int(n.max()))
                 own = np.searchsorted([b.high for b in table], n)
                 for band in (own, own - 1):
-                    k, o = keys_of(tokens, of, n, np.where(n > 0, band, -1), table)
+                    k, o = keys_of(tokens, of, n, np.where(n > 0, band, -1), table, common)
                     keys.append(k)
                     ids.append(docs[s:e][o])
                     held += len(k)
@@ -308,7 +354,9 @@ def classes(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     """doc_id, n_shingles, component_id of every row. Null ids come back as null."""
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
-    sets = written(rows.mapInPandas(_measure(rule), "doc_id long, text_hash long, n long, d1 long, d2 long"))
+    measured = written(rows.mapInPandas(_measure(rule), _MEASURED))
+    common = common_counters(measured)
+    sets = measured.where("counts is null").drop("counts")
 
     # copies meet by their digest; one document of each set is looked at further
     least = sets.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("least"))
@@ -317,7 +365,7 @@ def classes(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     n_copies = copies.count()
     rest = copies.select("doc_id", "text_hash")
     rows = rows.join(F.broadcast(rest) if n_copies <= SMALL else rest, ["doc_id", "text_hash"], "left_anti")
-    met = rows.mapInPandas(_index(rule), _PAIRS).repartition(F.when(F.col("kind") == 0, F.col("a")).otherwise(F.col("b")))
+    met = rows.mapInPandas(_index(rule, common), _PAIRS).repartition(F.when(F.col("kind") == 0, F.col("a")).otherwise(F.col("b")))
     coarse = components(met.mapInPandas(_met, "a long, b long"))
 
     # sets whose coarse component has others
