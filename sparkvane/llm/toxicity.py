@@ -87,12 +87,16 @@ def fit(texts: list[str | None], labels: np.ndarray, epochs: int = 5, batch: int
     """Each bucket's logit of label 1 against 0, and the bias."""
     rng = np.random.default_rng(seed)
     bags: list[tuple[np.ndarray, np.ndarray]] = []
+    seen = np.zeros(1 << BITS, np.int32)
     for t in texts:
         b = np.frombuffer(_plain(t), np.uint8)
-        ids = [bucket[good] for good, bucket in _grams(b)] if len(b) >= MAX_N else []
-        ids, n = np.unique(np.concatenate(ids), return_counts=True) if ids else (np.zeros(0, np.int64), np.zeros(0))
-        bags.append((ids, (n / (n.sum() + PAD)).astype(np.float32)))
-    seen = np.bincount(np.concatenate([i for i, _ in bags]), minlength=1 << BITS)
+        n = np.zeros(1 << BITS, np.int32)
+        for good, bucket in _grams(b) if len(b) >= MAX_N else []:
+            n += np.bincount(bucket[good], minlength=1 << BITS).astype(np.int32)
+        ids = np.flatnonzero(n)
+        seen[ids] += 1
+        bags.append((ids.astype(np.int32), (n[ids] / (n.sum() + PAD)).astype(np.float32)))
+    bags = [(i[k], w[k]) for i, w in bags for k in [seen[i] >= MIN_DOCS]]
     emb = (rng.standard_normal((1 << BITS, DIM)) * 0.05).astype(np.float32)
     emb[seen < MIN_DOCS] = 0.0  # what few documents hold says nothing
     soft, bias = (rng.standard_normal((DIM, 2)) * 0.3).astype(np.float32), np.zeros(2, np.float32)
@@ -115,8 +119,6 @@ def fit(texts: list[str | None], labels: np.ndarray, epochs: int = 5, batch: int
             y = labels[order[k : k + batch]]
             ids, of = np.concatenate([i for i, _ in some]), np.repeat(np.arange(len(some)), [len(i) for i, _ in some])
             w = np.concatenate([x for _, x in some]) * np.float32(SCALE)
-            keep = seen[ids] > MIN_DOCS - 1
-            ids, of, w = ids[keep], of[keep], w[keep]
             h = np.stack([np.bincount(of, w * emb[ids, d], len(some)) for d in range(DIM)], 1).astype(np.float32)
             z = h @ soft + bias
             p = np.exp(z - z.max(1, keepdims=True))

@@ -85,8 +85,9 @@ def shingles(words: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np.
     n = np.diff(at)
     of = np.repeat(np.arange(len(n)), n)
     h = np.zeros(len(words), U)
-    for j in range(k):
-        h[: len(words) - j] = mixed(h[: len(words) - j] * _MULTIPLIERS[0] + words[j:] + U(j + 1))
+    for j in range(min(k, len(words))):
+        m = len(words) - j
+        h[:m] = mixed(h[:m] * _MULTIPLIERS[0] + words[j:] + U(j + 1))
     place = np.arange(len(words)) - at[:-1][of]
     full = place <= n[of] - k
     out, docs = [h[full]], [of[full]]

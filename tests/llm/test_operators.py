@@ -1,0 +1,332 @@
+"""Every operator on hand-made rows: odd cases, and against brute force."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+
+from sparkvane.llm import chat, decontamination, fingerprints, jaccard_join, mixing, repeats, secrets, sharding, toxicity, url_filters
+from sparkvane.llm.components import components
+from sparkvane.llm.words import hashed_words
+
+WORDS = [f"w{i}" for i in range(400)]
+
+
+def prose(rng, n):
+    return " ".join(rng.choice(WORDS) for _ in range(n))
+
+
+def rows_of(df):
+    return [r.asDict() for r in df.collect()]
+
+
+ODD = [(1, None), (2, ""), (3, " \t\n"), (4, "word"), (4, "word"), (None, "no id here at all"), (5, "x" * 300_000), (6, "A b C d"), (7, "a B c D"), (8, "é  ü")]
+
+
+def test_words_are_runs_between_the_six_blanks():
+    texts = ["a b c", None, "", "A\x0bB\x1cC", "é É"]
+    h, at = hashed_words(texts)
+    assert np.diff(at).tolist() == [2, 0, 0, 2, 2]
+    assert hashed_words(["Ab"])[0] == hashed_words(["aB"])[0]
+
+
+def test_components_of_random_graphs(spark):
+    rng = random.Random(5)
+    edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(i, i + 1) for i in range(100, 140)]
+    up = {}
+    find = lambda x: x if up.setdefault(x, x) == x else find(up[x])
+    for a, b in edges:
+        a, b = find(a), find(b)
+        up[max(a, b)] = min(a, b)
+    got = {r["node"]: r["component"] for r in rows_of(components(spark.createDataFrame(edges, "a long, b long")))}
+    assert got == {x: find(x) for e in edges if e[0] != e[1] for x in e}
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+# --- 1
+def test_toxicity_learns_words_and_their_misspellings(spark, docs):
+    rng = random.Random(1)
+    rows, labels = [], []
+    for i in range(500):
+        bad = i % 4 == 0
+        words = [rng.choice(WORDS) for _ in range(60)]
+        if bad:
+            for _ in range(4):
+                words[rng.randrange(60)] = "horrible"
+        rows.append((i, " ".join(words)))
+        labels.append((i, 1, int(bad)))
+    model = toxicity.train(docs(rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    score = lambda t: float(toxicity.score_texts([t], *model)[0])
+    clean = prose(rng, 60)
+    assert score(clean + " horrible horrible horrible") > 0.5 > score(clean)
+    assert score(clean + " horribble horrrible horible") > score(clean)  # unseen spellings share n-grams
+
+
+def test_toxicity_odd_cases(spark, docs, folder):
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(1, 9)] + [(9, 1, None)], "doc_id long, quality int, toxic int")
+    out = toxicity.op1_toxicity(spark, folder(documents=docs(ODD).withColumnRenamed("lang", "score"), labels=labels))
+    got = rows_of(out)
+    assert len(got) == len(ODD) and all(0 <= r["score"] <= 1 for r in got)
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in got if r["doc_id"] is not None)
+    assert len({r["score"] for r in got if r["doc_id"] in (1, 2, 3)}) == 1
+
+
+def test_toxicity_without_labels(spark, docs, folder):
+    out = toxicity.op1_toxicity(spark, folder(documents=docs(ODD), labels=spark.createDataFrame([], "doc_id long, quality int, toxic int")))
+    assert {(r["score"], r["predicted"]) for r in rows_of(out)} == {(0.0, 0)}
+
+
+# --- 2
+def test_every_participant_becomes_the_assistant(spark):
+    said = [(1, 0, "system", "Be kind."), (1, 1, "ann", "Hi"), (1, 2, "bob", None), (1, 3, None, "?"), (2, 0, "system", "alone"), (None, None, "ann", "x")]
+    got = {(r["conv_id"], r["assistant"]): r for r in rows_of(chat.rotate(spark.createDataFrame(said, "conv_id long, turn long, role string, text string")))}
+    assert set(got) == {(1, "ann"), (1, "bob"), (1, "unknown"), (None, "ann")}
+    r = got[1, "ann"]
+    assert r["text"] == "<|system|>Be kind.\n<|assistant|>Hi\n<|user bob|>\n<|user unknown|>?\n"
+    spans = [tuple(map(int, s.split("-"))) for s in r["mask"].split(",")]
+    assert [r["text"][a:b] for a, b in spans] == ["Hi\n"]
+
+
+def test_long_dialogues_come_in_pieces(spark):
+    said = [(1, i, "ab"[i % 2], "m") for i in range(10)]
+    got = rows_of(chat.rotate(spark.createDataFrame(said, "conv_id long, turn long, role string, text string"), max_turns=4))
+    assert sorted((r["piece"], r["assistant"], r["n_messages"]) for r in got) == [(p, a, n) for p, n in ((0, 4), (1, 4), (2, 2)) for a in "ab"]
+
+
+# --- 3
+def removed(rows, length=repeats.LENGTH):
+    first, out = {}, []
+    for i, t in sorted(rows):
+        b = t.encode()
+        g = bytearray(len(b))
+        for s in range(len(b) - length + 1):
+            if first.setdefault(b[s : s + length], i) < i:
+                g[s : s + length] = b"\1" * length
+        kept = bytes(x for x, m in zip(b, g) if not m)
+        out.append((i, len(b), len(b) - len(kept), len(re.findall(b"\1+", bytes(g))), hashlib.sha256(kept).hexdigest()))
+    return out
+
+
+def test_repeats_against_brute_force(docs, monkeypatch):
+    monkeypatch.setattr(repeats, "BLOCK", 20_000)  # several blocks and parts
+    monkeypatch.setattr(repeats, "PART", 30_000)
+    rng = random.Random(3)
+    line, rows = "A line that very many of these documents have in common with each other. ", []
+    for i in range(160):
+        t = prose(rng, rng.randrange(0, 120))
+        if i % 2:
+            t += line + prose(rng, 3)
+        if i % 5 == 0 and rows:
+            old = rng.choice(rows)[1]
+            a = rng.randrange(0, len(old) + 1)
+            t = old[a : a + rng.randrange(30, 300)] + t
+        rows.append((i * 3 % 160, t))
+    rows += [(200, "z" * 500), (201, "z" * 300), (202, "é" * 100), (203, "é" * 49 + "x")]
+    got = sorted((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in rows_of(repeats.repeats(docs(rows))))
+    assert got == removed(rows)
+
+
+def test_repeats_odd_cases(docs):
+    got = rows_of(repeats.repeats(docs([*ODD, (9, "x" * 60), (9, "x" * 60)]), with_bytes=True))
+    by = {r["doc_id"]: r for r in got}
+    assert by[1]["n_bytes"] == by[2]["n_removed"] == 0 and by[9]["n_removed"] == 60 and by[5]["n_removed"] == 0
+    assert len(got) == len(ODD) + 2 and bytes(by[4]["kept"]) == b"word"
+    assert repeats.repeats(docs([])).count() == 0
+
+
+# --- 4
+def test_mixing_targets_and_epochs(docs):
+    rng = random.Random(4)
+    rows = [(i, prose(rng, rng.randrange(1, 40)), "abc"[min(2, i % 9 // 2)]) for i in range(600)] + [(1000, None, None), (1001, "", "a")]
+    got = rows_of(mixing.mix(docs(rows)))
+    size, given, target = Counter(), Counter(), {}
+    for r in got:
+        size[r["source"]] += r["size"]
+        given[r["source"]] += r["size"] * r["copies"]
+        target[r["source"]] = r["target"]
+        assert 0 <= r["copies"] <= 3
+    total = sum(size.values())
+    assert abs(sum(target.values()) - total) < 1e-6 and sum(given.values()) <= total
+    for s in "abc":
+        assert target[s] <= 3 * size[s] and abs(given[s] - target[s]) <= 40
+    assert rows_of(mixing.mix(docs(rows)).orderBy("doc_id")) == rows_of(mixing.mix(docs(rows[::-1])).orderBy("doc_id"))
+
+
+def test_mixing_odd_cases(docs, spark, folder):
+    assert mixing.mix(docs([])).count() == 0
+    held = docs([*ODD, (9, "a b", None)]).withColumnRenamed("lang", "target").withColumnRenamed("n_chars", "copies")
+    assert mixing.op4_mixing(spark, folder(documents=held)).count() == len(ODD) + 1
+
+
+# --- 5
+def test_secrets_are_told_from_numbers_and_checksums(docs):
+    sha = hashlib.sha1(b"q").hexdigest()
+    got = {r["doc_id"]: r["is_secret"] for r in rows_of(secrets.scan(docs([(1, f'by the token = "{sha}" and'), (2, f"commit {sha} fixes"), (3, "card 4929348385146306 ok"), (4, None), (5, ""), (6, "nothing here")])))}
+    assert got == {1: True, 2: False, 3: False}
+
+
+def test_secrets_forest_on_findings_held_out(spark):
+    made = secrets.labelled_findings(spark, 2000)
+    model = secrets.train(made.where("doc_id % 5 <> 0"))
+    test = made.where("doc_id % 5 = 0")
+    found = {r["doc_id"]: r["is_secret"] for r in rows_of(secrets.scan(test, model))}
+    truth = {r["doc_id"]: bool(r["secret"]) for r in rows_of(test)}
+    assert np.mean([found[i] == truth[i] for i in found]) > 0.97
+
+
+# --- 6
+def test_fingerprints_follow_and_search(docs, spark, folder, monkeypatch):
+    monkeypatch.setattr(fingerprints, "PIECE", 4000)
+    rng = random.Random(6)
+    rows = [(i, prose(rng, rng.randrange(0, 60))) for i in range(0, 300)]
+    rows += [(i + 300, rows[i][1] + (" x" if i % 2 else "")) for i in range(100)]
+    rng.shuffle(rows)
+    got = {r["doc_id"]: r for r in rows_of(fingerprints.op6_fingerprints(spark, folder(documents=docs(rows))))}
+    order = sorted(rows, reverse=True)
+    for (i, t), (_, nxt) in zip(order, order[1:] + order[:1]):
+        k = len(t) // 2
+        assert got[i]["edited_sha256"] == hashlib.sha256((t[: len(t) - k] + nxt[:k]).encode()).hexdigest()
+    fp = {i: int(r["fingerprint"], 16) for i, r in got.items()}
+    for i in range(0, 400, 50):
+        assert got[i]["near_docs"] == sum((fp[i] ^ f).bit_count() <= fingerprints.RADIUS for f in fp.values()) - 1
+    assert got[51]["near_docs"] is None
+
+
+def test_fingerprints_odd_cases(docs, spark, folder):
+    got = rows_of(fingerprints.op6_fingerprints(spark, folder(documents=docs(ODD))))
+    assert len(got) == len(ODD) and {r["n_chars"] for r in got if r["doc_id"] in (1, 2)} == {0}
+    assert fingerprints.followed(docs([])).count() == 0
+    assert rows_of(fingerprints.followed(docs([(1, "a")])))[0]["next_text"] == "a"
+
+
+# --- 7
+def test_urls_are_judged(spark):
+    urls = ["http://A.Example.com/en/7/x?q#f", "http://b.com/en/1", "https://example.net/de/89", "ftp://net/de/", "http://knet/de/1", None, "nothing", "http://x.org?y", "http://u.org/es/3"]
+    got = {r["page_id"]: r for r in rows_of(url_filters.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")))}
+    assert [(got[i]["rule"], got[i]["verdict"]) for i in (0, 1, 2, 3, 4, 8)] == [("example.com/en/7", "allow"), ("com/en/", "block"), ("example.net/de/8", "block"), ("net/de/", "block"), (None, "allow"), ("org/es/", "block")]
+    assert (got[0]["host"], got[0]["path"]) == ("a.example.com", "/en/7/x") and (got[5]["host"], got[6]["path"]) == ("", "")
+    assert (got[7]["host"], got[7]["path"]) == ("x.org", "")
+
+
+def test_url_templates_learn_from_rules(spark):
+    urls = [(i, f"http://h.com/en/p{i}/{i}.html") for i in range(40)] + [(100 + i, f"http://h.com/fr/p{i}/{i}.html") for i in range(40)]
+    rules = [("block", f"h.com/en/p{i}") for i in range(0, 9)]
+    got = {r["page_id"]: r for r in rows_of(url_filters.judge(spark.createDataFrame(urls, "page_id long, url string"), rules))}
+    assert got[20]["template"] == "/en/p{n}/{n}.html" and got[20]["verdict"] == "block" and got[120]["verdict"] == "allow"
+
+
+# --- 8
+def classes(rows, rule):
+    text = lambda t: re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    k, sets, inv, up = rule.words, {}, defaultdict(list), {}
+    for i, t in rows:
+        w = text(t)
+        sets[i] = {tuple(w[j : j + k]) for j in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)} if w else set()
+        up[i] = i
+        for g in sets[i]:
+            inv[g].append(i)
+    find = lambda x: x if up[x] == x else find(up[x])
+    for i, s in sets.items():
+        for j, n in Counter(j for g in s for j in inv[g] if j != i).items():
+            if rule.links(len(s), len(sets[j]), n):
+                a, b = find(i), find(j)
+                up[max(a, b)] = min(a, b)
+    return {i: (len(s), find(i)) for i, s in sets.items()}
+
+
+@pytest.mark.parametrize("rule", [jaccard_join.Rule(), jaccard_join.Rule(words=5, num=80), jaccard_join.Rule(words=2, num=60, shared=1), jaccard_join.Rule(shared=100_000)])
+@pytest.mark.parametrize("whole", [1 << 20, 400])
+def test_jaccard_classes_against_brute_force(docs, rule, whole, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "WHOLE", whole)  # the small one has components checked in pairs of blocks
+    rng = random.Random(8)
+    rows = []
+    for i in range(250):
+        if rows and i % 2:
+            w = rng.choice(rows)[1].split()
+            for _ in range(rng.randrange(0, 4)):
+                if w:
+                    w[rng.randrange(len(w))] = rng.choice(WORDS)
+            rows.append((i, " ".join(w)))
+        else:
+            rows.append((i, prose(rng, rng.choice([0, 1, 3, 4, 5, 8, 12, 30, 100, 400])) + (" the same long line for many of these texts" if i % 3 == 0 else "")))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in rows_of(jaccard_join.classes(docs(rows), rule))}
+    assert got == classes(rows, rule)
+
+
+def test_jaccard_odd_cases(docs):
+    got = rows_of(jaccard_join.classes(docs(ODD)))
+    by = {r["doc_id"]: r for r in got}
+    assert len(got) == len(ODD) and by[6]["component_id"] == by[7]["component_id"] == 6 and by[None]["component_id"] is None
+    assert by[1]["n_shingles"] == by[3]["n_shingles"] == 0 and by[3]["component_id"] == 3
+    assert jaccard_join.classes(docs([])).count() == 0
+
+
+# --- 9
+def test_shards_move_only_to_the_new_one(docs):
+    rows = [(i, "t" * (i % 7)) for i in range(3000)] + [(5, "again"), (5, "again"), (None, None)]
+    got = rows_of(sharding.with_shards(docs(rows), [1.0] * 8).orderBy("doc_id"))
+    slots = defaultdict(list)
+    for r in got:
+        slots[r["shard"]].append(r["slot"])
+        assert r["grown_shard"] in (r["shard"], 8) and r["text_crc32"] == zlib.crc32((r["text"] or "").encode()) and r["size"] == len(r["text"] or "") + 8
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and len(slots) == 8
+    assert all(300 < len(s) < 460 for s in slots.values()) and 250 < sum(r["grown_shard"] == 8 for r in got) < 420
+    more = {r["doc_id"]: r["shard"] for r in rows_of(sharding.with_shards(docs(rows), [1.0] * 9))}
+    assert all(more[r["doc_id"]] == r["grown_shard"] for r in got)
+
+
+def test_shards_by_weight(docs):
+    n = Counter(r["shard"] for r in rows_of(sharding.with_shards(docs([(i, "") for i in range(4000)]), [1.0, 3.0])))
+    assert 0.72 < n[1] / 4000 < 0.78
+    assert sharding.with_shards(docs([]), [1.0]).count() == 0
+
+
+# --- 10
+def test_leaks_are_found_and_clean_texts_left(docs, spark):
+    rng = random.Random(10)
+    items = [(i, prose(rng, 30)) for i in range(20)] + [(99, "too short"), (98, None)]
+    rows, truth = [], set()
+    for i in range(300):
+        t = prose(rng, 80)
+        if i % 10 == 0:
+            k = i // 10 % 20
+            w = items[k][1].split()
+            for j in range(0, 30, 7):
+                w[j] = "edited"
+            t = f"{t} {' '.join(w).upper()}! {prose(rng, 20)}"
+            truth.add((i, k))
+        rows.append((i, t))
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    got = rows_of(decontamination.contaminated(docs(rows + ODD), benchmark))
+    assert {(r["doc_id"], r["item_id"]) for r in got} == truth
+    verbatim = rows_of(decontamination.contaminated(docs([(1, "Oh: " + items[3][1])]), benchmark))
+    assert [(r["item_id"], r["score"]) for r in verbatim] == [(3, 1.0)]
+    assert decontamination.contaminated(docs([]), benchmark).count() == decontamination.contaminated(docs(rows), benchmark.limit(0)).count() == 0
+
+
+def test_alignment_against_plain_smith_waterman():
+    rng = random.Random(11)
+    a = [np.array([rng.randrange(2, 6) for _ in range(rng.randrange(1, 12))], np.uint64) for _ in range(40)]
+    b = [np.array([rng.randrange(2, 6) for _ in range(rng.randrange(1, 20))], np.uint64) for _ in range(40)]
+    for x, y, s in zip(a, b, decontamination.align(a, b)[0]):
+        h = np.zeros((len(x) + 1, len(y) + 1), int)
+        for i in range(1, len(x) + 1):
+            for j in range(1, len(y) + 1):
+                same = decontamination.MATCH if x[i - 1] == y[j - 1] else decontamination.MISMATCH
+                h[i, j] = max(0, h[i - 1, j - 1] + same, h[i - 1, j] + decontamination.GAP, h[i, j - 1] + decontamination.GAP)
+        assert h.max() == s
+
+
+def test_blocks_of_items_find_the_same(docs, spark):
+    rng = random.Random(12)
+    items = [(i, prose(rng, 20)) for i in range(30)]
+    rows = [(i, prose(rng, 10) + " " + items[i % 30][1]) for i in range(60)]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    blocks = list(decontamination.blocks(docs(rows), benchmark, size=700))
+    assert len(blocks) > 2
+    worst = [r["s"] for r in rows_of(docs(rows).select(decontamination.worst_leak(docs(rows)["text"], blocks).alias("s")))]
+    assert worst == [1.0] * 60
