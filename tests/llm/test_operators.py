@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sparkvane.llm import chat, decontamination, fingerprints, jaccard_join, mixing, repeats, secrets, sharding, toxicity, url_filters
 from sparkvane.llm.components import components
@@ -328,5 +329,5 @@ def test_blocks_of_items_find_the_same(docs, spark):
     benchmark = spark.createDataFrame(items, "item_id long, text string")
     blocks = list(decontamination.blocks(docs(rows), benchmark, size=700))
     assert len(blocks) > 2
-    worst = [r["s"] for r in rows_of(docs(rows).select(decontamination.worst_leak(docs(rows)["text"], blocks).alias("s")))]
+    worst = [r["s"] for r in rows_of(docs(rows).selectExpr("text").select(decontamination.worst_leak(F.col("text"), blocks).alias("s")))]
     assert worst == [1.0] * 60
