@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkvane.llm.common import read
+from sparkvane.llm.common import freed, read
 from sparkvane.llm.words import U, mixed
 
 LENGTH, ANCHOR = 50, 20
@@ -196,18 +196,8 @@ def _frame(rows: list[tuple]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["blk", "part", "kind", "payload"])
 
 
-def _freed() -> None:
-    """Hands memory that the group before used back to the system, where the C library can; else it stays with the worker."""
-    import ctypes
-
-    try:
-        ctypes.CDLL("libc.so.6").malloc_trim(0)
-    except (OSError, AttributeError):
-        return
-
-
 def _parse(x: pd.DataFrame) -> Parse:
-    _freed()
+    freed()
     return Parse.of(x["doc_id"].to_numpy(np.int64), x["text"].tolist())
 
 
@@ -234,7 +224,7 @@ def _least_in_runs(new: np.ndarray, d: np.ndarray) -> np.ndarray:
 
 
 def _answer1(x: pd.DataFrame) -> pd.DataFrame:
-    _freed()
+    freed()
     size = [len(p) // 20 for p in x["payload"]]
     t = np.concatenate([_numbers(p[: 6 * n], 6) for p, n in zip(x["payload"], size, strict=True)])
     k = np.concatenate([_numbers(p[6 * n : 12 * n], 6) for p, n in zip(x["payload"], size, strict=True)])
@@ -274,7 +264,7 @@ def _step2(parts: int):
 
 
 def _answer2(x: pd.DataFrame) -> pd.DataFrame:
-    _freed()
+    freed()
     through = x[x["kind"] == 1]
     x = x[x["kind"] == 2]
     if not len(x):

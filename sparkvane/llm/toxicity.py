@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkvane.llm.common import read
+from sparkvane.llm.common import freed, read
 
 BITS, MIN_N, MAX_N, DIM = 17, 3, 6, 8
 #: Every text also holds so many subwords that say nothing: a few words alone are weak evidence.
@@ -141,7 +141,7 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, max_toxic: int = 1500, max_clean: int = 3000) -> tuple[np.ndarray, float] | None:
+def train(docs: DataFrame, labels: DataFrame, max_toxic: int = 1200, max_clean: int = 2400) -> tuple[np.ndarray, float] | None:
     """The model from labelled rows that aren't held out, or None if a class is missing."""
     usable = labels.select("doc_id", "toxic").where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     usable = usable.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
@@ -151,7 +151,12 @@ def train(docs: DataFrame, labels: DataFrame, max_toxic: int = 1500, max_clean:
     rows = rows.toPandas().sort_values("doc_id")
     if rows["toxic"].nunique() < 2:
         return None
-    return fit(rows["text"].tolist(), rows["toxic"].to_numpy())
+    texts, labels = rows["text"].tolist(), rows["toxic"].to_numpy()
+    del rows
+    model = fit(texts, labels)
+    del texts
+    freed()
+    return model
 
 
 def score_of(text: Column, model: tuple[np.ndarray, float] | None) -> Column:
