@@ -148,15 +148,21 @@ def train(docs: DataFrame, labels: DataFrame, max_toxic: int = 1200, max_clean:
     first = lambda k, n: usable.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
     some = first(1, max_toxic).unionByName(first(0, max_clean))  # at most max_toxic + max_clean ids
     rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").groupBy("doc_id").agg(F.max("text").alias("text"), F.max("toxic").alias("toxic"))
-    rows = rows.toPandas().sort_values("doc_id")
+    found = rows.groupBy().applyInPandas(_fitted, "logits binary, bias double").collect()  # one row, of 2**BITS floats
+    return (np.frombuffer(found[0]["logits"], np.float32), found[0]["bias"]) if found else None
+
+
+def _fitted(rows: pd.DataFrame) -> pd.DataFrame:
+    """The model of a bounded sample, fitted in one task so that the driver need not hold texts; no row if a class is missing."""
     if rows["toxic"].nunique() < 2:
-        return None
+        return pd.DataFrame({"logits": [], "bias": []})
+    rows = rows.sort_values("doc_id")
     texts, labels = rows["text"].tolist(), rows["toxic"].to_numpy()
     del rows
-    model = fit(texts, labels)
+    logits, bias = fit(texts, labels)
     del texts
     freed()
-    return model
+    return pd.DataFrame({"logits": [logits.tobytes()], "bias": [bias]})
 
 
 def score_of(text: Column, model: tuple[np.ndarray, float] | None) -> Column:
