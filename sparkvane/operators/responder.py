@@ -21,12 +21,12 @@ def template_responder(batch: pd.DataFrame) -> pd.Series:
 
 
 def respond(prompts: DataFrame, generate: Generate = template_responder) -> DataFrame:
-    """session_id, predicted_response: generate runs once for each Arrow batch."""
+    """session_id, predicted_response: generate runs once for each Arrow batch and sees every column of prompts."""
 
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in frames:
             yield pd.DataFrame({"session_id": x["session_id"], "predicted_response": generate(x)})
 
-    made = prompts.select("session_id", "system_prompt").mapInPandas(batches, "session_id string, predicted_response string")
+    made = prompts.mapInPandas(batches, "session_id string, predicted_response string")
     text = F.trim(F.coalesce("predicted_response", F.lit("")))
     return made.withColumn("predicted_response", F.when(text == "", EMPTY_RESPONSE).otherwise(text))

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +20,29 @@ def word_tokenizer(size: int = 50_000) -> Tokenizer:
     return lambda text: F.transform(F.regexp_extract_all(text, F.lit(r"[^ \n]+"), F.lit(0)), lambda w: F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long") % size)
 
 
+@lru_cache(maxsize=4)
+def _vocabulary(path: str):
+    """The tokenizer of a file, loaded once in a Python worker."""
+    from tokenizers import Tokenizer as Loaded
+
+    found = Loaded.from_file(path)
+    found.encode_special_tokens = True  # what looks like a special token in a text is text
+    return found
+
+
+def file_tokenizer(path: str) -> Tokenizer:
+    """A real vocabulary, from a tokenizers JSON file that every executor can read. Arrow batches, whole texts; null is empty."""
+
+    def encode(frames: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        vocabulary = _vocabulary(path)
+        for x in frames:
+            yield pd.Series([e.ids for e in vocabulary.encode_batch(x.fillna("").tolist(), add_special_tokens=False)], dtype=object)
+
+    encode.__annotations__ = {"frames": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    udf = F.pandas_udf(encode, "array<bigint>")
+    return lambda text: udf(text)
+
+
 def templated(rows: DataFrame) -> DataFrame:
     """rows and full_text, prefix_text; the prefix ends where the assistant begins."""
     prefix = F.concat(chat_turn("system", F.col("system_prompt")), chat_turn("user", F.col("user_query")))
