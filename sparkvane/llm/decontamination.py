@@ -1,15 +1,16 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of words.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment of words.
 
-Words are runs of letters, digits and non-ASCII characters, A to Z lower-cased. A first pass over the
-documents counts in how many of them each SEED-gram of the test items comes. An item's seeds are
-the rarer half of its n-grams, and all that are not much more common than its rarest. A second pass
-joins documents to items by seeds, and around them aligns the item with the document: MATCH,
-MISMATCH and GAP a word. The alignment's score is divided by that of a perfect copy. From
-THRESHOLD on the document leaks the item; a verbatim copy scores 1, one edited in a fifth of
-its words about 0.7.
+Words are runs of letters, digits and non-ASCII characters, A to Z lower-cased. Every SEED-gram of a
+test item is a seed, however common: what many documents hold may be what they all leak. Documents
+are joined to items by seeds, and around them the item is aligned with the document: MATCH,
+MISMATCH and GAP a word. Before that, spots whose score cannot come to the threshold, as too few of
+their words are the item's, are left out by an upper bound. The alignment's score is divided by that
+of a perfect copy. From THRESHOLD on the document leaks the item; a verbatim copy scores 1, one edited
+in a fifth of its words about 0.7.
 
 Items are looked at in blocks of at most BLOCK characters, each against all documents: what is
-sent to the executors never exceeds a block, however many items there are.
+sent to the executors never exceeds a block, however many items there are. Seeds that join a text
+to very many items are worked on in parts of about PAIRS (seed, item) pairs.
 
 Defined cases. Null or empty texts and items, and items of under MIN_WORDS words, match nothing. Items of one
 id are each looked at; the best counts. Repeated rows of documents give their pairs again. An empty
@@ -27,13 +28,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkvane.llm.common import read
-from sparkvane.llm.words import U, hashed_words, shingles, slices
+from sparkvane.llm.words import U, hashed_words, mixed, shingles, slices
 
 SEED, MIN_WORDS, THRESHOLD = 3, 8, 0.5
 MATCH, MISMATCH, GAP = 2, -1, -1
 BLOCK = 8 << 20
 #: Cells of alignment matrices' rows that are worked on together.
 CELLS = 1 << 20
+PAIRS = 1 << 20
 _FILTER = 20
 
 
@@ -48,6 +50,7 @@ class Items:
     item: np.ndarray
     place: np.ndarray
     maybe: np.ndarray | None = None
+    has: np.ndarray | None = None  # by _spot: may the item hold the word
 
     @classmethod
     def of(cls, ids, texts) -> Items:
@@ -63,20 +66,14 @@ class Items:
     def _with_filter(self) -> Items:
         self.maybe = np.zeros(1 << _FILTER, bool)
         self.maybe[(self.grams >> U(64 - _FILTER)).astype(np.int64)] = True
+        n = [len(w) for w in self.words]
+        self.has = np.zeros(1 << max(16, int(16 * sum(n)).bit_length()), bool)
+        if sum(n):
+            self.has[self._spot(np.repeat(np.arange(len(n)), n), np.concatenate(self.words))] = True
         return self
 
-    def only(self, count: np.ndarray) -> Items:
-        """The items with the rarer of their n-grams alone, by the count of each n-gram."""
-        c = count[self.entry]
-        least = np.full(len(self.words), np.iinfo(np.int64).max)
-        np.minimum.at(least, self.item, c)
-        order = np.lexsort((c, self.item))
-        rank = np.empty(len(c), np.int64)
-        n = np.bincount(self.item, minlength=len(self.words))
-        rank[order] = np.arange(len(c)) - np.concatenate(([0], np.cumsum(n)))[self.item[order]]
-        keep = (rank < (n[self.item] + 1) // 2) | (c <= 4 * least[self.item] + 10)
-        used, entry = np.unique(self.entry[keep], return_inverse=True)
-        return Items(self.ids, self.words, self.grams[used], entry, self.item[keep], self.place[keep])._with_filter()
+    def _spot(self, item: np.ndarray, words: np.ndarray) -> np.ndarray:
+        return (mixed(words + item.astype(U) * U(0x9E3779B97F4A7C15)) >> U(65 - len(self.has).bit_length())).astype(np.int64)
 
     def hits(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Which of the n-grams given are the block's, and their numbers."""
@@ -119,9 +116,56 @@ def align(items: list[np.ndarray], texts: list[np.ndarray]) -> tuple[np.ndarray,
     return best, end
 
 
-def leaks(texts: list[str | None], items: Items) -> pd.DataFrame:
-    """row, item (its number), score, end_word, seeds: the best alignment of each text with each item that a seed joins to it."""
+def bound(items: Items, item: np.ndarray, words: np.ndarray, begin: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """No alignment of the item with words[begin:stop] scores more: the best run, a word that the item may hold MATCH, others the lesser loss."""
+    out = np.zeros(len(item), np.int64)
+    order = np.argsort(stop - begin, kind="stable")
+    s = 0
+    while s < len(order):
+        e = s + 1
+        while e < len(order) and (stop[order[e]] - begin[order[e]]) * (e - s + 1) <= CELLS:
+            e += 1
+        rows = order[s:e]
+        n = stop[rows] - begin[rows]
+        across = np.arange(n.max(initial=0))
+        inside = across < n[:, None]
+        text = words[np.where(inside, begin[rows, None] + across, 0)]
+        gain = np.where(inside, np.where(items.has[items._spot(item[rows, None], text)], MATCH, max(MISMATCH, GAP)), 0)
+        total = np.zeros((len(rows), len(across) + 1), np.int32)
+        np.cumsum(gain, axis=1, out=total[:, 1:])
+        out[rows] = (total - np.minimum.accumulate(total, axis=1)).max(1)
+        s = e
+    return out
+
+
+def _joined(items: Items, doc: np.ndarray, start: np.ndarray, number: np.ndarray) -> Iterator[tuple]:
+    """doc, start, item, place of seeds (sorted by doc) and their items, in parts that keep a text's seeds of an item together."""
+    n_items = len(items.words)
+    key = items.entry * n_items + items.item
+    todo = [(0, len(doc), 0, n_items)] if len(doc) else []
+    while todo:
+        a, b, i, j = todo.pop()
+        lo, hi = np.searchsorted(key, number[a:b] * n_items + i), np.searchsorted(key, number[a:b] * n_items + j)
+        n = hi - lo
+        if n.sum() > PAIRS and (doc[a] < doc[b - 1] or j - i > 1):
+            if doc[a] < doc[b - 1]:
+                m = np.searchsorted(doc, doc[(a + b) // 2])
+                m = m if m > a else np.searchsorted(doc, doc[a], "right")
+                todo += [(a, m, i, j), (m, b, i, j)]
+            else:
+                todo += [(a, b, i, (i + j) // 2), (a, b, (i + j) // 2, j)]
+        elif n.sum():
+            e = np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
+            yield np.repeat(doc[a:b], n), np.repeat(start[a:b], n), items.item[e], items.place[e]
+
+
+def leaks(texts: list[str | None], items: Items, least: float = 0.0) -> pd.DataFrame:
+    """row, item (its number), score, end_word, seeds: the best alignment of each text with each item that a seed joins to it.
+
+    Of alignments that score under `least` some are left out.
+    """
     out = []
+    size = np.array([len(w) for w in items.words], np.int64)
     for a, b in slices(texts):
         words, at = hashed_words(texts[a:b], marks=True)
         grams, of = shingles(words, at, SEED)
@@ -132,27 +176,21 @@ def leaks(texts: list[str | None], items: Items) -> pd.DataFrame:
         full = np.maximum(np.diff(at) - SEED + 1, 0)
         start = where - np.concatenate(([0], np.cumsum(full)))[doc]
         ok = np.diff(at)[doc] >= SEED
-        doc, start, number = doc[ok], start[ok], number[ok]
-        lo, hi = np.searchsorted(items.entry, number, "left"), np.searchsorted(items.entry, number, "right")
-        n = hi - lo
-        e = np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
-        doc, start = np.repeat(doc, n), np.repeat(start, n)
-        item, place = items.item[e], items.place[e]
-        size = np.array([len(w) for w in items.words], np.int64)[item]
-        begin, stop = start - place - size // 2, start - place + size + size // 2
-        order = np.lexsort((begin, item, doc))
-        doc, item, begin, stop = doc[order], item[order], begin[order], stop[order]
-        new = np.concatenate(([True], (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (begin[1:] > stop[:-1]))) if len(doc) else np.zeros(0, bool)
-        first = np.flatnonzero(new)
-        if not len(first):
-            continue
-        last = np.append(first[1:], len(doc)) - 1
-        d, i = doc[first], item[first]
-        begin, stop = np.maximum(begin[first], 0), np.maximum.reduceat(stop, first)
-        windows = [words[at[x] + p : min(at[x] + q, at[x + 1])] for x, p, q in zip(d, begin, stop, strict=True)]
-        score, end = align([items.words[k] for k in i], windows)
-        perfect = MATCH * np.array([len(items.words[k]) for k in i])
-        out.append(pd.DataFrame({"row": d + a, "item": i, "score": score / perfect, "end_word": begin + end, "seeds": last - first + 1}))
+        for d, start_, i, place in _joined(items, doc[ok], start[ok], number[ok]):
+            begin, stop = start_ - place - size[i] // 2, start_ - place + size[i] + size[i] // 2
+            order = np.lexsort((begin, i, d))
+            d, i, begin, stop = d[order], i[order], begin[order], stop[order]
+            first = np.flatnonzero(np.concatenate(([True], (d[1:] != d[:-1]) | (i[1:] != i[:-1]) | (begin[1:] > stop[:-1]))))
+            seeds = np.diff(np.append(first, len(d)))
+            d, i = d[first], i[first]
+            begin, stop = np.maximum(begin[first], 0), np.maximum.reduceat(stop, first)
+            perfect = MATCH * size[i]
+            p, q = at[d] + begin, np.minimum(at[d] + stop, at[d + 1])
+            if least > 0:
+                some = bound(items, i, words, p, q) / perfect >= least
+                d, i, begin, seeds, perfect, p, q = d[some], i[some], begin[some], seeds[some], perfect[some], p[some], q[some]
+            score, end = align([items.words[k] for k in i], [words[x:y] for x, y in zip(p, q, strict=True)])
+            out.append(pd.DataFrame({"row": d + a, "item": i, "score": score / perfect, "end_word": begin + end, "seeds": seeds}))
     if not out:
         return pd.DataFrame({"row": np.zeros(0, np.int64), "item": np.zeros(0, np.int64), "score": np.zeros(0), "end_word": np.zeros(0, np.int64), "seeds": np.zeros(0, np.int64)})
     found = pd.concat(out).sort_values(["row", "item", "score", "end_word"], ascending=[True, True, False, True])
@@ -160,7 +198,7 @@ def leaks(texts: list[str | None], items: Items) -> pd.DataFrame:
 
 
 def blocks(docs: DataFrame, benchmark: DataFrame, size: int = BLOCK) -> Iterator[Items]:
-    """The test items in blocks of about `size` characters, with the seeds that the documents' counts leave."""
+    """The test items in blocks of about `size` characters. They don't depend on the documents."""
     items = benchmark.select("item_id", "text").where(F.col("text").isNotNull())
     total = items.agg(F.coalesce(F.sum(F.length("text") + 16), F.lit(0))).first()[0]
     n = int(total // size) + 1
@@ -168,28 +206,7 @@ def blocks(docs: DataFrame, benchmark: DataFrame, size: int = BLOCK) -> Iterator
         some = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).toPandas()
         block = Items.of(some["item_id"].to_numpy(), some["text"].tolist())
         if len(block.grams):
-            yield block.only(document_counts(docs, block))
-
-
-def document_counts(docs: DataFrame, block: Items) -> np.ndarray:
-    """In how many documents each n-gram of the block comes."""
-
-    def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(len(block.grams), np.int64)
-        for x in frames:
-            texts = x["text"].tolist()
-            for a, b in slices(texts):
-                grams, of = shingles(*hashed_words(texts[a:b], marks=True), SEED)
-                where, number = block.hits(grams)
-                pairs = np.unique(of[where].astype(np.int64) * len(block.grams) + number)
-                total += np.bincount(pairs % len(block.grams), minlength=len(block.grams))
-        some = np.flatnonzero(total)
-        yield pd.DataFrame({"gram": some, "n": total[some]})
-
-    counts = docs.select("text").mapInPandas(batches, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toPandas()  # a row for each n-gram of the block
-    out = np.zeros(len(block.grams), np.int64)
-    out[counts["gram"].to_numpy(np.int64)] = counts["n"].to_numpy(np.int64)
-    return out
+            yield block
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -199,7 +216,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
 
         def batches(frames: Iterator[pd.DataFrame], block: Items = block) -> Iterator[pd.DataFrame]:
             for x in frames:
-                found = leaks(x["text"].tolist(), block)
+                found = leaks(x["text"].tolist(), block, threshold)
                 found = found[found["score"] >= threshold]
                 yield pd.DataFrame({"doc_id": x["doc_id"].to_numpy()[found["row"]], "item_id": block.ids[found["item"]], "score": found["score"].to_numpy(), "end_word": found["end_word"].to_numpy(), "seeds": found["seeds"].to_numpy()})
 
@@ -208,10 +225,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
     return out if out is not None else docs.sparkSession.createDataFrame([], "doc_id long, item_id long, score double, end_word long, seeds long")
 
 
-def _best(block: Items):
+def _best(block: Items, least: float):
     def best(frames: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for x in frames:
-            one = leaks(x.tolist(), block)
+            one = leaks(x.tolist(), block, least)
             out = np.zeros(len(x))
             np.maximum.at(out, one["row"].to_numpy(np.int64), one["score"].to_numpy())
             yield pd.Series(out)
@@ -220,11 +237,11 @@ def _best(block: Items):
     return F.pandas_udf(best, "double")
 
 
-def worst_leak(text: Column, found: list[Items]) -> Column:
-    """The greatest score of a text with any item of the blocks, 0 without a seed. Only the score comes back from Python."""
+def worst_leak(text: Column, found: list[Items], least: float = THRESHOLD) -> Column:
+    """The greatest score of a text with any item of the blocks, 0 without a seed; what is under `least` may come as 0. Only the score comes back from Python."""
     score = F.lit(0.0)
     for block in found:
-        score = F.greatest(score, _best(block)(text))
+        score = F.greatest(score, _best(block, least)(text))
     return score
 
 

@@ -309,6 +309,30 @@ def test_leaks_are_found_and_clean_texts_left(docs, spark):
     assert decontamination.contaminated(docs([]), benchmark).count() == decontamination.contaminated(docs(rows), benchmark.limit(0)).count() == 0
 
 
+def test_leaks_that_many_documents_share(docs, spark, monkeypatch):
+    rng = random.Random(13)
+    items = [(i, prose(rng, 30)) for i in range(3)]
+    copy = items[0][1].split()
+    copy[4::5] = ["edited"] * 6
+    rows = [(i, f"{prose(rng, 20)} {' '.join(copy)} {prose(rng, 20)}") for i in range(50)] + [(100 + i, prose(rng, 80)) for i in range(20)]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    got = rows_of(decontamination.contaminated(docs(rows), benchmark))
+    assert {(r["doc_id"], r["item_id"]) for r in got} == {(i, 0) for i in range(50)}
+
+
+def test_leaks_in_parts_and_by_bound_are_the_same(monkeypatch):
+    rng = random.Random(14)
+    few = lambda n: " ".join(rng.choice(WORDS[:30]) for _ in range(n))
+    items = [few(12) for _ in range(40)]
+    texts = [f"{few(rng.randrange(60))} {' '.join(w if rng.random() < 0.9 else 'x' for w in rng.choice(items).split())}" for _ in range(60)]
+    block = decontamination.Items.of(list(range(40)), items)
+    every = decontamination.leaks(texts, block)
+    monkeypatch.setattr(decontamination, "PAIRS", 50)  # a text's seeds in many parts
+    kept = decontamination.leaks(texts, block, 0.5)
+    good = lambda x: x[x["score"] >= 0.5].values.tolist()
+    assert 40 < len(kept) < len(every) and good(kept) == good(every)
+
+
 def test_alignment_against_plain_smith_waterman():
     rng = random.Random(11)
     a = [np.array([rng.randrange(2, 6) for _ in range(rng.randrange(1, 12))], np.uint64) for _ in range(40)]
