@@ -197,6 +197,35 @@ def test_fingerprints_follow_and_search(docs, spark, folder, monkeypatch):
     assert got[51]["near_docs"] is None
 
 
+def test_near_copies_are_found_and_others_not(docs, spark, folder):
+    rng = random.Random(16)
+    terms = lambda w: {tuple(w[i : i + 3]) for i in range(len(w) - 2)}
+    rows = []
+    for i in range(100):
+        w = [rng.choice(WORDS) for _ in range((100, 300)[i % 2])]
+        v, held = list(w), list(w)
+        while len(terms(w) & terms(v)) >= 0.8 * len(terms(w) | terms(v)):  # edited word by word down to the similarity
+            held = list(v)
+            v[rng.randrange(len(v))] = rng.choice(WORDS)
+        rows += [(i * 50, " ".join(w)), (i * 50 + 1, " ".join(held))]
+    got = {r["doc_id"]: r["near_docs"] for r in rows_of(fingerprints.op6_fingerprints(spark, folder(documents=docs(rows))))}
+    found = [got[i * 50] for i in range(100)]
+    assert max(found) == 1 and sum(found) >= 95
+
+
+def test_tables_and_scan_find_the_same(spark, monkeypatch):
+    rng = random.Random(17)
+    base = [rng.getrandbits(128) for _ in range(40)]
+    fps = base + [b ^ sum(1 << k for k in rng.sample(range(128), rng.randrange(9))) for b in base for _ in range(5)] + base[:5]
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    rows = spark.createDataFrame([(f"{f:032x}", signed(f >> 64), signed(f & (1 << 64) - 1)) for f in fps], "fp string, hi long, lo long")
+    asked = rows.limit(60)
+    monkeypatch.setattr(fingerprints, "QUERIES", 20)  # several blocks
+    key = lambda df: sorted(tuple(r.values()) for r in rows_of(df.select("q_hi", "q_lo", "n")))
+    truth = sorted((signed(q >> 64), signed(q & (1 << 64) - 1), sum((q ^ f).bit_count() <= 6 for f in fps)) for q in set(fps[:60]))
+    assert key(fingerprints.scanned(asked, rows, 6)) == key(fingerprints.near_counts(asked, rows, 6)) == truth
+
+
 def test_fingerprints_odd_cases(docs, spark, folder):
     got = rows_of(fingerprints.op6_fingerprints(spark, folder(documents=docs(ODD))))
     assert len(got) == len(ODD) and {r["n_chars"] for r in got if r["doc_id"] in (1, 2)} == {0}
