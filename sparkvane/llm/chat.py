@@ -5,17 +5,23 @@ dialogue is rendered once for each, with the others as named users, and a mask,
 characters [start, end), covers just what that participant says, with the closing newline.
 
 Defined cases. A null text is empty and a null role is the participant `unknown`. Messages are ordered by
-turn (null first), role and text, so ties and repeated rows have one order. A dialogue of over max_turns
-messages, by turn number, is rendered in consecutive pieces, so that no dialogue need fit in one
-task; a piece has those who speak in it as participants. Where only `system` speaks nothing can
-be learned and no row results. A null conv_id is a dialogue of its own. No table rows, no result rows.
+turn (null first), role and text, so ties and repeated rows have one order. A row holds max_turns
+messages at most, counted by place and not by turn number, so that no rendering need fit in one row:
+a longer dialogue's rendering comes in consecutive pieces for every participant of the dialogue, silent
+in a piece or not. Its pieces' texts, put together, are the whole rendering, and the spans of the
+masks count from the dialogue's beginning. Where only `system` speaks nothing can be learned and no
+row results. A null conv_id is a dialogue of its own. No table rows, no result rows.
+
+OP2_SQL cuts by turn number and renders each cut on its own: the same where all turns of a
+dialogue are from 0 to below MAX_TURNS and it has no more messages, and there only.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sparkvane.llm.common import read
+from sparkvane.llm.common import read, running
 from sparkvane.llm.dialect import render
 
 MAX_TURNS = 512
@@ -47,11 +53,49 @@ from spans group by conv_id, piece, speaker
 """
 
 
+#: The same for whole dialogues, of messages with their place among those of the dialogue.
+WHOLE = r"""
+with placed as (select conv_id, cast(floor((pos - 1) / @max_turns@) as bigint) as piece, role, text, pos from @placed@),
+speakers as (select distinct conv_id, role as speaker from placed where role <> 'system'),
+pieces as (
+  select conv_id, piece, sum(length(case when role = 'system' then '<|system|>' else concat('<|user ', role, '|>') end) + length(text) + 1) as size
+  from placed group by conv_id, piece),
+own as (
+  select conv_id, piece, role, sum(length('<|assistant|>') - length(concat('<|user ', role, '|>'))) as more
+  from placed where role <> 'system' group by conv_id, piece, role),
+begins as (
+  select p.conv_id, p.piece, speaker,
+    coalesce(sum(size + coalesce(more, 0)) over (partition by p.conv_id, speaker order by p.piece rows between unbounded preceding and 1 preceding), 0) as begin
+  from pieces p join speakers s on p.conv_id is not distinct from s.conv_id
+  left join own o on p.conv_id is not distinct from o.conv_id and p.piece = o.piece and speaker = o.role),
+lines as (
+  select p.conv_id, p.piece, speaker, begin, pos, role, text,
+    case when role = 'system' then '<|system|>' when role = speaker then '<|assistant|>' else concat('<|user ', role, '|>') end as head
+  from placed p join begins b on p.conv_id is not distinct from b.conv_id and p.piece = b.piece),
+spans as (
+  select conv_id, piece, speaker, pos, role, concat(head, text, '
+') as line,
+    begin + sum(length(head) + length(text) + 1) over (partition by conv_id, piece, speaker order by pos rows between unbounded preceding and current row) as stop,
+    length(text) + 1 as said_length
+  from lines)
+select conv_id, piece, speaker as assistant,
+  cast(count(*) as bigint) as n_messages,
+  cast(sum(case when role = speaker then said_length else 0 end) as bigint) as n_masked,
+  JOINED(pos, line, '') as text,
+  JOINED(pos, concat(cast(stop - said_length as string), '-', cast(stop as string)), ',', role = speaker) as mask
+from spans group by conv_id, piece, speaker
+"""
+
+
 def rotate(conversations: DataFrame, max_turns: int = MAX_TURNS) -> DataFrame:
-    """conv_id, piece, assistant, n_messages, n_masked, text, mask: a row for each participant of each dialogue."""
-    name = f"said_{id(conversations)}"
-    conversations.select("conv_id", "turn", "role", "text").createOrReplaceTempView(name)  # a plan is bound to the view at once
-    out = conversations.sparkSession.sql(render(ROTATE, "spark", max_turns=str(max_turns), conversations=name, string="string"))
+    """conv_id, piece, assistant, n_messages, n_masked, text, mask: a row for each participant of each dialogue and each piece of it."""
+    said = conversations.select(
+        "conv_id", "turn", F.floor(F.col("turn") / max_turns).alias("bucket"), F.coalesce("role", F.lit("unknown")).alias("role"),
+        F.coalesce("text", F.lit("")).alias("text"), F.lit(1).alias("one"),
+    )
+    name = f"placed_{id(conversations)}"
+    running(said, ["conv_id"], "bucket", ["turn", "role", "text"], "one", "pos").createOrReplaceTempView(name)  # a plan is bound to the view at once
+    out = conversations.sparkSession.sql(render(WHOLE, "spark", max_turns=str(max_turns), placed=name))
     conversations.sparkSession.catalog.dropTempView(name)
     return out
 

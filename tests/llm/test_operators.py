@@ -98,6 +98,22 @@ def test_long_dialogues_come_in_pieces(spark):
     assert sorted((r["piece"], r["assistant"], r["n_messages"]) for r in got) == [(p, a, n) for p, n in ((0, 4), (1, 4), (2, 2)) for a in "ab"]
 
 
+def test_pieces_join_to_the_whole_dialogue(spark):
+    said = [(1, None, "system", "Be kind."), (1, 700, "cleo", "only once é")] + [(1, 1000 * i, ("ann", "bob")[i % 2], "m" * (i % 4)) for i in range(1, 30)] + [(2, 5, "x", "y")] * 9
+    table = spark.createDataFrame(said, "conv_id long, turn long, role string, text string")
+    whole = {(r["conv_id"], r["assistant"]): r for r in rows_of(chat.rotate(table))}
+    assert {k: r["n_messages"] for k, r in whole.items()} == {(1, "ann"): 31, (1, "bob"): 31, (1, "cleo"): 31, (2, "x"): 9}
+    r = whole[1, "cleo"]
+    assert r["text"].startswith("<|system|>Be kind.\n<|assistant|>only once é\n<|user bob|>") and [r["text"][int(a) : int(b)] for a, b in [r["mask"].split("-")]] == ["only once é\n"]
+    parts = defaultdict(list)
+    for r in sorted(rows_of(chat.rotate(table, max_turns=4)), key=lambda r: r["piece"]):
+        assert r["n_messages"] <= 4
+        parts[r["conv_id"], r["assistant"]].append(r)
+    assert {k: len(v) for k, v in parts.items()} == {(1, "ann"): 8, (1, "bob"): 8, (1, "cleo"): 8, (2, "x"): 3}
+    for k, v in parts.items():
+        assert "".join(r["text"] for r in v) == whole[k]["text"] and ",".join(r["mask"] for r in v if r["mask"]) == whole[k]["mask"]
+
+
 # --- 3
 def removed(rows, length=repeats.LENGTH):
     first, out = {}, []
