@@ -1,6 +1,8 @@
 """Secret scans with a random forest against false positives. DataFrame and ML functions of the JVM only.
 
-A candidate is a run of at least MIN_LENGTH characters of a key's alphabet that holds a digit. Its
+A candidate is a run of at least MIN_LENGTH characters of a key's alphabet that holds a digit, or,
+however short, without digits and with any signs, a value of 4 or more characters that an asking word
+(ASKED) is given by = or : or `is`, that follows Bearer or Basic, or that stands as user:value@. Its
 features: length; changes of character class and of letter, per character; the share of it that
 dictionary words cover; whether it stands in a path or address; what the two words before and the
 one after say. A random forest, trained from labelled findings, tells secrets from numbers, checksums,
@@ -29,7 +31,7 @@ from sparkvane.llm.common import read
 MIN_LENGTH = 16
 CANDIDATE = rf"[A-Za-z0-9+/_=\-]{{{MIN_LENGTH},}}"
 SPACE = r"[\x20\x09-\x0D]+"
-FEATURES = ["length", "digits", "turns", "shifts", "repeats", "hexadecimal", "covered", "pathlike", "asked", "assigned", "disclaimed", "followed"]
+FEATURES = ["length", "digits", "turns", "shifts", "repeats", "hexadecimal", "covered", "pathlike", "asked", "assigned", "disclaimed", "followed", "symbols", "userinfo"]
 
 #: Words of code and prose that are no part of a random key.
 DICTIONARY = ["access", "admin", "api", "app", "auth", "build", "change", "client", "code", "commit", "config", "content", "data", "default", "demo", "docs", "dummy", "example", "file", "hash", "here", "home", "html", "http", "image", "index", "insert", "key", "list", "local", "main", "name", "page", "path", "placeholder", "private", "public", "release", "sample", "secret", "server", "service", "source", "src", "static", "system", "test", "text", "the", "token", "user", "value", "version", "www", "your"]
@@ -37,15 +39,35 @@ ASKED = r"(?i)(token|secret|passw|pwd|api.?key|access.?key|credential|auth|beare
 DISCLAIMED = r"(?i)(commit|checksum|sha|md5|digest|revision|example|sample|dummy|card|iban|order|invoice|uuid|id\b|etag|version)"
 
 
+#: A value and its bounds; what asks for one in the same word, and in the two words before.
+VALUE = r"""[^\s"'`,;<>(){}\[\]]{4,}"""
+GIVEN = rf"""{ASKED}[\w.\-]*["'\]]*(?:=>|:=|=|:)["'`]*({VALUE})"""
+USERINFO = r"""(?:^|[/"'(=])[^\s/:@"']*:([^\s/@"']{4,})@"""
+BEFORE = rf"""{ASKED}[\w.\-]*["'\]]* ?(=>|:=|=|:|is)$|(?i)(^|[\s"':=])(bearer|basic)$"""
+#: Texts that may hold such a value.
+MAYBE = rf"{ASKED}|(?i)basic|:[^\s/@]{{4,}}@"
+
+
+def _values(within: Column, before: Column) -> Column:
+    """Candidates of a word by what asks for them."""
+    found = lambda p, n: F.regexp_extract_all(within, F.lit(p), F.lit(n))
+    after = F.when(before.rlike(BEFORE), F.array(F.regexp_extract(within, VALUE, 0))).otherwise(F.array().cast("array<string>"))
+    each = F.concat(found(GIVEN, 2), found(USERINFO, 1), after)
+    return F.filter(F.transform(each, lambda v: F.regexp_replace(v, "[.:]+$", "")), lambda v: F.length(v) >= 4)
+
+
 def candidates(docs: DataFrame) -> DataFrame:
     """doc_id, word (its place among the words), nth in the word, and the candidate with its surroundings."""
-    held = docs.select("doc_id", "text").where(F.col("text").rlike(CANDIDATE))
+    held = docs.select("doc_id", "text").where(F.col("text").rlike(CANDIDATE) | F.col("text").rlike(MAYBE))
     words = held.select("doc_id", F.split("text", SPACE).alias("w"))
     at = lambda i: F.coalesce(F.get(F.col("w"), i), F.lit(""))
-    spots = words.select("doc_id", "w", F.explode(F.filter(F.transform("w", lambda x, i: F.when(x.rlike(CANDIDATE), i)), lambda i: i.isNotNull())).alias("word"))
+    before = lambda i: F.concat_ws(" ", at(i - 2), at(i - 1))
+    asked = lambda x, i: x.rlike(ASKED) | x.contains("@") | before(i).rlike(BEFORE)
+    spots = words.select("doc_id", "w", F.explode(F.filter(F.transform("w", lambda x, i: F.when(x.rlike(CANDIDATE) | asked(x, i), i)), lambda i: i.isNotNull())).alias("word"))
     spots = spots.select("doc_id", "word", at(F.col("word") - 2).alias("before2"), at(F.col("word") - 1).alias("before1"), at(F.col("word")).alias("within"), at(F.col("word") + 1).alias("after1"))
-    each = spots.select("*", F.posexplode(F.regexp_extract_all("within", F.lit(CANDIDATE), F.lit(0))).alias("nth", "candidate"))
-    return each.where(F.col("candidate").rlike("[0-9]"))
+    runs = F.filter(F.regexp_extract_all("within", F.lit(CANDIDATE), F.lit(0)), lambda c: c.rlike("[0-9]"))
+    values = _values(F.col("within"), F.concat_ws(" ", "before2", "before1"))
+    return spots.select("*", F.posexplode(F.concat(runs, F.array_except(values, runs))).alias("nth", "candidate"))
 
 
 def features(found: DataFrame) -> DataFrame:
@@ -68,6 +90,8 @@ def features(found: DataFrame) -> DataFrame:
         "assigned": flag(F.concat_ws(" ", "before1", lead).rlike("[=:][\"'\\s]*$|^(=|:|:=|=>) ")),
         "disclaimed": flag(words.rlike(DISCLAIMED)),
         "followed": flag(F.col("after1").rlike("^[;,)}\"'#]")),
+        "symbols": share("[^A-Za-z0-9]"),
+        "userinfo": flag(F.col("within").contains(F.concat(c, F.lit("@")))),
     })
 
 
@@ -79,11 +103,16 @@ def labelled_findings(spark: SparkSession, n: int = 4000) -> DataFrame:
     number = F.substring(F.concat(F.conv(F.substring(sha, 1, 14), 16, 10), F.lit("7319462850731946")), 1, 16)
     ask = F.element_at(F.array(*map(F.lit, ["token", "api_key", "secret", "password", "access_key", "auth_token", "client_secret"])), (i % 7 + 1).cast("int"))
     pieces = F.element_at(F.array(*map(F.lit, ["server", "static", "example", "release", "config", "version", "content"])), (i % 7 + 1).cast("int"))
+    plain = F.element_at(F.array(*map(F.lit, ["required", "None", "optional", "string", "missing", "null", "invalid", "expired", "false", "never", "stored"])), (i % 11 + 1).cast("int"))
     true = [
         F.concat(word, F.lit(" "), ask, F.lit(' = "'), sha, F.lit('" '), word),
         F.concat(ask, F.lit("="), F.substring(b64, 1, 32), F.lit(" "), word),
         F.concat(F.lit("the "), ask, F.lit(": "), F.substring(b64, 1, 24), F.lit(". "), word),
         F.concat(F.lit("Bearer "), b64, F.lit(" "), word),
+        F.concat(ask, F.lit(": "), F.substring(b64, 1, 4), F.lit("!"), F.substring(b64, 5, 2), F.lit("."), F.substring(b64, 7, 3), F.lit(" "), word),
+        F.concat(ask, F.lit("="), F.substring(b64, 3, 9), F.lit(" "), word),
+        F.concat(ask, F.lit(' = "'), F.substring(F.translate(b64, "0123456789", "QwZrTkPsXv"), 1, 20), F.lit('" '), word),
+        F.concat(word, F.lit(" postgres://admin:"), F.substring(b64, 2, 10), F.lit("@db.example.org/main")),
     ]
     false = [
         F.concat(word, F.lit(" "), number, F.lit(" "), word),
@@ -94,6 +123,10 @@ def labelled_findings(spark: SparkSession, n: int = 4000) -> DataFrame:
         F.concat(ask, F.lit(" = "), F.repeat(F.lit("x1"), 10), F.lit(" "), word),
         F.concat(F.lit("the "), pieces, F.lit("-"), pieces, F.lit("-"), pieces, (i % 100).cast("string"), F.lit(" "), word),
         F.concat(F.lit("card "), number, F.lit(", "), word),
+        F.concat(ask, F.lit(": "), plain, F.lit(" "), word),
+        F.concat(ask, F.lit("="), plain, F.lit(" "), word),
+        F.concat(F.lit("the "), ask, F.lit(" is "), plain, F.lit(" here")),
+        F.concat(ask, F.lit(" = "), pieces, F.lit("."), plain, F.lit("() "), word),
     ]
     pick = lambda xs: F.element_at(F.array(*xs), (F.floor(i / 2) % len(xs) + 1).cast("int"))
     secret = (i % 2 == 0).cast("int")
