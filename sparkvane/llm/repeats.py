@@ -1,31 +1,37 @@
 """Removal of long repeated byte strings, by prefix-free parsing.
 
 Every document is parsed into phrases. A rolling hash of ANCHOR bytes has a trigger wherever it is least
-among those of some LENGTH-byte window; a phrase is the union of the windows that share a trigger. So
-phrases overlap by LENGTH - 1 bytes, each window, the truncated suffix of the corpus at its start, lies
-whole in one phrase, and equal windows have equal triggers at equal places. What the parse of
-a corpus repeats its dictionary of phrases holds once. Then, with p for phrase:
-
-1. Parse: for every trigger string, its different phrases and the least document of each. A phrase of
-   a smaller document is repeated as a whole. A phrase that alone has its trigger string is done.
-2. Dictionary: of other phrases, once each and for their least document, the suffixes of LENGTH bytes are
-   brought into one order over the corpus (that of 64-bit hashes of those bytes; any order does, as only
-   runs of equal suffixes matter), where each finds the least document of its run.
-3. The parse carries the answers back to the documents, whose removed bytes are the union of the windows.
-
-Documents are dealt to blocks of about BLOCK bytes by a hash of their id; the same exchange of
-the texts serves all three passes. Blocks combine what they send: one entry for a phrase or
-suffix. A trigger string with MANY phrases or more in a block skips step 1 there, but for one entry that says so,
-and its phrases go to step 2, so that a very common line is never one task's group.
+among those of some LENGTH-byte window; a phrase is the union of neighbouring windows with the same
+trigger. So phrases overlap by LENGTH - 1 bytes, each window, the suffix of the corpus that begins
+there cut to LENGTH bytes, lies whole in one phrase, and equal windows have equal triggers. The dictionary
+is the set of different phrases, the parse tells the documents of each. Then:
+
+1. Parse: a trigger that occurs once in the corpus has a phrase that shares no window; it is done.
+2. Dictionary: the other phrases meet by trigger, as bytes. Phrases of equal bytes become one, for the
+   least of their documents. The suffixes of the dictionary, cut to LENGTH bytes, are sorted by
+   their bytes, equal ones by the documents of the parse: that is the order of the corpus. What
+   stands in a run of equal suffixes after a smaller document is repeated.
+3. The answers go back to the documents, whose removed bytes are the union of their repeated windows.
+
+As phrases overlap by LENGTH - 1 bytes, a suffix never runs on into the next phrase before it is cut, so
+that of the parse's own suffix order no more than the documents of a phrase can matter.
+Hashes say only who meets whom and which suffixes stand alone; whatever is removed was compared byte by byte.
+
+Documents are dealt to blocks of about BLOCK bytes by a hash of their id; one exchange of the texts
+serves all passes, and phrases are cut once, in the first. Blocks combine what they send: one entry for
+a trigger or phrase. A trigger with over HOT phrases, as at the edge of a very common line, is not one
+task's group: its windows are sent alone, each as a phrase of its own, dealt by a hash of their bytes.
 
 Defined cases. A null text has no bytes. A null doc_id is greater than all others. Rows of one doc_id do not
 remove each other's bytes, repeated rows get equal results. Texts under LENGTH bytes lose nothing.
-An empty table gives an empty result. Only doc_id and text are read.
+An empty table gives an empty result. Only doc_id and text are read. A document is never split: a task needs
+about 40 bytes of memory for each byte of its longest document.
 """
 
 from __future__ import annotations
 
 import hashlib
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -37,8 +43,12 @@ from sparkvane.llm.common import freed, read
 from sparkvane.llm.words import U, mixed
 
 LENGTH, ANCHOR = 50, 20
-BLOCK, PART = 1 << 20, 4 << 20
-MANY = 8
+#: Bytes of text in a block, and of all text to a part of the triggers and of the dictionary.
+BLOCK, TRIGGERS, DICTIONARY = 2 << 20, 16 << 20, 4 << 20
+#: Phrases of a trigger, over all blocks, from which its windows are sent alone.
+HOT = 20_000
+#: Bits of a trigger's hash that decide who meets; fewer only make more phrases meet.
+KEY_BITS = 48
 TILE = 1 << 17
 NO_ID = (1 << 63) - 1
 _BASE = 0x2545F4914F6CDD1D
@@ -64,123 +74,86 @@ def _rolling(data: np.ndarray, length: int) -> np.ndarray:
     return out[: max(0, len(data) - length + 1)]
 
 
-def _least(x: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of each `width` values in a row the least one and its place, the first of equals."""
-    v, o, n = x, np.zeros(len(x), np.uint8), 1
+def _least(x: np.ndarray, width: int) -> np.ndarray:
+    """The least of each `width` values in a row."""
+    n = 1
     while n < width:
         s = min(n, width - n)
-        right = v[s:] < v[: len(v) - s]
-        v, o = np.where(right, v[s:], v[: len(v) - s]), np.where(right, o[s:] + np.uint8(s), o[: len(o) - s])
+        x = np.minimum(x[: len(x) - s], x[s:])
         n += s
-    return v, o
+    return x
+
+
+def _ranges(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """n numbers in a row from each first on."""
+    return np.repeat(first - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum()) if len(n) else np.zeros(0, np.int64)
 
 
 @dataclass
-class Parse:
-    """A block's documents in order, and its phrases."""
+class Block:
+    """Documents in the order of their ids: their bytes, where each one's begin and the end, and hashes of all ANCHOR bytes."""
 
     ids: np.ndarray
-    data: np.ndarray
-    at: np.ndarray  # where each document's bytes begin, and the end
-    window: np.ndarray  # hash of the LENGTH bytes from each place on
-    doc: np.ndarray  # of each phrase: document, first and last window, entry
-    first: np.ndarray
-    last: np.ndarray
-    entry: np.ndarray
-    trigger: np.ndarray  # of each entry, a different phrase: trigger, phrase hash (48 bits), least document, an occurrence in it
-    phrase: np.ndarray
-    least: np.ndarray
-    where: np.ndarray
-    hot: np.ndarray
+    raw: bytes
+    at: np.ndarray
+    anchors: np.ndarray
 
     @classmethod
-    def of(cls, ids: np.ndarray, texts: list[str | None]) -> Parse:
-        order = np.lexsort(([t or "" for t in texts], ids)) if len(ids) < 2 or len(np.unique(ids)) < len(ids) else np.argsort(ids)
-        ids = ids[order]
-        raw = [(texts[i] or "").encode("utf-8", "surrogatepass") for i in order]
-        at = np.concatenate(([0], np.cumsum([len(r) for r in raw]))).astype(np.int64)
-        data = np.frombuffer(b"".join(raw), np.uint8)
+    def of(cls, ids: np.ndarray, texts: list[str | None], hashed: bool = True) -> Block:
+        several = len(np.unique(ids)) < len(ids)
+        order = np.lexsort(([t or "" for t in texts], ids)) if several else np.argsort(ids)
+        each = [(texts[i] or "").encode("utf-8", "surrogatepass") for i in order]
+        at = np.concatenate(([0], np.cumsum([len(r) for r in each]))).astype(np.int64)
+        raw = b"".join(each)
+        data = np.frombuffer(raw, np.uint8)
+        anchors = np.zeros(max(0, len(raw) - ANCHOR + 1) if hashed else 0, U)
+        for s in range(0, len(anchors), TILE):
+            e = min(len(anchors), s + TILE)
+            anchors[s:e] = mixed(_rolling(data[s : e + ANCHOR - 1], ANCHOR))
+        return cls(ids[order], raw, at, anchors)
+
+    def phrases(self) -> np.ndarray:
+        """The first window of every phrase, in order."""
+        n = max(0, len(self.raw) - LENGTH + 1)
+        if not n:
+            return np.zeros(0, np.int64)
         width = LENGTH - ANCHOR + 1
-        n = max(0, len(data) - LENGTH + 1)
-        window, value, trig = np.zeros(n, U), np.zeros(n, U), np.zeros(n, np.int32 if n < 1 << 31 else np.int64)
+        inside, new = np.ones(n, bool), np.ones(n, bool)
+        for end in self.at[1:-1]:  # no window goes on into the next document
+            inside[max(0, end - LENGTH + 1) : end] = False
+        before = U(0)
         for s in range(0, n, TILE):
             e = min(n, s + TILE)
-            tile = data[s : e + LENGTH - 1]
-            window[s:e] = _rolling(tile, LENGTH)
-            v, o = _least(mixed(_rolling(tile, ANCHOR)), width)
-            value[s:e], trig[s:e] = v[: e - s], o[: e - s] + np.arange(s, e)
-        p = _ranges(at[:-1], at[1:] - LENGTH)  # windows that lie in one document
-        if not len(p):
-            z, u = np.zeros(0, np.int64), np.zeros(0, U)
-            return cls(ids, data, at, window, z, z, z, z, u, u, z, z, np.zeros(0, bool))
-        new = np.concatenate(([True], (trig[p[1:]] != trig[p[:-1]]) | (p[1:] != p[:-1] + 1)))
-        first = p[new]
-        last = p[np.append(np.flatnonzero(new)[1:] - 1, len(p) - 1)]
-        doc = np.searchsorted(at, first, "right") - 1
-        trigger = value[first] >> U(16)
-        trig = trig.astype(np.int64)[first]
-        del value
-        phrase = mixed(window[first] + mixed(window[last] + ((last - first) * 64 + trig - first).astype(U))) >> U(16)
-        order = np.lexsort((ids[doc], phrase, trigger))
-        t, k = trigger[order], phrase[order]
-        fresh = np.concatenate(([True], (t[1:] != t[:-1]) | (k[1:] != k[:-1])))
-        entry = np.empty(len(order), np.int64)
-        entry[order] = np.cumsum(fresh) - 1
-        where = order[fresh]
-        t, k = t[fresh], k[fresh]
-        head = np.concatenate(([True], t[1:] != t[:-1]))
-        kinds = np.diff(np.append(np.flatnonzero(head), len(t)))
-        return cls(ids, data, at, window, doc, first, last, entry, t, k, ids[doc[where]], where, np.repeat(kinds >= MANY, kinds))
-
-    def sent(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """trigger, phrase, least document of the entries that go to step 1, sorted; a hot trigger's one entry has the document -1."""
-        head = np.concatenate(([True], self.trigger[1:] != self.trigger[:-1])) if len(self.trigger) else self.hot
-        keep = ~self.hot | head
-        hot = self.hot[keep]
-        return self.trigger[keep], np.where(hot, U(0), self.phrase[keep]), np.where(hot, -1, self.least[keep])
-
-    def state(self, answer: np.ndarray) -> np.ndarray:
-        """Of each entry: 0 no window is repeated, 1 all are, 2 ask each one. answer: step 1's, of what was sent."""
-        out = np.full(len(self.trigger), 2, np.uint8)
-        head = np.concatenate(([True], self.trigger[1:] != self.trigger[:-1])) if len(self.trigger) else self.hot
-        out[~self.hot] = answer[~self.hot[~self.hot | head]]
-        return out
-
-    def suffixes(self, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of the windows of the entries in state 2, distinct and sorted, and each one's least document."""
-        w = self.where[state == 2]
-        starts = _ranges(self.first[w], self.last[w])
-        h, d = self.window[starts], self.ids[np.repeat(self.doc[w], self.last[w] - self.first[w] + 1)]
-        order = np.lexsort((d, h))
-        h, d = h[order], d[order]
-        new = np.concatenate(([True], h[1:] != h[:-1])) if len(h) else np.zeros(0, bool)
-        return h[new], d[new]
-
-    def removed(self, state: np.ndarray, hashes: np.ndarray, repeated: np.ndarray, least: np.ndarray) -> np.ndarray:
-        """Which bytes go. hashes, repeated, least: the suffixes, step 2's answers and their least documents here."""
-        d = self.ids[self.doc]
-        whole = (d > self.least[self.entry]) | (state[self.entry] == 1)
-        ask = ~whole & (state[self.entry] == 2)
-        starts = [_ranges(self.first[whole], self.last[whole])]
-        s = _ranges(self.first[ask], self.last[ask])
-        if len(s):
-            at = np.searchsorted(hashes, self.window[s])
-            of = np.repeat(d[ask], self.last[ask] - self.first[ask] + 1)
-            starts.append(s[repeated[at] | (least[at] < of)])
-        s = np.concatenate(starts)
-        edge = np.bincount(s, minlength=len(self.data) + 1) - np.bincount(s + LENGTH, minlength=len(self.data) + 1)
-        return np.cumsum(edge)[: len(self.data)] > 0
-
-
-def _ranges(first: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """All numbers from each first to its last, that included."""
-    n = np.maximum(last - first + 1, 0)
-    return np.repeat(first - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum()) if len(n) else np.zeros(0, np.int64)
+            low = _least(self.anchors[s : e + width - 1], width)
+            new[s:e] = np.concatenate(([s == 0 or low[0] != before], low[1:] != low[:-1]))
+            before = low[-1]
+        new[1:] |= ~inside[:-1]
+        return np.flatnonzero(new & inside)
+
+    def windows(self, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each phrase: its document, and how many windows it has."""
+        doc = np.searchsorted(self.at, first, "right") - 1
+        stop = self.at[doc + 1] - LENGTH + 1
+        return doc, np.minimum(np.append(first[1:], stop[-1:]), stop) - first
+
+    def keys(self, first: np.ndarray) -> np.ndarray:
+        """KEY_BITS bits of each phrase's trigger."""
+        if not len(first):
+            return np.zeros(0, U)
+        low = np.empty(len(first), U)
+        step = TILE // 8
+        for s in range(0, len(first), step):
+            f = first[s : s + step]
+            edges = np.empty(2 * len(f), np.int64)
+            edges[::2], edges[1::2] = f, f + LENGTH - ANCHOR + 1
+            part = self.anchors[: edges[-1] + 1]
+            low[s : s + step] = np.minimum.reduceat(part if edges[-1] < len(part) else np.append(part[f[0] :], U((1 << 64) - 1)), edges if edges[-1] < len(part) else edges - f[0])[::2]
+        return low >> U(64 - KEY_BITS)
 
 
 def _planes(x: np.ndarray, n: int) -> bytes:
     """The lower n bytes of numbers, byte by byte: what is alike stands together."""
-    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8).T[:n]).tobytes()
+    return np.ascontiguousarray(x.astype(U).view(np.uint8).reshape(-1, 8).T[:n]).tobytes()
 
 
 def _numbers(b: bytes, n: int, kind=U) -> np.ndarray:
@@ -189,6 +162,17 @@ def _numbers(b: bytes, n: int, kind=U) -> np.ndarray:
     return out.reshape(-1).view(kind)
 
 
+def _cuts(keys: np.ndarray, parts: int) -> np.ndarray:
+    """Where sorted keys are cut into parts."""
+    return np.searchsorted(_part(keys, parts), np.arange(parts + 1).astype(U))
+
+
+def _part(keys: np.ndarray, parts: int) -> np.ndarray:
+    wide = keys >> U(KEY_BITS - 32) if KEY_BITS > 32 else keys << U(32 - KEY_BITS)
+    return (wide * U(parts)) >> U(32)
+
+
+#: kind 0: for a part, and its answers. kind 1: what a block tells itself, passed through.
 _SENT = "blk int, part int, kind int, payload binary"
 
 
@@ -196,113 +180,223 @@ def _frame(rows: list[tuple]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["blk", "part", "kind", "payload"])
 
 
-def _parse(x: pd.DataFrame) -> Parse:
+def _block(x: pd.DataFrame, hashed: bool = True) -> Block:
     freed()
-    return Parse.of(x["doc_id"].to_numpy(np.int64), x["text"].tolist())
+    return Block.of(x["doc_id"].to_numpy(np.int64), x["text"].tolist(), hashed)
 
 
-def _cuts(hashes: np.ndarray, bits: int, parts: int) -> np.ndarray:
-    """Where sorted hashes of so many bits are cut into parts."""
-    at = ((hashes >> U(bits - 32)) * U(parts)) >> U(32)
-    return np.searchsorted(at, np.arange(parts + 1).astype(U))
+def _own(x: pd.DataFrame) -> bytes:
+    return b"".join(x[x["kind"] == 1]["payload"])
 
 
-def _step1(parts: int):
-    def block(x: pd.DataFrame) -> pd.DataFrame:
-        t, k, d = _parse(x).sent()
-        cut = _cuts(t, 48, parts)
-        blk = int(x["blk"].iloc[0])
-        return _frame([(blk, j, 0, _planes(t[a:b], 6) + _planes(k[a:b], 6) + _planes(d[a:b], 8)) for j, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if b > a])
+def _answers(x: pd.DataFrame) -> list[bytes]:
+    return list(x[x["kind"] == 0].sort_values("part")["payload"])
 
-    return block
 
+def _parse(parts: int):
+    """Each block's triggers, once, and in how many different phrases they stand."""
 
-def _least_in_runs(new: np.ndarray, d: np.ndarray) -> np.ndarray:
-    """The least value of each run, for every member."""
-    first = np.flatnonzero(new)
-    return np.minimum.reduceat(d, first)[np.cumsum(new) - 1] if len(d) else d
+    def block(x: pd.DataFrame) -> pd.DataFrame:
+        b, blk = _block(x), int(x["blk"].iloc[0])
+        first = b.phrases()
+        rows = [(blk, blk % parts, 1, _planes(np.diff(first, prepend=0), 4))]
+        if len(first):
+            key, (_, n) = b.keys(first), b.windows(first)
+            looks = mixed(b.anchors[first] + mixed(b.anchors[first + n - 1 + LENGTH - ANCHOR] + n.astype(U)))
+            order = np.lexsort((looks, key))
+            k, s = key[order], looks[order]
+            head = np.concatenate(([True], k[1:] != k[:-1]))
+            kinds = np.add.reduceat(head | np.concatenate(([True], s[1:] != s[:-1])), np.flatnonzero(head), dtype=np.int64)
+            k, kinds = k[head], np.minimum(kinds, 255).astype(np.uint8)
+            cut = _cuts(k, parts)
+            rows += [(blk, j, 0, _planes(k[a:e], 6) + kinds[a:e].tobytes()) for j, (a, e) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if e > a]
+        return _frame(rows)
+
+    return block
 
 
-def _answer1(x: pd.DataFrame) -> pd.DataFrame:
+def _met(x: pd.DataFrame) -> pd.DataFrame:
+    """For every trigger sent: 0 no other block has it, 1 others have, 2 it is hot."""
     freed()
-    size = [len(p) // 20 for p in x["payload"]]
-    t = np.concatenate([_numbers(p[: 6 * n], 6) for p, n in zip(x["payload"], size, strict=True)])
-    k = np.concatenate([_numbers(p[6 * n : 12 * n], 6) for p, n in zip(x["payload"], size, strict=True)])
-    d = np.concatenate([_numbers(p[12 * n :], 8, np.int64) for p, n in zip(x["payload"], size, strict=True)])
-    order = np.lexsort((k, t))
-    ts, ks, ds = t[order], k[order], d[order]
-    head = np.concatenate(([True], ts[1:] != ts[:-1]))
-    fresh = head | np.concatenate(([True], ks[1:] != ks[:-1]))
-    hot = ds < 0
-    least = _least_in_runs(fresh, np.where(hot, NO_ID, ds))
+    own, x = x[x["kind"] == 1], x[x["kind"] == 0]
+    if not len(x):
+        return own
+    size = [len(p) // 7 for p in x["payload"]]
+    k = np.concatenate([_numbers(p[: 6 * n], 6) for p, n in zip(x["payload"], size, strict=True)])
+    kinds = np.concatenate([np.frombuffer(p[6 * n :], np.uint8) for p, n in zip(x["payload"], size, strict=True)])
+    order = np.argsort(k)
+    ks = k[order]
+    head = np.concatenate(([True], ks[1:] != ks[:-1]))
     first = np.flatnonzero(head)
-    several = (np.add.reduceat(fresh.astype(np.int64), first) > 1) | (np.add.reduceat(hot.astype(np.int64), first) > 0)
-    several = several[np.cumsum(head) - 1]
-    out = np.empty(len(order), np.uint8)
-    out[order] = np.where(hot, 2, np.where(least < ds, 1, np.where(several, 2, 0)))
+    state = np.where(np.add.reduceat(kinds[order], first, dtype=np.int64) > HOT, 2, np.where(np.diff(np.append(first, len(ks))) > 1, 1, 0))
+    out = np.empty(len(k), np.uint8)
+    out[order] = state[np.cumsum(head) - 1]
     at = np.concatenate(([0], np.cumsum(size)))
-    return _frame([(b, j, 0, out[p:q].tobytes()) for b, j, p, q in zip(x["blk"], x["part"], at[:-1], at[1:], strict=True)])
-
+    return pd.concat([own, _frame([(b, j, 0, out[p:q].tobytes()) for b, j, p, q in zip(x["blk"], x["part"], at[:-1], at[1:], strict=True)])])
 
-def _joined(x: pd.DataFrame, kind: int) -> bytes:
-    return b"".join(x[x["kind"] == kind].sort_values("part")["payload"])
 
+def _asked(parts: int):
+    """The phrases of triggers that come several times, each once and for its least document here; and where they stand."""
 
-def _step2(parts: int):
-    def block(x: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+    def block(x: pd.DataFrame, sent: pd.DataFrame) -> pd.DataFrame:
         if not len(x):
             return _frame([])
-        p = _parse(x)
-        blk = int(x["blk"].iloc[0])
-        answer = _joined(answers, 0)
-        h, d = p.suffixes(p.state(np.frombuffer(answer, np.uint8)))
-        cut = _cuts(h, 64, parts)
-        own = [(blk, blk % parts, 1, answer)]
-        return _frame(own + [(blk, j, 2, _planes(h[a:b], 8) + _planes(d[a:b], 8)) for j, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if b > a])
+        b, blk = _block(x), int(x["blk"].iloc[0])
+        first = np.cumsum(_numbers(_own(sent), 4, np.int64))
+        if not len(first):
+            return _frame([(blk, blk % parts, 1, b"")])
+        key, (doc, n) = b.keys(first), b.windows(first)
+        _, kind, times = np.unique(key, return_inverse=True, return_counts=True)
+        state = np.frombuffer(b"".join(_answers(sent)), np.uint8)[kind]
+        ask = (state > 0) | (times[kind] > 1)
+        some = np.flatnonzero(ask & (state < 2))
+        to = _part(key[some], parts).astype(np.int64)
+        # windows of hot triggers, one by one
+        hot = np.flatnonzero(state == 2)
+        alone = _ranges(first[hot], n[hot])
+        f, d = np.concatenate([first[some], alone]), np.concatenate([doc[some], np.repeat(doc[hot], n[hot])])
+        n = np.concatenate([n[some], np.ones(len(alone), np.int64)])
+        raw, found, entry = b.raw, {}, np.empty(len(f), np.int64)
+        for i, (p, q) in enumerate(zip(f.tolist(), (f + n + LENGTH - 1).tolist(), strict=True)):
+            entry[i] = found.setdefault(raw[p:q], len(found))
+        phrases = list(found)
+        del found
+        _, where = np.unique(entry, return_index=True)
+        least = np.full(len(phrases), NO_ID)
+        np.minimum.at(least, entry, b.ids[d])
+        lengths = n[where] + LENGTH - 1
+        to = np.concatenate([to, np.zeros(len(alone), np.int64)])[where]
+        for e in np.flatnonzero(where >= len(some)).tolist():
+            to[e] = (zlib.crc32(phrases[e]) * parts) >> 32
+        order = np.argsort(to, kind="stable")
+        rows = []
+        edge = np.flatnonzero(np.concatenate(([True], np.diff(to[order]) > 0, [True]))) if len(order) else [0]
+        for p, q in zip(edge[:-1], edge[1:], strict=True):
+            g = order[p:q]
+            rows.append((blk, int(to[g[0]]), 0, len(g).to_bytes(4, "little") + _planes(lengths[g], 4) + _planes(least[g], 8) + b"".join([phrases[e] for e in g.tolist()])))
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        told = np.argsort(f, kind="stable")
+        own = len(told).to_bytes(4, "little") + _planes(np.diff(f[told], prepend=0), 4) + _planes(n[told], 4) + _planes(place[entry[told]], 4) + _planes(least[entry[told]], 8)
+        return _frame([*rows, (blk, blk % parts, 1, own)])
 
     return block
 
 
-def _answer2(x: pd.DataFrame) -> pd.DataFrame:
+def repeated(phrases: list[bytes], docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of different phrases and the least document of each: whether a smaller document has the window, for all windows in a row, and where each phrase's begin.
+
+    The suffix array of the dictionary, its suffixes cut to LENGTH bytes. Suffixes whose hash no
+    other has stand alone; the others are sorted by their bytes, then by document.
+    """
+    size = np.array([len(p) for p in phrases], np.int64)
+    n = size - LENGTH + 1
+    begin = np.concatenate(([0], np.cumsum(n)))
+    data = np.frombuffer(b"".join(phrases) + bytes(8), np.uint8)
+    total = len(data) - 8
+    starts = _ranges(np.concatenate(([0], np.cumsum(size)[:-1])), n)
+    word = np.zeros(total, U)
+    for k in range(8):
+        word = (word << U(8)) | data[k : k + total]
+    offsets = [*range(0, LENGTH - 8, 8), LENGTH - 8]
+    h = np.zeros(len(starts), U)
+    for o in offsets:
+        h = mixed(h + word[starts + o])
+    order = np.argsort(h)
+    hs = h[order]
+    same = hs[1:] == hs[:-1]
+    some = order[np.concatenate(([False], same)) | np.concatenate((same, [False]))]
+    del h, hs, order
+    out = np.zeros(len(starts), bool)
+    if len(some):
+        doc = np.repeat(docs, n)[some]
+        words = [word[starts[some] + o] for o in offsets]
+        order = np.lexsort((doc, *words[::-1]))  # the order of the corpus
+        new = np.zeros(len(some), bool)
+        new[0] = True
+        for w in words:
+            w = w[order]
+            new[1:] |= w[1:] != w[:-1]
+        doc = doc[order]
+        out[some[order]] = doc[np.flatnonzero(new)][np.cumsum(new) - 1] < doc
+    return out, begin
+
+
+def _dictionary(x: pd.DataFrame) -> pd.DataFrame:
+    """For every phrase sent: 0 none of its windows is repeated, 1 all are, 2 those of the bits that follow."""
     freed()
-    through = x[x["kind"] == 1]
-    x = x[x["kind"] == 2]
+    own, x = x[x["kind"] == 1], x[x["kind"] == 0]
     if not len(x):
-        return through
-    size = [len(p) // 16 for p in x["payload"]]
-    h = np.concatenate([_numbers(p[: 8 * n], 8) for p, n in zip(x["payload"], size, strict=True)])
-    d = np.concatenate([_numbers(p[8 * n :], 8, np.int64) for p, n in zip(x["payload"], size, strict=True)])
-    order = np.argsort(h, kind="stable")
-    hs, ds = h[order], d[order]
-    out = np.empty(len(order), bool)
-    out[order] = _least_in_runs(np.concatenate(([True], hs[1:] != hs[:-1])), ds) < ds
-    at = np.concatenate(([0], np.cumsum(size)))
-    return pd.concat([through, _frame([(b, j, 2, np.packbits(out[p:q]).tobytes()) for b, j, p, q in zip(x["blk"], x["part"], at[:-1], at[1:], strict=True)])])
-
-
-def _step3(parts: int, with_bytes: bool):
+        return own
+    found: dict[bytes, int] = {}
+    which, docs, ends = [], [], [0]
+    for p in x["payload"]:
+        m = int.from_bytes(p[:4], "little")
+        lengths = _numbers(p[4 : 4 + 4 * m], 4, np.int64)
+        docs.append(_numbers(p[4 + 4 * m : 4 + 12 * m], 8, np.int64))
+        at = (4 + 12 * m + np.concatenate(([0], np.cumsum(lengths)))).tolist()
+        which += [found.setdefault(p[a:e], len(found)) for a, e in zip(at[:-1], at[1:], strict=True)]
+        ends.append(ends[-1] + m)
+    which, docs = np.array(which, np.int64), np.concatenate(docs)
+    least = np.full(len(found), NO_ID)
+    np.minimum.at(least, which, docs)
+    bits, begin = repeated(list(found), least)
+    some = np.add.reduceat(bits, begin[:-1], dtype=np.int64) > 0
+    state = np.where(docs > least[which], 1, np.where(some[which], 2, 0)).astype(np.uint8)
+    rows = []
+    for blk, part, a, e in zip(x["blk"], x["part"], ends[:-1], ends[1:], strict=True):
+        w = which[a:e][state[a:e] == 2]
+        held = bits[_ranges(begin[w], begin[w + 1] - begin[w])]
+        rows.append((blk, part, 0, (e - a).to_bytes(4, "little") + state[a:e].tobytes() + np.packbits(held).tobytes()))
+    return pd.concat([own, _frame(rows)])
+
+
+def _removed(b: Block, own: bytes, answers: list[bytes]) -> np.ndarray:
+    """Which bytes of a block go."""
+    m = int.from_bytes(own[:4], "little")
+    first, n, place = np.cumsum(_numbers(own[4 : 4 + 4 * m], 4, np.int64)), _numbers(own[4 + 4 * m : 4 + 8 * m], 4, np.int64), _numbers(own[4 + 8 * m : 4 + 12 * m], 4, np.int64)
+    least = _numbers(own[4 + 12 * m :], 8, np.int64)
+    if not m:
+        return np.zeros(len(b.raw), bool)
+    counts = [int.from_bytes(p[:4], "little") for p in answers]
+    state = np.concatenate([np.frombuffer(p[4 : 4 + c], np.uint8) for p, c in zip(answers, counts, strict=True)])
+    # of every phrase with bits: where they begin
+    length = np.zeros(len(state), np.int64)
+    length[place] = n
+    asked = np.where(state == 2, length, 0)
+    bits, at, start = [], 0, np.zeros(len(state), np.int64)
+    for p, c, e in zip(answers, counts, np.cumsum(counts).tolist(), strict=True):
+        k = int(asked[e - c : e].sum())
+        start[e - c : e] = at + np.concatenate(([0], np.cumsum(asked[e - c : e])[:-1]))
+        bits.append(np.unpackbits(np.frombuffer(p[4 + c :], np.uint8), count=k).astype(bool))
+        at += k
+    bits = np.concatenate(bits)
+    later = b.ids[np.searchsorted(b.at, first, "right") - 1] > least
+    whole = later | (state[place] == 1)
+    part = ~whole & (state[place] == 2)
+    s = _ranges(first[part], n[part])
+    s = s[bits[_ranges(start[place[part]], n[part])]]
+    edge = np.zeros(len(b.raw) + 1, np.int64)
+    for p, q in ((first[whole], first[whole] + n[whole] + LENGTH - 1), (s, s + LENGTH)):
+        edge += np.bincount(p, minlength=len(edge))
+        edge -= np.bincount(q, minlength=len(edge))
+    return np.cumsum(edge)[:-1] > 0
+
+
+def _result(with_bytes: bool):
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", *["kept"] * with_bytes]
 
-    def block(x: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+    def block(x: pd.DataFrame, sent: pd.DataFrame) -> pd.DataFrame:
         if not len(x):
             return pd.DataFrame({n: [] for n in names})
-        p = _parse(x)
-        state = p.state(np.frombuffer(_joined(answers, 1), np.uint8))
-        h, least = p.suffixes(state)
-        cut = _cuts(h, 64, parts)
-        bits = dict(zip(answers["part"][answers["kind"] == 2], answers["payload"][answers["kind"] == 2], strict=True))
-        repeated = np.zeros(len(h), bool)
-        for j, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)):
-            if b > a:
-                repeated[a:b] = np.unpackbits(np.frombuffer(bits[j], np.uint8), count=b - a).astype(bool)
-        gone = p.removed(state, h, repeated, least)
+        b = _block(x, hashed=False)
+        gone = _removed(b, _own(sent), _answers(sent))
         rows = []
-        for i, doc in enumerate(p.ids):
-            a, b = p.at[i], p.at[i + 1]
-            g = np.concatenate(([False], gone[a:b], [False]))
-            edge = np.flatnonzero(g[1:] != g[:-1])
-            kept = p.data[a:b][~gone[a:b]].tobytes() if len(edge) else p.data[a:b].tobytes()
-            rows.append((doc, b - a, int(b - a - len(kept)), len(edge) // 2, hashlib.sha256(kept).hexdigest(), edge.tolist(), *[kept] * with_bytes))
+        for doc, a, e in zip(b.ids, b.at[:-1].tolist(), b.at[1:].tolist(), strict=True):
+            g = np.concatenate(([False], gone[a:e], [False]))
+            edge = np.flatnonzero(g[1:] != g[:-1]).tolist()
+            kept = b"".join([b.raw[a + p : a + q] for p, q in zip([0, *edge[1::2]], [*edge[::2], e - a], strict=True)])
+            rows.append((doc, e - a, e - a - len(kept), len(edge) // 2, hashlib.sha256(kept).hexdigest(), edge, *[kept] * with_bytes))
         return pd.DataFrame(rows, columns=names)
 
     return block
@@ -311,16 +405,16 @@ def _step3(parts: int, with_bytes: bool):
 def repeats(docs: DataFrame, with_bytes: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (starts and ends in turn), and, if asked for, kept (the bytes left)."""
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    blocks, parts = int(size // BLOCK) + 1, int(size // PART) + 1
+    blocks, triggers, dictionary = (int(size // n) + 1 for n in (BLOCK, TRIGGERS, DICTIONARY))
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text")
     rows = rows.withColumn("blk", F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(blocks)).cast("int"))
-    held = rows.groupBy("blk")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>" + ", kept binary" * with_bytes
-    first = held.applyInPandas(_step1(parts), _SENT).groupBy("part").applyInPandas(_answer1, _SENT)
-    second = rows.groupBy("blk").cogroup(first.groupBy("blk")).applyInPandas(_step2(parts), _SENT).groupBy("part").applyInPandas(_answer2, _SENT)
-    out = rows.groupBy("blk").cogroup(second.groupBy("blk")).applyInPandas(_step3(parts, with_bytes), schema)
+    met = rows.groupBy("blk").applyInPandas(_parse(triggers), _SENT).groupBy("part").applyInPandas(_met, _SENT)
+    answered = rows.groupBy("blk").cogroup(met.groupBy("blk")).applyInPandas(_asked(dictionary), _SENT).groupBy("part").applyInPandas(_dictionary, _SENT)
+    out = rows.groupBy("blk").cogroup(answered.groupBy("blk")).applyInPandas(_result(with_bytes), schema)
     return out.withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")))
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document. Null texts have no bytes, repeated rows equal results, no rows give none."""
     return repeats(read(spark, sf_dir, "documents")).drop("spans")

@@ -128,9 +128,11 @@ def removed(rows, length=repeats.LENGTH):
     return out
 
 
-def test_repeats_against_brute_force(docs, monkeypatch):
-    monkeypatch.setattr(repeats, "BLOCK", 20_000)  # several blocks and parts
-    monkeypatch.setattr(repeats, "PART", 30_000)
+#: Few bits of a trigger: most phrases meet by accident. A low HOT: windows are sent alone.
+@pytest.mark.parametrize("bits,hot", [(48, 20_000), (48, 6), (3, 20_000), (3, 40)])
+def test_repeats_against_brute_force(docs, monkeypatch, bits, hot):
+    for name, value in (("BLOCK", 20_000), ("TRIGGERS", 30_000), ("DICTIONARY", 25_000), ("KEY_BITS", bits), ("HOT", hot)):
+        monkeypatch.setattr(repeats, name, value)  # several blocks and parts
     rng = random.Random(3)
     line, rows = "A line that very many of these documents have in common with each other. ", []
     for i in range(160):
@@ -147,6 +149,15 @@ def test_repeats_against_brute_force(docs, monkeypatch):
     assert got == removed(rows)
 
 
+def test_hash_collisions_remove_nothing(docs, monkeypatch):
+    """With hashes that are all alike, only bytes tell windows apart."""
+    monkeypatch.setattr(repeats, "mixed", lambda x: x & np.uint64(0))
+    rng = random.Random(33)
+    rows = [(i, prose(rng, 30)) for i in range(20)] + [(50, prose(rng, 5) + "the same passage of words that is long enough to go"), (51, "the same passage of words that is long enough to go " + prose(rng, 9))]
+    got = sorted((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in rows_of(repeats.repeats(docs(rows))))
+    assert got == removed(rows) and got[-1][2] >= 50
+
+
 def test_repeats_odd_cases(docs):
     got = rows_of(repeats.repeats(docs([*ODD, (9, "x" * 60), (9, "x" * 60)]), with_bytes=True))
     by = {r["doc_id"]: r for r in got}
