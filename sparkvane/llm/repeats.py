@@ -44,7 +44,7 @@ from sparkvane.llm.words import U, mixed
 
 LENGTH, ANCHOR = 50, 20
 #: Bytes of text in a block, and of all text to a part of the triggers and of the dictionary.
-BLOCK, TRIGGERS, DICTIONARY = 2 << 20, 16 << 20, 4 << 20
+BLOCK, TRIGGERS, DICTIONARY = 2 << 20, 12 << 20, 4 << 20
 #: Phrases of a trigger, over all blocks, from which its windows are sent alone.
 HOT = 20_000
 #: Bits of a trigger's hash that decide who meets; fewer only make more phrases meet.
@@ -148,7 +148,7 @@ class Block:
             edges[::2], edges[1::2] = f, f + LENGTH - ANCHOR + 1
             part = self.anchors[: edges[-1] + 1]
             low[s : s + step] = np.minimum.reduceat(part if edges[-1] < len(part) else np.append(part[f[0] :], U((1 << 64) - 1)), edges if edges[-1] < len(part) else edges - f[0])[::2]
-        return low >> U(64 - KEY_BITS)
+        return mixed(low) >> U(64 - KEY_BITS)  # least values are small ones; mixed they are even
 
 
 def _planes(x: np.ndarray, n: int) -> bytes:
@@ -277,7 +277,7 @@ def _asked(parts: int):
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
         told = np.argsort(f, kind="stable")
-        own = len(told).to_bytes(4, "little") + _planes(np.diff(f[told], prepend=0), 4) + _planes(n[told], 4) + _planes(place[entry[told]], 4) + _planes(least[entry[told]], 8)
+        own = len(told).to_bytes(4, "little") + _planes(np.diff(f[told], prepend=0), 4) + _planes(n[told], 4) + _planes(place[entry[told]], 4) + (b.ids[d] > least[entry])[told].tobytes()
         return _frame([*rows, (blk, blk % parts, 1, own)])
 
     return block
@@ -355,7 +355,7 @@ def _removed(b: Block, own: bytes, answers: list[bytes]) -> np.ndarray:
     """Which bytes of a block go."""
     m = int.from_bytes(own[:4], "little")
     first, n, place = np.cumsum(_numbers(own[4 : 4 + 4 * m], 4, np.int64)), _numbers(own[4 + 4 * m : 4 + 8 * m], 4, np.int64), _numbers(own[4 + 8 * m : 4 + 12 * m], 4, np.int64)
-    least = _numbers(own[4 + 12 * m :], 8, np.int64)
+    later = np.frombuffer(own[4 + 12 * m :], bool)
     if not m:
         return np.zeros(len(b.raw), bool)
     counts = [int.from_bytes(p[:4], "little") for p in answers]
@@ -371,7 +371,6 @@ def _removed(b: Block, own: bytes, answers: list[bytes]) -> np.ndarray:
         bits.append(np.unpackbits(np.frombuffer(p[4 + c :], np.uint8), count=k).astype(bool))
         at += k
     bits = np.concatenate(bits)
-    later = b.ids[np.searchsorted(b.at, first, "right") - 1] > least
     whole = later | (state[place] == 1)
     part = ~whole & (state[place] == 2)
     s = _ranges(first[part], n[part])
