@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: White space as Python's str.strip and str.split see it.
 WHITE = r"[\s\x1c-\x1f]"
@@ -33,6 +34,41 @@ def said(x: Column) -> Column:
     return F.coalesce(x.cast("string"), F.lit("None"))
 
 
+def rendered(x: Column, kind: T.DataType) -> Column:
+    """A value as Python's str() writes it: a text is itself, structs and maps are dicts, arrays lists; a null stays null.
+
+    Floating-point numbers are written as Spark casts them, which is the same from 1e-3 to 1e7.
+    """
+    return x if isinstance(kind, T.StringType) else _written(x, kind)
+
+
+def _written(x: Column, kind: T.DataType) -> Column:
+    inner = lambda v, k: F.coalesce(_quoted(v) if isinstance(k, T.StringType) else _written(v, k), F.lit("None"))
+    if isinstance(kind, T.StructType):
+        made = F.concat(F.lit("{"), F.concat_ws(", ", *[F.concat(_quoted(F.lit(f.name)), F.lit(": "), inner(x[f.name], f.dataType)) for f in kind.fields]), F.lit("}"))
+    elif isinstance(kind, T.MapType):
+        each = F.transform(F.map_entries(x), lambda e: F.concat(inner(e["key"], kind.keyType), F.lit(": "), inner(e["value"], kind.valueType)))
+        made = F.concat(F.lit("{"), F.array_join(each, ", "), F.lit("}"))
+    elif isinstance(kind, T.ArrayType):
+        made = F.concat(F.lit("["), F.array_join(F.transform(x, lambda v: inner(v, kind.elementType)), ", "), F.lit("]"))
+    elif isinstance(kind, T.BooleanType):
+        made = F.when(x, "True").otherwise("False")
+    else:
+        made = x.cast("string")
+    return F.when(x.isNotNull(), made)
+
+
+def _quoted(x: Column) -> Column:
+    """A text in quotes: single ones, or double ones where only that saves escapes; control characters escaped."""
+    plain = F.replace(x, F.lit("\\"), F.lit("\\\\"))
+    shown = plain
+    for c in [*range(32), 127]:
+        shown = F.replace(shown, F.lit(chr(c)), F.lit({9: "\\t", 10: "\\n", 13: "\\r"}.get(c, f"\\x{c:02x}")))
+    plain = F.when(x.rlike(r"[\x00-\x1f\x7f]"), shown).otherwise(plain)
+    double = x.contains("'") & ~x.contains('"')
+    return F.when(double, F.concat(F.lit('"'), plain, F.lit('"'))).otherwise(F.concat(F.lit("'"), F.replace(plain, F.lit("'"), F.lit("\\'")), F.lit("'")))
+
+
 def track_line(name: Column, artist: Column, album: Column, release: Column, tags: Column) -> Column:
     """`"NAME" by ARTIST (ALBUM, YEAR) [tags: ...]`, each part but the first only where there is something in it; five tags."""
     n, a, b, y = first(name), first(artist), first(album), year(first(release))

@@ -26,11 +26,16 @@ def last_turn(sessions: DataFrame) -> DataFrame:
 
 
 def judged(triples: DataFrame, tracks: DataFrame, rules: CurationRules) -> DataFrame:
-    """triples (user_query, music_id, assistant_raw, ...) with cleaned and reason, and the track's columns."""
+    """triples (user_query, music_id, assistant_raw, ...) with cleaned and reason, and the track's columns.
+
+    Either comes from a generator of one row, so that a later filter on the reason can't pull copies of
+    the patterns below it: each is evaluated once for a row.
+    """
     catalog = tracks.withColumn("__known", F.lit(True))
     out = triples.join(catalog, F.col("music_id") == F.col("track_id"), "left")
-    out = out.withColumn("cleaned", strip_warm_opener(F.col("assistant_raw"), rules))
-    return out.withColumn("reason", reason(F.col("user_query"), F.col("music_id"), F.col("assistant_raw"), F.col("__known").isNotNull(), F.col("cleaned"), rules)).drop("__known")
+    out = out.select("*", F.explode(F.array(strip_warm_opener(F.col("assistant_raw"), rules))).alias("cleaned"))
+    found = reason(F.col("user_query"), F.col("music_id"), F.col("assistant_raw"), F.col("__known").isNotNull(), F.col("cleaned"), rules)
+    return out.select("*", F.explode(F.array(found)).alias("reason")).drop("__known")
 
 
 def funnel_stats(rows: DataFrame) -> DataFrame:

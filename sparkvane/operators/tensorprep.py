@@ -1,4 +1,4 @@
-"""Token rows for training: chat template, masks, padding, exact evaluation split."""
+"""Token rows for training: chat template, masks, batches, padding, exact evaluation split."""
 
 from __future__ import annotations
 
@@ -79,16 +79,47 @@ def padded(rows: DataFrame, batch: Column, pad: int) -> DataFrame:
     return made.drop(*n, "__most").withColumnsRenamed({f"__{c}": c for c in n})
 
 
+def shuffled(key: str, seed: int) -> Column:
+    """32 hexadecimal digits that put rows in a seeded order."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
+
+
+def batched(rows: DataFrame, key: str, size: int, seed: int) -> DataFrame:
+    """rows and batch: `size` rows in each, but for the last one, in a seeded order of a unique key.
+
+    Rows are numbered within 4096 parts of the order, and the parts' numbers of rows are summed up.
+    """
+    held = rows.withColumn("__h", shuffled(key, seed)).withColumn("__part", F.substring("__h", 1, 3))
+    before = F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1))
+    counts = held.groupBy(F.col("__part").alias("__p")).agg(F.count("*").alias("__n")).select("__p", F.coalesce(before, F.lit(0)).alias("__before"))  # 4096 rows
+    nth = F.row_number().over(Window.partitionBy("__part").orderBy("__h", key)) - 1
+    held = held.withColumn("__nth", nth).join(F.broadcast(counts), F.col("__part") == F.col("__p"))
+    return held.withColumn("batch", F.floor((F.col("__before") + F.col("__nth")) / size)).drop("__h", "__part", "__p", "__before", "__nth")
+
+
+#: Rows that are sorted at most to find where the evaluation rows end.
+FEW = 10_000
+
+
 def eval_split(rows: DataFrame, key: str, fraction: float, seed: int, least: int = 50) -> DataFrame:
-    """rows and split: exactly ceil(n * fraction) rows are eval, those with the least hashes, if there are `least` rows at all.
+    """rows and split: exactly ceil(n * fraction) rows are eval, those first in a seeded order, if there are `least` rows at all.
 
-    The hash at which eval ends is found by a top-k; no window over all rows.
+    Where eval ends is found digit by digit: rows are counted by three more digits of their hash, within
+    the part that holds the last eval row, until few rows are left of it. No window or sort over all rows.
     """
-    hashed = rows.withColumn("__h", F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))))
+    hashed = rows.withColumn("__h", shuffled(key, seed))
     n = rows.count()
     k = math.ceil(n * fraction) if fraction > 0 and n >= least else 0
     if not k:
         return hashed.withColumn("split", F.lit("train")).drop("__h")
+    prefix, left, size = "", k, n
+    while size > FEW and len(prefix) < 30:
+        part = hashed.where(F.col("__h").startswith(prefix)).groupBy(F.substring("__h", len(prefix) + 1, 3).alias("p")).count()
+        for p, size in sorted(tuple(r) for r in part.collect()):  # 4096 rows at most
+            if left <= size:
+                prefix += p
+                break
+            left -= size
     order = F.struct("__h", F.col(key))
-    last = hashed.select(order.alias("o")).orderBy("o").limit(k).agg(F.max("o").alias("__last"))
-    return hashed.crossJoin(F.broadcast(last)).withColumn("split", F.when(order <= F.col("__last"), "eval").otherwise("train")).drop("__h", "__last")
+    last = hashed.where(F.col("__h").startswith(prefix)).select(order.alias("o")).orderBy("o").limit(left).agg(F.max("o").alias("__last"))
+    return hashed.crossJoin(F.broadcast(last)).withColumn("split", F.when(order <= F.col("__last"), "eval").otherwise("train")).drop("__h", "__last")  # last is one row

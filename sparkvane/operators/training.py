@@ -14,8 +14,15 @@ TARGETS = {
 }
 
 
+def device(cuda: bool, mps: bool) -> tuple[str, str]:
+    """Where a trainer or model runs and in which numbers, by what the machine has."""
+    return ("cuda", "bfloat16") if cuda else ("mps", "float32") if mps else ("cpu", "float32")
+
+
 @dataclass(frozen=True)
 class TrainingConfig:
+    # The defaults.
+
     base_model: str
     epochs: float = 1.0
     learning_rate: float = 1e-4
@@ -28,6 +35,7 @@ class TrainingConfig:
     eval_fraction: float = 0.02
     targets: str = "attn"
     seed: int = 42
+    dtype: str = "float32"
 
     def __post_init__(self):
         if self.targets not in TARGETS:
@@ -38,7 +46,7 @@ class TrainingConfig:
         out = asdict(self) | {"targets": TARGETS[self.targets], "n_train": n_train, "n_eval": n_eval}
         # fixed values of the schedule
         out |= {"scheduler": "cosine", "warmup_ratio": 0.03, "logging_steps": 10, "save_steps": 200, "save_total_limit": 2, "bias": "none", "task": "CAUSAL_LM"}
-        out |= {"gradient_checkpointing": True, "tokens_are_ready": True}
+        out |= {"gradient_checkpointing": True, "tokens_are_ready": True, "bf16": self.dtype == "bfloat16", "fp16": False, "report_to": []}
         return out | ({"eval_strategy": "steps", "eval_steps": 100} if n_eval else {"eval_strategy": "no"})
 
 

@@ -21,7 +21,7 @@ def violations(raw: DataFrame, expected: int = 80, n_ids: int = 20) -> DataFrame
     response = F.coalesce(get("predicted_response"), F.lit(""))
     tests = {
         "V03": F.size(F.array_except(F.array(*map(F.lit, REQUIRED)), keys)) > 0,
-        "V04": ~get("turn_number").rlike(r"^(-?\d+|true|false)$") | (kind("turn_number") == '"'),
+        "V04": F.array_contains(keys, "turn_number") & (~F.coalesce(get("turn_number").rlike(r"^(-?\d+|true|false)$"), F.lit(False)) | (kind("turn_number") == '"')),
         "V05": F.size(ids) != n_ids,
         "V06": F.size(F.array_distinct(ids)) != n_ids,
         "V07": (kind("predicted_response") != '"') | (py_strip(response) == ""),

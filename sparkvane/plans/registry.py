@@ -8,10 +8,11 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkvane.functions.rules import CLOSERS, REASONS, CurationRules, strip_warm_opener
-from sparkvane.functions.text import CANDIDATES_HEAD, corpus_text, metadata_text, profile_text, track_line
+from sparkvane.functions.rules import APOLOGY, BANNED, CLOSERS, HALLUCINATION, REASONS, WARM_ANYWHERE, WARM_START, CurationRules, strip_warm_opener
+from sparkvane.functions.text import CANDIDATES_HEAD, corpus_text, metadata_text, profile_text, rendered, track_line
 from sparkvane.operators import bm25, curate, prompts, responder, tensorprep, validate
 from sparkvane.plans import fixtures as fx
+from sparkvane.plans import runner
 from sparkvane.sources import tables
 
 RULES = CurationRules.fixture()
@@ -56,6 +57,14 @@ def ordered_dedupe_top3(spark, sf_dir):
     return lists.select("qid", _text(F.transform("hits", lambda x: x.cast("string"))).alias("hits"), _text(F.transform(F.slice("hits", 1, FIRST), lambda x: x.cast("string"))).alias("top3"))
 
 
+def bm25_catalog_top20(spark, sf_dir):
+    """Transcripts against the track catalog, both whole: what the engine does for a test set. Sessions of unknown tracks can't be asked."""
+    tracks = fx.tracks(spark, sf_dir)
+    index = bm25.build(tracks.select("track_id", corpus_text({f: F.col(f) for f in FIELDS}).alias("text")), "track_id", "text")
+    found = bm25.search(index, strict_transcript(spark, sf_dir), "session_id", "transcript", TOP)
+    return _ranked(found).withColumnRenamed("doc_id", "track_id")
+
+
 def turn1_pivot(spark, sf_dir):
     return curate.first_turn(fx.sessions(spark, sf_dir)).select(F.concat("session_id", F.lit("_t1")).alias("session_id"), "user_query", "music_id", "assistant_raw")
 
@@ -68,8 +77,15 @@ def transcript(spark, sf_dir):
     return prompts.transcripts(fx.sessions(spark, sf_dir), fx.tracks(spark, sf_dir), strict=False)
 
 
+def strict_transcript(spark, sf_dir):
+    """Transcripts with the error for unknown tracks in place, of the sessions whose track is known."""
+    sessions, tracks = fx.sessions(spark, sf_dir), fx.tracks(spark, sf_dir)
+    known = curate.first_turn(sessions).join(tracks, F.col("music_id") == F.col("track_id"), "left_semi")
+    return prompts.transcripts(known.select("session_id", "conversations"), tracks)
+
+
 def warm_strip(spark, sf_dir):
-    return fx.short_corpus(spark, sf_dir).select("doc_id", strip_warm_opener(F.col("text"), RULES).alias("stripped"))
+    return tables.spread(fx.short_corpus(spark, sf_dir)).select("doc_id", strip_warm_opener(F.col("text"), RULES).alias("stripped"))
 
 
 def _judged(spark, sf_dir):
@@ -84,6 +100,11 @@ def funnel_reason_rows(spark, sf_dir):
     return _judged(spark, sf_dir).select("session_id", "reason")
 
 
+def funnel_default_lexicon(spark, sf_dir):
+    """The funnel by the default patterns."""
+    return curate.judged(fx.phrased(spark, sf_dir), fx.tracks(spark, sf_dir), CurationRules()).select("session_id", "reason", F.md5("cleaned").alias("cleaned_md5"))
+
+
 def sft_rows(spark, sf_dir):
     return curate.sft_rows(_judged(spark, sf_dir), fx.users(spark, sf_dir), fx.PERSONA, fx.RULES_TEXT)
 
@@ -92,6 +113,19 @@ def track_lines(spark, sf_dir):
     return fx.tracks(spark, sf_dir).select("track_id", track_line(*[F.col(f) for f in FIELDS], F.col("tag_list")).alias("line"))
 
 
+def scalar_track_lines(spark, sf_dir):
+    return fx.scalar_tracks(spark, sf_dir).select("track_id", track_line(*[F.col(f) for f in FIELDS], F.col("tag_list")).alias("line"))
+
+
+def dict_goals(spark, sf_dir):
+    held = fx.goals(spark, sf_dir)
+    return held.select("track_id", rendered(F.col("goal"), held.schema["goal"].dataType).alias("goal"))
+
+
+def sample_preview(spark, sf_dir):
+    return runner.sample(sft_rows(spark, sf_dir))
+
+
 def metadata(spark, sf_dir):
     return fx.tracks(spark, sf_dir).select("track_id", metadata_text(F.col("track_id"), {f: F.col(f) for f in FIELDS}).alias("metadata"))
 
@@ -118,6 +152,12 @@ def infer_prompt(spark, sf_dir):
     return prompts.inference_prompts(fx.sessions(spark, sf_dir), fx.users(spark, sf_dir), _picks(spark, sf_dir), fx.tracks(spark, sf_dir), fx.PERSONA, fx.RULES_TEXT)
 
 
+def generation_inputs(spark, sf_dir):
+    last = curate.last_turn(fx.sessions(spark, sf_dir)).select("session_id", "query")
+    made = responder.generation_inputs(infer_prompt(spark, sf_dir).join(last, "session_id"), tensorprep.word_tokenizer())
+    return made.select("session_id", F.md5("input_text").alias("input_md5"), _text(F.transform("input_ids", lambda x: x.cast("string"))).alias("input_ids"))
+
+
 def responses(spark, sf_dir):
     return responder.respond(infer_prompt(spark, sf_dir))
 
@@ -130,7 +170,7 @@ def catalog_miss(spark, sf_dir):
     return miss.unionByName(hit)
 
 
-MAX_LENGTH, PAD = 96, 0
+MAX_LENGTH, PAD, BATCH, SEED = 2048, 0, 8, 42
 
 
 def _tokens(spark, sf_dir):
@@ -153,7 +193,7 @@ def mask_drop_counts(spark, sf_dir):
 
 def padded_batches(spark, sf_dir):
     rows = tensorprep.learnable(_tokens(spark, sf_dir))
-    return _as_text(tensorprep.padded(rows, F.floor(F.col("session_id").cast("long") / 8), PAD), "session_id", "batch")
+    return _as_text(tensorprep.padded(tensorprep.batched(rows, "session_id", BATCH, SEED), F.col("batch"), PAD), "session_id", "batch")
 
 
 def eval_split(spark, sf_dir):
@@ -180,7 +220,7 @@ def _predictions(spark, sf_dir):
     q = F.col("qid")
     ids = F.transform("hits", lambda x: x.cast("string"))
     ids = F.when(q % 10 == 1, F.slice(ids, 1, 19)).when(q % 10 == 2, F.concat(F.slice(ids, 1, 19), F.slice(ids, 1, 1))).otherwise(ids)
-    turn = F.when(q % 10 == 3, F.lit('"1"')).otherwise(F.lit("1"))
+    turn = F.when(q % 10 == 3, F.lit('"1"')).when(q % 10 == 7, F.lit("null")).otherwise(F.lit("1"))
     body = F.when(q % 10 == 4, F.lit("  ")).otherwise(F.lit("Try it."))
     user = F.when(q % 10 == 5, F.lit("")).otherwise(F.lit('"user_id": "u", '))
     session = F.when(q % 10 == 6, q - 1).otherwise(q).cast("string")
@@ -199,29 +239,28 @@ def first_violation(spark, sf_dir):
 def head_limit(spark, sf_dir):
     """max_rows: the first n rows, none for 0; subset: the first n rows, all for 0."""
     d = fx.read(spark, sf_dir, "documents").select("doc_id")
-    def parts(n, zero_is_all):
-        return d if n == 0 and zero_is_all else d.orderBy("doc_id").limit(n)
     out = None
-    for name, n, zero_is_all in (("max_rows_0", 0, False), ("max_rows_7", 7, False), ("subset_0", 0, True), ("subset_7", 7, True)):
-        one = parts(n, zero_is_all).agg(F.count("*").alias("n"), F.coalesce(F.sum("doc_id"), F.lit(0)).alias("ids")).select(F.lit(name).alias("name"), "n", "ids")
-        out = one if out is None else out.unionByName(one)
+    for name, n in (("max_rows_0", 0), ("max_rows_7", 7), ("subset_0", 0 or None), ("subset_7", 7 or None)):
+        held = runner.head(d, n, "doc_id").agg(F.count("*").alias("n"), F.coalesce(F.sum("doc_id"), F.lit(0)).alias("ids")).select(F.lit(name).alias("name"), "n", "ids")
+        out = held if out is None else out.unionByName(held)
     return out
 
 
 def json_roundtrip(spark, sf_dir):
     """Predictions written as one JSON list and read again. Driver-side: the result of a few queries."""
     rows = _predictions(spark, sf_dir).select(F.from_json("raw", tables.PREDICTIONS).alias("p")).select("p.*")
-    path = f"{tempfile.mkdtemp()}/prediction.json"
-    tables.write_json_array(rows, path, ["session_id", "predicted_response", "turn_number"])
-    with open(path, encoding="utf-8") as f:
-        back = json.load(f)
+    with tempfile.TemporaryDirectory() as folder:
+        path = f"{folder}/prediction.json"
+        tables.write_json_array(rows, path, ["session_id", "predicted_response", "user_id", "turn_number"])
+        with open(path, encoding="utf-8") as f:
+            back = json.load(f)
     return spark.createDataFrame([(i, json.dumps(x, ensure_ascii=False, sort_keys=True)) for i, x in enumerate(back)], "ordinal long, raw string")
 
 
 def zip_listing(spark, sf_dir):
-    folder = tempfile.mkdtemp()
-    tables.write_json_array(_predictions(spark, sf_dir).select("raw"), f"{folder}/p.json", ["raw"])
-    return spark.createDataFrame([(n,) for n in tables.write_zip(f"{folder}/p.json", f"{folder}/p.zip")], "member string")
+    with tempfile.TemporaryDirectory() as folder:
+        tables.write_json_array(_predictions(spark, sf_dir).select("raw"), f"{folder}/p.json", ["raw"])
+        return spark.createDataFrame([(n,) for n in tables.write_zip(f"{folder}/p.json", f"{folder}/p.zip")], "member string")
 
 
 # --- DuckDB ---------------------------------------------------------------------------------------
@@ -229,11 +268,11 @@ def zip_listing(spark, sf_dir):
 _STOP = ", ".join(f"'{w}'" for w in bm25.STOPWORDS)
 
 
-def _bm25_sql(queries: str, k: int) -> str:
-    """CTEs up to `ranked`: qid, doc, score, rank. queries: SQL of (qid, text)."""
+def _bm25_sql(queries: str, k: int, corpus: str = "select doc_id as doc, text from documents") -> str:
+    """CTEs up to `ranked`: qid, doc, score, rank. queries: SQL of (qid, text); corpus: of (doc, text)."""
     words = lambda t: f"list_filter(regexp_extract_all(lower({t}), '[\\p{{L}}\\p{{N}}_]{{2,}}'), lambda w: w not in ({_STOP}))"
     return f"""
-tok as (select doc_id as doc, {words('text')} as w from documents),
+tok as (select doc, {words('text')} as w from ({corpus})),
 lens as (select doc, len(w) as dl from tok),
 post as (select doc, term, count(*) as tf from (select doc, unnest(w) as term from tok) group by all),
 dfs as (select term, count(*) as df from post group by term),
@@ -257,29 +296,41 @@ def _quote(p: str) -> str:
     return "'" + p.replace("'", "''") + "'"
 
 
-def _warm_sql(source: str, key: str, text: str) -> str:
+#: \b next to any letter, for an engine whose \b knows ASCII alone.
+_LEFT, _RIGHT = r"(^|[^\p{L}\p{N}_])", r"($|[^\p{L}\p{N}_])"
+
+
+def _default_rules() -> CurationRules:
+    """The default patterns in DuckDB's syntax; two openers end in a space, and a word must follow."""
+    whole = lambda p: _LEFT + p.removeprefix(r"\b").removesuffix(r"\b") + _RIGHT
+    start = WARM_START.replace(r"right\s+(on)?|", r"right\s+on|").replace(r"here[’']?s\s+|", "").removesuffix(r"\b") + _RIGHT
+    return CurationRules(banned=whole(BANNED), apology=whole(APOLOGY), hallucination=whole(HALLUCINATION), warm_anywhere=whole(WARM_ANYWHERE), warm_start=rf"({start}|^\s*(right\s+|here[’']?s\s+)[\p{{L}}\p{{N}}_])")
+
+
+def _warm_sql(source: str, key: str, text: str, rules: CurationRules = RULES) -> str:
     """CTEs w0 to w4 of (key, x)."""
     out = [f"w0 as (select {key}, {_STRIP(text)} as x from {source})"]
     for i in range(4):
         out.append(f"""s{i} as (select {key}, x, regexp_extract(x, '^([\\s\\S]*?[.!?]["”’'']?(?:\\s+|$))', 1) as sent from w{i}),
-w{i + 1} as (select {key}, case when sent <> '' and (regexp_matches({_STRIP('sent')}, {_quote('(?i)' + RULES.warm_anywhere)}) or regexp_matches({_STRIP('sent')}, {_quote('(?i)' + RULES.warm_start)})) then {_STRIP('substr(x, length(sent) + 1)')} else x end as x from s{i})""")
+w{i + 1} as (select {key}, case when sent <> '' and (regexp_matches({_STRIP('sent')}, {_quote('(?i)' + rules.warm_anywhere)}) or regexp_matches({_STRIP('sent')}, {_quote('(?i)' + rules.warm_start)})) then {_STRIP('substr(x, length(sent) + 1)')} else x end as x from s{i})""")
     return ",\n".join(out)
 
 
-def _funnel_sql() -> str:
+def _funnel_sql(rules: CurationRules = RULES, source: str = "triples") -> str:
     has = lambda p: f"regexp_matches(x, {_quote('(?i)' + p)})"
     tests = [
         "coalesce(user_query, '') = ''", "coalesce(t.music_id, '') = ''", "coalesce(assistant_raw, '') = ''", "name is null",
         f"lower({_STRIP('assistant_raw')}) in ('unknown message', '', 'none')",
-        f"case when x = '' then 0 else len(regexp_split_to_array(x, '\\s+')) end < {RULES.min_words}",
-        has(RULES.banned), has(RULES.apology), has(RULES.hallucination), f"not regexp_matches(x, {_quote(RULES.citation)})",
+        f"case when x = '' then 0 else len(regexp_split_to_array(x, '\\s+')) end < {rules.min_words}",
+        has(rules.banned), has(rules.apology), has(rules.hallucination), f"not regexp_matches(x, {_quote(rules.citation)})",
         "right(regexp_replace(x, '\\s+$', ''), 1) not in (" + ", ".join(map(_quote, CLOSERS)) + ")",
     ]
     case = " ".join(f"when {t} then '{r}'" for t, r in zip(tests, REASONS, strict=True))
     return f"""{fx.TRACKS_SQL},
 {fx.TRIPLES_SQL},
-{_warm_sql('triples', 'session_id', 'assistant_raw')},
-judged as (select t.*, x, tracks.*, case {case} else 'kept' end as reason from triples t join w4 using (session_id) left join tracks on t.music_id = track_id)"""
+{fx.PHRASED_SQL},
+{_warm_sql(source, 'session_id', 'assistant_raw', rules)},
+judged as (select t.*, x, tracks.*, case {case} else 'kept' end as reason from {source} t join w4 using (session_id) left join tracks on t.music_id = track_id)"""
 
 
 _HEAD = f"{_quote(fx.PERSONA.strip())} || chr(10) || chr(10) || {_quote(fx.RULES_TEXT.strip())}"
@@ -293,13 +344,31 @@ select session_id || '_t1' as session_id, user_query, music_id, {_HEAD} || {_ABO
 from judged left join users using (user_id) where reason = 'kept'"""
 
 
+def _infer_sql() -> str:
+    return f"""with {fx.TRACKS_SQL}, {fx.USERS_SQL}, ss as (select distinct conv_id as s from conversations where role <> 'system'),
+picks as (select s, r, cast((s * 37 + r * 600) % 2500 as varchar) as track_id from ss, (select unnest([1, 2, 3]) as r)),
+known as (select s, row_number() over (partition by s order by r) as i, {fx.LINE} as line from picks join tracks using (track_id)),
+shown as (select s, string_agg(i || '. ' || line, chr(10) order by i) as body from known group by s),
+held as (select s, profile, case when s % 3 = 0 then 'mood ' || s end as goal, coalesce(body, '') as body from ss left join shown using (s) left join users on user_id = cast(s * 11 % 2000 as varchar))
+select cast(s as varchar) as session_id, {_HEAD} || {_ABOUT} || {_CANDIDATES} || body as system_prompt from held"""
+
+
 _PIVOT = "arg_min(content, pos) filter (where role = '{0}' and turn_number = 1)"
 _LINES = """lines as (select s, pos, case when role = 'music' then 'assistant: ' || coalesce({0}, content) else role || ': ' || content end as line from messages left join tracks on role = 'music' and content = track_id),
 transcript as (select cast(s as varchar) as session_id, string_agg(line, chr(10) order by pos) as transcript from lines group by s)""".format(fx.META)
 
 
+#: The corpus text of a track; the transcripts of sessions whose track is known.
+_CORPUS = "'track_name: ' || name || chr(10) || 'artist_name: ' || artist || chr(10) || 'album_name: ' || album || chr(10) || 'release_date: ' || release || chr(10)"
+_KNOWN = f"select session_id as qid, transcript as text from transcript where session_id in (select cast(s as varchar) from messages group by s having {_PIVOT.format('music')} in (select track_id from tracks))"
+
+
+def _ids(text: str) -> str:
+    return f"list_transform(regexp_extract_all({text}, '[^ \\n]+'), lambda w: cast(('0x' || substr(md5(w), 1, 8)) as bigint) % 50000)"
+
+
 def _tokens_sql() -> str:
-    ids = lambda t: f"list_transform(regexp_extract_all({t}, '[^ \\n]+'), lambda w: cast(('0x' || substr(md5(w), 1, 8)) as bigint) % 50000)"
+    ids = _ids
     return f"""{fx.MESSAGES_SQL},
 t as (select cast(s as varchar) as session_id, {_PIVOT.format('user')} as u, {_PIVOT.format('assistant')} as a from messages group by s),
 pre as (select session_id, a, '<|im_start|>system' || chr(10) || 'Be brief.<|im_end|>' || chr(10) || '<|im_start|>user' || chr(10) || u || '<|im_end|>' || chr(10) as p from t where u is not null and a is not null),
@@ -319,7 +388,7 @@ pred as (
 bad as (
   select -1 as ordinal, 'V02' as rule from pred having count(*) <> 80
   union all select qid, 'V03' from pred where m = 5
-  union all select qid, 'V04' from pred where m = 3
+  union all select qid, 'V04' from pred where m in (3, 7)
   union all select qid, 'V05' from pred where len(ids) <> 20
   union all select qid, 'V06' from pred where len(list_distinct(ids)) <> 20
   union all select qid, 'V07' from pred where m = 4
@@ -332,6 +401,22 @@ filled as (select q.qid, l.doc, coalesce(s.score, 0) as score from q cross join
 select qid, doc as doc_id, round(cast(score as double), 6) as score, rank from (select *, row_number() over (partition by qid order by score desc, doc) as rank from filled) where rank <= {TOP}""",
         "bm25_transcript_top20": f"with {fx.TRACKS_SQL}, {fx.MESSAGES_SQL}, {_LINES}, {_bm25_sql('select session_id as qid, transcript as text from transcript', TOP)} {_RANKED}",
         "ordered_dedupe_top3": f"with {_bm25_sql(_ITEMS, DEEP)} select qid, string_agg(cast(doc as varchar), ',' order by rank) filter (where rank <= {TOP}) as hits, string_agg(cast(doc as varchar), ',' order by rank) filter (where rank <= {FIRST}) as top3 from ranked group by qid",
+        "bm25_catalog_top20": f"with {fx.TRACKS_SQL}, {fx.MESSAGES_SQL}, {_LINES}, {_bm25_sql(_KNOWN, TOP, f'select track_id as doc, {_CORPUS} as text from tracks')} select qid, doc as track_id, round(cast(score as double), 6) as score, rank from ranked",
+        "strict_transcript": f"with {fx.TRACKS_SQL}, {fx.MESSAGES_SQL}, {_LINES} select qid as session_id, text as transcript from ({_KNOWN})",
+        "funnel_default_lexicon": f"with {_funnel_sql(_default_rules(), 'phrased')} select session_id, reason, md5(x) as cleaned_md5 from judged",
+        "scalar_track_lines": """select cast(p_partkey as varchar) as track_id, '"' || p_name || '" by ' || p_brand || ' (' || case when p_partkey % 2 = 1 then p_type || ', ' else '' end || (p_size + 1990) || ')' || case when p_partkey % 2 = 1 then ' [tags: ' || p_type || ']' else '' end as line from part""",
+        "dict_goals": fx.GOALS_SQL,
+        "sample_preview": f"select left(user_query, 200) as user_query, music_id, left(assistant_response, 300) as assistant_response from ({_sft_sql()}) order by session_id limit 1",
+        "generation_inputs": f"""with asked as (with {fx.MESSAGES_SQL} select cast(s as varchar) as session_id, arg_max(content, pos) as query from messages group by s),
+shown as (select session_id, '<|im_start|>system' || chr(10) || system_prompt || '<|im_end|>' || chr(10) || '<|im_start|>user' || chr(10) || query || '<|im_end|>' || chr(10) || '<|im_start|>assistant' || chr(10) as t from ({_infer_sql()}) join asked using (session_id))
+select session_id, md5(t) as input_md5, array_to_string({_ids('t')}[1:3072], ',') as input_ids from shown""",
+        "responses": f"""select session_id, case when line = '' then {_quote(responder.EMPTY_RESPONSE)} else 'Try ' || line || '.' end as predicted_response
+from (select session_id, regexp_extract(system_prompt, '\\n1\\. ([^\\n]*)', 1) as line from ({_infer_sql()}))""",
+        "json_roundtrip": f"""with {preds},
+said as (select cast(s as varchar) as s, ids, case when m = 4 then '  ' else 'Try it.' end as body, case when m in (3, 7) then null else 1 end as turn, case when m = 5 then null else 'u' end as u from pred)
+select row_number() over (order by s, body, u nulls first, turn nulls first) - 1 as ordinal,
+  '{{"predicted_response": "' || body || '", "predicted_track_ids": [' || array_to_string(list_transform(ids, lambda x: '"' || x || '"'), ', ') || '], "session_id": "' || s || '", "turn_number": ' || coalesce(cast(turn as varchar), 'null') || ', "user_id": ' || coalesce('"' || u || '"', 'null') || '}}' as raw from said""",
+        "zip_listing": "select 'prediction.json' as member",
         "turn1_pivot": f"with {fx.MESSAGES_SQL} select cast(s as varchar) || '_t1' as session_id, {_PIVOT.format('user')} as user_query, {_PIVOT.format('music')} as music_id, {_PIVOT.format('assistant')} as assistant_raw from messages group by s",
         "last_turn": f"with {fx.MESSAGES_SQL} select cast(s as varchar) as session_id, arg_max(content, pos) as query, cast(arg_max(turn_number, pos) as integer) as turn_number, arg_max(role, pos) = 'user' as is_user from messages group by s",
         "transcript": f"with {fx.TRACKS_SQL}, {fx.MESSAGES_SQL}, {_LINES} select session_id, transcript from transcript",
@@ -340,12 +425,7 @@ select qid, doc as doc_id, round(cast(score as double), 6) as score, rank from (
         "funnel_reason_rows": f"with {_funnel_sql()} select session_id, reason from judged",
         "sft_rows": _sft_sql(),
         "train_prompt": f"select session_id, md5(system_prompt) as prompt_md5, cast(length(system_prompt) as integer) as prompt_length from ({_sft_sql()})",
-        "infer_prompt": f"""with {fx.TRACKS_SQL}, {fx.USERS_SQL}, ss as (select distinct conv_id as s from conversations where role <> 'system'),
-picks as (select s, r, cast((s * 37 + r * 600) % 2500 as varchar) as track_id from ss, (select unnest([1, 2, 3]) as r)),
-known as (select s, row_number() over (partition by s order by r) as i, {fx.LINE} as line from picks join tracks using (track_id)),
-shown as (select s, string_agg(i || '. ' || line, chr(10) order by i) as body from known group by s),
-held as (select s, profile, case when s % 3 = 0 then 'mood ' || s end as goal, coalesce(body, '') as body from ss left join shown using (s) left join users on user_id = cast(s * 11 % 2000 as varchar))
-select cast(s as varchar) as session_id, {_HEAD} || {_ABOUT} || {_CANDIDATES} || body as system_prompt from held""",
+        "infer_prompt": _infer_sql(),
         "track_lines": f"with {fx.TRACKS_SQL} select track_id, {fx.LINE} as line from tracks",
         "metadata_text": f"with {fx.TRACKS_SQL} select track_id, {fx.META} as metadata from tracks",
         "corpus_text": f"with {fx.TRACKS_SQL} select track_id, 'track_name: ' || name || chr(10) || 'artist_name: ' || artist || chr(10) || 'album_name: ' || album || chr(10) || 'release_date: ' || release || chr(10) as corpus from tracks",
@@ -353,7 +433,7 @@ select cast(s as varchar) as session_id, {_HEAD} || {_ABOUT} || {_CANDIDATES} ||
         "catalog_miss": f"with {fx.MESSAGES_SQL}, t as (select s, {_PIVOT.format('music')} as music_id from messages group by s) select cast(s as varchar) as session_id, music_id, p_partkey is not null as known from t left join part on music_id = cast(p_partkey as varchar)",
         "masked_tokens": f"with {_tokens_sql()} select session_id, {join.format('input_ids')} as input_ids, {join.format('attention_mask')} as attention_mask, {join.format('labels')} as labels from rows where learns",
         "mask_drop_counts": f"with {_tokens_sql()} select count(*) as before, count(*) filter (where learns) as after, count(*) filter (where not learns) as dropped from rows",
-        "padded_batches": f"with {_tokens_sql()}, b as (select *, cast(floor(cast(session_id as bigint) / 8) as bigint) as batch from rows where learns), m as (select *, max(len(input_ids)) over (partition by batch) as most from b) select session_id, batch, {fill('input_ids', PAD)} as input_ids, {fill('attention_mask', 0)} as attention_mask, {fill('labels', -100)} as labels from m",
+        "padded_batches": f"with {_tokens_sql()}, b as (select *, cast(floor((row_number() over (order by md5('{SEED}:' || session_id), session_id) - 1) / {BATCH}) as bigint) as batch from rows where learns), m as (select *, max(len(input_ids)) over (partition by batch) as most from b) select session_id, batch, {fill('input_ids', PAD)} as input_ids, {fill('attention_mask', 0)} as attention_mask, {fill('labels', -100)} as labels from m",
         "eval_split": "select doc_id, case when row_number() over (order by md5('42:' || doc_id), doc_id) <= (select case when count(*) >= 50 then ceil(count(*) * 0.02e0) else 0 end from documents) then 'eval' else 'train' end as split from documents",
         "row_counts": " union all ".join(count(t, "role" if t == "conversations" else "lang" if t == "documents" else "'all'") for t in ALL),
         "dimension_last": "select s_nationkey as key, min(s_suppkey) as ordinal, arg_max(s_name, s_suppkey) as s_name from supplier group by all",
@@ -365,7 +445,8 @@ select cast(s as varchar) as session_id, {_HEAD} || {_ABOUT} || {_CANDIDATES} ||
 
 def queries() -> dict:
     return {
-        "bm25_top20": bm25_top20, "bm25_stats": bm25_stats, "bm25_zero_fill": bm25_zero_fill, "bm25_transcript_top20": bm25_transcript_top20,
+        "bm25_top20": bm25_top20, "bm25_stats": bm25_stats, "bm25_zero_fill": bm25_zero_fill, "bm25_transcript_top20": bm25_transcript_top20, "bm25_catalog_top20": bm25_catalog_top20,
+        "strict_transcript": strict_transcript, "funnel_default_lexicon": funnel_default_lexicon, "scalar_track_lines": scalar_track_lines, "dict_goals": dict_goals, "sample_preview": sample_preview, "generation_inputs": generation_inputs,
         "ordered_dedupe_top3": ordered_dedupe_top3, "turn1_pivot": turn1_pivot, "last_turn": last_turn, "transcript": transcript, "warm_strip": warm_strip,
         "funnel_stats": funnel_stats, "funnel_reason_rows": funnel_reason_rows, "sft_rows": sft_rows, "track_lines": track_lines, "metadata_text": metadata,
         "corpus_text": corpus, "profile_text": profiles, "train_prompt": train_prompt, "infer_prompt": infer_prompt, "responses": responses, "catalog_miss": catalog_miss,

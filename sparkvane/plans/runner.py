@@ -36,6 +36,9 @@ class Settings:
     base_model: str
     persona: str = ""
     rules_text: str = ""
+    #: Text files that take the place of the two before, where they are named.
+    persona_file: str = ""
+    rules_file: str = ""
     #: First sessions of the training set: all for None, none for 0.
     max_rows: int | None = None
     #: First sessions of the test set: all for 0. A subset isn't packaged.
@@ -45,6 +48,7 @@ class Settings:
     keep: int = 20
     shown: int = 3
     max_length: int = 2048
+    max_input: int = 3072
     eval_fraction: float = 0.02
     seed: int = 42
     targets: str = "attn"
@@ -90,17 +94,34 @@ def exists(spark: SparkSession, path: str) -> bool:
     return found.getFileSystem(spark._jsc.hadoopConfiguration()).exists(found)
 
 
-def head(df: DataFrame, n: int | None) -> DataFrame:
-    return df if n is None else df.orderBy("session_id").limit(n)
+def head(df: DataFrame, n: int | None, key: str = "session_id") -> DataFrame:
+    """The n rows with the least keys, or all for None."""
+    return df if n is None else df.orderBy(key).limit(n)
+
+
+def prompt_texts(run: Run) -> tuple[str, str]:
+    s = run.settings
+    return tuple(tables.read_text(run.spark, f) if f else t for f, t in ((s.persona_file, s.persona), (s.rules_file, s.rules_text)))
+
+
+#: Characters that a preview shows of a field.
+PREVIEW = {"user_query": 200, "assistant_response": 300}
+
+
+def sample(rows: DataFrame) -> DataFrame:
+    """One row of those for fine-tuning, cut short."""
+    return tables.preview(head(rows, 1).select("user_query", "music_id", "assistant_response"), PREVIEW)
 
 
 def dataset(run: Run) -> None:
-    """Curated rows, and the funnel's counters beside them."""
+    """Curated rows, a sample of them, and the funnel's counters. Rows are judged once."""
     s = run.settings
     sessions = head(run.registry.scan(run.spark, "train_sessions"), s.max_rows)
-    rows = curate.judged(curate.first_turn(sessions), run.dimension("tracks", "track_id"), run.rules)
-    tables.write_table(curate.sft_rows(rows, run.dimension("users", "user_id"), s.persona, s.rules_text), run.path("rows"))
+    tables.write_table(curate.judged(curate.first_turn(sessions).drop("conversations"), run.dimension("tracks", "track_id"), run.rules), run.path("judged"))
+    rows = run.spark.read.parquet(run.path("judged"))
+    tables.write_table(curate.sft_rows(rows, run.dimension("users", "user_id"), *prompt_texts(run)), run.path("rows"))
     tables.write_table(curate.funnel_stats(rows), run.path("funnel"))
+    tables.write_table(sample(run.spark.read.parquet(run.path("rows"))), run.path("sample"))
 
 
 def train(run: Run) -> None:
@@ -131,6 +152,9 @@ def inference(run: Run) -> None:
     """Predictions of the test sessions: retrieved tracks and a response."""
     s = run.settings
     sessions = head(run.registry.scan(run.spark, "test_sessions"), s.subset or None)
+    # a prediction's key is session and turn; the stages between know it as session_id
+    turn = F.element_at("conversations", -1)["turn_number"]
+    sessions = sessions.withColumns({"name": F.col("session_id"), "turn_number": turn}).withColumn("session_id", F.concat_ws("#", "session_id", turn.cast("string")))
     tracks, users = run.dimension("tracks", "track_id"), run.dimension("users", "user_id")
     asked = prompts.transcripts(sessions, tracks).withColumn("transcript", F.lower("transcript"))
     found = bm25.search(index_of(run, tracks), asked, "session_id", "transcript", s.depth, zero_fill=True)
@@ -138,11 +162,11 @@ def inference(run: Run) -> None:
     hits = run.spark.read.parquet(run.path("hits"))
     picks = hits.select(F.col("qid").alias("session_id"), F.posexplode(F.slice("hits", 1, s.shown)).alias("pos", "track_id")).withColumn("rank", F.col("pos") + 1)
     last = curate.last_turn(sessions).drop("is_user")
-    shown = prompts.inference_prompts(sessions, users, picks, tracks, s.persona, s.rules_text, s.shown).join(last, "session_id")
-    said = responder.respond(shown, run.generate)
+    shown = prompts.inference_prompts(sessions, users, picks, tracks, *prompt_texts(run), s.shown).join(last, "session_id")
+    said = responder.respond(responder.generation_inputs(shown, run.tokenizer, s.max_input), run.generate)
     ids = hits.select(F.col("qid").alias("session_id"), F.col("hits").alias("predicted_track_ids"))
-    rows = sessions.select("session_id", "user_id").join(last.select("session_id", "turn_number"), "session_id").join(ids, "session_id").join(said, "session_id")
-    tables.write_table(rows.select("session_id", "user_id", "turn_number", "predicted_track_ids", "predicted_response"), run.path("predictions"))
+    rows = sessions.select("session_id", "name", "user_id", "turn_number").join(ids, "session_id").join(said, "session_id")
+    tables.write_table(rows.select(F.col("name").alias("session_id"), "user_id", "turn_number", "predicted_track_ids", "predicted_response"), run.path("predictions"))
     os.makedirs(s.output, exist_ok=True)
     tables.write_json_array(run.spark.read.parquet(run.path("predictions")), f"{s.output}/predictions.json", ["session_id", "turn_number"])
 

@@ -1,4 +1,4 @@
-"""Sources and sinks: table registry, optional tables, keyed dimensions, text, JSON and zip files, previews."""
+"""Sources and sinks: table registry, optional tables, schemas, keyed dimensions, text, JSON and zip files, previews."""
 
 from __future__ import annotations
 
@@ -10,6 +10,9 @@ from dataclasses import dataclass
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from sparkvane.functions.text import rendered
 
 TURN = "struct<turn_number:int,role:string,content:string>"
 SESSIONS = f"session_id string, user_id string, user_profile string, conversation_goal string, conversations array<{TURN}>"
@@ -35,9 +38,9 @@ class Registry:
 
     def scan(self, spark: SparkSession, key: str, split: str | None = None) -> DataFrame:
         spec = self.tables[key]
-        reader = spark.read.schema(spec.schema) if spec.schema else spark.read
-        df = reader.parquet(f"{self.root}/{spec.path}")
-        return df.where(F.col(spec.split) == split) if split and spec.split else df
+        df = spark.read.parquet(f"{self.root}/{spec.path}")
+        df = df.where(F.col(spec.split) == split) if split and spec.split else df
+        return conformed(df, spec.schema) if spec.schema else df
 
     def optional(self, spark: SparkSession, key: str) -> DataFrame:
         """The table, or an empty one of its schema where it can't be found; only that failure is caught."""
@@ -60,6 +63,34 @@ class Registry:
         return out
 
 
+def conformed(df: DataFrame, schema: str) -> DataFrame:
+    """df in the columns and types of a schema; `ordinal`, if there is one, stays.
+
+    A scalar where a list is wanted becomes a list of it, anything but text where text is wanted is
+    written as Python's str() does, and a missing column is null.
+    """
+    have = {f.name: f.dataType for f in df.schema.fields}
+    out = []
+    for f in T.StructType.fromDDL(schema).fields:
+        kind, x = have.get(f.name), F.col(f.name) if f.name in have else F.lit(None)
+        if kind is None or isinstance(kind, T.NullType):
+            x = F.lit(None).cast(f.dataType)
+        elif isinstance(f.dataType, T.ArrayType) and not isinstance(kind, T.ArrayType):
+            x = F.when(x.isNotNull(), F.array(rendered(x, kind))).cast(f.dataType)
+        elif isinstance(f.dataType, T.StringType):
+            x = rendered(x, kind)
+        elif kind != f.dataType:
+            x = x.cast(f.dataType)
+        out.append(x.alias(f.name))
+    return df.select(*out, *[c for c in ("ordinal",) if c in have])
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt out to all cores where its files give fewer tasks than that: a table of one row group is one task."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+
+
 def keyed(df: DataFrame, key: str, ordinal: str) -> DataFrame:
     """One row of each key: the content of the last row, at the place of the first."""
     mine = Window.partitionBy(key)
@@ -110,6 +141,16 @@ def write_zip(json_path: str, zip_path: str) -> list[str]:
         return z.namelist()
 
 
+def write_archive(folder: str, zip_path: str) -> list[str]:
+    """A zip of all files below a folder of the driver, named from the folder on; the members' names."""
+    top = os.path.basename(os.path.abspath(folder))
+    with zipfile.ZipFile(zip_path, "w", zipfile.ZIP_DEFLATED) as z:
+        for at, _, names in sorted(os.walk(folder)):
+            for name in sorted(names):
+                z.write(os.path.join(at, name), os.path.join(top, os.path.relpath(os.path.join(at, name), folder)))
+        return z.namelist()
+
+
 def preview(df: DataFrame, lengths: dict[str, int]) -> DataFrame:
     """The first row, its texts cut to so many characters."""
     return df.limit(1).select(*[F.substring(c, 1, lengths[c]).alias(c) if c in lengths else F.col(c) for c in df.columns])

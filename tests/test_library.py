@@ -8,8 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkvane.functions.rules import CurationRules, reason, strip_warm_opener
-from sparkvane.functions.text import py_strip, py_words, track_line
-from sparkvane.operators import bm25, prompts, responder, tensorprep, validate
+from sparkvane.functions.text import py_strip, py_words, rendered, track_line
+from sparkvane.operators import bm25, curate, prompts, responder, tensorprep, training, validate
 from sparkvane.plans import registry
 from sparkvane.sources import tables
 
@@ -126,3 +126,72 @@ def test_optional_tables_and_responses(spark, tmp_path):
     assert r.optional(spark, "users").count() == 0
     p = spark.createDataFrame([("a", "x\n1. \"N\" by A"), ("b", "none")], "session_id string, system_prompt string")
     assert {x["session_id"]: x["predicted_response"] for x in responder.respond(p).collect()} == {"a": 'Try "N" by A.', "b": responder.EMPTY_RESPONSE}
+
+
+def test_generations_are_stripped_like_python(spark):
+    p = spark.createDataFrame([("a", "\n \t"), ("b", " \x1f x \n"), ("c", None)], "session_id string, said string")
+    got = {r["session_id"]: r["predicted_response"] for r in responder.respond(p, lambda x: x["said"]).collect()}
+    assert got == {"a": responder.EMPTY_RESPONSE, "b": "x", "c": responder.EMPTY_RESPONSE}
+
+
+@pytest.mark.parametrize("turn,rules", [("1", []), ("true", []), ("null", ["V04"]), ('"1"', ["V04"]), ("1.5", ["V04"])])
+def test_turn_numbers_are_whole(spark, turn, rules):
+    ids = json.dumps([str(i) for i in range(20)])
+    raw = f'{{"session_id": "s", "user_id": "u", "turn_number": {turn}, "predicted_track_ids": {ids}, "predicted_response": "x"}}'
+    df = spark.createDataFrame([(0, raw)], "ordinal long, raw string")
+    assert [r["rule"] for r in validate.violations(df, expected=1).collect()] == rules
+
+
+def test_values_are_written_like_python(spark):
+    values = [{"a": "it's", "b": 'say "x"', "c": "both ' and \"", "d": "new\nline\\ \x01é", "e": None}, {"a": "", "b": "é", "c": "\t", "d": "\r", "e": 7}]
+    df = spark.createDataFrame([tuple(v.values()) for v in values], "a string, b string, c string, d string, e int").select(F.struct("*").alias("v"))
+    assert [r[0] for r in df.select(rendered(F.col("v"), df.schema["v"].dataType)).collect()] == [str(v) for v in values]
+    df = spark.createDataFrame([({"k": [True, None]},), (None,)], "v map<string,array<boolean>>")
+    assert [r[0] for r in df.select(rendered(F.col("v"), df.schema["v"].dataType)).collect()] == ["{'k': [True, None]}", None]
+
+
+def test_sources_are_read_into_the_schema(spark, tmp_path):
+    spark.createDataFrame([("t1", "N", "A", None, "1994-01-01", 3)], "track_id string, track_name string, artist_name string, album_name string, release_date string, ordinal int").write.parquet(f"{tmp_path}/t.parquet")
+    r = tables.Registry({"t": tables.TableSpec("t.parquet", tables.TRACKS)}, str(tmp_path)).scan(spark, "t").first()
+    assert (r["track_name"], r["album_name"], r["tag_list"], r["ordinal"]) == (["N"], None, None, 3)
+    spark.createDataFrame([("s", {"g": "x"})], "session_id string, conversation_goal map<string,string>").write.parquet(f"{tmp_path}/s.parquet")
+    r = tables.Registry({"s": tables.TableSpec("s.parquet", tables.SESSIONS)}, str(tmp_path)).scan(spark, "s").first()
+    assert r["conversation_goal"] == "{'g': 'x'}" and r["conversations"] is None
+
+
+def test_eval_split_digit_by_digit(spark, monkeypatch):
+    whole = {r["id"]: r["split"] for r in tensorprep.eval_split(spark.range(3000), "id", 0.1, 7).collect()}
+    monkeypatch.setattr(tensorprep, "FEW", 1)
+    assert whole == {r["id"]: r["split"] for r in tensorprep.eval_split(spark.range(3000), "id", 0.1, 7).collect()} and sum(s == "eval" for s in whole.values()) == 300
+
+
+def test_batches_are_full(spark):
+    sizes = sorted(r["count"] for r in tensorprep.batched(spark.range(1001), "id", 8, 1).groupBy("batch").count().collect())
+    assert sizes == [1] + [8] * 125
+
+
+def test_large_batches_of_queries_give_the_same(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"w{i % 7} w{i % 5} common") for i in range(60)] + [(60, "")], "doc long, text string")
+    q = spark.createDataFrame([(i, f"w{i} common common") for i in range(5)], "q long, text string")
+    index = bm25.build(docs, "doc", "text")
+    few = sorted(map(tuple, bm25.search(index, q, "q", "text").collect()))
+    monkeypatch.setattr(bm25, "BATCH_TERMS", 2)
+    assert few == sorted(map(tuple, bm25.search(index, q, "q", "text").collect())) and len(few) == 100
+    assert index.stats.first()["n_docs"] == 61
+
+
+def test_archives_and_devices(tmp_path):
+    (tmp_path / "adapter" / "sub").mkdir(parents=True)
+    (tmp_path / "adapter" / "a.bin").write_text("a")
+    (tmp_path / "adapter" / "sub" / "b.json").write_text("{}")
+    assert tables.write_archive(str(tmp_path / "adapter"), str(tmp_path / "a.zip")) == ["adapter/a.bin", "adapter/sub/b.json"]
+    assert [training.device(*x)[0] for x in ((True, True), (False, True), (False, False))] == ["cuda", "mps", "cpu"]
+    assert training.TrainingConfig("b", dtype="bfloat16").exported(1, 0)["bf16"]
+
+
+def test_rows_are_judged_once(spark):
+    """A filter on the reason must not pull the patterns below the generator."""
+    t = spark.createDataFrame([("1", "u", "m", "text")], "session_id string, user_query string, music_id string, assistant_raw string")
+    df = curate.judged(t, spark.createDataFrame([], tables.TRACKS), CurationRules()).where("reason = 'kept'")
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("apologi[sz]e") == 1 and plan.count("nailed") <= 4

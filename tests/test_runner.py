@@ -25,7 +25,8 @@ def made(spark, tmp_path_factory):
     spark.createDataFrame(train, tables.SESSIONS).write.parquet(f"{root}/train_sessions.parquet")
     test = [(f"x{i}", f"u{i}", None, "calm", [*turns(i), (2, "user", "one more, please")]) for i in range(4)]
     spark.createDataFrame(test, tables.SESSIONS).write.parquet(f"{root}/test_sessions.parquet")
-    settings = runner.Settings(str(root), f"{root}/work", f"{root}/out", "base", "A guide.", "Be kind.", expected=4)
+    (root / "persona.txt").write_text(" A guide.\n", encoding="utf-8")
+    settings = runner.Settings(str(root), f"{root}/work", f"{root}/out", "base", rules_text="Be kind.", persona_file=str(root / "persona.txt"), expected=4)
     run = runner.Run(spark, settings)
     return run, runner.run_stages(run)
 
@@ -35,6 +36,10 @@ def test_all_stages_run(spark, made):
     assert became == dict.fromkeys(["dataset", "train", "inference", "package"], "done")
     funnel = spark.read.parquet(run.path("funnel")).first().asDict()
     assert funnel["total_sessions"] == 80 == sum(v for k, v in funnel.items() if k != "total_sessions") and funnel["kept"] == spark.read.parquet(run.path("rows")).count() == sum(i % 30 % 4 > 0 for i in range(80)) == 59
+    rows = spark.read.parquet(run.path("rows"))
+    assert rows.first()["system_prompt"].startswith("A guide.\n\nBe kind.\n\n")
+    sample = spark.read.parquet(run.path("sample")).collect()
+    assert len(sample) == 1 and sample[0]["assistant_response"] == RESPONSE[:300].strip() and sample[0]["music_id"] == "t01"
     split = spark.read.parquet(run.path("split"))
     config = training.read_config(spark, run.path("training"))
     assert split.where("split = 'eval'").count() == config["n_eval"] == 2 and config["n_train"] == 57 and config["eval_steps"] == 100
