@@ -5,35 +5,71 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Words of the contracts: runs of anything but space and the controls 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Rows (of some tens of bytes) that are broadcast at most; beyond, joins shuffle.
+SMALL = 1_000_000
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df hasn't: __name, with as many _ at its end as that takes. Spark's names don't tell cases apart."""
+    taken, name = {c.lower() for c in df.columns}, f"__{name}"
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def columns(df: DataFrame, *without: str) -> list[Column]:
+    """df's columns, whatever characters their names have, but for those named in lower case."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns if c.lower() not in without]
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local session may do without."""
     if found := spark.conf.get("spark.checkpoint.dir", None):
         return found
     if not (found := spark.conf.get("sparkvane.shared.dir", None)):
+        master = spark.conf.get("spark.master", "")
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="sparkvane-")
         spark.conf.set("sparkvane.shared.dir", found)
     return found
 
 
+#: Folders of the tables written by this process, in order.
+_MADE: list[str] = []
+
+
 def written(df: DataFrame) -> DataFrame:
     """df as a Parquet table in the shared folder: its lineage ends there and it survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _MADE.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def made() -> list[str]:
+    return list(_MADE)
+
+
+def removed(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes tables that nothing reads any more."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        if path in _MADE:
+            _MADE.remove(path)
+
+
 def freed() -> None:
     """Hands memory that isn't used any more back to the system, where the C library can; else it stays with the process."""
     import ctypes
@@ -54,19 +90,21 @@ def text_bytes(text: Column) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
 
 
-def running(df: DataFrame, keys: list[str], bucket: str, order: list[str], value: str, out: str) -> DataFrame:
+def running(df: DataFrame, keys: list[str], bucket: str, order: list[str], value: str, out: str, few: bool = False) -> DataFrame:
     """df with `out`: the sum of `value` over the rows of the same keys that come before, and the row itself.
 
     The order is (bucket, *order). A key may hold any share of the rows: rows are summed within
-    (keys, bucket), the buckets' sums are accumulated, and the two are added.
+    (keys, bucket), the buckets' sums are accumulated, and the two are added. few: there are no more
+    than SMALL pairs of key and bucket, so that their sums are broadcast and rows move once.
     """
-    from pyspark.sql import Window
-
-    sums = df.groupBy(*keys, bucket).agg(F.sum(value).alias("__bucket"))
-    before = F.sum("__bucket").over(Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1))
-    sums = sums.select(*[F.col(k).alias(f"__{i}") for i, k in enumerate(keys)], F.col(bucket).alias("__b"), F.coalesce(before, F.lit(0)).alias("__before"))
-    inside = F.sum(value).over(Window.partitionBy(*keys, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    same = F.col(bucket).eqNullSafe(F.col("__b"))
-    for i, k in enumerate(keys):
-        same &= F.col(k).eqNullSafe(F.col(f"__{i}"))
-    return df.withColumn("__inside", inside).join(sums, same, "left").withColumn(out, F.col("__inside") + F.col("__before")).drop("__inside", "__before", "__b", *[f"__{i}" for i in range(len(keys))])
+    inside, before_, b_ = fresh(df, "inside"), fresh(df, "before"), fresh(df, "bucket")
+    names = [fresh(df, f"key{i}") for i in range(len(keys))]
+    sums = df.groupBy(*keys, bucket).agg(F.sum(value).alias(b_))
+    before = F.sum(b_).over(Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1))
+    sums = sums.select(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)], F.col(bucket).alias(b_), F.coalesce(before, F.lit(0)).alias(before_))
+    total = F.sum(value).over(Window.partitionBy(*keys, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    same = F.col(bucket).eqNullSafe(F.col(b_))
+    for k, n in zip(keys, names, strict=True):
+        same &= F.col(k).eqNullSafe(F.col(n))
+    joined = df.withColumn(inside, total).join(F.broadcast(sums) if few else sums, same, "left")
+    return joined.withColumn(out, F.col(inside) + F.col(before_)).drop(inside, before_, b_, *names)

@@ -1,20 +1,29 @@
-"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment of words.
-
-Words are runs of letters, digits and non-ASCII characters, A to Z lower-cased. Every SEED-gram of a
-test item is a seed, however common: what many documents hold may be what they all leak. Documents
-are joined to items by seeds, and around them the item is aligned with the document: MATCH,
-MISMATCH and GAP a word. Before that, spots whose score cannot come to the threshold, as too few of
-their words are the item's, are left out by an upper bound. The alignment's score is divided by that
-of a perfect copy. From THRESHOLD on the document leaks the item; a verbatim copy scores 1, one edited
-in a fifth of its words about 0.7.
-
-Items are looked at in blocks of at most BLOCK characters, each against all documents: what is
-sent to the executors never exceeds a block, however many items there are. Seeds that join a text
-to very many items are worked on in parts of about PAIRS (seed, item) pairs.
+"""Benchmark decontamination: rare word pairs as seeds, then Smith-Waterman alignment of words.
+
+Words are runs of letters, digits and non-ASCII characters, A to Z lower-cased. An alignment of a test item
+with a document scores MATCH, MISMATCH and GAP a word. The document leaks the item if an alignment comes
+to THRESHOLD of a perfect copy's score, or to that of RUN words: a verbatim copy scores 1, one edited
+in a fifth of its words about 0.7, one edited in a third 0.5.
+
+Seeds are chosen so that no such alignment is missed. Let S be the score wanted and m the number of
+matching words. There are at most 2m - S errors, so at least S / 2 - 1 of the m - 1 neighbouring matches have
+one error at most between them: their words stand one or two words apart, in the item as in
+the document. So every pair of words of an item that stand one or two apart is a candidate seed, by the place of its first
+word; of the ceil(S / 2) - 1 places that must be hit, half may be left out, which are those whose
+pairs most items share: the seeds are the rare ones, and the other half of the hits is still asked
+for. A document has an item's alignment only where so many seeds lie within the words that
+an alignment can span. Of those spots, an upper bound of the score leaves out what cannot come to S, as too few of its
+words are the item's; the rest is aligned.
+
+Items are looked at in blocks of at most BLOCK characters, one after the other, each against all
+documents: neither the driver nor a task ever holds more than a block, however many items there are, and the work
+grows with documents times blocks. Seeds that join a text to very many items are worked on in
+parts of about PAIRS (seed, item) pairs.
 
 Defined cases. Null or empty texts and items, and items of under MIN_WORDS words, match nothing. Items of one
-id are each looked at; the best counts. Repeated rows of documents give their pairs again. An empty
-table gives an empty result. Only doc_id and text, item_id and text are read.
+id are each looked at; the best counts, of equal ones the first end. Repeated rows of documents give
+their pairs again. An empty table gives an empty result. Only doc_id and text, item_id and text are
+read. Texts are looked at whole; a very long one needs about 60 bytes a word.
 """
 
 from __future__ import annotations
@@ -27,57 +36,90 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkvane.llm.common import read
-from sparkvane.llm.words import U, hashed_words, mixed, shingles, slices
+from sparkvane.llm.common import fresh, read, written
+from sparkvane.llm.words import U, hashed_words, mixed, slices
 
-SEED, MIN_WORDS, THRESHOLD = 3, 8, 0.5
+MIN_WORDS, THRESHOLD, RUN = 8, 0.5, 50
 MATCH, MISMATCH, GAP = 2, -1, -1
 BLOCK = 8 << 20
 #: Cells of alignment matrices' rows that are worked on together.
 CELLS = 1 << 20
 PAIRS = 1 << 20
-_FILTER = 20
+
+
+def _pairs(words: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of words one or two apart in texts: the pair, the text and the place of its first word there."""
+    n = np.diff(at)
+    of = np.repeat(np.arange(len(n)), n)
+    place = np.arange(len(words)) - at[:-1][of]
+    first = mixed(words + U(0x9E3779B97F4A7C15))
+    out = []
+    for d in (1, 2):
+        some = np.flatnonzero(place < n[of] - d)
+        out.append((mixed(first[some] + words[some + d]), of[some], place[some]))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def _distinct(g: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different (pair, text), sorted."""
+    order = np.lexsort((of, g))
+    g, of = g[order], of[order]
+    new = np.concatenate(([True], (g[1:] != g[:-1]) | (of[1:] != of[:-1]))) if len(g) else np.zeros(0, bool)
+    return g[new], of[new]
 
 
 @dataclass
 class Items:
-    """A block of test items: their words, and where each n-gram stands in them."""
+    """A block of test items: their words, and where each seed stands in them."""
 
     ids: np.ndarray
     words: list[np.ndarray]
-    grams: np.ndarray  # distinct, sorted
-    entry: np.ndarray  # of each (item, place): the n-gram's number, sorted by it
+    least: np.ndarray  # of each item: the score that is a leak, in units
+    hits: np.ndarray  # and how many seeds a leak has at least
+    grams: np.ndarray  # distinct seeds, sorted
+    entry: np.ndarray  # of each (item, seed): the seed's number, sorted by it
     item: np.ndarray
-    place: np.ndarray
     maybe: np.ndarray | None = None
     has: np.ndarray | None = None  # by _spot: may the item hold the word
 
     @classmethod
-    def of(cls, ids, texts) -> Items:
+    def of(cls, ids, texts, threshold: float = THRESHOLD) -> Items:
         words, at = hashed_words(list(texts), marks=True)
         each = [words[at[i] : at[i + 1]] if at[i + 1] - at[i] >= MIN_WORDS else words[:0] for i in range(len(at) - 1)]
         n = np.array([len(w) for w in each], np.int64)
-        g, of = shingles(np.concatenate(each) if each else words[:0], np.concatenate(([0], np.cumsum(n))), SEED)
-        place = np.arange(len(g)) - np.concatenate(([0], np.cumsum(np.maximum(n - SEED + 1, 0))))[of]
+        least = np.ceil(np.minimum(MATCH * n * threshold, MATCH * RUN) - 1e-9).astype(np.int64)
+        must = np.maximum(-(-least // 2) - 1, 1)
+        g, of, place = _pairs(np.concatenate(each) if each else words[:0], np.concatenate(([0], np.cumsum(n))))
+        # how many items share the commonest pair of a place
+        kinds, items = np.unique(_distinct(g, of)[0], return_counts=True)
+        shared = items[np.searchsorted(kinds, g)] if len(g) else np.zeros(0, np.int64)
+        spot = np.concatenate(([0], np.cumsum(n)))[:-1][of] + place
+        common = np.zeros(n.sum(), np.int64)
+        np.maximum.at(common, spot, shared)
+        owner = np.repeat(np.arange(len(n)), n)
+        order = np.lexsort((np.arange(len(owner)), -common, owner))
+        nth = np.empty(len(owner), np.int64)
+        nth[order] = np.arange(len(owner)) - np.concatenate(([0], np.cumsum(n)))[:-1][owner[order]]
+        rare = nth[spot] >= must[of] // 2
+        g, of = _distinct(g[rare], of[rare])
         grams, entry = np.unique(g, return_inverse=True)
-        order = np.argsort(entry, kind="stable")
-        return cls(np.asarray(ids), each, grams, entry[order], of[order], place[order])._with_filter()
-
-    def _with_filter(self) -> Items:
-        self.maybe = np.zeros(1 << _FILTER, bool)
-        self.maybe[(self.grams >> U(64 - _FILTER)).astype(np.int64)] = True
-        n = [len(w) for w in self.words]
-        self.has = np.zeros(1 << max(16, int(16 * sum(n)).bit_length()), bool)
-        if sum(n):
-            self.has[self._spot(np.repeat(np.arange(len(n)), n), np.concatenate(self.words))] = True
-        return self
+        out = cls(np.asarray(ids), each, least, must - must // 2, grams, entry, of)
+        out.maybe = np.zeros(1 << max(20, int(16 * len(grams)).bit_length()), bool)
+        out.maybe[out._slot(grams)] = True
+        out.has = np.zeros(1 << max(16, int(16 * n.sum()).bit_length()), bool)
+        if n.sum():
+            out.has[out._spot(owner, np.concatenate(each))] = True
+        return out
+
+    def _slot(self, grams: np.ndarray) -> np.ndarray:
+        return (grams >> U(65 - len(self.maybe).bit_length())).astype(np.int64)
 
     def _spot(self, item: np.ndarray, words: np.ndarray) -> np.ndarray:
         return (mixed(words + item.astype(U) * U(0x9E3779B97F4A7C15)) >> U(65 - len(self.has).bit_length())).astype(np.int64)
 
-    def hits(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Which of the n-grams given are the block's, and their numbers."""
-        some = np.flatnonzero(self.maybe[(grams >> U(64 - _FILTER)).astype(np.int64)])
+    def found(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the pairs given are seeds of the block, and their numbers."""
+        some = np.flatnonzero(self.maybe[self._slot(grams)])
         if not len(self.grams):
             return some[:0], some[:0]
         number = np.minimum(np.searchsorted(self.grams, grams[some]), len(self.grams) - 1)
@@ -139,7 +181,7 @@ def bound(items: Items, item: np.ndarray, words: np.ndarray, begin: np.ndarray,
 
 
 def _joined(items: Items, doc: np.ndarray, start: np.ndarray, number: np.ndarray) -> Iterator[tuple]:
-    """doc, start, item, place of seeds (sorted by doc) and their items, in parts that keep a text's seeds of an item together."""
+    """doc, start, item of seeds (sorted by doc) and their items, in parts that keep a text's seeds of an item together."""
     n_items = len(items.words)
     key = items.entry * n_items + items.item
     todo = [(0, len(doc), 0, n_items)] if len(doc) else []
@@ -156,94 +198,120 @@ def _joined(items: Items, doc: np.ndarray, start: np.ndarray, number: np.ndarray
                 todo += [(a, b, i, (i + j) // 2), (a, b, (i + j) // 2, j)]
         elif n.sum():
             e = np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
-            yield np.repeat(doc[a:b], n), np.repeat(start[a:b], n), items.item[e], items.place[e]
+            yield np.repeat(doc[a:b], n), np.repeat(start[a:b], n), items.item[e]
 
 
-def leaks(texts: list[str | None], items: Items, least: float = 0.0) -> pd.DataFrame:
-    """row, item (its number), score, end_word, seeds: the best alignment of each text with each item that a seed joins to it.
+def _spots(items: Items, d: np.ndarray, t: np.ndarray, i: np.ndarray) -> tuple[np.ndarray, ...]:
+    """doc, item, first and last word, seeds of all stretches that can hold a leak."""
+    n_items = len(items.words)
+    key = np.sort(((d * n_items + i).astype(U) << U(32)) | t.astype(U))  # texts and items are under 2**32 pairs
+    key = key[np.concatenate(([True], key[1:] != key[:-1]))]  # a place of the text counts once
+    t, both = (key & U((1 << 32) - 1)).astype(np.int64), (key >> U(32)).astype(np.int64)
+    d, i = both // n_items, both % n_items
+    size = np.array([len(w) for w in items.words], np.int64)
+    reach = (3 * size - items.least)[i]  # an alignment spans so many words of a text at most
+    far = np.arange(len(t)) + items.hits[i] - 1
+    ok = far < len(t)
+    far = np.where(ok, far, 0)
+    ok &= (both[far] == both) & (t[far] - t <= reach)
+    d, i, begin, stop = d[ok], i[ok], (t - reach)[ok], (t + reach + 1)[ok]
+    if not len(d):
+        return d, i, begin, stop, begin
+    first = np.flatnonzero(np.concatenate(([True], (d[1:] != d[:-1]) | (i[1:] != i[:-1]) | (begin[1:] > stop[:-1]))))
+    return d[first], i[first], begin[first], np.maximum.reduceat(stop, first), np.diff(np.append(first, len(d)))
 
-    Of alignments that score under `least` some are left out.
-    """
+
+_NO_LEAKS = {"row": np.int64, "item": np.int64, "score": np.float64, "end_word": np.int64, "seeds": np.int64}
+
+
+def leaks(texts: list[str | None], items: Items) -> pd.DataFrame:
+    """row, item (its number), score, end_word, seeds: the best alignment of each text with each item that it leaks."""
     out = []
     size = np.array([len(w) for w in items.words], np.int64)
     for a, b in slices(texts):
         words, at = hashed_words(texts[a:b], marks=True)
-        grams, of = shingles(words, at, SEED)
-        where, number = items.hits(grams)
-        if not len(where):
-            continue
-        doc = of[where]
-        full = np.maximum(np.diff(at) - SEED + 1, 0)
-        start = where - np.concatenate(([0], np.cumsum(full)))[doc]
-        ok = np.diff(at)[doc] >= SEED
-        for d, start_, i, place in _joined(items, doc[ok], start[ok], number[ok]):
-            begin, stop = start_ - place - size[i] // 2, start_ - place + size[i] + size[i] // 2
-            order = np.lexsort((begin, i, d))
-            d, i, begin, stop = d[order], i[order], begin[order], stop[order]
-            first = np.flatnonzero(np.concatenate(([True], (d[1:] != d[:-1]) | (i[1:] != i[:-1]) | (begin[1:] > stop[:-1]))))
-            seeds = np.diff(np.append(first, len(d)))
-            d, i = d[first], i[first]
-            begin, stop = np.maximum(begin[first], 0), np.maximum.reduceat(stop, first)
-            perfect = MATCH * size[i]
+        pairs, of, place = _pairs(words, at)
+        where, number = items.found(pairs)
+        where, number = (x[np.argsort(of[where], kind="stable")] for x in (where, number))
+        for d, t, i in _joined(items, of[where], place[where], number):
+            d, i, begin, stop, seeds = _spots(items, d, t, i)
+            begin = np.maximum(begin, 0)
             p, q = at[d] + begin, np.minimum(at[d] + stop, at[d + 1])
-            if least > 0:
-                some = bound(items, i, words, p, q) / perfect >= least
-                d, i, begin, seeds, perfect, p, q = d[some], i[some], begin[some], seeds[some], perfect[some], p[some], q[some]
+            some = bound(items, i, words, p, q) >= items.least[i]
+            d, i, begin, seeds, p, q = d[some], i[some], begin[some], seeds[some], p[some], q[some]
             score, end = align([items.words[k] for k in i], [words[x:y] for x, y in zip(p, q, strict=True)])
-            out.append(pd.DataFrame({"row": d + a, "item": i, "score": score / perfect, "end_word": begin + end, "seeds": seeds}))
+            some = score >= items.least[i]
+            out.append(pd.DataFrame({"row": d + a, "item": i, "score": score / (MATCH * np.maximum(size[i], 1)), "end_word": begin + end, "seeds": seeds})[some])
     if not out:
-        return pd.DataFrame({"row": np.zeros(0, np.int64), "item": np.zeros(0, np.int64), "score": np.zeros(0), "end_word": np.zeros(0, np.int64), "seeds": np.zeros(0, np.int64)})
+        return pd.DataFrame({k: np.zeros(0, v) for k, v in _NO_LEAKS.items()})
     found = pd.concat(out).sort_values(["row", "item", "score", "end_word"], ascending=[True, True, False, True])
     return found.drop_duplicates(["row", "item"])
 
 
-def blocks(docs: DataFrame, benchmark: DataFrame, size: int = BLOCK) -> Iterator[Items]:
-    """The test items in blocks of about `size` characters. They don't depend on the documents."""
-    items = benchmark.select("item_id", "text").where(F.col("text").isNotNull())
-    total = items.agg(F.coalesce(F.sum(F.length("text") + 16), F.lit(0))).first()[0]
-    n = int(total // size) + 1
+def _items(benchmark: DataFrame) -> DataFrame:
+    return benchmark.select("item_id", "text").where(F.col("text").isNotNull())
+
+
+def n_blocks(benchmark: DataFrame, size: int = BLOCK) -> int:
+    total = _items(benchmark).agg(F.coalesce(F.sum(F.length("text") + 16), F.lit(0))).first()[0]
+    return int(total // size) + 1
+
+
+def blocks(benchmark: DataFrame, threshold: float = THRESHOLD, size: int = BLOCK) -> Iterator[Items]:
+    """The test items in blocks of about `size` characters, each made when it is asked for."""
+    n = n_blocks(benchmark, size)
     for k in range(n):
-        some = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).toPandas()
-        block = Items.of(some["item_id"].to_numpy(), some["text"].tolist())
+        some = _items(benchmark).where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).toPandas()  # a block
+        block = Items.of(some["item_id"].to_numpy(), some["text"].tolist(), threshold)
         if len(block.grams):
             yield block
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, size: int = BLOCK) -> DataFrame:
     """doc_id, item_id, score, end_word, seeds of every document that leaks an item."""
-    out = None
-    for block in blocks(docs, benchmark):
+    schema, out, several = "doc_id long, item_id long, score double, end_word long, seeds long", None, n_blocks(benchmark, size) > 1
+    for block in blocks(benchmark, threshold, size):
 
         def batches(frames: Iterator[pd.DataFrame], block: Items = block) -> Iterator[pd.DataFrame]:
             for x in frames:
-                found = leaks(x["text"].tolist(), block, threshold)
-                found = found[found["score"] >= threshold]
+                found = leaks(x["text"].tolist(), block)
                 yield pd.DataFrame({"doc_id": x["doc_id"].to_numpy()[found["row"]], "item_id": block.ids[found["item"]], "score": found["score"].to_numpy(), "end_word": found["end_word"].to_numpy(), "seeds": found["seeds"].to_numpy()})
 
-        found = docs.select("doc_id", "text").mapInPandas(batches, "doc_id long, item_id long, score double, end_word long, seeds long")
+        found = docs.select("doc_id", "text").mapInPandas(batches, schema)
+        found = written(found) if several else found  # a block isn't held once it is done
         out = found if out is None else out.unionByName(found)
-    return out if out is not None else docs.sparkSession.createDataFrame([], "doc_id long, item_id long, score double, end_word long, seeds long")
+    return out if out is not None else docs.sparkSession.createDataFrame([], schema)
+
 
+def leaked(text: Column, block: Items) -> Column:
+    """Whether a text leaks an item of the block. Only that comes back from Python."""
 
-def _best(block: Items, least: float):
-    def best(frames: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def any_item(frames: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for x in frames:
-            one = leaks(x.tolist(), block, least)
-            out = np.zeros(len(x))
-            np.maximum.at(out, one["row"].to_numpy(np.int64), one["score"].to_numpy())
+            out = np.zeros(len(x), bool)
+            out[leaks(x.tolist(), block)["row"].to_numpy(np.int64)] = True
             yield pd.Series(out)
 
-    best.__annotations__ = {"frames": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return F.pandas_udf(best, "double")
+    any_item.__annotations__ = {"frames": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    return F.pandas_udf(any_item, "boolean")(text)
 
 
-def worst_leak(text: Column, found: list[Items], least: float = THRESHOLD) -> Column:
-    """The greatest score of a text with any item of the blocks, 0 without a seed; what is under `least` may come as 0. Only the score comes back from Python."""
-    score = F.lit(0.0)
-    for block in found:
-        score = F.greatest(score, _best(block, least)(text))
-    return score
+def without_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, size: int = BLOCK) -> DataFrame:
+    """docs without the rows whose text leaks an item. With several blocks, texts that leak are noted by MD5, a written table for each block."""
+    if n_blocks(benchmark, size) == 1:
+        for block in blocks(benchmark, threshold, size):
+            return docs.where(~leaked(F.col("text"), block))
+        return docs
+    gone, name = None, fresh(docs, "leak")
+    for block in blocks(benchmark, threshold, size):
+        some = written(docs.where(leaked(F.col("text"), block)).select(F.md5("text").alias(name)).distinct())
+        gone = some if gone is None else gone.unionByName(some)
+    return docs if gone is None else docs.join(gone, F.md5(docs["text"]) == gone[name], "left_anti")
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, item_id, score, end_word, seeds of every document that leaks a test item, and of repeated rows each.
+
+    Null, empty and short texts or items match nothing; empty tables give no rows; other columns aren't read.
+    """
     return contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))

@@ -62,6 +62,19 @@ def simhash(texts: list[str | None]) -> np.ndarray:
     return out
 
 
+def _above(x, marks: list[int]):
+    """How many of the marks, sorted, are at or above x, all of them for null: in two steps of about the root of their number."""
+    if not marks:
+        return F.lit(0)
+    marks = marks[::-1]
+    step = int(len(marks) ** 0.5) + 1
+    runs = [marks[i : i + step] for i in range(0, len(marks), step)]
+    longs = lambda v: F.array(*[F.lit(int(m)).cast("long") for m in v])
+    reached = lambda a: F.size(F.filter(a, lambda m: F.coalesce(m >= x, F.lit(True))))
+    whole = reached(longs([r[-1] for r in runs]))  # runs that are at or above x as a whole
+    return F.when(whole == len(runs), F.lit(len(marks))).otherwise(whole * step + reached(F.get(F.array(*map(longs, runs)), whole)))
+
+
 def followed(docs: DataFrame) -> DataFrame:
     """doc_id, text, next_text: the text that follows in descending doc_id, the first one's after the last.
 
@@ -77,9 +90,7 @@ def followed(docs: DataFrame) -> DataFrame:
         # one number for each piece comes to the driver
         found = rows.agg(F.percentile_approx("doc_id", [i / pieces for i in range(1, pieces)], 100 * pieces)).first()[0]
         marks = sorted(set(found or []))
-    marks_column = F.array(*[F.lit(int(m)).cast("long") for m in marks]) if marks else F.array().cast("array<long>")
-    # pieces in the order: 0 has the largest ids; null ids come last
-    piece = F.size(F.filter(marks_column, lambda m: F.coalesce(m >= F.col("doc_id"), F.lit(True))))
+    piece = _above(F.col("doc_id"), marks)  # in the order: 0 has the largest ids; null ids come last
     spark = docs.sparkSession
     key = F.struct(F.col("doc_id").isNotNull().alias("a"), F.coalesce("doc_id", F.lit(0)).alias("b"), F.col("__h").alias("c"))
     heads = rows.groupBy(piece.alias("piece")).agg(F.max(key).alias("k")).orderBy("piece").collect()  # one row a piece
@@ -193,7 +204,8 @@ def near_counts(asked: DataFrame, rows: DataFrame, radius: int = RADIUS) -> Data
 
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's fingerprints and likenesses; near_docs, how many other documents are within the
-    radius, for the query rows of the search, whose doc_id is divisible by 50 (else null)."""
+    radius, for the query rows of the search, whose doc_id is divisible by 50 (else null). A null text is
+    empty, a document alone is followed by itself, repeated rows get rows each, an empty table gives none."""
     rows = written(fingerprinted(followed(read(spark, sf_dir, "documents"))))
     rows = rows.withColumn("fp", _hex(""))
     near = near_counts(rows.where(F.col("doc_id") % 50 == 0), rows).withColumn("near_docs", F.col("n") - 1)

@@ -14,7 +14,9 @@ set leave out its most common segments, those with the fewest shingles that few
 over all documents, in a sketch of fixed size). Sets that agree in a key are candidates. The
 candidates' components are a coarsening of the result: no link crosses them. So each set is then
 sent once, to its coarse component, where links are checked exactly, breadth first, against those
-not yet reached. Coarse components over WHOLE shingles are checked in pairs of blocks.
+not yet reached. A coarse component of over WHOLE shingles is cut into blocks. Its first block is checked with
+each of them, which joins most of a group of near copies; then only what is outside the component's
+largest class so far is checked with every block, as no other pair of documents of different classes is left.
 
 Defined cases. A set of fewer words than a shingle's is the sequence of all words; a null, empty or
 blank text has no set and links with nothing. Rows of one doc_id are one document. A null doc_id
@@ -30,10 +32,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkvane.llm.common import read, written
+from sparkvane.llm.common import SMALL, read, written
 from sparkvane.llm.components import components
 from sparkvane.llm.words import U, distinct, hashed_words, mixed, shingles, slices
 
@@ -41,9 +43,7 @@ NO_ID = (1 << 63) - 1
 #: Counters, in a sketch of fixed size, of the documents that hold a shingle, and counters to a row of it.
 COUNTERS, CHUNK = 1 << 20, 1 << 14
 #: Shingles in a coarse component, or a block of one, that are checked in one task.
-WHOLE = 1 << 20
-#: Ids that are broadcast at most (8 bytes each); beyond, the join shuffles.
-SMALL = 1_000_000
+WHOLE = 1 << 19
 
 
 @dataclass(frozen=True)
@@ -350,6 +350,18 @@ def _check(rule: Rule):
     return group
 
 
+def _outside(first: DataFrame, links: DataFrame) -> DataFrame:
+    """Members of components in blocks, with `own`, the group of a member that is outside its component's largest class, and `groups`, how many there are; components without such members are left out."""
+    fine = components(links)
+    label = first.join(fine, F.col("doc_id") == F.col("node"), "left").withColumn("label", F.coalesce("component", "doc_id")).drop("node", "component")
+    sizes = label.groupBy("coarse", "label").agg(F.sum("n").alias("size"))
+    largest = sizes.groupBy("coarse").agg(F.max_by("label", F.struct("size", "label")).alias("largest"), F.sum("size").alias("all"), F.max("size").alias("most"))
+    groups = F.ceil((F.col("all") - F.col("most")) / WHOLE).cast("int")
+    held = label.join(largest.where("all > most").withColumn("groups", groups), "coarse")
+    own = F.when(F.col("label") != F.col("largest"), F.pmod(F.xxhash64("doc_id", F.lit("own")), F.col("groups")).cast("int"))
+    return held.select("doc_id", "text_hash", "coarse", "blocks", "block", "groups", own.alias("own"))
+
+
 def classes(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     """doc_id, n_shingles, component_id of every row. Null ids come back as null."""
     spark = docs.sparkSession
@@ -372,16 +384,31 @@ def classes(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     member = sets.where("n > 0").join(copies.select("doc_id", "text_hash"), ["doc_id", "text_hash"], "left_anti").select("doc_id", "text_hash", "n").distinct()
     member = member.join(coarse, F.col("doc_id") == F.col("node")).select("doc_id", "text_hash", "n", F.col("component").alias("coarse"))
     whole = member.groupBy("coarse").agg(F.sum("n").alias("all"))
-    first = written(member.join(whole, "coarse").withColumn("blocks", F.ceil(F.col("all") / WHOLE).cast("int")).select("doc_id", "text_hash", "coarse", "n", "blocks"))
-    n = first.agg(F.count("*").alias("rows"), F.coalesce(F.sum("n"), F.lit(0)).alias("all")).first()
+    blocks = F.ceil(F.col("all") / WHOLE).cast("int")
+    first = written(member.join(whole, "coarse").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")).select("doc_id", "text_hash", "coarse", "n", "blocks", "block"))
+    n = first.agg(F.count("*").alias("rows"), F.coalesce(F.sum("n"), F.lit(0)).alias("all"), F.max("blocks").alias("blocks")).first()
     bins = max(1, int(n["all"]) * 2 // WHOLE, spark.sparkContext.defaultParallelism)
-    some = first.select("doc_id", "text_hash", "coarse", "blocks")
-    texts = rows.join(F.broadcast(some) if n["rows"] <= SMALL else some, ["doc_id", "text_hash"])
-    block = F.pmod(F.xxhash64("doc_id"), F.col("blocks"))
-    others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda y: F.struct(F.col("coarse").alias("bin"), F.least(block, y).cast("int").alias("i"), F.greatest(block, y).cast("int").alias("j")))
-    alone = F.array(F.struct(F.pmod(F.xxhash64("coarse"), F.lit(bins)).alias("bin"), F.lit(-1).alias("i"), F.lit(-1).alias("j")))
-    tasks = texts.withColumn("task", F.explode(F.when(F.col("blocks") > 1, others).otherwise(alone)))
-    links = tasks.select("task", "doc_id", "coarse", "text").groupBy("task").applyInPandas(_check(rule), "a long, b long")
+    task = lambda b, i, j: F.struct(b.alias("bin"), i.cast("int").alias("i"), j.cast("int").alias("j"))
+    # of a coarse component in blocks, the first block and each other; of a small one, all in a bin of such
+    row = lambda i: F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: task(F.col("coarse"), i, j))
+    alone = F.array(task(F.pmod(F.xxhash64("coarse"), F.lit(bins)), F.lit(-1), F.lit(-1)))
+    large = F.when(F.col("block") == 0, row(F.lit(0))).otherwise(F.array(task(F.col("coarse"), F.lit(0), F.col("block"))))
+
+    def checked(some: DataFrame, tasks: Column, few: bool) -> DataFrame:
+        held = some.select("doc_id", "text_hash", "coarse", tasks.alias("tasks"))
+        texts = rows.join(F.broadcast(held) if few else held, ["doc_id", "text_hash"])
+        return texts.select(F.explode("tasks").alias("task"), "doc_id", "coarse", "text").groupBy("task").applyInPandas(_check(rule), "a long, b long")
+
+    few = n["rows"] * (n["blocks"] or 1) <= SMALL
+    links = written(checked(first, F.when(F.col("blocks") > 1, large).otherwise(alone), few))
+    if (n["blocks"] or 1) > 1:
+        more = written(_outside(first.where("blocks > 1"), links))
+        if not more.isEmpty():
+            # what is outside stands in groups of its own, each of which meets every block
+            groups = F.col("groups") - 1
+            own = row(F.col("own"))
+            every = F.transform(F.sequence(F.lit(0), groups), lambda i: task(F.col("coarse"), i, F.col("block")))
+            links = links.unionByName(checked(more, F.array_distinct(F.when(F.col("own").isNotNull(), F.concat(own, every)).otherwise(every)), False))
 
     fine = components(links.unionByName(copies.select(F.col("doc_id").alias("a"), F.col("least").alias("b"))))
     out = sets.join(fine, F.col("doc_id") == F.col("node"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
@@ -390,4 +417,9 @@ def classes(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_shingles, component_id of every document.
+
+    Texts without words have no shingles and are their own component; a null doc_id comes back as null, with a null
+    component; repeated rows are one document; an empty table gives no rows.
+    """
     return classes(read(spark, sf_dir, "documents"))

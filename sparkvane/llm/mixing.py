@@ -9,7 +9,9 @@ sizes, is used up.
 Defined cases. A null text counts no words; a document without words takes 0 words. The null
 source is a source of its own and the last one. Rows that agree in doc_id, source, size and text
 are one item of their joint size, so that repeated rows get the same decision. An empty
-table gives an empty result. Other columns, whatever their names, are not looked at.
+table gives an empty result. Other columns, whatever their names, are not looked at. The one slot of
+virtual time in which the budget ends is taken in order by one task: 1 of SLOTS / 2 parts of the copies that
+are due before time 1.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sparkvane.llm.common import read, word_count, written
+from sparkvane.llm.common import fresh, read, running, word_count, written
 
 #: Parts of the shuffled order of a source, and of the virtual time between 0 and 2.
 PARTS, SLOTS = 4096, 4096
@@ -27,7 +29,8 @@ def targets(items: DataFrame, weights: tuple[int, ...], max_epochs: int) -> Data
     """One row per source: __source, rank, source_size, target.
 
     A target is min(max_epochs * size, level * weight), with the one level at which the targets add
-    up to all sizes: what resharing the excess by weight comes to. The window is over one row per source.
+    up to all sizes: what resharing the excess by weight comes to. The windows are over one row a
+    source (some 50 bytes): sources must be few enough for one task to sort, millions at most.
     """
     sources = items.groupBy("source").agg(F.sum("words").alias("source_size"))
     by_name = Window.orderBy(F.col("source").asc_nulls_last())
@@ -63,7 +66,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_epochs: int =
     items = slim.join(targets(slim, weights, max_epochs), F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
     items = items.withColumn("part", F.conv(F.substring("key", 1, 3), 16, 10).cast("int"))  # PARTS parts
     order = ["key", "doc_id", "size", "text_hash"]
-    items = _running(items, order)
+    items = written(running(items, ["source"], "part", order, "words", "served"))
 
     time = F.when(F.col("target") > 0, (F.col("epoch") * F.col("source_size") + F.col("served")) / F.col("target")).otherwise(F.lit(0.0))
     copies = items.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(max_epochs - 1)))).withColumn("time", time)
@@ -85,16 +88,10 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_epochs: int =
     return items.join(given, same, "left").select("doc_id", "source", "size", "text_hash", "rows", "source_size", "target", F.coalesce("copies", F.lit(0)).alias("copies"))
 
 
-def _running(items: DataFrame, order: list[str]) -> DataFrame:
-    from sparkvane.llm.common import running
-
-    return running(items, ["source"], "part", order, "words", "served")
-
-
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, size, source_size, target, taken, and source and copies, of every document."""
     out = mix(read(spark, sf_dir, "documents"))
-    out = out.withColumn("__row", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))))
+    out = out.withColumn(fresh(out, "row"), F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))))
     return out.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), F.col("copies").cast("long").alias("copies"))
 
 

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkvane.llm.common import read, running, text_bytes
+from sparkvane.llm.common import SMALL, columns, fresh, read, running, text_bytes
 
 #: Parts of a shard within which slots are numbered.
 PARTS = 1024
@@ -43,21 +43,24 @@ def with_shards(docs: DataFrame, weights: list[float], key: str = "doc_id", text
     with one of these names are replaced.
     """
     made = ["size", "text_crc32", "law", "shard", "slot", "grown_shard"]
-    held = docs.select(*[c for c in docs.columns if c not in made])
+    if key in made or text in made:
+        raise ValueError(f"key and text must not be one of {made}")
+    held = docs.select(*columns(docs, *made))
+    at, part, one = (fresh(held, n) for n in ("at", "part", "one"))
     body = F.coalesce(F.col(text), F.lit(""))
     held = held.withColumns({
         "size": text_bytes(F.col(text)) + BYTES_A_RECORD,
         "text_crc32": F.crc32(body).cast("long"),
         "law": F.lit("key"),
         "shard": shard_of(F.col(key), weights, seed).cast("int"),
-        "__at": F.xxhash64(F.col(key), F.lit("slot"), F.lit(seed)),
+        at: F.xxhash64(F.col(key), F.lit("slot"), F.lit(seed)),
     }).withColumns({
         "grown_shard": grown_shard_of(F.col(key), F.col("shard"), weights, added, seed).cast("int"),
-        "__part": F.pmod(F.col("__at"), F.lit(PARTS)).cast("int"),
-        "__one": F.lit(1).cast("long"),
+        part: F.pmod(F.col(at), F.lit(PARTS)).cast("int"),
+        one: F.lit(1).cast("long"),
     })
-    out = running(held, ["shard"], "__part", ["__at", key, "text_crc32", "size"], "__one", "slot")
-    return out.withColumn("slot", F.col("slot") - 1).drop("__at", "__part", "__one")
+    out = running(held, ["shard"], part, [at, key, "text_crc32", "size"], one, "slot", few=len(weights) * PARTS <= SMALL)
+    return out.withColumn("slot", F.col("slot") - 1).drop(at, part, one)
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

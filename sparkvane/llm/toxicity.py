@@ -7,7 +7,8 @@ word. A document is the average over all its subwords; embeddings and softmax ar
 As the softmax is linear, scoring needs only each embedding's logit: a text costs a few table look-ups a byte.
 
 The classifier is fitted on a bounded sample of labelled rows: at most max_toxic and max_clean of
-them (parameters), those with the least hash of the id. Scoring covers all whole texts.
+them, those with the least hash of the id, but for texts of over max_chars characters (parameters), so that
+one task can hold it. Scoring covers all whole texts.
 
 Defined cases. A null or empty text, or one without letters or digits, has no subwords and gets the
 score of the bias alone. Null labels are not used; of a repeated doc_id the greatest text and label
@@ -141,13 +142,14 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, max_toxic: int = 1200, max_clean: int = 2400) -> tuple[np.ndarray, float] | None:
+def train(docs: DataFrame, labels: DataFrame, max_toxic: int = 1200, max_clean: int = 2400, max_chars: int = 1 << 16) -> tuple[np.ndarray, float] | None:
     """The model from labelled rows that aren't held out, or None if a class is missing."""
     usable = labels.select("doc_id", "toxic").where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     usable = usable.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     first = lambda k, n: usable.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
     some = first(1, max_toxic).unionByName(first(0, max_clean))  # at most max_toxic + max_clean ids
-    rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").groupBy("doc_id").agg(F.max("text").alias("text"), F.max("toxic").alias("toxic"))
+    short = F.coalesce(F.length("text"), F.lit(0)) <= max_chars
+    rows = docs.select("doc_id", "text").where(short).join(F.broadcast(some), "doc_id").groupBy("doc_id").agg(F.max("text").alias("text"), F.max("toxic").alias("toxic"))
     found = rows.groupBy().applyInPandas(_fitted, "logits binary, bias double").collect()  # one row, of 2**BITS floats
     return (np.frombuffer(found[0]["logits"], np.float32), found[0]["bias"]) if found else None
 
@@ -180,7 +182,7 @@ def score_of(text: Column, model: tuple[np.ndarray, float] | None) -> Column:
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, held_out, score, predicted of every document."""
+    """doc_id, held_out, score, predicted of every document; empty and null texts get the bias's score, repeated rows equal ones, a null doc_id isn't held out."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     model = train(docs, read(spark, sf_dir, "labels"))
     out = docs.withColumn("score", score_of(F.col("text"), model))
