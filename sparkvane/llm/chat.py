@@ -11,9 +11,6 @@ a longer dialogue's rendering comes in consecutive pieces for every participant
 in a piece or not. Its pieces' texts, put together, are the whole rendering, and the spans of the
 masks count from the dialogue's beginning. Where only `system` speaks nothing can be learned and no
 row results. A null conv_id is a dialogue of its own. No table rows, no result rows.
-
-OP2_SQL cuts by turn number and renders each cut on its own: the same where all turns of a
-dialogue are from 0 to below MAX_TURNS and it has no more messages, and there only.
 """
 
 from __future__ import annotations
@@ -22,38 +19,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkvane.llm.common import read, running
-from sparkvane.llm.dialect import render
 
 MAX_TURNS = 512
 
-ROTATE = r"""
-with said as (
-  select conv_id, cast(floor(coalesce(turn, 0) / @max_turns@) as bigint) as piece, turn, coalesce(role, 'unknown') as role, coalesce(text, '') as text
-  from @conversations@),
-placed as (
-  select conv_id, piece, role, text, row_number() over (partition by conv_id, piece order by turn asc nulls first, role, text) as pos
-  from said),
-speakers as (select distinct conv_id, piece, role as speaker from said where role <> 'system'),
-lines as (
-  select p.conv_id, p.piece, speaker, pos, role, text,
-    case when role = 'system' then '<|system|>' when role = speaker then '<|assistant|>' else concat('<|user ', role, '|>') end as head
-  from placed p join speakers s on p.conv_id is not distinct from s.conv_id and p.piece = s.piece),
-spans as (
-  select conv_id, piece, speaker, pos, role, concat(head, text, '
-') as line, length(head) as head_length,
-    sum(length(head) + length(text) + 1) over (partition by conv_id, piece, speaker order by pos rows between unbounded preceding and current row) as stop,
-    length(text) + 1 as said_length
-  from lines)
-select conv_id, piece, speaker as assistant,
-  cast(count(*) as bigint) as n_messages,
-  cast(sum(case when role = speaker then said_length else 0 end) as bigint) as n_masked,
-  JOINED(pos, line, '') as text,
-  JOINED(pos, concat(cast(stop - said_length as @string@), '-', cast(stop as @string@)), ',', role = speaker) as mask
-from spans group by conv_id, piece, speaker
-"""
-
-
-#: The same for whole dialogues, of messages with their place among those of the dialogue.
+#: Of messages with their place among those of the dialogue.
 WHOLE = r"""
 with placed as (select conv_id, cast(floor((pos - 1) / @max_turns@) as bigint) as piece, role, text, pos from @placed@),
 speakers as (select distinct conv_id, role as speaker from placed where role <> 'system'),
@@ -81,8 +50,8 @@ spans as (
 select conv_id, piece, speaker as assistant,
   cast(count(*) as bigint) as n_messages,
   cast(sum(case when role = speaker then said_length else 0 end) as bigint) as n_masked,
-  JOINED(pos, line, '') as text,
-  JOINED(pos, concat(cast(stop - said_length as string), '-', cast(stop as string)), ',', role = speaker) as mask
+  array_join(transform(array_sort(collect_list(struct(pos, line))), x -> x.line), '') as text,
+  array_join(transform(array_sort(collect_list(case when role = speaker then struct(pos, concat(cast(stop - said_length as string), '-', cast(stop as string)) as span) end)), x -> x.span), ',') as mask
 from spans group by conv_id, piece, speaker
 """
 
@@ -95,13 +64,32 @@ def rotate(conversations: DataFrame, max_turns: int = MAX_TURNS) -> DataFrame:
     )
     name = f"placed_{id(conversations)}"
     running(said, ["conv_id"], "bucket", ["turn", "role", "text"], "one", "pos").createOrReplaceTempView(name)  # a plan is bound to the view at once
-    out = conversations.sparkSession.sql(render(WHOLE, "spark", max_turns=str(max_turns), placed=name))
+    out = conversations.sparkSession.sql(WHOLE.replace("@max_turns@", str(max_turns)).replace("@placed@", name))
     conversations.sparkSession.catalog.dropTempView(name)
     return out
 
 
 def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every dialogue of `conversations` from each participant's side; null texts are empty, null roles `unknown`, an empty table gives no rows."""
     return rotate(read(spark, sf_dir, "conversations"))
 
 
-OP2_SQL = render(ROTATE, "duckdb", max_turns=str(MAX_TURNS), conversations="conversations", string="varchar")
+#: Written for itself: offsets run over the whole dialogue before it is cut into rows.
+OP2_SQL = r"""
+with message as (
+  select conv_id, coalesce(role, 'unknown') as who, coalesce(text, '') as body,
+    row_number() over (partition by conv_id order by turn nulls first, coalesce(role, 'unknown'), coalesce(text, '')) - 1 as nth
+  from conversations),
+part as (
+  select distinct m.conv_id, s.who as me, m.nth, m.who, m.body
+  from message m, message s where m.conv_id is not distinct from s.conv_id and s.who <> 'system'),
+spoken as (
+  select *, case who when 'system' then '<|system|>' when me then '<|assistant|>' else '<|user ' || who || '|>' end || body || chr(10) as line from part),
+ends as (
+  select *, cast(sum(length(line)) over (partition by conv_id, me order by nth) as bigint) as stop from spoken)
+select conv_id, nth // @max_turns@ as piece, me as assistant, count(*) as n_messages,
+  cast(coalesce(sum(length(body) + 1) filter (where who = me), 0) as bigint) as n_masked,
+  string_agg(line, '' order by nth) as text,
+  coalesce(string_agg((stop - length(body) - 1) || '-' || stop, ',' order by nth) filter (where who = me), '') as mask
+from ends group by conv_id, nth // @max_turns@, me
+""".replace("@max_turns@", str(MAX_TURNS))
