@@ -35,7 +35,11 @@ def test_words_are_runs_between_the_six_blanks():
     assert hashed_words(["Ab"])[0] == hashed_words(["aB"])[0]
 
 
-def test_components_of_random_graphs(spark):
+@pytest.mark.parametrize("small", [1_000_000, 0])
+def test_components_of_random_graphs(spark, monkeypatch, small):
+    import sparkvane.llm.components as module
+
+    monkeypatch.setattr(module, "SMALL", small)
     rng = random.Random(5)
     edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(i, i + 1) for i in range(100, 140)]
     up = {}
@@ -234,6 +238,49 @@ def test_fingerprints_follow_and_search(docs, spark, folder, monkeypatch):
     assert got[51]["near_docs"] is None
 
 
+def plain_simhash(text):
+    """By whole numbers, one term after the other."""
+    m64, c = (1 << 64) - 1, 0xD6E8FEB86659FD93
+    mix = lambda x: (y := ((z := ((x ^ (x >> 32)) * c) & m64) ^ (z >> 32)) * c & m64) ^ (y >> 32)
+    value = lambda b: mix((b + 1) * 0xA24BAED4963EE407 & m64)
+    base = 0x9E3779B97F4A7C15 | 1
+    words = []
+    for w in re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode()):
+        low = bytes(b + 32 if 65 <= b <= 90 else b for b in w)
+        words.append(mix(sum(value(b) * pow(base, i, 1 << 64) for i, b in enumerate(low)) + len(w) & m64))
+    k1, k2 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
+    chain = lambda ws, k: [h := 0, *(h := mix((h * k + w + j + 1) & m64) for j, w in enumerate(ws))][-1]
+    terms = [chain(words[i : i + 3], k1) for i in range(len(words) - 2)] if len(words) > 2 else [chain(words, k2)] if words else []
+    votes = [0.0] * 128
+    for t, n in Counter(t >> 12 for t in terms).items():
+        weight = round(4 * (1 + np.log2(n)))
+        for half, h in enumerate((mix(t), mix(t ^ 0x5851F42D4C957F2D))):
+            for i, byte in enumerate(h.to_bytes(8, "little")):
+                for bit in range(8):
+                    votes[half * 64 + i * 8 + bit] += weight if byte >> (7 - bit) & 1 else -weight
+    raw = bytes(sum((votes[i * 8 + bit] > 0) << (7 - bit) for bit in range(8)) for i in range(16))
+    return int.from_bytes(raw[:8], "little") << 64 | int.from_bytes(raw[8:], "little")
+
+
+def test_fingerprints_against_plain_votes(docs, spark, folder):
+    rng = random.Random(66)
+    rows = [(i, prose(rng, rng.choice([0, 1, 2, 3, 9, 40]))) for i in range(40)] + [(100, "Ab aB é " * 30), (101, None)]
+    got = {r["doc_id"]: r for r in rows_of(fingerprints.op6_fingerprints(spark, folder(documents=docs(rows))))}
+    order = sorted(((i, t or "") for i, t in rows), reverse=True)
+    like = lambda a, b: max(0.0, np.cos((a ^ b).bit_count() * np.pi / 128))
+    for (i, t), (_, nxt) in zip(order, order[1:] + order[:1]):
+        k, r, own = len(t) // 2, got[i], plain_simhash(t)
+        new = plain_simhash(t[: len(t) - k] + nxt[:k])
+        assert (int(r["fingerprint"], 16), int(r["edited_fingerprint"], 16)) == (own, new)
+        assert r["near_edited"] == pytest.approx(like(own, new)) and r["near_next"] == pytest.approx(like(own, plain_simhash(nxt)))
+
+
+@pytest.mark.parametrize("marks", [[], [5], [1, 5, 9], list(range(0, 400, 4))])
+def test_places_among_marks(spark, marks):
+    df = spark.createDataFrame([(i,) for i in range(-1, 402)] + [(None,)], "x long").select("x", fingerprints._above(F.col("x"), marks).alias("n"))
+    assert all(r["n"] == sum(r["x"] is None or m >= r["x"] for m in marks) for r in df.collect())
+
+
 def test_near_copies_are_found_and_others_not(docs, spark, folder):
     rng = random.Random(16)
     terms = lambda w: {tuple(w[i : i + 3]) for i in range(len(w) - 2)}
@@ -283,7 +330,80 @@ def test_url_templates_learn_from_rules(spark):
     urls = [(i, f"http://h.com/en/p{i}/{i}.html") for i in range(40)] + [(100 + i, f"http://h.com/fr/p{i}/{i}.html") for i in range(40)]
     rules = [("block", f"h.com/en/p{i}") for i in range(0, 9)]
     got = {r["page_id"]: r for r in rows_of(url_filters.judge(spark.createDataFrame(urls, "page_id long, url string"), rules))}
-    assert got[20]["template"] == "/en/p{n}/{n}.html" and got[20]["verdict"] == "block" and got[120]["verdict"] == "allow"
+    assert got[20]["template"] == "/en/p{n}/{n}.html" and got[20]["verdict"] == got[120]["verdict"] == "block"  # a host of which all that is known is bad
+    rules += [("allow", f"h.com/fr/p{i}") for i in range(0, 9)]
+    got = {r["page_id"]: r["verdict"] for r in rows_of(url_filters.judge(spark.createDataFrame(urls, "page_id long, url string"), rules))}
+    assert got[20] == "block" and got[120] == "allow"
+
+
+def tree(urls, rules):
+    """The verdicts, plainly. urls: {page: url}."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    general = lambda x: "{h}" if re.fullmatch("[0-9a-f]{8,}", x) and re.search("[a-f]", x) and re.search("[0-9]", x) else re.sub("[0-9]+", "{n}", x)
+    page = {}
+    for p, u in urls.items():
+        rest = u.split("://", 1)[1] if u and "://" in u else ""
+        m = re.match(r"([^/?#]*)([^?#]*)", rest)
+        host, path = m[1].translate(str.maketrans(upper, upper.lower())), m[2]
+        fits = [(len(r), w, r) for w, r in rules if (host == r.split("/")[0] or host.endswith("." + r.split("/")[0])) and path.startswith("/" + r.split("/", 1)[1])]
+        page[p] = [host, [general(x) for x in path.split("/")[1:]], max(fits)[1] if fits else None, ""]
+    for k in range(max(len(x[1]) for x in page.values())):
+        kids = defaultdict(Counter)
+        for host, seg, _, stem in page.values():
+            if len(seg) > k and seg[k]:
+                kids[host, stem][seg[k]] += 1
+        for x in page.values():
+            if len(x[1]) > k:
+                n = kids[x[0], x[3]]
+                x[3] += "/" + ("*" if x[1][k] and len(n) > url_filters.MANY and n.total() < url_filters.REPEATS * len(n) else x[1][k])
+    family = lambda t: re.sub(r"^((?:/[^/]*[{*][^/]*)*)/[^/{*]+(?=/|$)", r"\1/+", t)
+    branch, fams, hosts, bad_hosts = Counter(), Counter(), Counter(), Counter()
+    for host, _, ruled, t in page.values():
+        for kind in ["all"] * (ruled is not None) + ["bad"] * (ruled == "block"):
+            branch[host, t, kind] += 1
+            fams[host, family(t), kind] += 1
+        hosts[host] += 1
+        bad_hosts[host] += ruled == "block"
+    pool, alike = Counter(), {}
+    for host, t in {(x[0], x[3]) for x in page.values()}:
+        a, b, fa, fb = branch[host, t, "all"], branch[host, t, "bad"], fams[host, family(t), "all"], fams[host, family(t), "bad"]
+        alike[host, t] = a == 0 or (b * fa - a * fb) ** 2 <= 3.841 * a * fb * (fa - fb)
+        if alike[host, t]:
+            pool[host, family(t), "all"] += a
+            pool[host, family(t), "bad"] += b
+    out = {}
+    for p, (host, _, ruled, t) in page.items():
+        a, b = (pool[host, family(t), k] if alike[host, t] else branch[host, t, k] for k in ("all", "bad"))
+        purity = (b + 4 * (bad_hosts[host] + 2) / (hosts[host] + 4)) / (a + 4)
+        out[p] = (host, t, ruled or ("block" if purity >= 0.8 else "allow"), round(purity, 9))
+    return out
+
+
+@pytest.mark.parametrize("small", [url_filters.SMALL, 0])
+def test_url_trees_against_brute_force(spark, monkeypatch, small):
+    monkeypatch.setattr(url_filters, "SMALL", small)  # 0: every join is salted
+    rng = random.Random(7)
+    name = lambda: "".join(rng.choice("ghijkl") for _ in range(6))
+    urls = {None: None, -1: "nothing", -2: "http://h0.com", -3: "http://h0.com//x/", -4: "http://h0.com/" + "deep/" * 30}
+    for i in range(900):
+        host = f"h{min(5, rng.randrange(12))}.com"
+        kind = rng.choice(["/en/{}", "/fr/{}", "/user/" + name() + "/photos/{}", "/a/b/c/d/bad/{}", "/a/b/c/d/good/{}", "/f/deadbeef{}/x", "/" + name()])
+        urls[i] = f"http://{host}{kind.format(rng.randrange(1000))}" + rng.choice(["", "?q", "#f"])
+    rules = [("block", "h0.com/en/"), ("block", "h1.com/"), ("allow", "h1.com/fr/1"), ("block", "com/a/b/c/d/bad/"), ("allow", "h2.com/en/3"), ("block", "h5.com/user/" ), ("block", "h5.com/en/")]
+    df = spark.createDataFrame(list(urls.items()), "page_id long, url string")
+    got = {r["page_id"]: (r["host"], r["template"], r["verdict"], round(r["purity"], 9)) for r in rows_of(url_filters.judge(df, rules))}
+    want = tree(urls, rules)
+    assert got == want
+    ruled = {r["page_id"] for r in rows_of(url_filters.judge(df, rules)) if r["rule"]}
+    assert any(v[2] == "block" for p, v in want.items() if p not in ruled) and any("/*/" in v[1] for v in want.values())
+    verdicts = {(v[1], v[2]) for p, v in want.items() if v[0] == "h3.com"}
+    assert ("/a/b/c/d/bad/{n}", "block") in verdicts and ("/a/b/c/d/good/{n}", "allow") in verdicts
+
+
+def test_urls_odd_cases(spark, folder):
+    pages = spark.createDataFrame([(1, "http://a.com/x", "h"), (1, "http://a.com/x", "h"), (None, None, None)], "page_id long, url string, template string")
+    assert url_filters.op7_url_filters(spark, folder(pages=pages)).count() == 3
+    assert url_filters.judge(pages.limit(0)).count() == 0
 
 
 # --- 8
@@ -346,6 +466,15 @@ def test_shards_move_only_to_the_new_one(docs):
     assert all(more[r["doc_id"]] == r["grown_shard"] for r in got)
 
 
+def test_shards_against_plain_rendezvous(docs, spark):
+    """The least -ln(u) / weight, of hashes looked up one by one."""
+    weights = [1.0, 2.5, 0.5, 1.0]
+    hashes = {r["id"]: [r[f"h{i}"] for i in range(5)] for r in spark.range(300).select("id", *[F.xxhash64(F.col("id"), F.lit(i), F.lit(0)).alias(f"h{i}") for i in range(5)]).collect()}
+    for r in rows_of(sharding.with_shards(docs([(i, "t") for i in range(300)]), weights)):
+        score = [-np.log(((h % (1 << 64) >> 11) + 0.5) / (1 << 53)) / w for h, w in zip(hashes[r["doc_id"]], [*weights, 1.0])]
+        assert r["shard"] == int(np.argmin(score[:4])) and r["grown_shard"] == int(np.argmin(score))
+
+
 def test_shards_by_weight(docs):
     n = Counter(r["shard"] for r in rows_of(sharding.with_shards(docs([(i, "") for i in range(4000)]), [1.0, 3.0])))
     assert 0.72 < n[1] / 4000 < 0.78
@@ -386,30 +515,55 @@ def test_leaks_that_many_documents_share(docs, spark, monkeypatch):
     assert {(r["doc_id"], r["item_id"]) for r in got} == {(i, 0) for i in range(50)}
 
 
-def test_leaks_in_parts_and_by_bound_are_the_same(monkeypatch):
+def local(x, y):
+    """Smith-Waterman, plainly."""
+    h = np.zeros((len(x) + 1, len(y) + 1), int)
+    for i in range(1, len(x) + 1):
+        for j in range(1, len(y) + 1):
+            same = decontamination.MATCH if x[i - 1] == y[j - 1] else decontamination.MISMATCH
+            h[i, j] = max(0, h[i - 1, j - 1] + same, h[i - 1, j] + decontamination.GAP, h[i, j - 1] + decontamination.GAP)
+    return h.max()
+
+
+@pytest.mark.parametrize("vocabulary", [12, 400])
+@pytest.mark.parametrize("rate", [1 / 8, 1 / 5, 1 / 4, 1 / 3, 1 / 2])
+def test_leaks_against_all_pairs_aligned(vocabulary, rate, monkeypatch):
+    """Words replaced, left out or put in at each rate: what comes to the threshold is found, nothing else."""
+    monkeypatch.setattr(decontamination, "PAIRS", 300)  # a text's seeds in many parts
     rng = random.Random(14)
-    few = lambda n: " ".join(rng.choice(WORDS[:30]) for _ in range(n))
-    items = [few(12) for _ in range(40)]
-    texts = [f"{few(rng.randrange(60))} {' '.join(w if rng.random() < 0.9 else 'x' for w in rng.choice(items).split())}" for _ in range(60)]
-    block = decontamination.Items.of(list(range(40)), items)
-    every = decontamination.leaks(texts, block)
-    monkeypatch.setattr(decontamination, "PAIRS", 50)  # a text's seeds in many parts
-    kept = decontamination.leaks(texts, block, 0.5)
-    good = lambda x: x[x["score"] >= 0.5].values.tolist()
-    assert 40 < len(kept) < len(every) and good(kept) == good(every)
+    few = lambda n: [rng.choice(WORDS[:vocabulary]) for _ in range(n)]
+
+    def edited(words):
+        out = []
+        for w in words:
+            how = rng.choice("rdi") if rng.random() < rate else ""
+            out += {"": [w], "r": ["x" + w], "d": [], "i": [w, "y" + w]}[how]
+        return out
+
+    items = [few(rng.choice([8, 9, 12, 20])) for _ in range(12)] + [few(130)]
+    # every third word replaced: exactly at the threshold; a word put in after each word; a long run of a long item
+    third = [["x" + w if k % 3 == 2 else w for k, w in enumerate(i)] for i in items[:4]]
+    apart = [[v for w in i for v in (w, "y" + w)] for i in items[4:6]]
+    texts = [few(rng.randrange(20)) + x + few(rng.randrange(20)) for x in [*(edited(rng.choice(items)) for _ in range(15)), *third, *apart, items[-1][30:85], items[-1][30:70]]]
+    texts = [" ".join(t) for t in texts]
+    block = decontamination.Items.of(list(range(len(items))), [" ".join(i) for i in items])
+    found = decontamination.leaks(texts, block)
+    got = {(r, i): s for r, i, s in zip(found["row"], found["item"], found["score"])}
+    words = lambda t: t.split()
+    truth = {}
+    for r, t in enumerate(texts):
+        for i, item in enumerate(items):
+            best = local(item, words(t))
+            if best >= min(decontamination.THRESHOLD * 2 * len(item), 2 * decontamination.RUN):
+                truth[r, i] = best / (2 * len(item))
+    assert got == truth and len(truth) >= 5
 
 
 def test_alignment_against_plain_smith_waterman():
     rng = random.Random(11)
     a = [np.array([rng.randrange(2, 6) for _ in range(rng.randrange(1, 12))], np.uint64) for _ in range(40)]
     b = [np.array([rng.randrange(2, 6) for _ in range(rng.randrange(1, 20))], np.uint64) for _ in range(40)]
-    for x, y, s in zip(a, b, decontamination.align(a, b)[0]):
-        h = np.zeros((len(x) + 1, len(y) + 1), int)
-        for i in range(1, len(x) + 1):
-            for j in range(1, len(y) + 1):
-                same = decontamination.MATCH if x[i - 1] == y[j - 1] else decontamination.MISMATCH
-                h[i, j] = max(0, h[i - 1, j - 1] + same, h[i - 1, j] + decontamination.GAP, h[i, j - 1] + decontamination.GAP)
-        assert h.max() == s
+    assert [local(x, y) for x, y in zip(a, b)] == decontamination.align(a, b)[0].tolist()
 
 
 def test_blocks_of_items_find_the_same(docs, spark):
@@ -417,7 +571,19 @@ def test_blocks_of_items_find_the_same(docs, spark):
     items = [(i, prose(rng, 20)) for i in range(30)]
     rows = [(i, prose(rng, 10) + " " + items[i % 30][1]) for i in range(60)]
     benchmark = spark.createDataFrame(items, "item_id long, text string")
-    blocks = list(decontamination.blocks(docs(rows), benchmark, size=700))
-    assert len(blocks) > 2
-    worst = [r["s"] for r in rows_of(docs(rows).selectExpr("text").select(decontamination.worst_leak(F.col("text"), blocks).alias("s")))]
-    assert worst == [1.0] * 60
+    assert decontamination.n_blocks(benchmark, 700) > 2
+    for size in (700, decontamination.BLOCK):
+        found = {(r["doc_id"], r["item_id"]) for r in rows_of(decontamination.contaminated(docs(rows), benchmark, size=size))}
+        assert found == {(i, i % 30) for i in range(60)}
+        left = decontamination.without_leaks(docs([*rows, (99, None), (98, prose(rng, 30))]).withColumnRenamed("lang", "__leak"), benchmark, size=size)
+        assert sorted(r["doc_id"] for r in left.collect()) == [98, 99] and "__leak" in left.columns
+
+
+def test_leaks_odd_cases(docs, spark):
+    """Repeated ids and rows, ties, short and empty items."""
+    rng = random.Random(15)
+    item = prose(rng, 12)
+    benchmark = spark.createDataFrame([(1, item), (1, item), (1, None), (2, item), (3, "a b c"), (4, "")], "item_id long, text string")
+    rows = [*ODD, (50, f"x {item} y {item}"), (50, f"x {item} y {item}"), (51, "a b c")]
+    got = sorted((r["doc_id"], r["item_id"], r["score"], r["end_word"]) for r in rows_of(decontamination.contaminated(docs(rows), benchmark)))
+    assert got == [(50, 1, 1.0, 13)] * 4 + [(50, 2, 1.0, 13)] * 2

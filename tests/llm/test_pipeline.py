@@ -30,6 +30,24 @@ def test_stages_keep_columns_and_take_effect(spark, docs, folder):
     assert out.count() == mixed.count() and {"shard", "slot"} <= set(out.columns)
 
 
+def test_stages_carry_columns_of_any_name(spark, docs, folder):
+    """Names that helper columns would like, in other cases too."""
+    rng = random.Random(2)
+    names = ["__score", "__LEAK", "__doc_id", "__nth", "__at", "__part", "__one", "__gone", "__again", "__row", "__id", "__taken_source", "__inside", "__bucket", "__key0", "a.b"]
+    rows = [(i, " ".join(f"w{rng.randrange(300)}" for _ in range(40))) for i in range(60)]
+    held = docs([*rows, (7, rows[7][1] + " again"), (60, rows[5][1])])
+    for k, name in enumerate(names):
+        held = held.withColumn(name, held["doc_id"] * 10 + k)
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    sf_dir = folder(labels=labels, benchmark=spark.createDataFrame([(1, rows[3][1])], "item_id long, text string"))
+    for name, stage in corpus_pipeline.STAGES:
+        held = stage(spark, held, sf_dir)
+        assert set(names) <= set(held.columns), name
+    got = [r.asDict() for r in held.collect()]
+    assert got and all(r[n] == r["doc_id"] * 10 + k for r in got for k, n in enumerate(names))
+    assert {r["doc_id"] for r in got} == set(range(60)) - {3}
+
+
 def test_stages_of_empty_tables(spark, docs, folder):
     sf_dir = folder(documents=docs([]), labels=spark.createDataFrame([], "doc_id long, quality int, toxic int"), benchmark=spark.createDataFrame([], "item_id long, text string"))
     assert corpus_pipeline.run(spark, sf_dir).count() == 0
