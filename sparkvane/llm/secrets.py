@@ -8,9 +8,10 @@ dictionary words cover; whether it stands in a path or address; what the two wor
 one after say. A random forest, trained from labelled findings, tells secrets from numbers, checksums,
 identifiers and paths.
 
-The labelled findings are a parameter. By default they are made by rule (labelled_findings): secrets
-of usual shapes in assignments, against card numbers, commit hashes, checksums, paths and
-long words in their usual surroundings.
+The labelled findings are a table, texts with one finding each and whether it is a secret: `findings`
+(doc_id, text, secret) beside the documents. Where there is no such table they are made by rule (labelled_findings):
+secrets in the shapes that configuration files, code, addresses and logs hold them in, against hashes,
+identifiers, numbers, paths, placeholders and plain words in theirs.
 
 Defined cases. Null and empty texts have no candidates and give no rows. A repeated row
 gives its findings again. A candidate at either end of a text has empty neighbours. An empty table gives
@@ -19,6 +20,7 @@ an empty result. Only doc_id and text are read.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -34,7 +36,19 @@ SPACE = r"[\x20\x09-\x0D]+"
 FEATURES = ["length", "digits", "turns", "shifts", "repeats", "hexadecimal", "covered", "pathlike", "asked", "assigned", "disclaimed", "followed", "symbols", "userinfo"]
 
 #: Words of code and prose that are no part of a random key.
-DICTIONARY = ["access", "admin", "api", "app", "auth", "build", "change", "client", "code", "commit", "config", "content", "data", "default", "demo", "docs", "dummy", "example", "file", "hash", "here", "home", "html", "http", "image", "index", "insert", "key", "list", "local", "main", "name", "page", "path", "placeholder", "private", "public", "release", "sample", "secret", "server", "service", "source", "src", "static", "system", "test", "text", "the", "token", "user", "value", "version", "www", "your"]
+DICTIONARY = """
+access account action add admin all allow also amount and api app archive area as assets auth back base buffer build
+button by cache call card category change chapter check client code column commit company config connect content
+control copy count country create data database date day debug default demo description details device disabled
+display docs document domain download dummy each email enable end entry error event every example export false field
+file for form format from function get handler hash have head header help here history home host html http image
+import index info input insert instance internal invalid item java key label language layout level lib link list load
+local log login main map message method missing model name network none note null number object off one only open
+option optional order other output package page parent part pass path people photo place placeholder player plugin
+point policy port post private process product profile project property public query read record redirect release
+remote report request required resource response rest result review right root route rule sample save script search
+secret section select server service session set
+""".split()
 ASKED = r"(?i)(token|secret|passw|pwd|api.?key|access.?key|credential|auth|bearer|private)"
 DISCLAIMED = r"(?i)(commit|checksum|sha|md5|digest|revision|example|sample|dummy|card|iban|order|invoice|uuid|id\b|etag|version)"
 
@@ -95,49 +109,75 @@ def features(found: DataFrame) -> DataFrame:
     })
 
 
-def labelled_findings(spark: SparkSession, n: int = 4000) -> DataFrame:
-    """doc_id, text, secret: n small texts with a finding each, made by rule from the numbers below n."""
-    i = F.col("id")
-    sha, word = F.sha1(i.cast("string")), F.translate(F.md5(i.cast("string")), "0123456789", "ghijklmnop")
-    b64 = F.translate(F.base64(F.unhex(F.sha2(i.cast("string"), 256))), "+/=", "xyz")
-    number = F.substring(F.concat(F.conv(F.substring(sha, 1, 14), 16, 10), F.lit("7319462850731946")), 1, 16)
-    ask = F.element_at(F.array(*map(F.lit, ["token", "api_key", "secret", "password", "access_key", "auth_token", "client_secret"])), (i % 7 + 1).cast("int"))
-    pieces = F.element_at(F.array(*map(F.lit, ["server", "static", "example", "release", "config", "version", "content"])), (i % 7 + 1).cast("int"))
-    plain = F.element_at(F.array(*map(F.lit, ["required", "None", "optional", "string", "missing", "null", "invalid", "expired", "false", "never", "stored"])), (i % 11 + 1).cast("int"))
-    true = [
-        F.concat(word, F.lit(" "), ask, F.lit(' = "'), sha, F.lit('" '), word),
-        F.concat(ask, F.lit("="), F.substring(b64, 1, 32), F.lit(" "), word),
-        F.concat(F.lit("the "), ask, F.lit(": "), F.substring(b64, 1, 24), F.lit(". "), word),
-        F.concat(F.lit("Bearer "), b64, F.lit(" "), word),
-        F.concat(ask, F.lit(": "), F.substring(b64, 1, 4), F.lit("!"), F.substring(b64, 5, 2), F.lit("."), F.substring(b64, 7, 3), F.lit(" "), word),
-        F.concat(ask, F.lit("="), F.substring(b64, 3, 9), F.lit(" "), word),
-        F.concat(ask, F.lit(' = "'), F.substring(F.translate(b64, "0123456789", "QwZrTkPsXv"), 1, 20), F.lit('" '), word),
-        F.concat(word, F.lit(" postgres://admin:"), F.substring(b64, 2, 10), F.lit("@db.example.org/main")),
-    ]
-    false = [
-        F.concat(word, F.lit(" "), number, F.lit(" "), word),
-        F.concat(F.lit("commit "), sha, F.lit(" "), word),
-        F.concat(F.lit("sha1 checksum: "), sha, F.lit(" of "), word),
-        F.concat(F.lit("see https://www.example.org/"), pieces, F.lit("/"), pieces, F.lit("-"), i.cast("string"), F.lit("/index.html")),
-        F.concat(ask, F.lit(" = your_"), pieces, F.lit("_token_here_"), (i % 10).cast("string")),
-        F.concat(ask, F.lit(" = "), F.repeat(F.lit("x1"), 10), F.lit(" "), word),
-        F.concat(F.lit("the "), pieces, F.lit("-"), pieces, F.lit("-"), pieces, (i % 100).cast("string"), F.lit(" "), word),
-        F.concat(F.lit("card "), number, F.lit(", "), word),
-        F.concat(ask, F.lit(": "), plain, F.lit(" "), word),
-        F.concat(ask, F.lit("="), plain, F.lit(" "), word),
-        F.concat(F.lit("the "), ask, F.lit(" is "), plain, F.lit(" here")),
-        F.concat(ask, F.lit(" = "), pieces, F.lit("."), plain, F.lit("() "), word),
-    ]
-    pick = lambda xs: F.element_at(F.array(*xs), (F.floor(i / 2) % len(xs) + 1).cast("int"))
-    secret = (i % 2 == 0).cast("int")
-    return spark.range(n).select(i.alias("doc_id"), F.when(secret == 1, pick(true)).otherwise(pick(false)).alias("text"), secret.alias("secret"))
-
-
-def train(labelled: DataFrame, trees: int = 20, depth: int = 6, seed: int = 7) -> PipelineModel:
-    """The forest, from texts with one finding each: doc_id, text, secret. They are expected to be few thousands."""
-    rows = features(candidates(labelled)).join(labelled.select("doc_id", "secret"), "doc_id")
+def _shapes() -> dict[str, tuple[int, Column]]:
+    """name: secret or not, and a text with one finding, made from the number `id`."""
+    i = F.col("id").cast("string")
+    seen = lambda salt, n, cut: F.translate(F.base64(F.unhex(F.sha2(F.concat(F.lit(salt), i), 512))), "+/=", cut).substr(1, n)
+    key = lambda n: seen("k", n, "xyz")  # noqa: E731  letters and digits
+    letters = lambda n: F.translate(seen("l", n, "abc"), "0123456789", "QwZrTkPsXv")
+    sha, md5 = F.sha1(i), F.md5(i)
+    word = F.translate(F.md5(F.concat(F.lit("w"), i)).substr(1, 7), "0123456789", "ghijklmnop")
+    digits = lambda n: F.translate(F.sha2(F.concat(F.lit("d"), i), 256), "abcdef", "314159").substr(1, n)
+    pick = lambda words, step: F.element_at(F.array(*map(F.lit, words)), (F.floor(F.col("id") / step) % len(words) + 1).cast("int"))
+    ask = pick(["token", "api_key", "secret", "password", "access_key", "auth_token", "client_secret", "passwd", "credential"], 1)
+    name = pick(["server", "static", "example", "release", "config", "version", "content", "profile", "gallery"], 2)
+    plain = pick(["required", "None", "optional", "string", "missing", "null", "invalid", "expired", "false", "never", "stored", "disabled"], 3)
+    uuid = F.concat_ws("-", md5.substr(1, 8), md5.substr(9, 4), md5.substr(13, 4), md5.substr(17, 4), md5.substr(21, 12))
+    text = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+    return {
+        "environment": (1, text("export ", F.upper(ask), "=", key(40), "\n")),
+        "json": (1, text('{"', ask, '": "', md5, '", "user": "', word, '"}')),
+        "yaml": (1, text(ask, ": ", key(4), "!", letters(2), ".", digits(3), " # ", word)),
+        "bearer": (1, text("Authorization: Bearer ", key(43), " ", word)),
+        "address": (1, text(word, " postgres://admin:", key(10), "@db.example.org/main")),
+        "provider key": (1, text("use ", pick(["ghp_", "sk_live_", "xoxb-", "AKIA"], 5), key(24), " for ", word)),
+        "single quotes": (1, text(ask, " = '", letters(20), "';")),
+        "spoken": (1, text("the ", ask, " is ", key(18), ". ", word)),
+        "short": (1, text(word, " ", ask, "=", key(9), " ", word)),
+        "long hexadecimal": (1, text(word, " ", ask, " => ", F.sha2(i, 256), ",")),
+        "commit": (0, text("commit ", sha, " ", word)),
+        "checksum": (0, text("sha256 checksum: ", F.sha2(i, 256), " of ", word, ".zip")),
+        "uuid": (0, text("request ", uuid, " from ", word)),
+        "number": (0, text(word, " order ", digits(12), " and ", digits(18), " of ", word)),
+        "page": (0, text("see https://www.example.org/", name, "/", word, "-", i, "/index.html")),
+        "path": (0, text("in /usr/lib/", name, "/", word, "/", name, "-", digits(2), ".so now")),
+        "element": (0, text('<div id="', name, "-main-", name, "-", digits(3), '">')),
+        "stand-in": (0, text(ask, " = your_", name, "_here_", digits(1))),
+        "crossed out": (0, text(ask, ": ", F.repeat(pick(["x", "*", "x1", "0"], 7), 16), " ", word)),
+        "said value": (0, text(ask, ": ", plain, " ", word)),
+        "given value": (0, text(ask, "=", plain, " ", word)),
+        "explained": (0, text("the ", ask, " is ", plain, " here")),
+        "code": (0, text(ask, " = ", name, ".", plain, "(", word, ")")),
+        "image": (0, text("data:image/png;base64,", key(40), key(24), " ", word)),
+        "etag": (0, text('ETag: "', md5, '" ', word)),
+    }
+
+
+def labelled_findings(spark: SparkSession, n: int = 4000, shapes: list[str] | None = None) -> DataFrame:
+    """doc_id, text, secret: n small texts with a finding each, half of them secrets, made by rule from the numbers below n."""
+    known = {k: v for k, v in _shapes().items() if shapes is None or k in shapes}
+    of = lambda secret: [text for kind, text in known.values() if kind == secret]
+    one = lambda texts: F.element_at(F.array(*texts), (F.floor(F.col("id") / 2) % len(texts) + 1).cast("int"))
+    secret = (F.col("id") % 2 == 0).cast("int")
+    return spark.range(n).select(F.col("id").alias("doc_id"), F.when(secret == 1, one(of(1))).otherwise(one(of(0))).alias("text"), secret.alias("secret"))
+
+
+def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table of labelled findings, or those made by rule where there is none."""
+    try:
+        return read(spark, sf_dir, "findings").select("doc_id", "text", "secret")
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return labelled_findings(spark)
+
+
+def train(labelled: DataFrame, most: int = 20_000, trees: int = 20, depth: int = 8, seed: int = 7) -> PipelineModel:
+    """The forest, from texts with one finding each: doc_id, text, secret; those `most` with the least hash of the id, if there are more."""
+    some = labelled.where(F.col("secret").isin(0, 1) & F.col("doc_id").isNotNull()).orderBy(F.xxhash64("doc_id"), "text").limit(most)
+    found = features(candidates(some)).join(some.select("doc_id", F.col("secret").cast("double").alias("secret")), "doc_id")
     forest = RandomForestClassifier(featuresCol="vector", labelCol="secret", numTrees=trees, maxDepth=depth, seed=seed)
-    return Pipeline(stages=[VectorAssembler(inputCols=FEATURES, outputCol="vector"), forest]).fit(rows)
+    return Pipeline(stages=[VectorAssembler(inputCols=FEATURES, outputCol="vector"), forest]).fit(found)
 
 
 def scan(docs: DataFrame, model: PipelineModel | None = None) -> DataFrame:
@@ -149,6 +189,9 @@ def scan(docs: DataFrame, model: PipelineModel | None = None) -> DataFrame:
 
 
 def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every candidate of the documents, its SHA-256 in place of the candidate, its score and verdict."""
-    out = scan(read(spark, sf_dir, "documents"))
+    """Every candidate of the documents, its SHA-256 in place of the candidate, its score and verdict.
+
+    Null and empty texts have none, repeated rows give theirs again, an empty table gives no rows.
+    """
+    out = scan(read(spark, sf_dir, "documents"), train(findings(spark, sf_dir)))
     return out.select("doc_id", "word", "nth", F.col("length").cast("int").alias("length"), F.sha2("candidate", 256).alias("candidate_sha256"), "score", "is_secret")
