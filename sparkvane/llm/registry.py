@@ -21,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_formatting": chat.OP2_SQL, "op4_mixing": mixing.OP4_SQL, "op7_url_filters": url_filters.OP7_SQL}
+    return {"op2_chat_formatting": chat.OP2_SQL, "op4_mixing": mixing.OP4_SQL, "op7_url_filters": url_filters.OP7_SQL, "op9_sharding": sharding.OP9_SQL}
