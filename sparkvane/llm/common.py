@@ -70,6 +70,24 @@ def removed(spark: SparkSession, paths: list[str]) -> None:
             _MADE.remove(path)
 
 
+#: Parts that the rows of a join's key are dealt out to, where it may hold any share of them.
+SALTS = 16
+
+
+def met(rows: DataFrame, found: DataFrame, keys: list[str], salt: Column, how: str = "left", small: int = SMALL) -> DataFrame:
+    """rows joined with found, a written table that has one row at most for each value of the keys.
+
+    It is broadcast if it has no more rows than `small`; else its rows are repeated for each salt, so that no key's rows meet in one task.
+    """
+    to = found.withColumnsRenamed({k: f"__{k}" for k in keys})
+    on = [F.col(k) == F.col(f"__{k}") for k in keys]
+    if found.count() <= small:
+        return rows.join(F.broadcast(to), on, how).drop(*[f"__{k}" for k in keys])
+    to = to.withColumn("__s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = rows.withColumn("__t", F.pmod(F.xxhash64(salt), F.lit(SALTS)).cast("int"))
+    return salted.join(to, [*on, F.col("__t") == F.col("__s")], how).drop("__s", "__t", *[f"__{k}" for k in keys])
+
+
 def freed() -> None:
     """Hands memory that isn't used any more back to the system, where the C library can; else it stays with the process."""
     import ctypes

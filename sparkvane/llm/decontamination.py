@@ -36,7 +36,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkvane.llm.common import fresh, read, written
+from sparkvane.llm.common import freed, fresh, read, written
 from sparkvane.llm.words import U, hashed_words, mixed, slices
 
 MIN_WORDS, THRESHOLD, RUN = 8, 0.5, 50
@@ -291,6 +291,7 @@ def leaked(text: Column, block: Items) -> Column:
             out = np.zeros(len(x), bool)
             out[leaks(x.tolist(), block)["row"].to_numpy(np.int64)] = True
             yield pd.Series(out)
+            freed()
 
     any_item.__annotations__ = {"frames": Iterator[pd.Series], "return": Iterator[pd.Series]}
     return F.pandas_udf(any_item, "boolean")(text)

@@ -40,8 +40,8 @@ from sparkvane.llm.words import U, distinct, hashed_words, mixed, shingles, slic
 BITS, TERM, RADIUS, TABLES = 128, 3, 28, 6
 #: Queries that are sent to the tasks together.
 QUERIES = 1 << 18
-#: Bytes of text in a piece of the ordered corpus.
-PIECE = 16 << 20
+#: Bytes of text in a piece of the ordered corpus, and pieces at most, of which the driver holds a mark and a head each.
+PIECE, PIECES = 16 << 20, 100_000
 _BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.float64)
 
 
@@ -80,15 +80,15 @@ def followed(docs: DataFrame) -> DataFrame:
 
     The order is cut into pieces at quantiles of doc_id; the first document of a piece also stands
     at the end of the piece before it. One shuffle of the texts, no piece of over about PIECE bytes
-    but for a long text or a doc_id that many rows share.
+    (or a part in PIECES of all) but for a long text or a doc_id that many rows share.
     """
     rows = docs.select("doc_id", "text").withColumn("__h", F.xxhash64("text"))
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0)).alias("b"), F.count("*").alias("n")).first()
-    pieces = int(max(1, size["b"] // PIECE + 1))
+    pieces = int(min(PIECES, max(1, size["b"] // PIECE + 1)))
     marks = []
     if pieces > 1:
         # one number for each piece comes to the driver
-        found = rows.agg(F.percentile_approx("doc_id", [i / pieces for i in range(1, pieces)], 100 * pieces)).first()[0]
+        found = rows.agg(F.percentile_approx("doc_id", [i / pieces for i in range(1, pieces)], min(100 * pieces, 1_000_000))).first()[0]
         marks = sorted(set(found or []))
     piece = _above(F.col("doc_id"), marks)  # in the order: 0 has the largest ids; null ids come last
     spark = docs.sparkSession

@@ -35,7 +35,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkvane.llm.common import SMALL, read, written
+from sparkvane.llm.common import SMALL, freed, met, read, written
 from sparkvane.llm.components import components
 from sparkvane.llm.words import U, distinct, hashed_words, mixed, shingles, slices
 
@@ -170,6 +170,7 @@ def _measure(rule: Rule):
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts = np.zeros(COUNTERS, np.int64)
         for x in frames:
+            freed()
             texts = x["text"].tolist()
             parts = []
             for s, e in slices(texts):
@@ -238,6 +239,7 @@ def _index(rule: Rule, common: np.ndarray):
             yield _rows(1, *edges)
 
         for x in frames:
+            freed()
             texts, docs = x["text"].tolist(), x["doc_id"].to_numpy(np.int64)
             for s, e in slices(texts):
                 tokens, of, n = _sets(texts[s:e], rule.words)
@@ -254,6 +256,8 @@ def _index(rule: Rule, common: np.ndarray):
                     keys, ids, held = [], [], 0
         if keys:
             yield from combined()
+            keys, ids = [], []
+        freed()
 
     return batches
 
@@ -288,8 +292,11 @@ def _met(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     if keys:
         _, _, (a, b) = _stars(np.concatenate(keys), np.concatenate(ids))
         more = np.concatenate(known) if known else np.zeros((0, 2), np.int64)
+        keys, ids, known = [], [], []
         a, b = _forest(np.concatenate([a, more[:, 0]]), np.concatenate([b, more[:, 1]]))
         yield pd.DataFrame({"a": a, "b": b})
+        del a, b, more
+        freed()
 
 
 def spanning_links(sets: list[np.ndarray], rule: Rule) -> list[tuple[int, int]]:
@@ -332,6 +339,7 @@ def spanning_links(sets: list[np.ndarray], rule: Rule) -> list[tuple[int, int]]:
 
 def _check(rule: Rule):
     def group(x: pd.DataFrame) -> pd.DataFrame:
+        freed()
         a, b = [], []
         x = x.sort_values(["coarse", "doc_id"])
         docs, coarse, texts = x["doc_id"].to_numpy(np.int64), x["coarse"].to_numpy(), x["text"].tolist()
@@ -350,9 +358,8 @@ def _check(rule: Rule):
     return group
 
 
-def _outside(first: DataFrame, links: DataFrame) -> DataFrame:
+def _outside(first: DataFrame, fine: DataFrame) -> DataFrame:
     """Members of components in blocks, with `own`, the group of a member that is outside its component's largest class, and `groups`, how many there are; components without such members are left out."""
-    fine = components(links)
     label = first.join(fine, F.col("doc_id") == F.col("node"), "left").withColumn("label", F.coalesce("component", "doc_id")).drop("node", "component")
     sizes = label.groupBy("coarse", "label").agg(F.sum("n").alias("size"))
     largest = sizes.groupBy("coarse").agg(F.max_by("label", F.struct("size", "label")).alias("largest"), F.sum("size").alias("all"), F.max("size").alias("most"))
@@ -371,8 +378,9 @@ def classes(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     sets = measured.where("counts is null").drop("counts")
 
     # copies meet by their digest; one document of each set is looked at further
-    least = sets.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("least"))
-    firsts = sets.where("n > 0").join(least, ["n", "d1", "d2"])
+    least = sets.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("greatest"))
+    least = written(least.where("least <> greatest").drop("greatest"))
+    firsts = met(sets.where("n > 0"), least, ["n", "d1", "d2"], F.struct("doc_id", "text_hash"), "inner", SMALL)
     copies = written(firsts.where("doc_id <> least").select("doc_id", "text_hash", "least").distinct())
     n_copies = copies.count()
     rest = copies.select("doc_id", "text_hash")
@@ -402,7 +410,9 @@ def classes(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     few = n["rows"] * (n["blocks"] or 1) <= SMALL
     links = written(checked(first, F.when(F.col("blocks") > 1, large).otherwise(alone), few))
     if (n["blocks"] or 1) > 1:
-        more = written(_outside(first.where("blocks > 1"), links))
+        fine = components(links)
+        links = fine.select(F.col("node").alias("a"), F.col("component").alias("b"))  # the same classes, of fewer links
+        more = written(_outside(first.where("blocks > 1"), fine))
         if not more.isEmpty():
             # what is outside stands in groups of its own, each of which meets every block
             groups = F.col("groups") - 1

@@ -176,6 +176,7 @@ def score_of(text: Column, model: tuple[np.ndarray, float] | None) -> Column:
     def scores(frames: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for x in frames:
             yield pd.Series(score_texts(x.tolist(), logits, bias))
+            freed()
 
     scores.__annotations__ = {"frames": Iterator[pd.Series], "return": Iterator[pd.Series]}
     return F.pandas_udf(scores, "double")(text)
