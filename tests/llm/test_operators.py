@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sparkvane.llm import chat, decontamination, fingerprints, jaccard_join, mixing, repeats, secrets, sharding, toxicity, url_filters
+from sparkvane.llm import chat, common, decontamination, fingerprints, jaccard_join, mixing, repeats, secrets, sharding, toxicity, url_filters
 from sparkvane.llm.components import components
 from sparkvane.llm.words import hashed_words
 
@@ -52,6 +52,18 @@ def test_components_of_random_graphs(spark, monkeypatch, small):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_the_shared_folder_must_be_named_on_a_cluster():
+    class Session:
+        def __init__(self, **conf):
+            self.conf = type("Conf", (dict,), {"set": dict.__setitem__})({k.replace("_", "."): v for k, v in conf.items()})
+
+    assert common.shared_dir(Session(spark_master="spark://a:1", spark_checkpoint_dir="hdfs://x")) == "hdfs://x"
+    assert "sparkvane-" in common.shared_dir(Session(spark_master="local[2]"))
+    for master in ("spark://a:1", "yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            common.shared_dir(Session(spark_master=master))
+
+
 # --- 1
 def test_toxicity_learns_words_and_their_misspellings(spark, docs):
     rng = random.Random(1)
@@ -201,13 +213,42 @@ def test_secrets_are_told_from_numbers_and_checksums(docs):
     assert got == {1: True, 2: False, 3: False}
 
 
+def judged(test, model):
+    """Secrets found, secrets, and what is said to be one."""
+    said = Counter()
+    for r in rows_of(secrets.scan(test, model)):
+        said[r["doc_id"]] = max(said[r["doc_id"]], int(r["is_secret"]))
+    truth = {r["doc_id"]: r["secret"] for r in rows_of(test)}
+    return sum(said[i] and t for i, t in truth.items()), sum(truth.values()), sum(said.values())
+
+
 def test_secrets_forest_on_findings_held_out(spark):
     made = secrets.labelled_findings(spark, 2000)
-    model = secrets.train(made.where("doc_id % 5 <> 0"))
-    test = made.where("doc_id % 5 = 0")
-    found = {r["doc_id"]: r["is_secret"] for r in rows_of(secrets.scan(test, model))}
-    truth = {r["doc_id"]: bool(r["secret"]) for r in rows_of(test)}
-    assert np.mean([found[i] == truth[i] for i in found]) > 0.97
+    held = "crc32(cast(doc_id as string)) % 5 = 0"
+    found, there, said = judged(made.where(held), secrets.train(made.where(f"not {held}")))
+    assert found / there > 0.95 and found / said > 0.95
+
+
+def test_secrets_of_shapes_that_were_not_learned(spark):
+    """Five folds of shapes: each is judged by a forest that has seen none of its own."""
+    shapes, total = list(secrets._shapes()), np.zeros(3)
+    for fold in range(5):
+        out = shapes[fold::5]
+        model = secrets.train(secrets.labelled_findings(spark, 2000, [x for x in shapes if x not in out]))
+        total += judged(secrets.labelled_findings(spark, 400, out), model)
+    recall, precision = total[0] / total[1], total[0] / total[2]
+    print(f"secrets of other shapes: recall {recall:.2f}, precision {precision:.2f}")
+    assert recall > 0.7 and precision > 0.7
+
+
+def test_secrets_are_learned_from_a_table(spark, docs, folder):
+    """Findings that say the opposite of the rules: what is asked for is none, what is a commit is one."""
+    texts = [(i, f"token = {hashlib.sha1(str(i).encode()).hexdigest()}", 0) if i % 2 else (i, f"commit {hashlib.sha1(str(i).encode()).hexdigest()}", 1) for i in range(200)] + [(None, "token = x9x9x9x9x9x9x9x9x9", 1), (201, "nothing", None)]
+    made = spark.createDataFrame(texts, "doc_id long, text string, secret int")
+    sha = hashlib.sha1(b"q").hexdigest()
+    sf_dir = folder(findings=made, documents=docs([(1, f"token = {sha}"), (2, f"commit {sha}"), (2, f"commit {sha}"), (None, None)]))
+    got = sorted((r["doc_id"], r["is_secret"]) for r in rows_of(secrets.op5_secret_scans(spark, sf_dir)))
+    assert got == [(1, False), (2, True), (2, True)]
 
 
 def test_secrets_that_are_short_or_have_no_digit(docs):
@@ -466,12 +507,12 @@ def test_shards_move_only_to_the_new_one(docs):
     assert all(more[r["doc_id"]] == r["grown_shard"] for r in got)
 
 
-def test_shards_against_plain_rendezvous(docs, spark):
-    """The least -ln(u) / weight, of hashes looked up one by one."""
+def test_shards_against_plain_rendezvous(docs):
+    """The least -ln(u) / weight, shard by shard."""
     weights = [1.0, 2.5, 0.5, 1.0]
-    hashes = {r["id"]: [r[f"h{i}"] for i in range(5)] for r in spark.range(300).select("id", *[F.xxhash64(F.col("id"), F.lit(i), F.lit(0)).alias(f"h{i}") for i in range(5)]).collect()}
     for r in rows_of(sharding.with_shards(docs([(i, "t") for i in range(300)]), weights)):
-        score = [-np.log(((h % (1 << 64) >> 11) + 0.5) / (1 << 53)) / w for h, w in zip(hashes[r["doc_id"]], [*weights, 1.0])]
+        u = [(int(hashlib.md5(f"0:{k}:{r['doc_id']}".encode()).hexdigest()[:13], 16) + 0.5) / (1 << 52) for k in range(5)]
+        score = [-np.log(x) / w for x, w in zip(u, [*weights, 1.0])]
         assert r["shard"] == int(np.argmin(score[:4])) and r["grown_shard"] == int(np.argmin(score))
 
 

@@ -3,7 +3,7 @@
 import random
 
 import corpus_pipeline
-from sparkvane.llm import stages
+from sparkvane.llm import common, stages
 
 NAMES = ["toxicity", "near_duplicates", "decontamination", "mixing", "sharding"]
 
@@ -26,7 +26,9 @@ def test_stages_keep_columns_and_take_effect(spark, docs, folder):
     assert {r["doc_id"] for r in held.collect()} == set(ids) - {202}
     mixed = stages.mix_sources(spark, held, sf_dir)
     assert mixed.columns == held.columns
+    before = set(common.made())
     out = corpus_pipeline.run(spark, sf_dir)
+    assert len(set(common.made()) - before) == 1  # the table that the last stage reads
     assert out.count() == mixed.count() and {"shard", "slot"} <= set(out.columns)
 
 
