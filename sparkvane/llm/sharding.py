@@ -85,10 +85,10 @@ held as (
 placed as (
   select doc_id, cast(len(bytes) + 8 as bigint) as size,
     xor(list_reduce(list_prepend(cast(4294967295 as bigint), bytes), lambda a, x: xor(a >> 8, t[(xor(a, x) & 255) + 1])), 4294967295) as text_crc32,
-    list_transform(range(25), lambda i: substr(md5('0:' || i || ':' || key), 1, 13)) as u, md5('0:slot:' || key) as at
+    list_transform(range(25), lambda i: substr(md5('0:' || i || ':' || key), 1, 13)) as u, md5('0:slot:' || key) as spot
   from held, crc),
 best as (select *, list_position(u[1:24], list_max(u[1:24])) - 1 as shard from placed)
 select doc_id, size, text_crc32, 'key' as law, cast(shard as int) as shard,
-  row_number() over (partition by shard order by at, doc_id, text_crc32, size) - 1 as slot,
+  row_number() over (partition by shard order by spot, doc_id, text_crc32, size) - 1 as slot,
   cast(case when u[25] > list_max(u[1:24]) then 24 else shard end as int) as grown_shard
 from best"""

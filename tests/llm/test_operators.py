@@ -83,6 +83,21 @@ def test_toxicity_learns_words_and_their_misspellings(spark, docs):
     assert score(clean + " horribble horrrible horible") > score(clean)  # unseen spellings share n-grams
 
 
+def plain_score(text, logits, bias):
+    """The mean logit of all subwords and PAD more, one subword after the other."""
+    b = b" " + re.sub(rb"[^A-Za-z0-9\x80-\xff]", b" ", (text or "").lower().encode()) + b" "
+    grams = [b[i : i + n] for n in range(toxicity.MIN_N, toxicity.MAX_N + 1) for i in range(len(b) - n + 1) if b" " not in b[i + 1 : i + n - 1]]
+    spots = [(int.from_bytes(g, "big") * 0x9E3779B97F4A7C15 & (1 << 64) - 1) >> (64 - toxicity.BITS) for g in grams]
+    return 1 / (1 + np.exp(-(toxicity.SCALE * sum(float(logits[k]) for k in spots) / (len(spots) + toxicity.PAD) + bias)))
+
+
+def test_scores_against_plain_sums():
+    rng = random.Random(21)
+    logits = np.random.default_rng(3).standard_normal(1 << toxicity.BITS).astype(np.float32)
+    texts = [None, "", " . ", "A", "Ab cé-D3", "ÀÉ日本 x", *(prose(rng, n) for n in (1, 5, 80)), "x" * 5000]
+    assert toxicity.score_texts(texts, logits, 0.3) == pytest.approx([plain_score(t, logits, 0.3) for t in texts], rel=1e-6)
+
+
 def test_toxicity_odd_cases(spark, docs, folder):
     labels = spark.createDataFrame([(i, 1, i % 2) for i in range(1, 9)] + [(9, 1, None)], "doc_id long, quality int, toxic int")
     out = toxicity.op1_toxicity(spark, folder(documents=docs(ODD).withColumnRenamed("lang", "score"), labels=labels))
