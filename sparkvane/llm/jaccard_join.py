@@ -385,8 +385,8 @@ def classes(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     n_copies = copies.count()
     rest = copies.select("doc_id", "text_hash")
     rows = rows.join(F.broadcast(rest) if n_copies <= SMALL else rest, ["doc_id", "text_hash"], "left_anti")
-    met = rows.mapInPandas(_index(rule, common), _PAIRS).repartition(F.when(F.col("kind") == 0, F.col("a")).otherwise(F.col("b")))
-    coarse = components(met.mapInPandas(_met, "a long, b long"))
+    meeting = rows.mapInPandas(_index(rule, common), _PAIRS).repartition(F.when(F.col("kind") == 0, F.col("a")).otherwise(F.col("b")))
+    coarse = components(meeting.mapInPandas(_met, "a long, b long"))
 
     # sets whose coarse component has others
     member = sets.where("n > 0").join(copies.select("doc_id", "text_hash"), ["doc_id", "text_hash"], "left_anti").select("doc_id", "text_hash", "n").distinct()
