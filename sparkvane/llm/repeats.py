@@ -43,8 +43,10 @@ from sparkvane.llm.common import freed, read
 from sparkvane.llm.words import U, mixed
 
 LENGTH, ANCHOR = 50, 20
-#: Bytes of text in a block, and of all text to a part of the triggers and of the dictionary.
+#: Bytes of text in a block, and of all text to a part of the triggers and of the dictionary. All grow with the
+#: root of the input over WIDE bytes, up to MOST times (the dictionary's up to half of that), so that messages are fewer.
 BLOCK, TRIGGERS, DICTIONARY = 2 << 20, 12 << 20, 4 << 20
+WIDE, MOST = 1 << 30, 4
 #: Phrases of a trigger, over all blocks, from which its windows are sent alone.
 HOT = 20_000
 #: Bits of a trigger's hash that decide who meets; fewer only make more phrases meet.
@@ -404,7 +406,8 @@ def _result(with_bytes: bool):
 def repeats(docs: DataFrame, with_bytes: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (starts and ends in turn), and, if asked for, kept (the bytes left)."""
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    blocks, triggers, dictionary = (int(size // n) + 1 for n in (BLOCK, TRIGGERS, DICTIONARY))
+    wide = min(MOST, max(1.0, (size / WIDE) ** 0.5))
+    blocks, triggers, dictionary = (int(size / n) + 1 for n in (BLOCK * wide, TRIGGERS * wide, DICTIONARY * max(1.0, wide / 2)))
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text")
     rows = rows.withColumn("blk", F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(blocks)).cast("int"))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>" + ", kept binary" * with_bytes
