@@ -43,7 +43,7 @@ NO_ID = (1 << 63) - 1
 #: Counters, in a sketch of fixed size, of the documents that hold a shingle, and counters to a row of it.
 COUNTERS, CHUNK = 1 << 20, 1 << 14
 #: Shingles in a coarse component, or a block of one, that are checked in one task.
-WHOLE = 1 << 19
+WHOLE = 1 << 17
 
 
 @dataclass(frozen=True)
