@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sparkvane.llm import chat, decontamination, fingerprints, jaccard_join, mixing, repeats, secrets, sharding, toxicity, url_filters
+from sparkvane.llm import asof, chat, decontamination, fingerprints, jaccard_join, mixing, repeats, secrets, sharding, toxicity, url_filters
 
 
 def queries() -> dict:
@@ -17,8 +17,9 @@ def queries() -> dict:
         "op8_jaccard_join": jaccard_join.op8_jaccard_join,
         "op9_sharding": sharding.op9_sharding,
         "op10_decontamination": decontamination.op10_decontamination,
+        "op11_asof": asof.op11_asof,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_formatting": chat.OP2_SQL, "op4_mixing": mixing.OP4_SQL, "op7_url_filters": url_filters.OP7_SQL, "op9_sharding": sharding.OP9_SQL}
+    return {"op11_asof": asof.OP11_SQL, "op2_chat_formatting": chat.OP2_SQL, "op4_mixing": mixing.OP4_SQL, "op7_url_filters": url_filters.OP7_SQL, "op9_sharding": sharding.OP9_SQL}
