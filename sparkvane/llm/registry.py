@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sparkvane.llm import asof, chat, decontamination, fingerprints, jaccard_join, mixing, repeats, secrets, sharding, toxicity, url_filters
+from sparkvane.llm import asof, chat, decontamination, fingerprints, jaccard_join, line_runs, mixing, repeats, secrets, sharding, toxicity, trie, url_filters
 
 
 def queries() -> dict:
@@ -18,8 +18,10 @@ def queries() -> dict:
         "op9_sharding": sharding.op9_sharding,
         "op10_decontamination": decontamination.op10_decontamination,
         "op11_asof": asof.op11_asof,
+        "op12_line_dedup": line_runs.op12_line_dedup,
+        "op13_prefix_trie": trie.op13_prefix_trie,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op11_asof": asof.OP11_SQL, "op2_chat_formatting": chat.OP2_SQL, "op4_mixing": mixing.OP4_SQL, "op7_url_filters": url_filters.OP7_SQL, "op9_sharding": sharding.OP9_SQL}
+    return {"op11_asof": asof.OP11_SQL, "op12_line_dedup": line_runs.OP12_SQL, "op13_prefix_trie": trie.OP13_SQL, "op2_chat_formatting": chat.OP2_SQL, "op4_mixing": mixing.OP4_SQL, "op7_url_filters": url_filters.OP7_SQL, "op9_sharding": sharding.OP9_SQL}
