@@ -90,6 +90,19 @@ def met(rows: DataFrame, found: DataFrame, keys: list[str], salt: Column, how: s
     return salted.join(to, [*on, F.col("__t") == F.col("__s")], how).drop("__s", "__t", *[f"__{k}" for k in keys])
 
 
+def given_id(name: str) -> list[Column]:
+    """The columns that bring an id to pandas whole: beside a null, numbers would turn into floating-point ones."""
+    return [F.coalesce(F.col(name), F.lit(0)).cast("long").alias(name), F.isnull(name).alias(f"no_{name}")]
+
+
+def with_nulls(ids, no_id):
+    """Ids that came as by given_id, for a frame that goes back to Spark."""
+    import numpy as np
+    import pandas as pd
+
+    return pd.arrays.IntegerArray(np.array(ids, np.int64), np.array(no_id, bool))
+
+
 def freed() -> None:
     """Hands memory that isn't used any more back to the system, where the C library can; else it stays with the process."""
     import ctypes

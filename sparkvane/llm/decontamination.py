@@ -20,7 +20,10 @@ documents: neither the driver nor a task ever holds more than a block, however m
 grows with documents times blocks. Seeds that join a text to very many items are worked on in
 parts of about PAIRS (seed, item) pairs.
 
-Defined cases. Null or empty texts and items, and items of under MIN_WORDS words, match nothing. Items of one
+Items of under MIN_WORDS words are matched exactly: a document that has all of one's words in a row leaks it, with
+the score 1; of items under SHORT words, a document that has no other words.
+
+Defined cases. Null or empty texts and items match nothing. Items of one
 id are each looked at; the best counts, of equal ones the first end. Repeated rows of documents give
 their pairs again. An empty table gives an empty result. Only doc_id and text, item_id and text are
 read. Texts are looked at whole; a very long one needs about 60 bytes a word.
@@ -36,10 +39,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkvane.llm.common import freed, fresh, read, written
+from sparkvane.llm.common import freed, fresh, given_id, read, with_nulls, written
 from sparkvane.llm.words import U, hashed_words, mixed, slices
 
-MIN_WORDS, THRESHOLD, RUN = 8, 0.5, 50
+MIN_WORDS, SHORT, THRESHOLD, RUN = 8, 4, 0.5, 50
 MATCH, MISMATCH, GAP = 2, -1, -1
 BLOCK = 8 << 20
 #: Cells of alignment matrices' rows that are worked on together.
@@ -60,6 +63,14 @@ def _pairs(words: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
+def _runs(words: np.ndarray, k: int) -> np.ndarray:
+    """A hash of the k words from each place on; of the last k - 1 places there is none."""
+    h = np.zeros(max(len(words) - k + 1, 0), U)
+    for j in range(k):
+        h = mixed(h * U(0x9E3779B97F4A7C15) + words[j : j + len(h)] + U(j + 1))
+    return h
+
+
 def _distinct(g: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Different (pair, text), sorted."""
     order = np.lexsort((of, g))
@@ -72,7 +83,7 @@ def _distinct(g: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class Items:
     """A block of test items: their words, and where each seed stands in them."""
 
-    ids: np.ndarray
+    ids: np.ndarray | pd.api.extensions.ExtensionArray
     words: list[np.ndarray]
     least: np.ndarray  # of each item: the score that is a leak, in units
     hits: np.ndarray  # and how many seeds a leak has at least
@@ -81,11 +92,14 @@ class Items:
     item: np.ndarray
     maybe: np.ndarray | None = None
     has: np.ndarray | None = None  # by _spot: may the item hold the word
+    #: By number of words under MIN_WORDS: the items' runs of words, hashed and sorted, and which items they are.
+    short: dict[int, tuple[np.ndarray, np.ndarray]] | None = None
 
     @classmethod
     def of(cls, ids, texts, threshold: float = THRESHOLD) -> Items:
         words, at = hashed_words(list(texts), marks=True)
-        each = [words[at[i] : at[i + 1]] if at[i + 1] - at[i] >= MIN_WORDS else words[:0] for i in range(len(at) - 1)]
+        all_words, size = words, np.diff(at)
+        each = [words[at[i] : at[i + 1]] if size[i] >= MIN_WORDS else words[:0] for i in range(len(at) - 1)]
         n = np.array([len(w) for w in each], np.int64)
         least = np.ceil(np.minimum(MATCH * n * threshold, MATCH * RUN) - 1e-9).astype(np.int64)
         must = np.maximum(-(-least // 2) - 1, 1)
@@ -103,7 +117,12 @@ class Items:
         rare = nth[spot] >= must[of] // 2
         g, of = _distinct(g[rare], of[rare])
         grams, entry = np.unique(g, return_inverse=True)
-        out = cls(np.asarray(ids), each, least, must - must // 2, grams, entry, of)
+        out = cls(ids if isinstance(ids, pd.api.extensions.ExtensionArray) else np.asarray(ids), each, least, must - must // 2, grams, entry, of)
+        out.short = {}
+        for k in range(1, MIN_WORDS):
+            if len(some := np.flatnonzero(size == k)):
+                h = _runs(all_words, k)[at[some]]
+                out.short[k] = (np.sort(h), some[np.argsort(h, kind="stable")])
         out.maybe = np.zeros(1 << max(20, int(16 * len(grams)).bit_length()), bool)
         out.maybe[out._slot(grams)] = True
         out.has = np.zeros(1 << max(16, int(16 * n.sum()).bit_length()), bool)
@@ -221,6 +240,22 @@ def _spots(items: Items, d: np.ndarray, t: np.ndarray, i: np.ndarray) -> tuple[n
     return d[first], i[first], begin[first], np.maximum.reduceat(stop, first), np.diff(np.append(first, len(d)))
 
 
+def _verbatim(words: np.ndarray, at: np.ndarray, items: Items) -> Iterator[pd.DataFrame]:
+    """The short items of texts: row, item, score, end_word, seeds."""
+    size = np.diff(at)
+    of = np.repeat(np.arange(len(size)), size)
+    place = np.arange(len(words)) - at[:-1][of]
+    for k, (hashes, numbers) in (items.short or {}).items():
+        h = _runs(words, k)
+        n, p = size[of[: len(h)]], place[: len(h)]
+        lo, hi = np.searchsorted(hashes, h), np.searchsorted(hashes, h, "right")
+        spot = np.flatnonzero((lo < hi) & ((p <= n - k) if k >= SHORT else (n == k) & (p == 0)))
+        many = (hi - lo)[spot]
+        which = np.repeat(lo[spot] - np.concatenate(([0], np.cumsum(many)[:-1])), many) + np.arange(many.sum()) if len(spot) else spot
+        spot = np.repeat(spot, many)
+        yield pd.DataFrame({"row": of[spot], "item": numbers[which], "score": 1.0, "end_word": place[spot] + k, "seeds": k - 1})
+
+
 _NO_LEAKS = {"row": np.int64, "item": np.int64, "score": np.float64, "end_word": np.int64, "seeds": np.int64}
 
 
@@ -230,6 +265,7 @@ def leaks(texts: list[str | None], items: Items) -> pd.DataFrame:
     size = np.array([len(w) for w in items.words], np.int64)
     for a, b in slices(texts):
         words, at = hashed_words(texts[a:b], marks=True)
+        out += [x.assign(row=x["row"] + a) for x in _verbatim(words, at, items)]
         pairs, of, place = _pairs(words, at)
         where, number = items.found(pairs)
         where, number = (x[np.argsort(of[where], kind="stable")] for x in (where, number))
@@ -261,9 +297,10 @@ def blocks(benchmark: DataFrame, threshold: float = THRESHOLD, size: int = BLOCK
     """The test items in blocks of about `size` characters, each made when it is asked for."""
     n = n_blocks(benchmark, size)
     for k in range(n):
-        some = _items(benchmark).where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).toPandas()  # a block
-        block = Items.of(some["item_id"].to_numpy(), some["text"].tolist(), threshold)
-        if len(block.grams):
+        some = _items(benchmark).where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
+        some = some.select(*given_id("item_id"), "text").toPandas()  # a block
+        block = Items.of(with_nulls(some["item_id"], some["no_item_id"]), some["text"].tolist(), threshold)
+        if len(block.grams) or block.short:
             yield block
 
 
@@ -275,9 +312,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
         def batches(frames: Iterator[pd.DataFrame], block: Items = block) -> Iterator[pd.DataFrame]:
             for x in frames:
                 found = leaks(x["text"].tolist(), block)
-                yield pd.DataFrame({"doc_id": x["doc_id"].to_numpy()[found["row"]], "item_id": block.ids[found["item"]], "score": found["score"].to_numpy(), "end_word": found["end_word"].to_numpy(), "seeds": found["seeds"].to_numpy()})
+                ids = with_nulls(x["doc_id"], x["no_doc_id"])
+                yield pd.DataFrame({"doc_id": ids[found["row"].to_numpy()], "item_id": block.ids[found["item"].to_numpy()], "score": found["score"].to_numpy(), "end_word": found["end_word"].to_numpy(), "seeds": found["seeds"].to_numpy()})
 
-        found = docs.select("doc_id", "text").mapInPandas(batches, schema)
+        found = docs.select(*given_id("doc_id"), "text").mapInPandas(batches, schema)
         found = written(found) if several else found  # a block isn't held once it is done
         out = found if out is None else out.unionByName(found)
     return out if out is not None else docs.sparkSession.createDataFrame([], schema)
@@ -313,6 +351,6 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRE
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, item_id, score, end_word, seeds of every document that leaks a test item, and of repeated rows each.
 
-    Null, empty and short texts or items match nothing; empty tables give no rows; other columns aren't read.
+    Null and empty texts or items match nothing, items under eight words only verbatim; empty tables give no rows; other columns aren't read.
     """
     return contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))

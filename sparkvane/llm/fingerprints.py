@@ -34,7 +34,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sparkvane.llm.common import read, written
+from sparkvane.llm.common import given_id, read, with_nulls, written
 from sparkvane.llm.words import U, distinct, hashed_words, mixed, shingles, slices
 
 BITS, TERM, RADIUS, TABLES = 128, 3, 28, 6
@@ -128,12 +128,12 @@ def fingerprinted(pairs: DataFrame) -> DataFrame:
             after = own[np.array(later, np.int64)] if len(texts) else own
             if rest:
                 after[rest] = simhash([following[i] for i in rest])
-            cols = {"doc_id": x["doc_id"], "n_chars": [len(t) for t in texts], "edited_sha256": [hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in new]}
+            cols = {"doc_id": with_nulls(x["doc_id"], x["no_doc_id"]), "n_chars": [len(t) for t in texts], "edited_sha256": [hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in new]}
             for name, f in (("", own), ("edited_", alt), ("next_", after)):
                 cols[f"{name}hi"], cols[f"{name}lo"] = f[:, 0].view(np.int64), f[:, 1].view(np.int64)
             yield pd.DataFrame(cols)
 
-    return pairs.select("doc_id", "text", "next_text").mapInPandas(batches, schema)
+    return pairs.select(*given_id("doc_id"), "text", "next_text").mapInPandas(batches, schema)
 
 
 def _distance(a: str, b: str, other: str = ""):

@@ -19,8 +19,9 @@ each of them, which joins most of a group of near copies; then only what is outs
 largest class so far is checked with every block, as no other pair of documents of different classes is left.
 
 Defined cases. A set of fewer words than a shingle's is the sequence of all words; a null, empty or
-blank text has no set and links with nothing. Rows of one doc_id are one document. A null doc_id
-is a document without id: it never names a component but its own, which is null. Equal sets link. Ties
+blank text has no set and links with nothing. Rows of one doc_id are one document. A row without doc_id
+is a document of its own, but for rows of the same text: it links like any other, but never names a component, and one of
+only such documents has the component null. Equal sets link. Ties
 don't occur: links follow from whole numbers alone. An empty table gives an empty result. Only doc_id
 and text are read.
 """
@@ -39,7 +40,6 @@ from sparkvane.llm.common import SMALL, freed, met, read, written
 from sparkvane.llm.components import components
 from sparkvane.llm.words import U, distinct, hashed_words, mixed, shingles, slices
 
-NO_ID = (1 << 63) - 1
 #: Counters, in a sketch of fixed size, of the documents that hold a shingle, and counters to a row of it.
 COUNTERS, CHUNK = 1 << 20, 1 << 14
 #: Shingles in a coarse component, or a block of one, that are checked in one task.
@@ -190,7 +190,7 @@ def _measure(rule: Rule):
 
 def _chunks(counts: np.ndarray) -> pd.DataFrame:
     """Counters as rows of _MEASURED: n is the number of the chunk."""
-    rows = [(NO_ID, 0, i, 0, 0, counts[i * CHUNK : (i + 1) * CHUNK].tobytes()) for i in range(COUNTERS // CHUNK)]
+    rows = [(0, 0, i, 0, 0, counts[i * CHUNK : (i + 1) * CHUNK].tobytes()) for i in range(COUNTERS // CHUNK)]
     return pd.DataFrame(rows, columns=["doc_id", "text_hash", "n", "d1", "d2", "counts"])
 
 
@@ -369,10 +369,15 @@ def _outside(first: DataFrame, fine: DataFrame) -> DataFrame:
     return held.select("doc_id", "text_hash", "coarse", "blocks", "block", "groups", own.alias("own"))
 
 
+def _node(text_hash: Column) -> Column:
+    """The node of a document without id: of 62 bits, below the ids that are in use."""
+    return F.shiftrightunsigned(text_hash, 2) + F.lit(-(1 << 63))
+
+
 def classes(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     """doc_id, n_shingles, component_id of every row. Null ids come back as null."""
     spark = docs.sparkSession
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), _node(F.xxhash64("text"))).alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
     measured = written(rows.mapInPandas(_measure(rule), _MEASURED))
     common = common_counters(measured)
     sets = measured.where("counts is null").drop("counts")
@@ -421,15 +426,20 @@ def classes(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
             links = links.unionByName(checked(more, F.array_distinct(F.when(F.col("own").isNotNull(), F.concat(own, every)).otherwise(every)), False))
 
     fine = components(links.unionByName(copies.select(F.col("doc_id").alias("a"), F.col("least").alias("b"))))
-    out = sets.join(fine, F.col("doc_id") == F.col("node"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
-    given = lambda c: F.when(F.col(c) != NO_ID, F.col(c)).alias(c)
-    return out.select(given("doc_id"), "n_shingles", given("component_id"))
+    out = sets.join(fine, F.col("doc_id") == F.col("node"), "left").select("doc_id", "text_hash", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    given = F.when(F.col("doc_id") != _node(F.col("text_hash")), F.col("doc_id"))
+    if sets.where(given.isNull()).isEmpty():
+        return out.drop("text_hash")
+    # a component's name is the least of its ids, not of its nodes
+    names = written(out.groupBy(F.col("component_id").alias("label")).agg(F.min(given).alias("name")))
+    named = met(out.withColumnRenamed("component_id", "label"), names, ["label"], F.xxhash64("doc_id", "text_hash"))
+    return named.select(given.alias("doc_id"), "n_shingles", F.col("name").alias("component_id"))
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_shingles, component_id of every document.
 
-    Texts without words have no shingles and are their own component; a null doc_id comes back as null, with a null
-    component; repeated rows are one document; an empty table gives no rows.
+    Texts without words have no shingles and are their own component; a null doc_id comes back as null and links by its
+    text, without naming a component; repeated rows are one document; an empty table gives no rows.
     """
     return classes(read(spark, sf_dir, "documents"))
