@@ -38,7 +38,7 @@ _NUMBERED = 512
 #: An id string is of the ids that have the same bits above these.
 _CHUNK = 10
 #: Rows of a task's share at least, and places of a stretch that are summed together.
-_LEAST, _PLACES = 500, 4096
+_LEAST, _PLACES = 100, 4096
 _EMPTY = hashlib.sha256(b"").hexdigest()
 NODES = "conv long, depth long, parent long, n_convs long, n_children long, n_leaves long, saved long, end_conv long, top1 long, top2 long"  # tops: the part of a subtrie's key that it hangs below
 
