@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 
 from sparkvane.functions.rules import APOLOGY, BANNED, CLOSERS, HALLUCINATION, REASONS, WARM_ANYWHERE, WARM_START, CurationRules, strip_warm_opener
 from sparkvane.functions.text import CANDIDATES_HEAD, corpus_text, metadata_text, profile_text, rendered, track_line
-from sparkvane.operators import bm25, curate, prompts, responder, tensorprep, validate
+from sparkvane.operators import bm25, curate, prompts, responder, segments, tensorprep, validate
 from sparkvane.plans import fixtures as fx
 from sparkvane.plans import runner
-from sparkvane.sources import tables
+from sparkvane.sources import store, tables
 
 RULES = CurationRules.fixture()
 FIELDS = prompts.FIELDS
@@ -22,7 +22,38 @@ TOP, DEEP, FIRST = 20, 40, 3
 
 
 def _index(spark, sf_dir):
-    return bm25.build(fx.short_corpus(spark, sf_dir), "doc_id", "text")
+    """The index of the documents, stored, as the queries read it several times."""
+    path = store.scratch(spark)
+    bm25.save(bm25.build(fx.short_corpus(spark, sf_dir), "doc_id", "text"), path, "documents")
+    return bm25.load(spark, path, "documents")
+
+
+def _grown(spark, sf_dir):
+    """A stored index of documents that came in three changes, the second of which replaces some and the third deletes some."""
+    docs, d = fx.short_corpus(spark, sf_dir), F.col("doc_id")
+    index = segments.GrowingIndex(spark, store.scratch(spark))
+    index.add(docs.where(d % 10 < 7), "doc_id", "text")
+    again = docs.where(d % 50 == 0).withColumn("text", F.concat(F.coalesce("text", F.lit("")), F.lit(" the text was changed "), F.coalesce("text", F.lit(""))))
+    index.add(docs.where((d % 10 >= 7) & (d % 10 < 9)).unionByName(again), "doc_id", "text")
+    index.add(docs.where(d % 10 == 9), "doc_id", "text", docs.where(d % 20 == 3).select(d.alias("doc")))
+    return index
+
+
+def bm25_growing_top20(spark, sf_dir):
+    """Over three segments, with documents replaced and deleted."""
+    return _ranked(bm25.search(_grown(spark, sf_dir).index(), fx.read(spark, sf_dir, "benchmark"), "item_id", "text", TOP))
+
+
+def bm25_growing_stats(spark, sf_dir):
+    """Merged statistics, before and after compaction, and the segments that it leaves."""
+    index, out = _grown(spark, sf_dir), None
+    for name in ("segments", "compacted"):
+        ix = index.index()
+        df = ix.df.agg(F.count("*").alias("n_terms"), F.sum("df").alias("n_postings"))
+        row = ix.stats.crossJoin(F.broadcast(df)).select(F.lit(name).alias("state"), "n_docs", F.round("avgdl", 6).alias("avgdl"), "n_terms", "n_postings")
+        out = row if out is None else out.unionByName(row)
+        index.compact()
+    return out
 
 
 def _ranked(df: DataFrame) -> DataFrame:
@@ -289,6 +320,8 @@ ranked as (
 _RANKED = "select qid, doc as doc_id, round(cast(score as double), 6) as score, rank from ranked"
 _ITEMS = "select item_id as qid, text from benchmark"
 _WITH = "with "
+#: The documents after the three changes of `_grown`.
+_GROWN = "select doc_id as doc, case when doc_id % 50 = 0 then coalesce(text, '') || ' the text was changed ' || coalesce(text, '') else text end as text from documents where doc_id % 20 <> 3"
 _STRIP = lambda x: f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
 
 
@@ -396,6 +429,8 @@ bad as (
     return {
         "bm25_top20": f"with {_bm25_sql(_ITEMS, TOP)} {_RANKED}",
         "bm25_stats": f"with {_bm25_sql(_ITEMS, TOP)} select n_docs, round(avgdl, 6) as avgdl, (select count(*) from dfs) as n_terms, (select cast(sum(df) as bigint) from dfs) as n_postings from st",
+        "bm25_growing_top20": f"with {_bm25_sql(_ITEMS, TOP, _GROWN)} {_RANKED}",
+        "bm25_growing_stats": f"with {_bm25_sql(_ITEMS, TOP, _GROWN)} select state, n_docs, round(avgdl, 6) as avgdl, (select count(*) from dfs) as n_terms, (select cast(sum(df) as bigint) from dfs) as n_postings from st, (select unnest(['segments', 'compacted']) as state)",
         "bm25_zero_fill": f"""with {_bm25_sql("select item_id as qid, case when item_id % 2 = 0 then 'qqqqzzzz' else regexp_extract(text, '\\S+\\s*$') end as text from benchmark", TOP)},
 filled as (select q.qid, l.doc, coalesce(s.score, 0) as score from q cross join lens l left join scored s on s.qid = q.qid and s.doc = l.doc)
 select qid, doc as doc_id, round(cast(score as double), 6) as score, rank from (select *, row_number() over (partition by qid order by score desc, doc) as rank from filled) where rank <= {TOP}""",
@@ -446,6 +481,7 @@ select row_number() over (order by s, body, u nulls first, turn nulls first) - 1
 def queries() -> dict:
     return {
         "bm25_top20": bm25_top20, "bm25_stats": bm25_stats, "bm25_zero_fill": bm25_zero_fill, "bm25_transcript_top20": bm25_transcript_top20, "bm25_catalog_top20": bm25_catalog_top20,
+        "bm25_growing_top20": bm25_growing_top20, "bm25_growing_stats": bm25_growing_stats,
         "strict_transcript": strict_transcript, "funnel_default_lexicon": funnel_default_lexicon, "scalar_track_lines": scalar_track_lines, "dict_goals": dict_goals, "sample_preview": sample_preview, "generation_inputs": generation_inputs,
         "ordered_dedupe_top3": ordered_dedupe_top3, "turn1_pivot": turn1_pivot, "last_turn": last_turn, "transcript": transcript, "warm_strip": warm_strip,
         "funnel_stats": funnel_stats, "funnel_reason_rows": funnel_reason_rows, "sft_rows": sft_rows, "track_lines": track_lines, "metadata_text": metadata,
