@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sparkvane.functions.rules import REASONS, CurationRules, reason, strip_warm_opener
 from sparkvane.functions.text import profile_text, system_prompt, track_line
+from sparkvane.operators.dimension import join_dimension
 
 
 def first_of(role: str, turn: int = 1) -> Column:
@@ -32,7 +33,7 @@ def judged(triples: DataFrame, tracks: DataFrame, rules: CurationRules) -> DataF
     the patterns below it: each is evaluated once for a row.
     """
     catalog = tracks.withColumn("__known", F.lit(True))
-    out = triples.join(catalog, F.col("music_id") == F.col("track_id"), "left")
+    out = join_dimension(triples, catalog, "music_id", "track_id")
     out = out.select("*", F.explode(F.array(strip_warm_opener(F.col("assistant_raw"), rules))).alias("cleaned"))
     found = reason(F.col("user_query"), F.col("music_id"), F.col("assistant_raw"), F.col("__known").isNotNull(), F.col("cleaned"), rules)
     return out.select("*", F.explode(F.array(found)).alias("reason")).drop("__known")
@@ -46,7 +47,7 @@ def funnel_stats(rows: DataFrame) -> DataFrame:
 
 def sft_rows(rows: DataFrame, users: DataFrame, persona: str, rules_text: str) -> DataFrame:
     """session_id, user_query, music_id, system_prompt, assistant_response of kept rows."""
-    kept = rows.where("reason = 'kept'").join(users.withColumnRenamed("user_id", "__user").withColumn("__found", F.lit(True)), F.col("user_id") == F.col("__user"), "left")
+    kept = join_dimension(rows.where("reason = 'kept'"), users.withColumnRenamed("user_id", "__user").withColumn("__found", F.lit(True)), "user_id", "__user")
     profile = F.when(F.col("__found"), profile_text(F.col("user_id"), F.col("age_group"), F.col("gender"), F.col("country_name")))
     line = track_line(F.col("track_name"), F.col("artist_name"), F.col("album_name"), F.col("release_date"), F.col("tag_list"))
     prompt = system_prompt(persona, rules_text, profile, F.col("user_profile"), F.col("conversation_goal"), F.array(line))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from sparkvane.functions.rules import APOLOGY, BANNED, CLOSERS, HALLUCINATION, REASONS, WARM_ANYWHERE, WARM_START, CurationRules, strip_warm_opener
 from sparkvane.functions.text import CANDIDATES_HEAD, corpus_text, metadata_text, profile_text, rendered, track_line
-from sparkvane.operators import bm25, curate, prompts, responder, segments, tensorprep, validate
+from sparkvane.operators import bm25, curate, dimension, prompts, responder, segments, tensorprep, validate
 from sparkvane.plans import fixtures as fx
 from sparkvane.plans import runner
 from sparkvane.sources import store, tables
@@ -263,6 +263,33 @@ def violations(spark, sf_dir):
     return validate.violations(_predictions(spark, sf_dir))
 
 
+def _odd_predictions(spark, sf_dir):
+    """A prediction for each document, every twelfth of a kind: nested and repeated names, escapes, values of other types."""
+    d, q = F.col("doc_id"), F.col("doc_id").cast("string")
+    ids = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(20)), lambda i: F.concat(F.lit('"'), i.cast("string"), F.lit('"'))), ", ")
+    by = lambda cases, other: F.coalesce(*[F.when(d % 12 == k, F.lit(v) if isinstance(v, str) else v) for k, v in cases.items()], F.lit(other) if isinstance(other, str) else other)
+    session = by({5: F.concat(F.lit('"'), (d - 5).cast("string"), F.lit('"')), 11: (d - 11).cast("string")}, F.concat(F.lit('"'), q, F.lit('"')))
+    turn = by({2: '"\\u0074urn_number": 1', 3: '"turn_number": "x", "turn_number": 1', 4: '"turn_number": 1, "turn_number": "x"', 5: '"turn_number": true', 6: '"turn_number": 1.5'}, '"turn_number": 1')
+    said = by({7: '{"predicted_response": "hi"}'}, '"a \\"predicted_response\\": 5"')
+    tracks = by({8: F.concat(F.lit('{"ids": ['), ids, F.lit("]}")), 9: F.concat(F.lit("["), F.regexp_replace(ids, '"20"', "1"), F.lit("]"))}, F.concat(F.lit("["), ids, F.lit("]")))
+    first = by({1: '"meta": {"turn_number": "x", "predicted_response": 7, "predicted_track_ids": []}, '}, "")
+    raw = F.concat(F.lit("{"), first, F.lit('"predicted_response": '), said, F.lit(', "predicted_track_ids": '), tracks, F.lit(', "user_id": null, '), turn, F.lit(', "session_id": '), session, F.lit("}"))
+    return fx.read(spark, sf_dir, "documents").select(d.alias("ordinal"), F.when(d % 12 == 10, F.lit('[1, "x"]')).otherwise(raw).alias("raw"))
+
+
+def violations_any_shape(spark, sf_dir):
+    return validate.violations(_odd_predictions(spark, sf_dir))
+
+
+def hot_track_join(spark, sf_dir):
+    """Lines of orders as plays, two fifths of them of one track, some unknown or null, joined with a catalog that isn't broadcast."""
+    n, line = F.col("l_orderkey"), F.col("l_linenumber")
+    track = F.when(n % 5 < 2, F.lit("7")).when(n % 97 == 3, F.lit("no such track")).when(n % 89 != 5, F.col("l_partkey").cast("string"))
+    plays = fx.read(spark, sf_dir, "lineitem").select(n.alias("play"), line.alias("nth"), track.alias("music_id"))
+    tracks = fx.tracks(spark, sf_dir).select("track_id", F.get("track_name", F.lit(0)).alias("name"))
+    return dimension.join_dimension(plays, tracks, "music_id", "track_id", few=0).drop("track_id")
+
+
 def first_violation(spark, sf_dir):
     return validate.first_violation(validate.violations(_predictions(spark, sf_dir)))
 
@@ -429,6 +456,16 @@ bad as (
     return {
         "bm25_top20": f"with {_bm25_sql(_ITEMS, TOP)} {_RANKED}",
         "bm25_stats": f"with {_bm25_sql(_ITEMS, TOP)} select n_docs, round(avgdl, 6) as avgdl, (select count(*) from dfs) as n_terms, (select cast(sum(df) as bigint) from dfs) as n_postings from st",
+        "violations_any_shape": """with k as (select doc_id as ordinal, doc_id % 12 as k from documents)
+select cast(-1 as bigint) as ordinal, 'V02' as rule from k having count(*) <> 80
+union all select ordinal, unnest(['V03', 'V05', 'V06', 'V07']) from k where k = 10
+union all select ordinal, 'V04' from k where k in (4, 6)
+union all select ordinal, unnest(['V05', 'V06']) from k where k = 8
+union all select ordinal, 'V07' from k where k = 7
+union all select b.ordinal, 'V08' from k b join k a on b.k = 5 and a.ordinal = b.ordinal - 5""",
+        "hot_track_join": """with plays as (select l_orderkey as play, l_linenumber as nth,
+    case when l_orderkey % 5 < 2 then '7' when l_orderkey % 97 = 3 then 'no such track' when l_orderkey % 89 <> 5 then cast(l_partkey as varchar) end as music_id from lineitem)
+select play, nth, music_id, p_name as name from plays left join part on music_id = cast(p_partkey as varchar)""",
         "bm25_growing_top20": f"with {_bm25_sql(_ITEMS, TOP, _GROWN)} {_RANKED}",
         "bm25_growing_stats": f"with {_bm25_sql(_ITEMS, TOP, _GROWN)} select state, n_docs, round(avgdl, 6) as avgdl, (select count(*) from dfs) as n_terms, (select cast(sum(df) as bigint) from dfs) as n_postings from st, (select unnest(['segments', 'compacted']) as state)",
         "bm25_zero_fill": f"""with {_bm25_sql("select item_id as qid, case when item_id % 2 = 0 then 'qqqqzzzz' else regexp_extract(text, '\\S+\\s*$') end as text from benchmark", TOP)},
@@ -481,6 +518,7 @@ select row_number() over (order by s, body, u nulls first, turn nulls first) - 1
 def queries() -> dict:
     return {
         "bm25_top20": bm25_top20, "bm25_stats": bm25_stats, "bm25_zero_fill": bm25_zero_fill, "bm25_transcript_top20": bm25_transcript_top20, "bm25_catalog_top20": bm25_catalog_top20,
+        "violations_any_shape": violations_any_shape, "hot_track_join": hot_track_join,
         "bm25_growing_top20": bm25_growing_top20, "bm25_growing_stats": bm25_growing_stats,
         "strict_transcript": strict_transcript, "funnel_default_lexicon": funnel_default_lexicon, "scalar_track_lines": scalar_track_lines, "dict_goals": dict_goals, "sample_preview": sample_preview, "generation_inputs": generation_inputs,
         "ordered_dedupe_top3": ordered_dedupe_top3, "turn1_pivot": turn1_pivot, "last_turn": last_turn, "transcript": transcript, "warm_strip": warm_strip,
