@@ -39,10 +39,15 @@ def judged(triples: DataFrame, tracks: DataFrame, rules: CurationRules) -> DataF
     return out.select("*", F.explode(F.array(found)).alias("reason")).drop("__known")
 
 
+def funnel_counters() -> dict[str, Column]:
+    """Aggregates over judged rows: total_sessions, every reason's count, zeros too, and kept."""
+    count = lambda k: F.coalesce(F.sum(F.when(F.col("reason") == k, 1).otherwise(0)), F.lit(0)).cast("long")
+    return {"total_sessions": F.count(F.lit(1))} | {k: count(k) for k in [*REASONS, "kept"]}
+
+
 def funnel_stats(rows: DataFrame) -> DataFrame:
-    """One row: total_sessions, every reason's count, zeros too, and kept."""
-    count = lambda k: F.coalesce(F.sum(F.when(F.col("reason") == k, 1).otherwise(0)), F.lit(0)).cast("long").alias(k)
-    return rows.agg(F.count("*").alias("total_sessions"), *[count(k) for k in [*REASONS, "kept"]])
+    """One row of the counters, from a pass of its own; a writing job can take them along (`write_observed`)."""
+    return rows.agg(*[c.alias(k) for k, c in funnel_counters().items()])
 
 
 def sft_rows(rows: DataFrame, users: DataFrame, persona: str, rules_text: str) -> DataFrame:

@@ -59,14 +59,22 @@ def masked(rows: DataFrame, tokenizer: Tokenizer, max_length: int = 2048) -> Dat
     return cut.withColumns({"attention_mask": F.array_repeat(F.lit(1).cast("bigint"), F.size("input_ids")), "labels": F.concat(F.array_repeat(F.lit(-100).cast("bigint"), n), tail)}).drop("__prefix")
 
 
+def has_label() -> Column:
+    return F.exists("labels", lambda x: x != -100)
+
+
 def learnable(rows: DataFrame) -> DataFrame:
-    return rows.where(F.exists("labels", lambda x: x != -100))
+    return rows.where(has_label())
+
+
+def mask_counters() -> dict[str, Column]:
+    """Aggregates over masked rows: before, and after those without labels are left out."""
+    return {"before": F.count(F.lit(1)), "after": F.coalesce(F.sum(has_label().cast("long")), F.lit(0))}
 
 
 def mask_counts(rows: DataFrame) -> DataFrame:
     """Rows before, after and dropped, in one pass."""
-    some = F.exists("labels", lambda x: x != -100)
-    return rows.agg(F.count("*").alias("before"), F.coalesce(F.sum(some.cast("long")), F.lit(0)).alias("after")).withColumn("dropped", F.col("before") - F.col("after"))
+    return rows.agg(*[c.alias(k) for k, c in mask_counters().items()]).withColumn("dropped", F.col("before") - F.col("after"))
 
 
 def padded(rows: DataFrame, batch: Column, pad: int) -> DataFrame:

@@ -13,7 +13,8 @@ from sparkvane.functions.text import CANDIDATES_HEAD, corpus_text, metadata_text
 from sparkvane.operators import bm25, curate, dimension, prompts, responder, segments, tensorprep, validate
 from sparkvane.plans import fixtures as fx
 from sparkvane.plans import runner
-from sparkvane.sources import store, tables
+from sparkvane.sources import observed, store, tables
+from sparkvane.streaming import curation
 
 RULES = CurationRules.fixture()
 FIELDS = prompts.FIELDS
@@ -127,6 +128,33 @@ def funnel_stats(spark, sf_dir):
     return curate.funnel_stats(_judged(spark, sf_dir))
 
 
+def observed_funnel(spark, sf_dir):
+    """The counters as the job that writes the judged rows sees them."""
+    counted = observed.write_observed(_judged(spark, sf_dir), f"{store.scratch(spark)}/judged", **curate.funnel_counters())
+    names = curation.COUNTERS
+    return spark.createDataFrame([tuple(counted[c] for c in names)], ", ".join(f"{c} long" for c in names))
+
+
+def _streamed(spark, sf_dir):
+    """The output folder of a stream over all triples in three parts, stopped after the first and started again."""
+    path, parts = store.scratch(spark), 3
+    triples = fx.triples(spark, sf_dir).withColumn("part", F.pmod(F.xxhash64("session_id"), F.lit(parts)))
+    tracks = fx.tracks(spark, sf_dir)
+    for part in range(parts):
+        triples.where(F.col("part") == part).drop("part").coalesce(8).write.mode("append").parquet(f"{path}/arrived")
+        source = spark.readStream.schema(triples.drop("part").schema).option("maxFilesPerTrigger", 8).parquet(f"{path}/arrived")
+        curation.curate_stream(source, tracks, RULES, f"{path}/out", f"{path}/checkpoint").awaitTermination()
+    return f"{path}/out"
+
+
+def streamed_funnel(spark, sf_dir):
+    return curation.funnel(spark, _streamed(spark, sf_dir))
+
+
+def streamed_reason_rows(spark, sf_dir):
+    return curation.judged(spark, _streamed(spark, sf_dir)).select("session_id", "reason")
+
+
 def funnel_reason_rows(spark, sf_dir):
     return _judged(spark, sf_dir).select("session_id", "reason")
 
@@ -493,8 +521,9 @@ select row_number() over (order by s, body, u nulls first, turn nulls first) - 1
         "last_turn": f"with {fx.MESSAGES_SQL} select cast(s as varchar) as session_id, arg_max(content, pos) as query, cast(arg_max(turn_number, pos) as integer) as turn_number, arg_max(role, pos) = 'user' as is_user from messages group by s",
         "transcript": f"with {fx.TRACKS_SQL}, {fx.MESSAGES_SQL}, {_LINES} select session_id, transcript from transcript",
         "warm_strip": f"with {_warm_sql('documents', 'doc_id', 'text')} select doc_id, x as stripped from w4",
-        "funnel_stats": f"with {_funnel_sql()} select count(*) as total_sessions, " + ", ".join(f"count(*) filter (where reason = '{r}') as {r}" for r in [*REASONS, "kept"]) + " from judged",
+        **dict.fromkeys(("funnel_stats", "observed_funnel", "streamed_funnel"), f"with {_funnel_sql()} select count(*) as total_sessions, " + ", ".join(f"count(*) filter (where reason = '{r}') as {r}" for r in [*REASONS, "kept"]) + " from judged"),
         "funnel_reason_rows": f"with {_funnel_sql()} select session_id, reason from judged",
+        "streamed_reason_rows": f"with {_funnel_sql()} select session_id, reason from judged",
         "sft_rows": _sft_sql(),
         "train_prompt": f"select session_id, md5(system_prompt) as prompt_md5, cast(length(system_prompt) as integer) as prompt_length from ({_sft_sql()})",
         "infer_prompt": _infer_sql(),
@@ -519,6 +548,7 @@ def queries() -> dict:
     return {
         "bm25_top20": bm25_top20, "bm25_stats": bm25_stats, "bm25_zero_fill": bm25_zero_fill, "bm25_transcript_top20": bm25_transcript_top20, "bm25_catalog_top20": bm25_catalog_top20,
         "violations_any_shape": violations_any_shape, "hot_track_join": hot_track_join,
+        "observed_funnel": observed_funnel, "streamed_funnel": streamed_funnel, "streamed_reason_rows": streamed_reason_rows,
         "bm25_growing_top20": bm25_growing_top20, "bm25_growing_stats": bm25_growing_stats,
         "strict_transcript": strict_transcript, "funnel_default_lexicon": funnel_default_lexicon, "scalar_track_lines": scalar_track_lines, "dict_goals": dict_goals, "sample_preview": sample_preview, "generation_inputs": generation_inputs,
         "ordered_dedupe_top3": ordered_dedupe_top3, "turn1_pivot": turn1_pivot, "last_turn": last_turn, "transcript": transcript, "warm_strip": warm_strip,

@@ -1,5 +1,8 @@
 """The engine end to end: curated rows, token rows for a trainer, predictions, the package. Each stage can be skipped.
 
+A stage that is done leaves a manifest with a fingerprint of its settings, its source files and the stages before it. A run that
+resumes leaves out the stages whose fingerprint is still the same; a stage that was changed, or broke off, is done again, and so is what depends on it.
+
 Tables of the registry: train_sessions, test_sessions, tracks, users (optional). Their ids are unique, or
 a column `ordinal` tells which row came last. "First" sessions are those with the least session_id.
 What stages hand on lies under `work`, in any store that Spark writes to; the JSON list and its zip, the
@@ -8,6 +11,8 @@ result of one test set, go to `output`, a folder of the driver.
 
 from __future__ import annotations
 
+import hashlib
+import json
 import os
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field, fields, replace
@@ -18,7 +23,8 @@ from pyspark.sql import functions as F
 from sparkvane.functions.rules import CurationRules
 from sparkvane.functions.text import corpus_text
 from sparkvane.operators import bm25, curate, prompts, responder, tensorprep, training, validate
-from sparkvane.sources import tables
+from sparkvane.sources import store, tables
+from sparkvane.sources.observed import write_observed
 
 SPECS = {
     "train_sessions": tables.TableSpec("train_sessions.parquet", tables.SESSIONS),
@@ -75,6 +81,8 @@ class Run:
     rules: CurationRules = field(default_factory=CurationRules)
     tokenizer: tensorprep.Tokenizer = field(default_factory=tensorprep.word_tokenizer)
     generate: responder.Generate = responder.template_responder
+    #: Names the tokenizer and the responder, whose code no fingerprint can tell.
+    code: str = ""
 
     def path(self, name: str) -> str:
         return f"{self.settings.work}/{name}"
@@ -88,12 +96,6 @@ class Run:
         return tables.keyed(df, by, "ordinal").drop("ordinal") if "ordinal" in df.columns else df
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    """Asks the path's own store."""
-    found = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return found.getFileSystem(spark._jsc.hadoopConfiguration()).exists(found)
-
-
 def head(df: DataFrame, n: int | None, key: str = "session_id") -> DataFrame:
     """The n rows with the least keys, or all for None."""
     return df if n is None else df.orderBy(key).limit(n)
@@ -113,14 +115,19 @@ def sample(rows: DataFrame) -> DataFrame:
     return tables.preview(head(rows, 1).select("user_query", "music_id", "assistant_response"), PREVIEW)
 
 
+def one_row(run: Run, counted: dict[str, int], name: str) -> None:
+    tables.write_table(run.spark.createDataFrame([tuple(counted.values())], ", ".join(f"{k} long" for k in counted)), run.path(name))
+
+
 def dataset(run: Run) -> None:
-    """Curated rows, a sample of them, and the funnel's counters. Rows are judged once."""
+    """Curated rows, a sample of them, and the funnel's counters. Rows are judged once, and counted by the job that writes them."""
     s = run.settings
     sessions = head(run.registry.scan(run.spark, "train_sessions"), s.max_rows)
-    tables.write_table(curate.judged(curate.first_turn(sessions).drop("conversations"), run.dimension("tracks", "track_id"), run.rules), run.path("judged"))
+    judged = curate.judged(curate.first_turn(sessions).drop("conversations"), run.dimension("tracks", "track_id"), run.rules)
+    counted = write_observed(judged, run.path("judged"), **curate.funnel_counters())
     rows = run.spark.read.parquet(run.path("judged"))
     tables.write_table(curate.sft_rows(rows, run.dimension("users", "user_id"), *prompt_texts(run)), run.path("rows"))
-    tables.write_table(curate.funnel_stats(rows), run.path("funnel"))
+    one_row(run, counted, "funnel")
     tables.write_table(sample(run.spark.read.parquet(run.path("rows"))), run.path("sample"))
 
 
@@ -128,8 +135,9 @@ def train(run: Run) -> None:
     """Token rows with their split, and the trainer's configuration. Training itself happens outside Spark."""
     s = run.settings
     rows = tensorprep.templated(run.spark.read.parquet(run.path("rows")))
-    tokens = tensorprep.learnable(tensorprep.masked(rows, run.tokenizer, s.max_length))
-    tables.write_table(tokens.select("session_id", "input_ids", "attention_mask", "labels"), run.path("tokens"))
+    tokens = tensorprep.masked(rows, run.tokenizer, s.max_length).select("session_id", "input_ids", "attention_mask", "labels")
+    n = write_observed(tokens, run.path("tokens"), tensorprep.has_label(), **tensorprep.mask_counters())
+    one_row(run, n | {"dropped": n["before"] - n["after"]}, "masked")
     split = tensorprep.eval_split(run.spark.read.parquet(run.path("tokens")), "session_id", s.eval_fraction, s.seed)
     tables.write_table(split, run.path("split"))
     n = dict(run.spark.read.parquet(run.path("split")).groupBy("split").count().collect())  # two rows
@@ -183,8 +191,48 @@ def package(run: Run) -> None:
 STAGES: dict[str, Callable[[Run], None]] = {"dataset": dataset, "train": train, "inference": inference, "package": package}
 
 
-def run_stages(run: Run) -> dict[str, str]:
-    """What became of each stage: done, or why it was skipped. Needs that aren't met are an error before the stage begins."""
+@dataclass(frozen=True)
+class Depends:
+    """What a stage's results follow from, and which they are: settings, sources, stages before, tables and files."""
+
+    settings: tuple[str, ...]
+    sources: tuple[str, ...] = ()
+    stages: tuple[str, ...] = ()
+    tables: tuple[str, ...] = ()
+    files: tuple[str, ...] = ()
+
+
+_TEXTS = ("root", "persona", "rules_text", "persona_file", "rules_file")
+DEPENDS = {
+    "dataset": Depends((*_TEXTS, "max_rows"), ("train_sessions", "tracks", "users"), tables=("judged", "rows", "funnel", "sample")),
+    "train": Depends(("base_model", "max_length", "eval_fraction", "seed", "targets"), stages=("dataset",), tables=("tokens", "masked", "split", "training")),
+    "inference": Depends((*_TEXTS, "subset", "depth", "keep", "shown", "max_input", "adapter", "output"), ("test_sessions", "tracks", "users"), tables=("hits", "predictions"), files=("predictions.json",)),
+    "package": Depends(("expected", "keep", "output"), stages=("inference",), files=("prediction.zip",)),
+}
+
+
+def fingerprint(run: Run, stage: str) -> str:
+    """Of all that the stage's results follow from; source files are told by their names, sizes and times."""
+    s, need = run.settings, DEPENDS[stage]
+    files = [(f"{s.root}/{SPECS[key].path}") for key in need.sources] + [getattr(s, f) for f in ("persona_file", "rules_file") if f in need.settings and getattr(s, f)]
+    known = [stage, {f: getattr(s, f) for f in need.settings}, repr(run.rules), run.code, [fingerprint(run, b) for b in need.stages], [store.listing(run.spark, f) for f in files]]
+    return hashlib.sha256(json.dumps(known, default=str).encode()).hexdigest()
+
+
+def _manifest(run: Run, stage: str) -> str:
+    return run.path(f"manifests/{stage}.json")
+
+
+def is_done(run: Run, stage: str) -> bool:
+    """Whether the stage's results are there, whole, and of what there is now."""
+    need, at = DEPENDS[stage], _manifest(run, stage)
+    if not store.exists(run.spark, at) or json.loads(store.read_text(run.spark, at))["fingerprint"] != fingerprint(run, stage):
+        return False
+    return all(store.exists(run.spark, run.path(f"{t}/_SUCCESS")) for t in need.tables) and all(os.path.exists(f"{run.settings.output}/{f}") for f in need.files)
+
+
+def run_stages(run: Run, resume: bool = False) -> dict[str, str]:
+    """What became of each stage: done, done before, or why it was skipped. Needs that aren't met are an error before the stage begins."""
     s, out = run.settings, {}
     if unknown := set(s.skip) - set(STAGES):
         raise ValueError(f"no stages of the names {sorted(unknown)}")
@@ -194,11 +242,16 @@ def run_stages(run: Run) -> dict[str, str]:
             out[name] = "skipped: asked for"
         elif name == "package" and s.subset:
             out[name] = "skipped: a subset has too few rows"
+        elif resume and is_done(run, name):
+            out[name] = "done before"
         else:
             for path in needs.get(name, []):
-                if not exists(run.spark, path):
+                if not store.exists(run.spark, path):
                     raise FileNotFoundError(f"{name} needs {path}; run the stage that makes it first")
+            store.remove(run.spark, _manifest(run, name))  # while it runs, and if it breaks off, it isn't done
+            now = fingerprint(run, name)
             stage(run)
+            store.publish(run.spark, _manifest(run, name), json.dumps({"fingerprint": now}))
             out[name] = "done"
     return out
 

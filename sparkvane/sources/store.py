@@ -41,6 +41,12 @@ def names(spark: SparkSession, path: str) -> list[str]:
     return sorted(x.getPath().getName() for x in files.listStatus(at)) if files.exists(at) else []
 
 
+def listing(spark: SparkSession, path: str) -> list[tuple[str, int, int]]:
+    """Name, size and time of a file, or of the files of a table's folder; nothing if there is none."""
+    at, files = _at(spark, path)
+    return sorted((x.getPath().getName(), x.getLen(), x.getModificationTime()) for x in files.listStatus(at)) if files.exists(at) else []
+
+
 def remove(spark: SparkSession, path: str) -> None:
     at, files = _at(spark, path)
     files.delete(at, True)

@@ -101,3 +101,33 @@ def test_file_tokenizer_round_trip(spark):
     r = tensorprep.masked(tensorprep.templated(rows), tensorprep.file_tokenizer(VOCABULARY), 100).first()
     k = sum(x == -100 for x in r["labels"])
     assert 0 < k < len(r["labels"]) and r["labels"][k:] == r["input_ids"][k:]
+
+
+def test_a_run_goes_on_where_it_broke_off(spark, made, tmp_path, monkeypatch):
+    """A stage that breaks off, a setting, a source and a table that changes: only what depends on it is done again."""
+    root = tmp_path / "music"
+    run = runner.with_settings(made[0], work=str(tmp_path / "work"), output=str(tmp_path / "out"), root=str(root))
+    for name in ("tracks", "train_sessions", "test_sessions"):
+        spark.read.parquet(f"{made[0].settings.root}/{name}.parquet").write.parquet(f"{root}/{name}.parquet")
+    done = lambda *again: {s: "done" if s in again else "done before" for s in runner.STAGES}
+
+    def broken(run):
+        raise OSError("lost half-way")
+
+    with monkeypatch.context() as m:
+        m.setitem(runner.STAGES, "inference", broken)
+        with pytest.raises(OSError):
+            runner.run_stages(run, resume=True)
+    assert [runner.is_done(run, s) for s in runner.STAGES] == [True, True, False, False]
+    assert runner.run_stages(run, resume=True) == done("inference", "package")
+    assert runner.run_stages(run, resume=True) == done()
+    longer = runner.with_settings(run, max_length=40)
+    assert runner.run_stages(longer, resume=True) == done("train")
+    fewer = runner.with_settings(longer, max_rows=60)
+    assert runner.run_stages(fewer, resume=True) == done("dataset", "train")
+    spark.createDataFrame([("u1", "20s", None, "Chile")], tables.USERS).write.parquet(f"{root}/users.parquet")
+    assert runner.run_stages(fewer, resume=True) == done("dataset", "train", "inference", "package")
+    os.remove(tmp_path / "out" / "prediction.zip")
+    assert runner.run_stages(fewer, resume=True) == done("package")
+    assert runner.run_stages(fewer) == dict.fromkeys(runner.STAGES, "done")
+    assert spark.read.parquet(run.path("masked")).first().asDict() == {"before": 44, "after": 0, "dropped": 44}

@@ -35,8 +35,10 @@ def test_batches_scored_in_tasks_equal_pairs_added_up(spark, queries, monkeypatc
     index = bm25.build(frame(spark, docs).withColumn("doc", F.col("doc").cast(kind)), "doc", "text")
     monkeypatch.setattr(bm25, "CELLS", cells)
     got = hits(index, queries)
-    monkeypatch.setattr(bm25, "BATCH_QUERIES", 0)
-    assert got == hits(index, queries) and len(got) == 60
+    pairs = bm25.top(bm25.scores(index, queries, "q", "text"), 5)
+    assert got == sorted(map(tuple, pairs.collect())) and len(got) == 60
+    monkeypatch.setattr(bm25, "BATCH_QUERIES", 5)
+    assert got == hits(index, queries)  # in several batches
 
 
 def test_no_documents_and_no_known_terms(spark, queries):
