@@ -1,4 +1,4 @@
-"""Document fingerprints by SimHash, and search within a Hamming radius by permuted block tables or a scan.
+"""Document fingerprints by SimHash, and search within a Hamming radius by permuted block tables.
 
 The terms of a text are its shingles of TERM words, A to Z lower-cased, weighted by 1 + log2 of how
 often they come. Each term's 128-bit hash votes on every bit, for or against by its weight; a
@@ -10,12 +10,13 @@ a cosine of 1.6 / 1.8 and differ in a bit with probability acos(1.6 / 1.8) / pi
 128 bits, with a deviation of 4.1. RADIUS leaves out about one in a hundred of them; unrelated texts
 are about 64 bits apart.
 
-Search up to a radius of TABLES: 128 bits are cut into radius + 2 blocks, so that fingerprints within
-the radius agree on two blocks at least. For each pair of blocks there is a table with those two in
-front, as key; equal keys are candidates and their distance is checked. Beyond that the blocks are
-too short to tell fingerprints apart, and blocks of QUERIES queries are sent to the tasks, which
-compare them with every fingerprint; the work grows with queries times documents. Either finds
-all fingerprints within the radius.
+Search goes by block tables, each of which has another block of bits in front, as its key. 128 bits are cut into BLOCKS blocks,
+and the radius is shared out among them, so that fingerprints within it differ in one block at least by no more than
+that block's share. Blocks of queries are sent to the tasks, which put them into a table for each block and look up, for every
+fingerprint, all keys that differ in so many bits of the block. What is found is a candidate, whose distance is checked; so all fingerprints
+within the radius are found. Work grows with documents times blocks of QUERIES queries. Up to a radius of TABLES there
+is another way, by joins: 128 bits are cut into radius + 2 blocks, so that fingerprints within the radius agree on two of them, and for
+each two blocks there is a table with them in front.
 
 Defined cases. A null or empty text has no terms and the fingerprint 0; equal texts have equal
 fingerprints. Documents are followed in descending doc_id, null last, then by text; repeated rows
@@ -27,6 +28,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
@@ -37,7 +39,9 @@ from pyspark.sql import functions as F
 from sparkvane.llm.common import given_id, read, with_nulls, written
 from sparkvane.llm.words import U, distinct, hashed_words, mixed, shingles, slices
 
-BITS, TERM, RADIUS, TABLES = 128, 3, 28, 6
+BITS, TERM, RADIUS, TABLES, BLOCKS = 128, 3, 28, 6, 8
+#: Candidates that a task checks at once, about, and fingerprints that it looks up at once.
+CHECKED, LOOKED_UP = 1 << 20, 256
 #: Queries that are sent to the tasks together.
 QUERIES = 1 << 18
 #: Bytes of text in a piece of the ordered corpus, and pieces at most, of which the driver holds a mark and a head each.
@@ -79,12 +83,13 @@ def followed(docs: DataFrame) -> DataFrame:
     """doc_id, text, next_text: the text that follows in descending doc_id, the first one's after the last.
 
     The order is cut into pieces at quantiles of doc_id; the first document of a piece also stands
-    at the end of the piece before it. One shuffle of the texts, no piece of over about PIECE bytes
+    at the end of the piece before it. One shuffle of the texts, in pieces for all its parts, none of over about PIECE bytes
     (or a part in PIECES of all) but for a long text or a doc_id that many rows share.
     """
     rows = docs.select("doc_id", "text").withColumn("__h", F.xxhash64("text"))
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0)).alias("b"), F.count("*").alias("n")).first()
-    pieces = int(min(PIECES, max(1, size["b"] // PIECE + 1)))
+    # as many as a shuffle has parts at least, but for a text or two in each
+    pieces = int(min(PIECES, max(size["b"] // PIECE + 1, min(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), size["n"] // 50))))
     marks = []
     if pieces > 1:
         # one number for each piece comes to the driver
@@ -169,7 +174,7 @@ def within(queries: DataFrame, corpus: DataFrame, radius: int = TABLES) -> DataF
 
 
 def scanned(asked: DataFrame, rows: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """q_hi, q_lo, n: of each distinct fingerprint of asked, how many rows are within the radius (columns hi, lo of either). No pairs are made."""
+    """The same as looked_up, by comparing every row with every query: what tests hold it against."""
     queries = asked.select("hi", "lo").distinct()
     blocks = queries.count() // QUERIES + 1
     out = None
@@ -193,10 +198,94 @@ def scanned(asked: DataFrame, rows: DataFrame, radius: int = RADIUS) -> DataFram
     return out.groupBy("q_hi", "q_lo").agg(F.sum("n").alias("n"))
 
 
+@dataclass
+class BlockTables:
+    """Queries by each of the blocks of their bits: all within the radius of a fingerprint are found by its keys and their neighbours."""
+
+    hi: np.ndarray
+    lo: np.ndarray
+    radius: int
+    cuts: list[int]
+    masks: list[np.ndarray]  # of each block: the flips of as many bits as its share of the radius
+    keys: list[np.ndarray]  # sorted
+    query: list[np.ndarray]
+    taken: list[np.ndarray]  # which keys there are
+
+    @classmethod
+    def of(cls, hi: np.ndarray, lo: np.ndarray, radius: int) -> BlockTables:
+        cuts = [round(i * BITS / BLOCKS) for i in range(BLOCKS + 1)]
+        out = cls(hi, lo, radius, cuts, [], [], [], [])
+        for i, values in enumerate(out._values(hi, lo)):
+            # radius + 1 units are dealt out; a block with s of them is searched up to s - 1 flips
+            most, width = (radius + 1 + BLOCKS - 1 - i) // BLOCKS - 1, cuts[i + 1] - cuts[i]
+            out.masks.append(np.array([sum(1 << b for b in bits) for n in range(most + 1) for bits in combinations(range(width), n)], np.int64))
+            order = np.argsort(values, kind="stable")
+            out.keys.append(values[order])
+            out.query.append(order)
+            out.taken.append(np.zeros(1 << width, bool))
+            out.taken[i][values] = True
+        return out
+
+    def _values(self, hi: np.ndarray, lo: np.ndarray) -> list[np.ndarray]:
+        bits = np.unpackbits(np.stack([hi, lo], 1).astype(">u8").view(np.uint8), axis=1)
+        return [bits[:, a:b].astype(np.int64) @ (1 << np.arange(b - a, dtype=np.int64)) for a, b in zip(self.cuts, self.cuts[1:], strict=False)]
+
+    def near(self, hi: np.ndarray, lo: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Fingerprint and query, by number, of all pairs within the radius, each once; in parts that keep a fingerprint's together."""
+        found = []
+        for i, values in enumerate(self._values(hi, lo)):
+            row, flip = np.nonzero(self.taken[i][keys := values[:, None] ^ self.masks[i]])
+            key = keys[row, flip]
+            found.append((row, i, np.searchsorted(self.keys[i], key), np.searchsorted(self.keys[i], key, "right")))
+        row = np.concatenate([f[0] for f in found])
+        block = np.concatenate([np.full(len(f[0]), f[1]) for f in found])
+        first, stop = np.concatenate([f[2] for f in found]), np.concatenate([f[3] for f in found])
+        order = np.argsort(row, kind="stable")
+        row, block, first, n = row[order], block[order], first[order], (stop - first)[order]
+        each = np.bincount(row, n, len(hi))
+        for rows in np.split(np.arange(len(hi)), np.flatnonzero(np.diff(np.cumsum(each) // CHECKED)) + 1):
+            a, b = np.searchsorted(row, [rows[0], rows[-1] + 1]) if len(rows) else (0, 0)
+            if a == b:
+                continue
+            at = np.repeat(first[a:b] - np.concatenate(([0], np.cumsum(n[a:b])[:-1])), n[a:b]) + np.arange(n[a:b].sum())
+            query, of = np.empty(len(at), np.int64), np.repeat(block[a:b], n[a:b])
+            for i in range(BLOCKS):
+                query[of == i] = self.query[i][at[of == i]]
+            pair = np.unique(np.repeat(row[a:b], n[a:b]) * len(self.hi) + query)
+            r, q = pair // len(self.hi), pair % len(self.hi)
+            some = np.bitwise_count(hi[r] ^ self.hi[q]) + np.bitwise_count(lo[r] ^ self.lo[q]) <= self.radius
+            yield r[some], q[some]
+
+
+def looked_up(asked: DataFrame, rows: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """q_hi, q_lo, n: of each distinct fingerprint of asked, how many rows are within the radius (columns hi, lo of either). No pairs leave a task."""
+    queries = asked.select("hi", "lo").distinct()
+    blocks = queries.count() // QUERIES + 1
+    out = None
+    for k in range(blocks):
+        some = queries.where(F.pmod(F.xxhash64("hi", "lo"), F.lit(blocks)) == k).toPandas()  # a block, about
+        hi, lo = some["hi"].to_numpy(np.int64).view(U), some["lo"].to_numpy(np.int64).view(U)
+
+        def batches(frames: Iterator[pd.DataFrame], hi: np.ndarray = hi, lo: np.ndarray = lo) -> Iterator[pd.DataFrame]:
+            tables, n = BlockTables.of(hi, lo, radius) if len(hi) else None, np.zeros(len(hi), np.int64)
+            for x in frames if tables else ():
+                own, copies = np.unique(x[["hi", "lo"]].to_numpy(np.int64), axis=0, return_counts=True)
+                u, v = np.ascontiguousarray(own[:, 0]).view(U), np.ascontiguousarray(own[:, 1]).view(U)
+                for i in range(0, len(u), LOOKED_UP):
+                    for r, q in tables.near(u[i : i + LOOKED_UP], v[i : i + LOOKED_UP]):
+                        np.add.at(n, q, copies[i + r])
+            some = np.flatnonzero(n)
+            yield pd.DataFrame({"q_hi": hi[some].view(np.int64), "q_lo": lo[some].view(np.int64), "n": n[some]})
+
+        one = rows.select("hi", "lo").mapInPandas(batches, "q_hi long, q_lo long, n long")
+        out = one if out is None else out.unionByName(one)
+    return out.groupBy("q_hi", "q_lo").agg(F.sum("n").alias("n"))
+
+
 def near_counts(asked: DataFrame, rows: DataFrame, radius: int = RADIUS) -> DataFrame:
     """q_hi, q_lo, n: of each distinct fingerprint of asked, how many rows are within the radius (columns fp, hi, lo of either)."""
     if radius > TABLES:
-        return scanned(asked, rows, radius)
+        return looked_up(asked, rows, radius)
     counts = rows.groupBy("fp", "hi", "lo").agg(F.count("*").alias("rows"))
     found = within(asked, counts, radius).join(counts.select(F.col("fp").alias("found"), "rows"), "found").groupBy("query").agg(F.sum("rows").alias("n"))
     return found.join(asked.select(F.col("fp").alias("query"), F.col("hi").alias("q_hi"), F.col("lo").alias("q_lo")).distinct(), "query").select("q_hi", "q_lo", "n")
