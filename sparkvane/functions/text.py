@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -42,6 +45,23 @@ def rendered(x: Column, kind: T.DataType) -> Column:
     return x if isinstance(kind, T.StringType) else _written(x, kind)
 
 
+def rendered_json(x: Column) -> Column:
+    """A value of any type, given as JSON text, as Python's str() writes it; a text is itself, null and what is no JSON are null."""
+
+    def one(text: str | None) -> str | None:
+        try:
+            value = json.loads(text) if text is not None else None
+        except ValueError:
+            return None
+        return None if value is None else str(value)
+
+    def written(texts: pd.Series) -> pd.Series:
+        return texts.map(one)
+
+    written.__annotations__ = {"texts": pd.Series, "return": pd.Series}
+    return F.pandas_udf(written, "string")(x)
+
+
 def _written(x: Column, kind: T.DataType) -> Column:
     inner = lambda v, k: F.coalesce(_quoted(v) if isinstance(k, T.StringType) else _written(v, k), F.lit("None"))
     if isinstance(kind, T.StructType):

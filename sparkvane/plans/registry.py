@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkvane.functions.rules import APOLOGY, BANNED, CLOSERS, HALLUCINATION, REASONS, WARM_ANYWHERE, WARM_START, CurationRules, strip_warm_opener
-from sparkvane.functions.text import CANDIDATES_HEAD, corpus_text, metadata_text, profile_text, rendered, track_line
-from sparkvane.operators import bm25, curate, dimension, prompts, responder, segments, tensorprep, validate
+from sparkvane.functions.text import CANDIDATES_HEAD, corpus_text, metadata_text, profile_text, rendered, rendered_json, track_line
+from sparkvane.operators import bm25, curate, dimension, prompts, records, responder, segments, tensorprep, validate
 from sparkvane.plans import fixtures as fx
 from sparkvane.plans import runner
 from sparkvane.sources import observed, store, tables
@@ -181,6 +181,23 @@ def dict_goals(spark, sf_dir):
     return held.select("track_id", rendered(F.col("goal"), held.schema["goal"].dataType).alias("goal"))
 
 
+def mixed_goals(spark, sf_dir):
+    """Goals of every type that JSON has, some nested, as Python writes them."""
+    p, n, name = fx.read(spark, sf_dir, "part"), F.col("p_partkey"), F.col("p_name")
+    size, price = F.col("p_size").cast("string"), F.round(n / 8, 3).cast("string")
+    nested = F.concat(F.lit('{"mood": {"name": "'), name, F.lit('", "of": ['), size, F.lit(', null, true, "it\'s"]}, "\\u00e9": '), price, F.lit("}"))
+    kinds = {0: F.concat(F.lit('"'), name, F.lit('"')), 1: nested, 2: F.concat(F.lit("[["), size, F.lit('], {}, ""]')), 3: size, 4: F.lit("null"), 5: F.lit("false"), 6: F.lit("{no JSON")}
+    goal = F.coalesce(*[F.when(n % 7 == k, v) for k, v in kinds.items()])
+    return p.select(n.cast("string").alias("track_id"), rendered_json(goal).alias("goal"))
+
+
+def prediction_records(spark, sf_dir):
+    """Last turns, transcripts and responses of all sessions, stored side by side and joined without exchange."""
+    shelf = records.Shelf(spark, "session_id")
+    last = shelf.put(last_turn(spark, sf_dir).select("session_id", "turn_number"))
+    return shelf.joined(last, shelf.put(transcript(spark, sf_dir)), shelf.put(responses(spark, sf_dir)))
+
+
 def sample_preview(spark, sf_dir):
     return runner.sample(sft_rows(spark, sf_dir))
 
@@ -481,7 +498,15 @@ bad as (
   union all select qid, 'V06' from pred where len(list_distinct(ids)) <> 20
   union all select qid, 'V07' from pred where m = 4
   union all select qid, 'V08' from (select qid, row_number() over (partition by s order by qid) as n from pred) where n > 1)"""
+    last = f"with {fx.MESSAGES_SQL} select cast(s as varchar) as session_id, cast(arg_max(turn_number, pos) as integer) as turn_number from messages group by s"
+    texts = f"with {fx.TRACKS_SQL}, {fx.MESSAGES_SQL}, {_LINES} select session_id, transcript from transcript"
+    said = f"""select session_id, case when line = '' then {_quote(responder.EMPTY_RESPONSE)} else 'Try ' || line || '.' end as predicted_response
+from (select session_id, regexp_extract(system_prompt, '\\n1\\. ([^\\n]*)', 1) as line from ({_infer_sql()}))"""
     return {
+        "prediction_records": f"select * from ({last}) join ({texts}) using (session_id) join ({said}) using (session_id)",
+        "mixed_goals": r"""select cast(p_partkey as varchar) as track_id, case p_partkey % 7 when 0 then p_name
+    when 1 then '{''mood'': {''name'': ''' || p_name || ''', ''of'': [' || p_size || ', None, True, "it''s"]}, ''é'': ' || cast(round(p_partkey / 8, 3) as varchar) || '}'
+    when 2 then '[[' || p_size || '], {}, '''']' when 3 then cast(p_size as varchar) when 5 then 'False' end as goal from part""",
         "bm25_top20": f"with {_bm25_sql(_ITEMS, TOP)} {_RANKED}",
         "bm25_stats": f"with {_bm25_sql(_ITEMS, TOP)} select n_docs, round(avgdl, 6) as avgdl, (select count(*) from dfs) as n_terms, (select cast(sum(df) as bigint) from dfs) as n_postings from st",
         "violations_any_shape": """with k as (select doc_id as ordinal, doc_id % 12 as k from documents)
@@ -510,8 +535,7 @@ select qid, doc as doc_id, round(cast(score as double), 6) as score, rank from (
         "generation_inputs": f"""with asked as (with {fx.MESSAGES_SQL} select cast(s as varchar) as session_id, arg_max(content, pos) as query from messages group by s),
 shown as (select session_id, '<|im_start|>system' || chr(10) || system_prompt || '<|im_end|>' || chr(10) || '<|im_start|>user' || chr(10) || query || '<|im_end|>' || chr(10) || '<|im_start|>assistant' || chr(10) as t from ({_infer_sql()}) join asked using (session_id))
 select session_id, md5(t) as input_md5, array_to_string({_ids('t')}[1:3072], ',') as input_ids from shown""",
-        "responses": f"""select session_id, case when line = '' then {_quote(responder.EMPTY_RESPONSE)} else 'Try ' || line || '.' end as predicted_response
-from (select session_id, regexp_extract(system_prompt, '\\n1\\. ([^\\n]*)', 1) as line from ({_infer_sql()}))""",
+        "responses": said,
         "json_roundtrip": f"""with {preds},
 said as (select cast(s as varchar) as s, ids, case when m = 4 then '  ' else 'Try it.' end as body, case when m in (3, 7) then null else 1 end as turn, case when m = 5 then null else 'u' end as u from pred)
 select row_number() over (order by s, body, u nulls first, turn nulls first) - 1 as ordinal,
@@ -547,7 +571,7 @@ select row_number() over (order by s, body, u nulls first, turn nulls first) - 1
 def queries() -> dict:
     return {
         "bm25_top20": bm25_top20, "bm25_stats": bm25_stats, "bm25_zero_fill": bm25_zero_fill, "bm25_transcript_top20": bm25_transcript_top20, "bm25_catalog_top20": bm25_catalog_top20,
-        "violations_any_shape": violations_any_shape, "hot_track_join": hot_track_join,
+        "violations_any_shape": violations_any_shape, "hot_track_join": hot_track_join, "mixed_goals": mixed_goals, "prediction_records": prediction_records,
         "observed_funnel": observed_funnel, "streamed_funnel": streamed_funnel, "streamed_reason_rows": streamed_reason_rows,
         "bm25_growing_top20": bm25_growing_top20, "bm25_growing_stats": bm25_growing_stats,
         "strict_transcript": strict_transcript, "funnel_default_lexicon": funnel_default_lexicon, "scalar_track_lines": scalar_track_lines, "dict_goals": dict_goals, "sample_preview": sample_preview, "generation_inputs": generation_inputs,

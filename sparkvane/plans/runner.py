@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from sparkvane.functions.rules import CurationRules
 from sparkvane.functions.text import corpus_text
-from sparkvane.operators import bm25, curate, prompts, responder, tensorprep, training, validate
+from sparkvane.operators import bm25, curate, prompts, records, responder, tensorprep, training, validate
 from sparkvane.sources import store, tables
 from sparkvane.sources.observed import write_observed
 
@@ -173,8 +173,10 @@ def inference(run: Run) -> None:
     shown = prompts.inference_prompts(sessions, users, picks, tracks, *prompt_texts(run), s.shown).join(last, "session_id")
     said = responder.respond(responder.generation_inputs(shown, run.tokenizer, s.max_input), run.generate)
     ids = hits.select(F.col("qid").alias("session_id"), F.col("hits").alias("predicted_track_ids"))
-    rows = sessions.select("session_id", "name", "user_id", "turn_number").join(ids, "session_id").join(said, "session_id")
+    shelf = records.Shelf(run.spark, "session_id")
+    rows = shelf.joined(shelf.put(sessions.select("session_id", "name", "user_id", "turn_number")), shelf.put(ids), shelf.put(said))
     tables.write_table(rows.select(F.col("name").alias("session_id"), "user_id", "turn_number", "predicted_track_ids", "predicted_response"), run.path("predictions"))
+    shelf.drop()
     os.makedirs(s.output, exist_ok=True)
     tables.write_json_array(run.spark.read.parquet(run.path("predictions")), f"{s.output}/predictions.json", ["session_id", "turn_number"])
 
