@@ -1,10 +1,10 @@
 """Secret scans with a random forest against false positives. DataFrame and ML functions of the JVM only.
 
-A candidate is a run of at least MIN_LENGTH characters of a key's alphabet that holds a digit, or,
-however short, without digits and with any signs, a value of 4 or more characters that an asking word
+A candidate is a run of at least MIN_LENGTH characters of a key's alphabet that holds a digit, a signed token of three parts
+with dots between them, or, however short, without digits and with any signs, a value of 4 or more characters that an asking word
 (ASKED) is given by = or : or `is`, that follows Bearer or Basic, or that stands as user:value@. Its
 features: length; changes of character class and of letter, per character; the share of it that
-dictionary words cover; whether it stands in a path or address; what the two words before and the
+dictionary words cover (of code and prose, in four languages like the asking words); whether it stands in a path or address; what the two words before and the
 one after say. A random forest, trained from labelled findings, tells secrets from numbers, checksums,
 identifiers and paths.
 
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from sparkvane.llm.common import read
 
 MIN_LENGTH = 16
-CANDIDATE = rf"[A-Za-z0-9+/_=\-]{{{MIN_LENGTH},}}"
+CANDIDATE = rf"eyJ[A-Za-z0-9_\-]+\.[A-Za-z0-9_\-]+\.[A-Za-z0-9_\-]+|[A-Za-z0-9+/_=\-]{{{MIN_LENGTH},}}"
 SPACE = r"[\x20\x09-\x0D]+"
 FEATURES = ["length", "digits", "turns", "shifts", "repeats", "hexadecimal", "covered", "pathlike", "asked", "assigned", "disclaimed", "followed", "symbols", "userinfo"]
 
@@ -48,8 +48,12 @@ option optional order other output package page parent part pass path people pho
 point policy port post private process product profile project property public query read record redirect release
 remote report request required resource response rest result review right root route rule sample save script search
 secret section select server service session set
+archivo cuenta datos entrada ejemplo fecha imagen inicio nombre pagina precio servicio usuario valor vacio
+adresse compte courant donnees exemple fichier image mesure nom personne prix valeur utilisateur vide
+anfang beispiel benutzer bild daten datei dienst eingabe fehler konto name nummer seite wert
 """.split()
-ASKED = r"(?i)(token|secret|passw|pwd|api.?key|access.?key|credential|auth|bearer|private)"
+#: What asks for a secret, in English, Spanish, French and German; a word's end may follow.
+ASKED = r"(?i)(token|secret|passw|pwd|api.?key|access.?key|credential|auth|bearer|private|contrase[nñ]a|clave|ficha.de.acceso|mot.?de.?passe|passe\b|jeton|cl[eé]f?.d.?acc|kennwort|schl(?:ü|ue)ssel|geheim|zugangs)"
 DISCLAIMED = r"(?i)(commit|checksum|sha|md5|digest|revision|example|sample|dummy|card|iban|order|invoice|uuid|id\b|etag|version)"
 
 
@@ -57,7 +61,7 @@ DISCLAIMED = r"(?i)(commit|checksum|sha|md5|digest|revision|example|sample|dummy
 VALUE = r"""[^\s"'`,;<>(){}\[\]]{4,}"""
 GIVEN = rf"""{ASKED}[\w.\-]*["'\]]*(?:=>|:=|=|:)["'`]*({VALUE})"""
 USERINFO = r"""(?:^|[/"'(=])[^\s/:@"']*:([^\s/@"']{4,})@"""
-BEFORE = rf"""{ASKED}[\w.\-]*["'\]]* ?(=>|:=|=|:|is)$|(?i)(^|[\s"':=])(bearer|basic)$"""
+BEFORE = rf"""{ASKED}[\w.\-]*["'\]]* ?(=>|:=|=|:|is|es|est|ist|lautet)$|(?i)(^|[\s"':=])(bearer|basic)$"""
 #: Texts that may hold such a value.
 MAYBE = rf"{ASKED}|(?i)basic|:[^\s/@]{{4,}}@"
 
@@ -134,6 +138,10 @@ def _shapes() -> dict[str, tuple[int, Column]]:
         "single quotes": (1, text(ask, " = '", letters(20), "';")),
         "spoken": (1, text("the ", ask, " is ", key(18), ". ", word)),
         "short": (1, text(word, " ", ask, "=", key(9), " ", word)),
+        "spanish": (1, text("la ", pick(["contraseña", "clave", "clave_secreta"], 3), pick([" = ", ": ", " es "], 5), key(9), "!", letters(2), " ", word)),
+        "french": (1, text(word, " ", pick(["mot de passe", "jeton", "mot-de-passe"], 3), pick([" : ", " = ", " est "], 5), letters(5), digits(3), "!")),
+        "german": (1, text(pick(["Passwort", "Kennwort", "Schlüssel", "Geheimnis"], 3), pick([": ", "=", " lautet "], 5), key(12), "; ", word)),
+        "signed token": (1, text(pick(["", "Authorization: Bearer ", "jwt="], 3), "eyJ", key(17), ".eyJ", letters(30), ".", seen("s", 43, "_-x"), " ", word)),
         "long hexadecimal": (1, text(word, " ", ask, " => ", F.sha2(i, 256), ",")),
         "commit": (0, text("commit ", sha, " ", word)),
         "checksum": (0, text("sha256 checksum: ", F.sha2(i, 256), " of ", word, ".zip")),
@@ -147,19 +155,31 @@ def _shapes() -> dict[str, tuple[int, Column]]:
         "said value": (0, text(ask, ": ", plain, " ", word)),
         "given value": (0, text(ask, "=", plain, " ", word)),
         "explained": (0, text("the ", ask, " is ", plain, " here")),
+        "said in other tongues": (0, text(pick(["contraseña: ", "mot de passe : ", "Passwort: ", "la clave es ", "das Kennwort lautet "], 2), pick(["olvidada", "oublié", "vergessen", "segura", "perdue", "falsch", "obligatoria", "requis", "nötig"], 3), " ", word)),
+        "dotted name": (0, text("in ", name, ".", word, ".", name, "_", digits(2), ".handler now")),
         "code": (0, text(ask, " = ", name, ".", plain, "(", word, ")")),
         "image": (0, text("data:image/png;base64,", key(40), key(24), " ", word)),
         "etag": (0, text('ETag: "', md5, '" ', word)),
     }
 
 
+#: Shapes whose texts are made by one expression; the code that is compiled for more gets too long.
+TOGETHER = 6
+
+
 def labelled_findings(spark: SparkSession, n: int = 4000, shapes: list[str] | None = None) -> DataFrame:
     """doc_id, text, secret: n small texts with a finding each, half of them secrets, made by rule from the numbers below n."""
     known = {k: v for k, v in _shapes().items() if shapes is None or k in shapes}
-    of = lambda secret: [text for kind, text in known.values() if kind == secret]
-    one = lambda texts: F.element_at(F.array(*texts), (F.floor(F.col("id") / 2) % len(texts) + 1).cast("int"))
-    secret = (F.col("id") % 2 == 0).cast("int")
-    return spark.range(n).select(F.col("id").alias("doc_id"), F.when(secret == 1, one(of(1))).otherwise(one(of(0))).alias("text"), secret.alias("secret"))
+    secret, out = (F.col("id") % 2 == 0).cast("int"), None
+    for kind in (0, 1):
+        texts = [text for of, text in known.values() if of == kind]
+        nth = F.floor(F.col("id") / 2) % max(len(texts), 1)
+        for first in range(0, len(texts), TOGETHER):
+            some = texts[first : first + TOGETHER]
+            rows = spark.range(n).where((secret == kind) & (nth >= first) & (nth < first + len(some)))
+            rows = rows.select(F.col("id").alias("doc_id"), F.get(F.array(*some), (nth - first).cast("int")).alias("text"), secret.alias("secret"))
+            out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
