@@ -10,7 +10,7 @@ messages at most, counted by place and not by turn number, so that no rendering
 a longer dialogue's rendering comes in consecutive pieces for every participant of the dialogue, silent
 in a piece or not. Its pieces' texts, put together, are the whole rendering, and the spans of the
 masks count from the dialogue's beginning. Where only `system` speaks nothing can be learned and no
-row results. A null conv_id is a dialogue of its own. No table rows, no result rows.
+row results. A message without conv_id is a dialogue of its own, whatever others have none. No table rows, no result rows.
 """
 
 from __future__ import annotations
@@ -58,7 +58,8 @@ from spans group by conv_id, piece, speaker
 
 def rotate(conversations: DataFrame, max_turns: int = MAX_TURNS) -> DataFrame:
     """conv_id, piece, assistant, n_messages, n_masked, text, mask: a row for each participant of each dialogue and each piece of it."""
-    said = conversations.select(
+    known = conversations.where("conv_id is not null")
+    said = known.select(
         "conv_id", "turn", F.floor(F.col("turn") / max_turns).alias("bucket"), F.coalesce("role", F.lit("unknown")).alias("role"),
         F.coalesce("text", F.lit("")).alias("text"), F.lit(1).alias("one"),
     )
@@ -66,11 +67,17 @@ def rotate(conversations: DataFrame, max_turns: int = MAX_TURNS) -> DataFrame:
     running(said, ["conv_id"], "bucket", ["turn", "role", "text"], "one", "pos").createOrReplaceTempView(name)  # a plan is bound to the view at once
     out = conversations.sparkSession.sql(WHOLE.replace("@max_turns@", str(max_turns)).replace("@placed@", name))
     conversations.sparkSession.catalog.dropTempView(name)
-    return out
+    role, text, head = F.coalesce("role", F.lit("unknown")), F.coalesce("text", F.lit("")), "<|assistant|>"
+    stop = F.length(text) + len(head) + 1
+    alone = conversations.where("conv_id is null").where(role != "system").select(
+        "conv_id", F.lit(0).cast("long").alias("piece"), role.alias("assistant"), F.lit(1).cast("long").alias("n_messages"), (F.length(text) + 1).cast("long").alias("n_masked"),
+        F.concat(F.lit(head), text, F.lit("\n")).alias("text"), F.concat_ws("-", F.lit(str(len(head))), stop.cast("string")).alias("mask"),
+    )
+    return out.unionByName(alone)
 
 
 def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every dialogue of `conversations` from each participant's side; null texts are empty, null roles `unknown`, an empty table gives no rows."""
+    """Every dialogue of `conversations` from each participant's side; null texts are empty, null roles `unknown`, a message without conv_id stands alone, an empty table gives no rows."""
     return rotate(read(spark, sf_dir, "conversations"))
 
 
@@ -79,7 +86,7 @@ OP2_SQL = r"""
 with message as (
   select conv_id, coalesce(role, 'unknown') as who, coalesce(text, '') as body,
     row_number() over (partition by conv_id order by turn nulls first, coalesce(role, 'unknown'), coalesce(text, '')) - 1 as nth
-  from conversations),
+  from conversations where conv_id is not null),
 part as (
   select distinct m.conv_id, s.who as me, m.nth, m.who, m.body
   from message m, message s where m.conv_id is not distinct from s.conv_id and s.who <> 'system'),
@@ -92,4 +99,7 @@ select conv_id, nth // @max_turns@ as piece, me as assistant, count(*) as n_mess
   string_agg(line, '' order by nth) as text,
   coalesce(string_agg((stop - length(body) - 1) || '-' || stop, ',' order by nth) filter (where who = me), '') as mask
 from ends group by conv_id, nth // @max_turns@, me
+union all
+select conv_id, 0, who, 1, length(body) + 1, '<|assistant|>' || body || chr(10), '13-' || (length(body) + 14)
+from (select conv_id, coalesce(role, 'unknown') as who, coalesce(text, '') as body from conversations where conv_id is null) where who <> 'system'
 """.replace("@max_turns@", str(MAX_TURNS))
