@@ -96,9 +96,22 @@ class Run:
         return tables.keyed(df, by, "ordinal").drop("ordinal") if "ordinal" in df.columns else df
 
 
+#: Rows that are brought into one task at most, to find the first of all.
+TOP = 100_000
+
+
 def head(df: DataFrame, n: int | None, key: str = "session_id") -> DataFrame:
-    """The n rows with the least keys, or all for None."""
-    return df if n is None else df.orderBy(key).limit(n)
+    """The n rows with the least keys, or all for None. Of many, the range of keys where the n-th lies is found by counts, and it alone is sorted in one task."""
+    if n is None or n <= TOP:
+        return df if n is None else df.orderBy(key).limit(n)
+    placed = store.stored(df.repartitionByRange(key).withColumn("__range", F.spark_partition_id()), store.scratch(df.sparkSession))
+    before = 0
+    for part, count in placed.groupBy("__range").count().orderBy("__range").collect():  # a row for each range
+        if before + count >= n:
+            last = placed.where(F.col("__range") == part).orderBy(key).limit(n - before)
+            return placed.where(F.col("__range") < part).unionByName(last).drop("__range")
+        before += count
+    return df
 
 
 def prompt_texts(run: Run) -> tuple[str, str]:

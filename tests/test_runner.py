@@ -131,3 +131,12 @@ def test_a_run_goes_on_where_it_broke_off(spark, made, tmp_path, monkeypatch):
     assert runner.run_stages(fewer, resume=True) == done("package")
     assert runner.run_stages(fewer) == dict.fromkeys(runner.STAGES, "done")
     assert spark.read.parquet(run.path("masked")).first().asDict() == {"before": 44, "after": 0, "dropped": 44}
+
+
+@pytest.mark.parametrize("n", [0, 1, 49, 50, 777, 999, 1000, 2000])
+def test_first_rows_of_many_are_found_by_counts(spark, monkeypatch, n):
+    df = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("session_id"), F.col("id").alias("x")).repartition(7)
+    want = sorted(map(tuple, df.orderBy("session_id").limit(n).collect()))
+    monkeypatch.setattr(runner, "TOP", 20)
+    assert sorted(map(tuple, runner.head(df, n).collect())) == want
+    assert runner.head(df, None) is df
