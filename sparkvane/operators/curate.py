@@ -52,7 +52,9 @@ def funnel_stats(rows: DataFrame) -> DataFrame:
 
 def sft_rows(rows: DataFrame, users: DataFrame, persona: str, rules_text: str) -> DataFrame:
     """session_id, user_query, music_id, system_prompt, assistant_response of kept rows."""
-    kept = join_dimension(rows.where("reason = 'kept'"), users.withColumnRenamed("user_id", "__user").withColumn("__found", F.lit(True)), "user_id", "__user")
+    used = ["session_id", "user_id", "user_profile", "conversation_goal", "user_query", "music_id", "track_name", "artist_name", "album_name", "release_date", "tag_list", "cleaned"]
+    # a read of judged rows judges them again
+    kept = join_dimension(rows.where("reason = 'kept'").select(*used), users.withColumnRenamed("user_id", "__user").withColumn("__found", F.lit(True)), "user_id", "__user", costly=True)
     profile = F.when(F.col("__found"), profile_text(F.col("user_id"), F.col("age_group"), F.col("gender"), F.col("country_name")))
     line = track_line(F.col("track_name"), F.col("artist_name"), F.col("album_name"), F.col("release_date"), F.col("tag_list"))
     prompt = system_prompt(persona, rules_text, profile, F.col("user_profile"), F.col("conversation_goal"), F.array(line))

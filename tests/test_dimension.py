@@ -55,3 +55,13 @@ def test_no_task_gets_the_hot_key(spark):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+def test_few_asked_rows_of_a_large_dimension_are_broadcast(spark):
+    rows = spark.createDataFrame([(i, f"k{i % 3}" if i % 7 else None) for i in range(40)], "play long, music_id string")
+    for costly in (False, True):
+        got = join_dimension(rows, catalog(spark), "music_id", "track_id", few=5, costly=costly)
+        want = rows.join(catalog(spark), rows.music_id == F.col("track_id"), "left")
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
