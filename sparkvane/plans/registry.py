@@ -192,10 +192,11 @@ def mixed_goals(spark, sf_dir):
 
 
 def prediction_records(spark, sf_dir):
-    """Last turns, transcripts and responses of all sessions, stored side by side and joined without exchange."""
-    shelf = records.Shelf(spark, "session_id")
-    last = shelf.put(last_turn(spark, sf_dir).select("session_id", "turn_number"))
-    return shelf.joined(last, shelf.put(transcript(spark, sf_dir)), shelf.put(responses(spark, sf_dir)))
+    """Last turns, transcripts and responses of all sessions, stored side by side and joined without exchange. Sessions are put together once."""
+    shelf, sessions = records.Shelf(spark, "session_id"), store.stored(fx.sessions(spark, sf_dir), store.scratch(spark))
+    last = shelf.put(curate.last_turn(sessions).select("session_id", "turn_number"))
+    said = shelf.put(prompts.transcripts(sessions, fx.tracks(spark, sf_dir), strict=False))
+    return shelf.joined(last, said, shelf.put(responder.respond(_prompts(spark, sf_dir, sessions))))
 
 
 def sample_preview(spark, sf_dir):
@@ -218,14 +219,18 @@ def train_prompt(spark, sf_dir):
     return sft_rows(spark, sf_dir).select("session_id", F.md5("system_prompt").alias("prompt_md5"), F.length("system_prompt").alias("prompt_length"))
 
 
-def _picks(spark, sf_dir):
+def _picks(sessions):
     """Three tracks of each session, some unknown."""
-    s = fx.sessions(spark, sf_dir).select("session_id", F.explode(F.sequence(F.lit(1), F.lit(4))).alias("rank"))
+    s = sessions.select("session_id", F.explode(F.sequence(F.lit(1), F.lit(4))).alias("rank"))
     return s.select("session_id", "rank", ((F.col("session_id").cast("long") * 37 + F.col("rank") * 600) % 2500).cast("string").alias("track_id"))
 
 
+def _prompts(spark, sf_dir, sessions):
+    return prompts.inference_prompts(sessions, fx.users(spark, sf_dir), _picks(sessions), fx.tracks(spark, sf_dir), fx.PERSONA, fx.RULES_TEXT)
+
+
 def infer_prompt(spark, sf_dir):
-    return prompts.inference_prompts(fx.sessions(spark, sf_dir), fx.users(spark, sf_dir), _picks(spark, sf_dir), fx.tracks(spark, sf_dir), fx.PERSONA, fx.RULES_TEXT)
+    return _prompts(spark, sf_dir, fx.sessions(spark, sf_dir))
 
 
 def generation_inputs(spark, sf_dir):
