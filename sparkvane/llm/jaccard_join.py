@@ -38,12 +38,17 @@ from pyspark.sql import functions as F
 
 from sparkvane.llm.common import SMALL, freed, met, read, written
 from sparkvane.llm.components import components
-from sparkvane.llm.words import U, distinct, hashed_words, mixed, shingles, slices
+from sparkvane.llm.words import MOST_TEXTS, U, distinct, hashed_words, mixed, shingles, slices
 
 #: Counters, in a sketch of fixed size, of the documents that hold a shingle, and counters to a row of it.
 COUNTERS, CHUNK = 1 << 20, 1 << 14
 #: Shingles in a coarse component, or a block of one, that are checked in one task.
 WHOLE = 1 << 17
+#: Keys are dealt out to so many parts, each packed into one row of a batch of over HELD keys; bits of a key, beside the number of a document in its batch.
+PART_BITS, HELD, NUMBER_BITS = 12, 4_000_000, 16
+PARTS = 1 << PART_BITS
+#: Sets, and shingles at a time, of a product of matrices at most.
+DENSE_SETS = 2048
 
 
 @dataclass(frozen=True)
@@ -146,16 +151,37 @@ def _counter(tokens: np.ndarray) -> np.ndarray:
     return (mixed(tokens) & U(COUNTERS - 1)).astype(np.int64)
 
 
-def _stars(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray]]:
-    """Of keys and ids: the keys, each one's least id, and edges from each key's other ids to that."""
-    order = np.lexsort((ids, keys))
-    k, i = keys[order], ids[order]
-    new = np.concatenate(([True], k[1:] != k[:-1])) if len(k) else np.zeros(0, bool)
-    first = i[new]
-    least = first[np.cumsum(new) - 1] if len(k) else i
-    other = i != least
-    pairs = np.unique(np.stack([i[other], least[other]], 1), axis=0)
-    return k[new], first, (pairs[:, 0], pairs[:, 1])
+def prefix_keys(rule: Rule, tokens: np.ndarray, of: np.ndarray, sizes: np.ndarray, table: list[Band], counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the rarest shingles of each set, in its bands, and each key's set; sets that link have such a shingle in common.
+
+    A set links only with sets that hold num / den of it, so that of its shingles, in one order for all sets, the
+    first of as many as may be missing and one more will do. counts, a sketch of how many sets hold a shingle, gives the order.
+    """
+    order = np.lexsort((tokens, counts[_counter(tokens)], of))  # of is in order already
+    first = np.cumsum(sizes) - sizes
+    few = sizes + rule.num * sizes // -rule.den + 1
+    some = np.arange(len(order)) - first[of] < few[of]
+    t, o = tokens[order[some]], of[some]
+    own = np.searchsorted([b.high for b in table], sizes)
+    return np.concatenate([mixed(t ^ mixed((band + 2).astype(U) * U(0x9E3779B97F4A7C15))[o]) for band in (own, own - 1)]), np.concatenate([o, o])
+
+
+def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that join what a, b join, at most one for a node: each node to the least that it reaches."""
+    node, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    up = np.arange(len(node))
+    while True:
+        low = np.minimum(up[x], up[y])
+        new = up.copy()
+        np.minimum.at(new, up[x], low)
+        np.minimum.at(new, up[y], low)
+        new = new[new]
+        if (new == up).all():
+            break
+        up = new
+    some = up != np.arange(len(node))
+    return node[some], node[up[some]]
 
 
 def _sets(texts: list, words: int):
@@ -208,105 +234,155 @@ def _added(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def common_counters(measured: DataFrame) -> np.ndarray:
-    """Which counters are far above the others: COUNTERS numbers come to the driver, whatever the input."""
+    """Which counters are far above the others."""
+    total = counters(measured)
+    usual = float(np.median(total))
+    return total > usual + 6 * usual**0.5 + 16
+
+
+def counters(measured: DataFrame) -> np.ndarray:
+    """The sketch of all: COUNTERS numbers come to the driver, whatever the input."""
     parts = measured.where("counts is not null").mapInPandas(_added, _MEASURED)
     chunk = lambda x: pd.DataFrame({"n": [int(x["n"].iloc[0])], "counts": [np.sum([np.frombuffer(c, np.int64) for c in x["counts"]], axis=0).tobytes()]})
     total = np.zeros(COUNTERS, np.int64)
     for row in parts.groupBy("n").applyInPandas(chunk, "n long, counts binary").collect():
         total[row["n"] * CHUNK : (row["n"] + 1) * CHUNK] = np.frombuffer(row["counts"], np.int64)
-    usual = float(np.median(total))
-    return total > usual + 6 * usual**0.5 + 16
+    return total
 
 
-_PAIRS = "kind int, a long, b long"
+_PACKED = "part int, edges boolean, a binary, b binary"
 
 
-def _rows(kind: int, a: np.ndarray, b: np.ndarray) -> pd.DataFrame:
-    """kind 0: key a, document b; kind 1: an edge a, b."""
-    return pd.DataFrame({"kind": np.full(len(a), kind, np.int32), "a": a.view(np.int64), "b": b.view(np.int64)})
+def _planes(x: np.ndarray) -> bytes:
+    """Numbers of 8 bytes as all their first bytes, all their second ones, ...: bytes that are alike stand together and are packed well."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8).T).tobytes()
 
 
-def _index(rule: Rule, common: np.ndarray):
-    """The keys of every row's set, one row for a key, and edges among the rows that meet in a key on the way."""
+def _numbers(packed: bytes, kind: type) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(packed, np.uint8).reshape(8, -1).T).view(kind).ravel()
 
-    def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table = bands(rule, 1 << 20)
-        keys, ids, held = [], [], 0
 
-        def combined():
-            k, first, edges = _stars(np.concatenate(keys), np.concatenate(ids))
-            yield _rows(0, k, first)
-            yield _rows(1, *edges)
+def _packed(keys: np.ndarray, sets: np.ndarray, docs: np.ndarray) -> Iterator[pd.DataFrame]:
+    """Keys, cut to KEY_BITS, with a document of each, a row for each part of the keys; and the edges among documents that meet in a key here.
+
+    sets: the number of each key's document in docs, of which there are 1 << NUMBER_BITS at most.
+    """
+    low = U((1 << NUMBER_BITS) - 1)
+    both = np.sort((keys & ~low) | sets.astype(U))
+    key, number = both & ~low, (both & low).astype(np.int64)
+    new = np.concatenate(([True], key[1:] != key[:-1]))
+    key, head = key[new], number[new]
+    other = ~new
+    yield _edges(docs[number[other]], docs[head[(np.cumsum(new) - 1)[other]]])
+    cut = np.searchsorted(key, np.arange(1, PARTS).astype(U) << U(64 - PART_BITS))
+    parts = [(i, False, _planes(k), _planes(docs[h])) for i, (k, h) in enumerate(zip(np.split(key, cut), np.split(head, cut), strict=True)) if len(k)]
+    for i in range(0, len(parts), 512):
+        yield pd.DataFrame(parts[i : i + 512], columns=["part", "edges", "a", "b"])
+
 
+def _edges(a: np.ndarray, b: np.ndarray) -> pd.DataFrame:
+    a, b = _forest(a, b)
+    return pd.DataFrame({"part": [int(a[0]) % PARTS], "edges": [True], "a": [_planes(a)], "b": [_planes(b)]} if len(a) else {"part": [], "edges": [], "a": [], "b": []}).astype({"part": np.int32, "edges": bool})
+
+
+def _index(rule: Rule, keys_of_sets):
+    """The keys of every row's set, packed. keys_of_sets: of tokens, their sets, sizes and bands, the keys and each one's set."""
+
+    def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        table = bands(rule, 1 << 20)
+        keys, sets, docs, held, many = [], [], [], 0, 0
         for x in frames:
             freed()
-            texts, docs = x["text"].tolist(), x["doc_id"].to_numpy(np.int64)
+            texts, ids = x["text"].tolist(), x["doc_id"].to_numpy(np.int64)
             for s, e in slices(texts):
                 tokens, of, n = _sets(texts[s:e], rule.words)
                 if len(n) and n.max() > table[-1].high:
                     table = bands(rule, int(n.max()))
-                own = np.searchsorted([b.high for b in table], n)
-                for band in (own, own - 1):
-                    k, o = keys_of(tokens, of, n, np.where(n > 0, band, -1), table, common)
-                    keys.append(k)
-                    ids.append(docs[s:e][o])
-                    held += len(k)
-                if held > 2_000_000:
-                    yield from combined()
-                    keys, ids, held = [], [], 0
-        if keys:
-            yield from combined()
-            keys, ids = [], []
+                k, o = keys_of_sets(tokens, of, n, table)
+                keys.append(k)
+                sets.append(o + many)
+                docs.append(ids[s:e])
+                held, many = held + len(k), many + e - s
+                if held > HELD or many + MOST_TEXTS > 1 << NUMBER_BITS:
+                    yield from _packed(np.concatenate(keys), np.concatenate(sets), np.concatenate(docs))
+                    keys, sets, docs, held, many = [], [], [], 0, 0
+        if held:
+            yield from _packed(np.concatenate(keys), np.concatenate(sets), np.concatenate(docs))
+            keys, sets, docs = [], [], []
         freed()
 
     return batches
 
 
-def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Edges that join what a, b join, at most one for a node: each node to the least that it reaches."""
-    node, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-    x, y = at[: len(a)], at[len(a) :]
-    up = np.arange(len(node))
-    while True:
-        low = np.minimum(up[x], up[y])
-        new = up.copy()
-        np.minimum.at(new, up[x], low)
-        np.minimum.at(new, up[y], low)
-        new = new[new]
-        if (new == up).all():
-            break
-        up = new
-    some = up != np.arange(len(node))
-    return node[some], node[up[some]]
+def _segments(rule: Rule, common: np.ndarray):
+    def keys(tokens, of, n, table):
+        own = np.searchsorted([b.high for b in table], n)
+        found = [keys_of(tokens, of, n, np.where(n > 0, band, -1), table, common) for band in (own, own - 1)]
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+    return _index(rule, keys)
+
+
+def _prefixes(rule: Rule, counts: np.ndarray):
+    return _index(rule, lambda tokens, of, n, table: prefix_keys(rule, tokens, of, n, table, counts))
 
 
 def _met(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Edges that join the documents that meet in keys of this partition, and those known already."""
-    keys, ids, known = [], [], []
+    keys, ids, a, b = [np.zeros(0, U)], [np.zeros(0, np.int64)], [], []
     for x in frames:
-        at = x["kind"].to_numpy() == 0
-        keys.append(x["a"].to_numpy()[at])
-        ids.append(x["b"].to_numpy()[at])
-        if not at.all():
-            known.append(x[["a", "b"]].to_numpy()[~at])
-    if keys:
-        _, _, (a, b) = _stars(np.concatenate(keys), np.concatenate(ids))
-        more = np.concatenate(known) if known else np.zeros((0, 2), np.int64)
-        keys, ids, known = [], [], []
-        a, b = _forest(np.concatenate([a, more[:, 0]]), np.concatenate([b, more[:, 1]]))
-        yield pd.DataFrame({"a": a, "b": b})
-        del a, b, more
-        freed()
+        for edges, p, q in zip(x["edges"], x["a"], x["b"], strict=True):
+            (a if edges else keys).append(_numbers(p, np.int64 if edges else U))
+            (b if edges else ids).append(_numbers(q, np.int64))
+    keys, ids = np.concatenate(keys), np.concatenate(ids)
+    # most keys have one document: those of which there are others are found first, but for some too many
+    place = lambda k: ((k >> U(NUMBER_BITS)) & U((1 << 22) - 1)).astype(np.int64)
+    ordered, twice = np.sort(keys), np.zeros(1 << 22, bool)
+    twice[place(ordered[1:][ordered[1:] == ordered[:-1]])] = True
+    some = twice[place(keys)]
+    keys, ids = keys[some], ids[some]
+    order = np.argsort(keys, kind="stable")
+    keys, ids = keys[order], ids[order]
+    new = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
+    head = np.repeat(ids[new], np.diff(np.append(new, len(keys))))
+    out, to = _forest(np.concatenate([ids, *a]), np.concatenate([head, *b]))
+    yield pd.DataFrame({"a": out, "b": to})
+    del keys, ids, ordered, twice, some, order, new, head, a, b, out, to
+    freed()
+
+
+def _coarse(packed: DataFrame) -> DataFrame:
+    """Components of the documents that meet in a key."""
+    return components(packed.repartition("part").mapInPandas(_met, "a long, b long"))
+
+
+def _all_links(sets: list[np.ndarray], size: np.ndarray, rule: Rule) -> list[tuple[int, int]] | None:
+    """Links that connect what is connected, of all intersections at once as a product of matrices; None where most shingles are in few sets, so that it doesn't pay."""
+    g = len(sets)
+    _, token, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    if g > DENSE_SETS or size.max() >= 1 << 24 or (n * n).sum() * 100 < float(g) * g * np.count_nonzero(n > 1):
+        return None
+    owner, column, both = np.repeat(np.arange(g), size), np.cumsum(n > 1) - 1, np.zeros((g, g), np.float32)
+    token, owner = column[token[n[token] > 1]], owner[n[token] > 1]
+    for a in range(0, int(column[-1]) + 1, DENSE_SETS):
+        some = (token >= a) & (token < a + DENSE_SETS)
+        held = np.zeros((g, min(DENSE_SETS, int(column[-1]) + 1 - a)), np.float32)
+        held[owner[some], token[some] - a] = 1
+        both += held @ held.T  # whole numbers below 2^24 are exact
+    x, y = np.nonzero(np.triu(rule.links(size[:, None], size[None, :], both.astype(np.int64)), 1))
+    return list(zip(*(i.tolist() for i in _forest(x, y)), strict=True))
 
 
 def spanning_links(sets: list[np.ndarray], rule: Rule) -> list[tuple[int, int]]:
-    """Links that connect what is connected: breadth first, each set against those not yet reached."""
+    """Links that connect what is connected: of sets with much in common at once, else breadth first, each set against those not yet reached."""
     g = len(sets)
     size = np.array([len(s) for s in sets], np.int64)
     out: list[tuple[int, int]] = []
     if g == 2:
         both = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
         return [(0, 1)] if rule.links(int(size[0]), int(size[1]), both) else []
+    if g >= 16 and (found := _all_links(sets, size, rule)) is not None:
+        return found
     waiting = np.ones(g, bool)
     token = owner = None
     indexed = 0
@@ -339,7 +415,8 @@ def spanning_links(sets: list[np.ndarray], rule: Rule) -> list[tuple[int, int]]:
 
 def _check(rule: Rule):
     def group(x: pd.DataFrame) -> pd.DataFrame:
-        freed()
+        if x["text"].str.len().sum() > 8 * WHOLE * rule.words:
+            freed()
         a, b = [], []
         x = x.sort_values(["coarse", "doc_id"])
         docs, coarse, texts = x["doc_id"].to_numpy(np.int64), x["coarse"].to_numpy(), x["text"].tolist()
@@ -369,6 +446,24 @@ def _outside(first: DataFrame, fine: DataFrame) -> DataFrame:
     return held.select("doc_id", "text_hash", "coarse", "blocks", "block", "groups", own.alias("own"))
 
 
+def _narrowed(rows: DataFrame, member: DataFrame, rule: Rule) -> DataFrame:
+    """member (doc_id, text_hash, n, coarse), where coarse components of over WHOLE shingles, which passages in common may have chained, are parted into those by prefix_keys."""
+    large = written(member.groupBy("coarse").agg(F.sum("n").alias("all")).where(F.col("all") > WHOLE))
+    if large.isEmpty():
+        return member
+    inside = written(met(member, large.select("coarse"), ["coarse"], F.col("doc_id"), "inner"))
+    n = inside.agg(F.count("*").alias("rows"), F.sum("n").alias("all")).first()
+    held = inside.select("doc_id", "text_hash")
+    texts = rows.join(F.broadcast(held) if n["rows"] <= SMALL else held, ["doc_id", "text_hash"])
+    # few tasks, as each has a sketch
+    texts = written(texts.repartition(max(member.sparkSession.sparkContext.defaultParallelism, n["all"] >> 22)))
+    counts = np.minimum(counters(texts.mapInPandas(_measure(rule), _MEASURED)), (1 << 16) - 1).astype(np.uint16)
+    coarse = _coarse(texts.mapInPandas(_prefixes(rule, counts), _PACKED))
+    within = inside.join(coarse, F.col("doc_id") == F.col("node")).select("doc_id", "text_hash", "n", F.col("component").alias("coarse"))
+    other = member.join(large.select("coarse"), "coarse", "left_anti").select("doc_id", "text_hash", "n", "coarse")
+    return written(other.unionByName(within))
+
+
 def _node(text_hash: Column) -> Column:
     """The node of a document without id: of 62 bits, below the ids that are in use."""
     return F.shiftrightunsigned(text_hash, 2) + F.lit(-(1 << 63))
@@ -390,16 +485,17 @@ def classes(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     n_copies = copies.count()
     rest = copies.select("doc_id", "text_hash")
     rows = rows.join(F.broadcast(rest) if n_copies <= SMALL else rest, ["doc_id", "text_hash"], "left_anti")
-    meeting = rows.mapInPandas(_index(rule, common), _PAIRS).repartition(F.when(F.col("kind") == 0, F.col("a")).otherwise(F.col("b")))
-    coarse = components(meeting.mapInPandas(_met, "a long, b long"))
+    coarse = _coarse(rows.mapInPandas(_segments(rule, common), _PACKED))
 
     # sets whose coarse component has others
     member = sets.where("n > 0").join(copies.select("doc_id", "text_hash"), ["doc_id", "text_hash"], "left_anti").select("doc_id", "text_hash", "n").distinct()
-    member = member.join(coarse, F.col("doc_id") == F.col("node")).select("doc_id", "text_hash", "n", F.col("component").alias("coarse"))
+    member = written(member.join(coarse, F.col("doc_id") == F.col("node")).select("doc_id", "text_hash", "n", F.col("component").alias("coarse")))
+    member = _narrowed(rows, member, rule)
     whole = member.groupBy("coarse").agg(F.sum("n").alias("all"))
     blocks = F.ceil(F.col("all") / WHOLE).cast("int")
     first = written(member.join(whole, "coarse").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")).select("doc_id", "text_hash", "coarse", "n", "blocks", "block"))
-    n = first.agg(F.count("*").alias("rows"), F.coalesce(F.sum("n"), F.lit(0)).alias("all"), F.max("blocks").alias("blocks")).first()
+    sent = F.when(F.col("block") == 0, F.col("blocks")).otherwise(1)
+    n = first.agg(F.coalesce(F.sum(sent), F.lit(0)).alias("sent"), F.coalesce(F.sum("n"), F.lit(0)).alias("all"), F.max("blocks").alias("blocks")).first()
     bins = max(1, int(n["all"]) * 2 // WHOLE, spark.sparkContext.defaultParallelism)
     task = lambda b, i, j: F.struct(b.alias("bin"), i.cast("int").alias("i"), j.cast("int").alias("j"))
     # of a coarse component in blocks, the first block and each other; of a small one, all in a bin of such
@@ -412,8 +508,7 @@ def classes(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
         texts = rows.join(F.broadcast(held) if few else held, ["doc_id", "text_hash"])
         return texts.select(F.explode("tasks").alias("task"), "doc_id", "coarse", "text").groupBy("task").applyInPandas(_check(rule), "a long, b long")
 
-    few = n["rows"] * (n["blocks"] or 1) <= SMALL
-    links = written(checked(first, F.when(F.col("blocks") > 1, large).otherwise(alone), few))
+    links = written(checked(first, F.when(F.col("blocks") > 1, large).otherwise(alone), n["sent"] <= SMALL))
     if (n["blocks"] or 1) > 1:
         fine = components(links)
         links = fine.select(F.col("node").alias("a"), F.col("component").alias("b"))  # the same classes, of fewer links
